@@ -27,6 +27,12 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(spark, documents(spark, sf_dir), _tokenizer("word_bpe_49k.json"), end_id=1, capacity=4096)
 
 
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .simhash import simhash_near_duplicates
+
+    return simhash_near_duplicates(spark, documents(spark, sf_dir))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .toxicity import toxicity_scores
 
@@ -39,5 +45,5 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_token_output, op8_toxicity, op9_quality, op10_best_fit_packing)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_token_output, op5_simhash, op8_toxicity, op9_quality, op10_best_fit_packing)}
 ORACLE_SQL: dict[str, str] = {}
