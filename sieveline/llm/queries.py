@@ -15,6 +15,12 @@ def _tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffix_dedup import suffix_array_dedup
+
+    return suffix_array_dedup(spark, documents(spark, sf_dir))
+
+
 def op3_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_files import token_output
 
@@ -45,5 +51,5 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_token_output, op5_simhash, op8_toxicity, op9_quality, op10_best_fit_packing)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_suffix_array_dedup, op3_token_output, op5_simhash, op8_toxicity, op9_quality, op10_best_fit_packing)}
 ORACLE_SQL: dict[str, str] = {}
