@@ -21,6 +21,12 @@ def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_array_dedup(spark, documents(spark, sf_dir))
 
 
+def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language_model import language_model_scores
+
+    return language_model_scores(spark, documents(spark, sf_dir))
+
+
 def op3_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_files import token_output
 
@@ -65,7 +71,7 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_suffix_array_dedup, op3_token_output, op5_simhash, op6_nearest_neighbours, op7_embedding_near_dedup, op8_toxicity, op9_quality, op10_best_fit_packing)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_suffix_array_dedup, op2_lm_scoring, op3_token_output, op5_simhash, op6_nearest_neighbours, op7_embedding_near_dedup, op8_toxicity, op9_quality, op10_best_fit_packing)}
 _VALID = """SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE embedding IS NOT NULL
   AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0"""
 
