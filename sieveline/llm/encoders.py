@@ -1,33 +1,34 @@
 """Fast whole-text encoding with files of the `tokenizers` library.
 
-A text is cut where the tokenizer's own pre-tokenizer always cuts (at spaces), every distinct piece is
-encoded once by the library, and a text's ids are gathered from the pieces' ids. Texts in which a cut
-could matter (runs of white space, control separators, special-token strings) go to the library whole.
+A text is cut where the tokenizer's own pre-tokenizer always cuts: at spaces and, where no apostrophe or
+unusual character could matter, around runs of punctuation marks. Arrow numbers the distinct pieces, every distinct piece goes once through the library's normalizer, pre-tokenizer and model, and a
+text's ids are gathered from its pieces' ids. Texts in which a cut could matter (runs of white space,
+control separators, special-token strings) go to the library whole.
 """
 
 from __future__ import annotations
 
+import gc
 import os
-import re
+from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-#: Distinct pieces that a worker remembers; beyond it the memory is emptied. Affects speed only.
-REMEMBERED = 1_200_000
-_UNSAFE_SPACE = re.compile(r" (?=\s|\Z)|[\x00\x1c-\x1f\x85]")
-_UNSAFE_WORD = re.compile(r"[\x00\x1c-\x1f\x85]")
+#: Distinct pieces, and pre-tokens of pieces, that a worker remembers; beyond it they are forgotten. Affects speed only.
+REMEMBERED, WORDS = 600_000, 150_000
+#: Bytes of text encoded together.
+TOGETHER = 5_000_000
 
-
-class _Index(dict):
-    """Numbers pieces in the order of first use and lists the new ones."""
-
-    def __init__(self):
-        self.new: list[str] = []
-
-    def __missing__(self, piece: str) -> int:
-        self[piece] = at = len(self)
-        self.new.append(piece)
-        return at
+_SPACES = r"[\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+_ODD = r"[\x00\x01\x{1c}-\x{1f}\x{85}]|<\|"
+_RUN = r"[!-&(-/:-@\[-`{-~]+"  # of ASCII marks but the apostrophe
+_UNUSUAL = r"'|[^\x00-\x7f\p{L}]"
+#: Byte-level models show a byte as itself where it prints, else as the next free character from 256.
+_PLAIN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_SHOWN = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in set(_PLAIN))}
 
 
 class Encoder:
@@ -40,72 +41,115 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = special_as_text
-        normal, pre = str(self.tokenizer.normalizer), str(self.tokenizer.pre_tokenizer)
-        self.spaced = normal == "None" and pre.startswith("ByteLevel(add_prefix_space=False") and "use_regex=True" in pre
-        dropped = r'Replace(pattern=Regex("\s+"), content=" ")' in normal.replace("\\\\", "\\") and 'behavior="removed"' in pre.lower().replace("'", '"').replace("behavior=removed", 'behavior="removed"')
-        if not self.spaced and not dropped:
-            raise ValueError(f"no known rule for cutting texts before {pre}")
-        marks = Tokenizer.from_file(path)  # here special tokens are found: one of them separates pieces
-        self.separator, self.mark = next((t.content, i) for i, t in sorted(marks.get_added_tokens_decoder().items()) if t.special)
-        self.marks = marks
+        self.cut, self.normalize, self.model = self.tokenizer.pre_tokenizer.pre_tokenize_str, self.tokenizer.normalizer, self.tokenizer.model
+        # the two kinds that can be cut at spaces: a space joins the next word, or vanishes
+        probe = [p for p, _ in self.cut(self.normalize.normalize_str(" Ab c") if self.normalize else " Ab c")]
+        if len(probe) != 2:
+            raise ValueError("no known rule for cutting texts before this pre-tokenizer")
+        self.spaced = len(probe[0]) == 3
+        self.space = probe[0][0] if self.spaced else ""
+        if self.normalize and self.normalize.normalize_str("Ab") != "ab":
+            raise ValueError("no known rule for this normalizer")
         self._clear()
 
     def _clear(self) -> None:
-        self.index = _Index()
+        self.index: dict[str, int] = {}
+        self.words: dict[str, tuple[int, ...]] = {}
         self.start, self.count, self.flat, self.used = np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(4096, np.int32), 0
 
-    def _whole(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _learn(self) -> None:
-        """Encodes the pieces first seen in this batch."""
-        new, self.index.new = self.index.new, []
-        if not new:
-            return
-        pieces = [p[1:] if p[:1] == "\0" else " " + p for p in new] if self.spaced else new
-        for a in range(0, len(pieces), 20_000):
-            some = pieces[a : a + 20_000]
-            ids = np.asarray(self.marks.encode_batch_fast([self.separator.join(some)], add_special_tokens=False)[0].ids, np.int32)
-            ends = np.append(np.flatnonzero(ids == self.mark), len(ids))
-            if len(ends) != len(some):
-                raise ValueError("a piece holds the separator")
-            counts = np.diff(ends, prepend=-1) - 1
-            ids = ids[ids != self.mark]
-            first = len(self.index) - len(pieces) + a
-            if first + len(some) > len(self.start):
-                self.start, self.count = (np.concatenate([x, np.zeros(max(len(x), len(some)), np.int64)]) for x in (self.start, self.count))
-            if self.used + len(ids) > len(self.flat):
-                self.flat = np.concatenate([self.flat, np.zeros(max(len(self.flat), len(ids)), np.int32)])
-            self.start[first : first + len(some)] = self.used + np.cumsum(counts) - counts
-            self.count[first : first + len(some)] = counts
-            self.flat[self.used : self.used + len(ids)] = ids
-            self.used += len(ids)
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """int32 ids of each text."""
+    def _word(self, word: str) -> tuple[int, ...]:
+        """ids of one pre-token, written as the model expects it."""
+        ids = self.words.get(word)
+        if ids is None:
+            if len(self.words) >= WORDS:
+                self.words.clear()
+            ids = self.words[word] = tuple(t.id for t in self.model.tokenize(word))
+        return ids
+
+    def _piece(self, piece: str) -> tuple[int, ...]:
+        if self.normalize and not piece.isascii():
+            piece = self.normalize.normalize_str(piece)
+        lead = self.space if self.spaced and piece[:1] == " " else ""
+        base = piece[1:] if lead else piece
+        if base.isalpha():  # one pre-token by any of these rules
+            return self._word(lead + (base if base.isascii() else base.encode().decode("latin-1").translate(_SHOWN)))
+        return tuple(i for word, _ in self.cut(piece) for i in self._word(word))
+
+    def _learn(self, new: list[str]) -> None:
+        """Encodes pieces for the first time."""
+        collecting = gc.isenabled()
+        gc.disable()  # many small objects, none in cycles
+        got = [self._piece(p) for p in new]
+        if collecting:
+            gc.enable()
+        counts = np.fromiter(map(len, got), np.int64, len(got))
+        ids = np.fromiter(chain.from_iterable(got), np.int32, int(counts.sum()))
+        first = len(self.index)
+        self.index.update(zip(new, range(first, first + len(new)), strict=True))
+        if first + len(new) > len(self.start):
+            self.start, self.count = (np.concatenate([x, np.zeros(max(len(x), len(new)), np.int64)]) for x in (self.start, self.count))
+        if self.used + len(ids) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros(max(len(self.flat), len(ids)), np.int32)])
+        self.start[first : first + len(new)] = self.used + np.cumsum(counts) - counts
+        self.count[first : first + len(new)] = counts
+        self.flat[self.used : self.used + len(ids)] = ids
+        self.used += len(ids)
+
+    def _numbers(self, pieces: pa.Array) -> np.ndarray:
+        """Number of each piece in the memory."""
+        coded = pieces.dictionary_encode()
+        distinct = coded.dictionary.to_pylist()
+        numbers = list(map(self.index.get, distinct))
+        new = [k for k, n in enumerate(numbers) if n is None]
+        if new:
+            first = len(self.index)
+            self._learn([distinct[k] for k in new])
+            for n, k in enumerate(new, first):
+                numbers[k] = n
+        return np.array(numbers, np.int64)[coded.indices.to_numpy(zero_copy_only=False)]
+
+    def _cut_all(self, texts: pa.Array) -> pa.Array:
+        """Each text's pieces; a piece's leading space is kept where it matters."""
+        if not self.spaced:
+            texts = pc.ascii_lower(texts)
+        plain = pc.invert(pc.match_substring_regex(texts, pattern=_UNUSUAL))
+        if self.spaced:
+            marked = pc.replace_substring_regex(texts, pattern=f" ?{_RUN}|\n+", replacement="\x01\\0\x01")
+            return pc.split_pattern(pc.replace_substring(pc.if_else(plain, marked, texts), pattern=" ", replacement="\x01 "), "\x01")
+        return pc.utf8_split_whitespace(pc.if_else(plain, pc.replace_substring_regex(texts, pattern=_RUN, replacement=r" \0 "), texts))
+
+    def _some(self, texts: pa.Array) -> list[np.ndarray]:
         if len(self.index) > REMEMBERED:
             self._clear()
-        look, rows, out = self.index.__getitem__, [], [np.zeros(0, np.int32)] * len(texts)
-        for k, t in enumerate(texts):
-            if not t:
-                continue
-            if "<|" in t or (_UNSAFE_SPACE if self.spaced else _UNSAFE_WORD).search(t):
-                out[k] = np.asarray(self._whole([t])[0], np.int32)
-                continue
-            if self.spaced:
-                parts = t.split(" ")
-                parts[0] = "\0" + parts[0]
-            else:
-                parts = t.split()
-            rows.append((k, np.fromiter(map(look, parts), np.int64, len(parts))))
-        self._learn()
-        for k, at in rows:
-            n = self.count[at]
-            ends = np.cumsum(n)
-            if len(ends):
-                out[k] = self.flat[np.repeat(self.start[at] - ends + n, n) + np.arange(ends[-1])]
+        out: list[np.ndarray] = [np.zeros(0, np.int32)] * len(texts)
+        odd = pc.match_substring_regex(texts, pattern=f" (?:{_SPACES}|\\z)|{_ODD}" if self.spaced else _ODD).to_numpy(zero_copy_only=False).astype(bool)
+        for k in np.flatnonzero(odd).tolist():
+            out[k] = np.asarray(self.tokenizer.encode(texts[k].as_py(), add_special_tokens=False).ids, np.int32)
+        kept = np.flatnonzero(~odd & (pc.binary_length(texts).to_numpy(zero_copy_only=False) > 0))
+        if not len(kept):
+            return out
+        plain = texts.take(pa.array(kept))
+        lists = self._cut_all(plain)
+        pieces, ends = lists.flatten(), np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+        if not len(pieces):
+            return out
+        numbers = self._numbers(pieces)
+        n = self.count[numbers]
+        upto = np.cumsum(n)
+        ids = self.flat[np.repeat(self.start[numbers] - upto + n, n) + np.arange(upto[-1])]
+        bounds = np.concatenate([[0], upto])[np.concatenate([[0], ends])]
+        for k, a, b in zip(kept.tolist(), bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+            out[k] = ids[a:b]
         return out
 
+    def encode(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        """int32 ids of each text, in order."""
+        from ._common import by_size
+
+        texts = texts.cast(pa.large_string())
+        for a, b in by_size(texts, pc.binary_length(texts).to_pylist(), TOGETHER):
+            yield from self._some(texts[a:b])
+
 
 _LOADED: dict[tuple[str, bool], Encoder] = {}
 

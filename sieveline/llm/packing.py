@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import Scratch, by_size
+from ._common import Scratch
 from .encoders import encoder
 
 #: Pieces packed together; also the bound of a packing task's memory.
@@ -42,12 +42,11 @@ def pieces(docs: DataFrame, path: str, end_id: int, capacity: int, special_as_te
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path, special_as_text)
         for batch in batches:
-            ids, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
-            for a, b in by_size(texts, [len(t) for t in texts], 2_000_000):
-                rows: list[tuple] = []
-                for doc, got in zip(ids[a:b], enc.encode(texts[a:b]), strict=True):
-                    got = np.append(got, end_id).astype("<u4")
-                    rows += [(doc, k, s, min(capacity, len(got) - s), zlib.crc32(got[s : s + capacity])) for k, s in enumerate(range(0, len(got), capacity))]
+            rows: list[tuple] = []
+            for doc, got in zip(batch.column("doc_id").to_pylist(), enc.encode(batch.column("text")), strict=True):
+                got = np.append(got, end_id).astype("<u4")
+                rows += [(doc, k, s, min(capacity, len(got) - s), zlib.crc32(got[s : s + capacity])) for k, s in enumerate(range(0, len(got), capacity))]
+            if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _PIECES, strict=True)], schema=_PIECES)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))

@@ -25,8 +25,6 @@ from .encoders import encoder
 from .simple8b import decode_block, encode_block
 
 BLOCK_IDS = 65_536
-#: Characters encoded together.
-ENCODED_CHARS = 2_000_000
 
 _BLOCK = pa.schema([("file_no", pa.int32()), ("block_no", pa.int32()), ("first", pa.int64()), ("n_ids", pa.int64()), ("docs", pa.list_(pa.int64())), ("counts", pa.list_(pa.int64())), ("words", pa.binary())])
 _BLOCK_DDL = "file_no int, block_no int, first long, n_ids long, docs array<long>, counts array<long>, words binary"
@@ -50,27 +48,19 @@ def _to_blocks(path: str, end_id: int, special_as_text: bool) -> Callable:
 
         enc = encoder(path, special_as_text)
         for batch in batches:
-            ids, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
-            for a, b in _runs(texts):
-                for doc, got in zip(ids[a:b], enc.encode(texts[a:b]), strict=True):
-                    got = np.append(got, end_id).astype(np.uint64)
-                    if size and size + len(got) > BLOCK_IDS:
-                        yield flush()
-                    docs.append(doc)
-                    held.append(got)
-                    size += len(got)
+            for doc, got in zip(batch.column("doc_id").to_pylist(), enc.encode(batch.column("text")), strict=True):
+                got = np.append(got, end_id).astype(np.uint64)
+                if size and size + len(got) > BLOCK_IDS:
+                    yield flush()
+                docs.append(doc)
+                held.append(got)
+                size += len(got)
         if docs:
             yield flush()
 
     return run
 
 
-def _runs(texts: list[str]):
-    from ._common import by_size
-
-    return by_size(texts, [len(t) for t in texts], ENCODED_CHARS)
-
-
 def write_tokens(docs: DataFrame, scratch: Scratch, path: str, end_id: int, name: str = "tokens", special_as_text: bool = True) -> DataFrame:
     """Writes the block files; returns them as a table of blocks."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
