@@ -38,7 +38,7 @@ SMOOTH = 0.1
 
 def tokens(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     """All words of the texts one after the other, each one's text, and the number of words of each text."""
-    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts.cast(pa.large_string())))
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts))
     words, of = lists.flatten(), np.repeat(np.arange(len(texts)), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
     some = pc.greater(pc.binary_length(words), 0)
     if pc.sum(some).as_py() != len(words):
@@ -53,7 +53,7 @@ def count_tokens(docs: DataFrame) -> DataFrame:
         for b in batches:
             words, _, _ = tokens(b.column("text"))
             got = words.value_counts()
-            yield pa.RecordBatch.from_arrays([pa.concat_arrays([got.field("values"), pa.array([""], pa.large_string())]).cast(pa.string()), pa.concat_arrays([got.field("counts").cast(pa.int64()), pa.array([len(b)], pa.int64())])], names=["token", "c"])
+            yield pa.RecordBatch.from_arrays([pa.concat_arrays([got.field("values"), pa.array([""], pa.string())]), pa.concat_arrays([got.field("counts").cast(pa.int64()), pa.array([len(b)], pa.int64())])], names=["token", "c"])
 
     rows = docs.select(F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, "token string, c long")
     return rows.groupBy("token").agg(F.sum("c").alias("c")).where("c > 0")
@@ -220,10 +220,10 @@ def fit(docs: DataFrame, train: Column, scratch: Scratch) -> tuple[Model, DataFr
     totals = counts.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
     top = counts.orderBy(F.desc("c"), "token").limit(HEAD).toArrow()
     # without any training text only the end is known, and never seen
-    head, c = (top.column("token").combine_chunks().cast(pa.large_string()), top.column("c").to_numpy()) if len(top) else (pa.array([""], pa.large_string()), np.zeros(1, np.int64))
-    end = pc.index(head, pa.scalar("", pa.large_string())).as_py()
+    head, c = (top.column("token").combine_chunks(), top.column("c").to_numpy()) if len(top) else (pa.array([""], pa.string()), np.zeros(1, np.int64))
+    end = pc.index(head, pa.scalar("", pa.string())).as_py()
     if end < 0:  # rarer than all of the head
-        head, c, end = pa.concat_arrays([head, pa.array([""], pa.large_string())]), np.append(c, counts.where("token = ''").first().c), len(head)
+        head, c, end = pa.concat_arrays([head, pa.array([""], pa.string())]), np.append(c, counts.where("token = ''").first().c), len(head)
     classes = min(CLASSES, len(head))
     own = c[:classes].astype(float)
     share = np.append((totals.n or 0) - own.sum(), own) + 1.0
@@ -266,7 +266,7 @@ def language_model_scores(spark: SparkSession, docs: DataFrame) -> DataFrame:
                 got = m.score(part.column("text"))
                 pairs = pa.table({"of": got["tail_of"], "token": got["tail"]}).group_by(["of", "token"]).aggregate([([], "count_all")]).sort_by("of")
                 upto = np.cumsum(np.bincount(pairs.column("of").to_numpy(), minlength=len(part)))
-                items = pa.StructArray.from_arrays([pairs.column("token").combine_chunks().cast(pa.string()), pairs.column("count_all").combine_chunks().cast(pa.int64())], names=["token", "k"])
+                items = pa.StructArray.from_arrays([pairs.column("token").combine_chunks(), pairs.column("count_all").combine_chunks().cast(pa.int64())], names=["token", "k"])
                 tail = pa.ListArray.from_arrays(pa.array(np.append(0, upto), pa.int32()), items)
                 yield pa.RecordBatch.from_arrays([part.column("row"), part.column("doc_id"), *(pa.array(got[c]) for c in ("n_tokens", "n_known", "base", "score")), tail], names=["row", "doc_id", "n_tokens", "n_known", "base", "score", "tail"])
 
