@@ -39,6 +39,12 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(spark, documents(spark, sf_dir), _tokenizer("word_bpe_49k.json"), end_id=1, capacity=4096)
 
 
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .piece_scan import piece_round_trip
+
+    return piece_round_trip(spark, documents(spark, sf_dir), _tokenizer("piece_bpe_32k.model"))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .simhash import simhash_near_duplicates
 
@@ -71,7 +77,7 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_suffix_array_dedup, op2_lm_scoring, op3_token_output, op5_simhash, op6_nearest_neighbours, op7_embedding_near_dedup, op8_toxicity, op9_quality, op10_best_fit_packing)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_suffix_array_dedup, op2_lm_scoring, op3_token_output, op4_sentencepiece, op5_simhash, op6_nearest_neighbours, op7_embedding_near_dedup, op8_toxicity, op9_quality, op10_best_fit_packing)}
 _VALID = """SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE embedding IS NOT NULL
   AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0"""
 
