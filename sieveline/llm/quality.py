@@ -107,15 +107,25 @@ def fit_pu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, seed: int
 
 
 def calibrate(f: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope and shift of a logistic curve through (score, label), by Newton steps with a weak prior."""
-    a = np.array([1.0, 0.0])
-    x = np.stack([f, np.ones(len(f))], 1)
-    for _ in range(50):
+    """Slope and shift of a logistic curve through (score, label): damped Newton steps on standardised
+    scores from the labels' share, with a weak penalty so that separable labels keep a finite slope."""
+    middle, spread = f.mean(), f.std() + 1e-6
+    x = np.stack([(f - middle) / spread, np.ones(len(f))], 1)
+    share = np.clip(y.mean(), 1e-3, 1 - 1e-3)
+    a, penalty = np.array([0.0, np.log(share / (1 - share))]), np.array([0.05, 0.0])
+
+    def loss(a: np.ndarray) -> float:
+        z = x @ a
+        return float(np.sum(np.logaddexp(0, z) - y * z) + (penalty * a * a).sum() / 2)
+
+    for _ in range(60):
         q = 1 / (1 + np.exp(-np.clip(x @ a, -30, 30)))
-        g = x.T @ (q - y) + 1e-2 * (a - [1.0, 0.0])
-        h = (x * (q * (1 - q))[:, None]).T @ x + 1e-2 * np.eye(2)
-        a = a - np.clip(np.linalg.solve(h, g), -5, 5)
-    return float(a[0]), float(a[1])
+        step = np.linalg.solve((x * (q * (1 - q))[:, None]).T @ x + np.diag(penalty) + 1e-6 * np.eye(2), x.T @ (q - y) + penalty * a)
+        size = 1.0
+        while size > 1e-6 and loss(a - size * step) > loss(a):
+            size /= 2
+        a = a - size * step
+    return float(a[0] / spread), float(a[1] - a[0] * middle / spread)
 
 
 def _with_features(rows: DataFrame) -> DataFrame:

@@ -225,7 +225,7 @@ def fit_model(texts: list[bytes], y: np.ndarray, seed: int = 11, rounds: int = 3
         clean = np.flatnonzero(y[of] == 0)
         chosen = np.unique(np.concatenate([first, rng.choice(clean, min(len(clean), 2 * len(texts)), replace=False)]))
         for _ in range(epochs):
-            for part in np.array_split(rng.permutation(chosen), max(1, len(chosen) // 256)):
+            for part in np.array_split(rng.permutation(chosen), max(min(60, len(chosen) // 8), len(chosen) // 256, 1)):
                 own, at = np.unique(rows[part].T, return_inverse=True)
                 at = at.reshape(rows.shape[1], len(part))
                 mask = (own[at] > 0).astype(np.float32)
