@@ -30,7 +30,7 @@ from .components import components
 
 BITS, RADIUS, SHINGLE, SEED = 64, 4, 4, 42
 #: Rounds in which variants are dealt, and variants a bucket holds on average.
-ROUNDS, BUCKET = 4, 1 << 21
+ROUNDS, BUCKET = 8, 1 << 18
 #: Fingerprints whose variants are formed together.
 CHUNK = 2048
 
@@ -144,10 +144,9 @@ def near_links(distinct: DataFrame, scratch: Scratch) -> DataFrame:
     buckets = 1
     while buckets * BUCKET * ROUNDS < total * len(ball()):
         buckets *= 2
-    out = None
+    out, spread = None, distinct.select("fp").repartition(max(1, -(-total // (4 * CHUNK))), "fp")
     for turn in range(ROUNDS):
-        dealt = distinct.select("fp").mapInArrow(_variants(turn, buckets), "bucket long, variants binary, codes binary")
-        found = scratch.keep(dealt.groupBy("bucket").applyInPandas(_collide, "a long, b long"), f"links{turn}")
+        found = scratch.keep(spread.mapInArrow(_variants(turn, buckets), "bucket long, variants binary, codes binary").groupBy("bucket").applyInPandas(_collide, "a long, b long"), f"links{turn}")
         scratch.release_shuffles()
         out = found if out is None else out.unionAll(found)
     return out
