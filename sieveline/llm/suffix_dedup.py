@@ -28,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._common import Scratch, by_size, text_bytes
@@ -36,7 +36,7 @@ from .suffix_sort import repeated_at
 
 LENGTH = 400
 #: Different segments of one least hash beyond which it is split, and bytes that a shard sorts.
-HOT, SHARD_BYTES = 4_096, 4_000_000
+HOT, SHARD_BYTES = 4_096, 1_200_000
 #: Lengths of the hashed strings, from the first cut on, as parts of the window that they leave free.
 _SLACK = (368, 92, 23, 5, 1)
 
@@ -143,7 +143,7 @@ def _sort_shard(length: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[int, int, bytes]] = []
-        size, group = 0, None
+        size, group, own = 0, None, set()
 
         def shard() -> pa.RecordBatch:
             sizes = np.array([len(p[2]) + 1 for p in held], np.int64)
@@ -171,9 +171,12 @@ def _sort_shard(length: int):
                 if m != group and size > SHARD_BYTES:
                     yield shard()
                     held, size = [], 0
-                group = m
-                held.append((s1, s2, data))
-                size += len(data)
+                if m != group:
+                    group, own = m, set()
+                if (s1, s2) not in own:
+                    own.add((s1, s2))
+                    held.append((s1, s2, data))
+                    size += len(data)
         if held:
             yield shard()
 
@@ -206,7 +209,7 @@ def _repeating(pieces: DataFrame, scratch: Scratch, length: int, level: int) ->
     any_hot = not hot.isEmpty()
     cold = pieces.join(hot, "m", "left_anti") if any_hot else pieces
     total = cold.agg(F.sum(F.length("data")).alias("n")).first().n or 0
-    tasks = max(1, min(-(-total // SHARD_BYTES), 100_000))
+    tasks = max(1, min(-(-total // (4 * SHARD_BYTES)), 100_000))
     found = scratch.keep(cold.repartition(tasks, "m").sortWithinPartitions("m").select("m", "s1", "s2", "data").mapInArrow(_sort_shard(length), _FOUND), f"found{level}")
     if not any_hot:
         return found
@@ -214,7 +217,7 @@ def _repeating(pieces: DataFrame, scratch: Scratch, length: int, level: int) ->
     parts = scratch.keep(pieces.join(hot, "m", "left_semi").select("s1", "s2", "m", "w", "data").mapInArrow(_cut_again(length, k, level), "p1 long, p2 long, start long, n long, r long, m long, s1 long, s2 long, w long, data binary"), f"parts{level}")
     once = parts.groupBy("m", "s1", "s2").agg(F.sum("w").alias("w"), F.max("n").alias("n"), F.max("r").alias("r"), F.min("data").alias("data"))
     once = scratch.keep(once, f"once{level}")
-    many = once.groupBy("m").agg(F.expr(_MANY).alias("many")).where("many").select("m")
+    many = once.groupBy("m").agg(F.expr(_MANY).alias("many"), F.min("w").alias("w")).where("many and w = 1").select("m")
     below = _repeating(once.join(many, "m", "left_semi").select("m", "s1", "s2", "w", "data"), scratch, length, level + 1)
     whole = once.where("w >= 2").select("s1", "s2", F.array(F.array(F.lit(0).cast("long"), F.col("n"))).alias("runs"))
     verdict = whole.unionByName(below.join(whole.select("s1", "s2"), ["s1", "s2"], "left_anti"))
@@ -223,6 +226,19 @@ def _repeating(pieces: DataFrame, scratch: Scratch, length: int, level: int) ->
     return found.unionByName(scratch.keep(deeper, f"deeper{level}"))
 
 
+#: Residues of text hashes; a set of them is a filter of bounded size that is broadcast before a join.
+_RESIDUES = 1 << 20
+
+
+def _residue(column: str) -> Column:
+    return F.pmod(F.col(column), F.lit(_RESIDUES)).cast("int")
+
+
+def _residues(keys: DataFrame) -> DataFrame:
+    """At most `_RESIDUES` rows; texts with another residue are surely not among the keys."""
+    return F.broadcast(keys.select(_residue("t1").alias("__residue")).distinct())
+
+
 def repeated_ranges(docs: DataFrame, scratch: Scratch, length: int = LENGTH) -> DataFrame:
     """(t1, t2, ranges): byte ranges to remove of each text that has any; texts are known by t1, t2.
     docs: doc_id, t1, t2, text (binary)."""
@@ -232,12 +248,15 @@ def repeated_ranges(docs: DataFrame, scratch: Scratch, length: int = LENGTH) ->
     scratch.drop("segments")
     scratch.release_shuffles()
     once = scratch.keep(kept.groupBy("m", "many", "s1", "s2").agg(F.count("*").alias("w"), F.max("n").alias("n"), F.min(F.struct("doc_id", "t1", "t2", "start")).alias("at")), "once")
-    wanted = once.where("many").select("m", "s1", "s2", "w", "n", "at.*")
+    # where every segment stands for several places there is nothing left to find
+    lone = once.where("many and w = 1").select("m").distinct()
+    wanted = once.where("many").join(lone, "m", "left_semi").select("m", "s1", "s2", "w", "n", "at.*")
     # texts by id and content: copies of a text spread, and each wanted segment is read from one of them
-    texts = docs.select(F.coalesce("doc_id", F.lit(-(1 << 62))).alias("d"), F.col("t1").alias("u1"), F.col("t2").alias("u2"), "text")
+    own = docs.join(_residues(wanted), _residue("t1") == F.col("__residue"), "left_semi")
+    texts = own.select(F.coalesce("doc_id", F.lit(-(1 << 62))).alias("d"), F.col("t1").alias("u1"), F.col("t2").alias("u2"), "text")
     wanted = wanted.withColumn("d", F.coalesce("doc_id", F.lit(-(1 << 62)))).groupBy("d", "t1", "t2").agg(F.collect_list(F.struct("m", "s1", "s2", "w", "n", "start")).alias("own"))
     read = texts.join(wanted, (F.col("u1") == F.col("t1")) & (F.col("u2") == F.col("t2")) & (texts.d == wanted.d)).select("text", F.explode("own").alias("o"))
-    pieces = read.select("o.m", "o.s1", "o.s2", "o.w", F.expr(f"substring(text, cast(o.start + 1 as int), cast(o.n + {length - 1} as int))").alias("data")).dropDuplicates(["m", "s1", "s2"])
+    pieces = read.select("o.m", "o.s1", "o.s2", "o.w", F.expr(f"substring(text, cast(o.start + 1 as int), cast(o.n + {length - 1} as int))").alias("data"))  # a repeated row gives its segments again
     pieces = scratch.keep(pieces, "pieces")
     found = _repeating(pieces, scratch, length, 1)
     whole = once.where("w >= 2").select("s1", "s2", F.array(F.array(F.lit(0).cast("long"), F.col("n"))).alias("runs"))
@@ -271,11 +290,20 @@ def _named(docs: DataFrame) -> DataFrame:
     return rows.select("doc_id", F.xxhash64("text").alias("t1"), F.conv(F.substring(F.md5("text"), 1, 15), 16, 10).cast("long").alias("t2"), "text")
 
 
+def _with_ranges(rows: DataFrame, ranges: DataFrame) -> DataFrame:
+    """Adds `ranges`; only texts that may have some are shuffled."""
+    some, here = _residues(ranges), _residue("t1") == F.col("__residue")
+    cut = rows.join(some, here, "left_semi").join(ranges, ["t1", "t2"], "left")
+    whole = rows.join(some, here, "left_anti").withColumn("ranges", F.lit(None).cast(ranges.schema["ranges"].dataType))
+    return cut.unionByName(whole)
+
+
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every document."""
     scratch = Scratch(spark)
     rows = _named(docs)
-    joined = rows.join(scratch.keep(repeated_ranges(rows, scratch, length), "ranges"), ["t1", "t2"], "left").select("doc_id", "text", "ranges")
+    ranges = scratch.keep(repeated_ranges(rows, scratch, length), "ranges")
+    joined = _with_ranges(rows, ranges).select("doc_id", "text", "ranges")
     scratch.release_shuffles()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -295,9 +323,10 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, length: int = LENGTH) -
     """The documents with their texts cut, all columns kept. A cut within a character drops its other
     bytes too; null texts stay null; n_chars, where there is one, is counted anew."""
     scratch, names = Scratch(spark), docs.columns
-    tagged = docs.withColumns({"__t1": F.xxhash64(text_bytes()), "__t2": F.conv(F.substring(F.md5(text_bytes()), 1, 15), 16, 10).cast("long")})
-    ranges = scratch.keep(repeated_ranges(_named(docs), scratch, length), "ranges").select(F.col("t1").alias("__t1"), F.col("t2").alias("__t2"), F.col("ranges").alias("__ranges"))
-    joined = tagged.join(ranges, ["__t1", "__t2"], "left").drop("__t1", "__t2")
+    ranges = scratch.keep(repeated_ranges(_named(docs), scratch, length), "ranges")
+    # the documents as one struct, so that none of their columns can clash
+    tagged = docs.select(F.struct(*names).alias("doc"), F.xxhash64(text_bytes()).alias("t1"), F.conv(F.substring(F.md5(text_bytes()), 1, 15), 16, 10).cast("long").alias("t2"))
+    joined = _with_ranges(tagged, ranges).select("doc.*", F.col("ranges").alias("__ranges"))
     at = names.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -161,12 +161,12 @@ def in_memory(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Suffix array and common prefixes (with the suffix before) of a short string, by prefix doubling."""
     n = len(text)
     rank = np.unique(text, return_inverse=True)[1].astype(np.int64)
-    levels, step, order = [rank], 1, np.argsort(rank, kind="stable")
+    levels, step, order = [rank], 1, np.argsort(rank)
     while n and rank[order[-1]] < n - 1:
         nxt = np.zeros(n, np.int64)
         nxt[: max(0, n - step)] = rank[step:] + 1
         key = rank * (n + 1) + nxt
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         sorted_key = key[order]
         rank = np.empty(n, np.int64)
         rank[order] = np.cumsum(np.append(False, sorted_key[1:] != sorted_key[:-1]))
