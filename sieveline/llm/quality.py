@@ -25,7 +25,7 @@ from ._common import fold, text_bytes
 from .labelled import labelled_sample, unlabelled_sample
 
 #: Bounds of the fitting samples.
-POSITIVES, UNLABELLED, CALIBRATION = 6_000, 12_000, 3_000
+POSITIVES, UNLABELLED, CALIBRATION = 4_000, 8_000, 2_000
 THRESHOLD = 0.7
 
 _CLASSES = 10
@@ -85,7 +85,7 @@ def fit_pu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, seed: int
     p, u = (positive - mean) / scale, (unlabelled - mean) / scale
     rng, d = np.random.default_rng(seed), p.shape[1]
     w, m, v, step = np.zeros(d + 1), np.zeros(d + 1), np.zeros(d + 1), 0
-    p, u = (np.hstack([x, np.ones((len(x), 1))]) for x in (p, u))
+    p, u = (np.hstack([x, np.ones((len(x), 1), np.float32)]).astype(np.float32) for x in (p, u))
     batches = max(1, len(u) // 512)
     slope = lambda f: (s := 1 / (1 + np.exp(-np.clip(f, -30, 30)))) * (1 - s)
     loss = lambda f: 1 / (1 + np.exp(np.clip(f, -30, 30)))

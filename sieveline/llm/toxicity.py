@@ -15,7 +15,6 @@ result; without training labels of both kinds every score is the training share
 from __future__ import annotations
 
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -28,7 +27,7 @@ from ._common import by_size, fold, text_bytes
 from .labelled import labelled_sample
 
 #: Bounds of the fitting sample.
-TOXIC, CLEAN = 2_500, 5_000
+TOXIC, CLEAN = 2_000, 4_000
 WINDOW, STRIDE, STATE, INPUT = 32, 24, 8, 12
 WORDS, WORD_DOCS, TRIGRAMS, BEGINNINGS = 20_000, 4, 4_096, 1 << 16
 THRESHOLD = 0.7
@@ -51,9 +50,13 @@ def _characters(word: bytes) -> list[int]:
 
 def _character_table(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Rows of all words one after the other, where each word's begin, and how many it has."""
-    rows = [_characters(w) for w in words]
-    n = np.fromiter(map(len, rows), np.int64, len(rows))
-    return np.fromiter((r for x in rows for r in x), np.int64, int(n.sum())), np.cumsum(n) - n, n
+    flat, counts = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
+    for a in range(0, len(words), 10_000):
+        rows = [_characters(w) for w in words[a : a + 10_000]]
+        counts.append(np.fromiter(map(len, rows), np.int64, len(rows)))
+        flat.append(np.fromiter((r for x in rows for r in x), np.int32, int(counts[-1].sum())))
+    n = np.concatenate(counts)
+    return np.concatenate(flat), np.cumsum(n) - n, n
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -182,36 +185,41 @@ def window_rows(indexes: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     of = np.repeat(np.arange(len(n)), count)
     nth = np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count)
     begin = np.concatenate([[0], np.cumsum(n)])
-    flat = np.concatenate([*indexes, np.zeros(WINDOW, np.int64)])
+    flat = np.concatenate([*indexes, np.zeros(WINDOW, np.int32)]).astype(np.int32)
     at = (begin[of] + nth * STRIDE)[:, None] + np.arange(WINDOW)
-    return np.where(at < begin[of + 1][:, None], flat[np.minimum(at, len(flat) - 1)], 0), of
+    return np.where(at < begin[of + 1][:, None], flat[np.minimum(at, len(flat) - 1)], np.int32(0)), of
 
 
-def _telling(docs: list[list[bytes]], y: np.ndarray) -> tuple[dict[bytes, int], dict[bytes, float]]:
-    """The vocabulary, and for its words log odds of occurring in a toxic rather than a clean document."""
-    seen = [Counter(), Counter()]
+def _telling(docs: list[np.ndarray], y: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of word numbers: those for the vocabulary, most frequent first, and log odds of occurring in a toxic
+    rather than a clean document (0 outside the vocabulary)."""
+    seen = np.zeros((2, n), np.int64)
     for words, toxic in zip(docs, y.tolist(), strict=True):
-        seen[toxic].update(set(words))
-    total = seen[0] + seen[1]
-    top = [w for w, c in sorted(total.items(), key=lambda x: (-x[1], x[0])) if c >= WORD_DOCS][:WORDS]
-    a, b = max(1, int(y.sum())), max(1, int((1 - y).sum()))
-    return {w: i + 1 for i, w in enumerate(top)}, {w: float(np.log((seen[1][w] + 1) / (a + 2)) - np.log((seen[0][w] + 1) / (b + 2))) for w in top}
+        seen[toxic, np.unique(words)] += 1
+    total = seen.sum(0)
+    top = np.argsort(-total, kind="stable")[:WORDS]
+    top = top[total[top] >= WORD_DOCS]
+    odds = np.zeros(n)
+    odds[top] = np.log((seen[1, top] + 1) / (max(1, int(y.sum())) + 2)) - np.log((seen[0, top] + 1) / (max(1, int((1 - y).sum())) + 2))
+    return top, odds
 
 
 def fit_model(texts: list[bytes], y: np.ndarray, seed: int = 11, rounds: int = 3, epochs: int = 3, rate: float = 0.02) -> Model:
     rng = np.random.default_rng(seed)
-    docs = [words_of(t) for t in texts]
-    vocabulary, odds = _telling(docs, y)
+    number: dict[bytes, int] = {b"": 0}  # 0 is padding
+    docs = [np.array([number.setdefault(w, len(number)) for w in words_of(t)], np.int32) for t in texts]
+    distinct = list(number)
+    top, telling = _telling(docs, y, len(number))
+    vocabulary = {distinct[k]: i + 1 for i, k in enumerate(top.tolist())}
     normal = lambda *s: (rng.standard_normal(s) * 0.2).astype(np.float32)
     characters = np.concatenate([normal(TRIGRAMS, INPUT) * np.float32(0.3), np.zeros((BEGINNINGS, INPUT), np.float32)])
     p = {"words": normal(len(vocabulary) + 1, INPUT) * np.float32(0.3), "characters": characters, "w": normal(INPUT, 6 * STATE), "b": np.zeros(6 * STATE, np.float32), "u_f": normal(STATE, 3 * STATE), "u_b": normal(STATE, 3 * STATE), "attend": normal(2 * STATE, STATE), "query": normal(STATE), "out": normal(2 * STATE), "bias": np.zeros(1, np.float32)}
     model = Model(vocabulary, p)
-    distinct = list(dict.fromkeys(w for d in docs for w in d))
-    number = {w: i + 1 for i, w in enumerate(distinct)}  # 0 is padding
-    known = np.array([0] + [vocabulary.get(w, 0) for w in distinct], np.int64)
-    flat, begin, count = _character_table([b"", *distinct])
-    telling = np.array([0.0] + [odds.get(w, 0.0) for w in distinct])
-    rows, of = window_rows([np.array([number[w] for w in d], np.int64) for d in docs])
+    known = np.zeros(len(distinct), np.int64)
+    known[top] = np.arange(1, len(top) + 1)
+    del number
+    flat, begin, count = _character_table(distinct)
+    rows, of = window_rows(docs)
     value = np.sort(telling[rows], 1)[:, -3:].sum(1)
     moments: dict[str, list] = {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in p.items()}
     step = 0
