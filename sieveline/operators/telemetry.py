@@ -1,0 +1,56 @@
+"""Rows about what was saved, and their summaries."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from ..functions.text import estimated_tokens, savings_percent
+
+
+def rows(results: DataFrame, kind: str, raw: str, filtered: str) -> DataFrame:
+    """Adds savings and token estimates to results."""
+    return results.select("*", F.col(kind).alias("filter_kind"), estimated_tokens(F.col(raw)).alias("raw_tokens"), estimated_tokens(F.col(filtered)).alias("filtered_tokens"), savings_percent(F.col(raw), F.col(filtered)).alias("savings_pct"))
+
+
+def summary(telemetry: DataFrame, *keys: str) -> DataFrame:
+    kind, fallback = F.col("filter_kind"), F.col("fallback_used")
+    return telemetry.groupBy(*keys).agg(
+        F.count("*").alias("total"),
+        F.count_if(fallback).alias("fallbacks"),
+        F.count_if(~fallback & (kind == "dedupe")).alias("deduped"),
+        F.count_if(~fallback & (kind != "dedupe")).alias("filtered"),
+        F.sum("raw_chars").alias("raw_chars"),
+        F.sum("filtered_chars").alias("filtered_chars"),
+        F.bround(F.avg(F.when(F.col("raw_chars") > 0, F.col("savings_pct")))).cast("long").alias("mean_savings_pct"),
+    )
+
+
+def size_bucket(chars: Column) -> Column:
+    out = F.when(chars < 500, "<500")
+    for limit, name in ((2_000, "<2k"), (10_000, "<10k"), (50_000, "<50k"), (100_000, "<100k"), (500_000, "<500k")):
+        out = out.when(chars < limit, name)
+    return out.otherwise(">=500k")
+
+
+def shown_count(n: Column) -> Column:
+    """Counts as people read them: 950, 1.5k, 2.0M."""
+    return F.when(n >= 1_000_000, F.format_string("%.1fM", n / 1e6)).when(n >= 1_000, F.format_string("%.1fk", n / 1e3)).otherwise(n.cast("string"))
+
+
+#: Content types by what a category's name holds, in order.
+CONTENT_TYPES = (("tool_call_args", "tool call arguments"), ("tool_result", "tool results"), ("mcp_result", "tool results"), ("reasoning", "reasoning"), ("thinking", "reasoning"), ("assistant", "assistant text"), ("user", "user text"), ("session_meta", "session metadata"), ("compacted", "compacted history"))
+
+
+def content_type(category: Column) -> Column:
+    low = F.lower(category)
+    out = F.when(low.contains(CONTENT_TYPES[0][0]), CONTENT_TYPES[0][1])
+    for part, name in CONTENT_TYPES[1:]:
+        out = out.when(low.contains(part), name)
+    return out.otherwise("other")
+
+
+def corpus_stats(chunks: DataFrame, category: str, text: str, tokens: Column) -> DataFrame:
+    """Counts, bytes, characters and tokens by category and content type, with totals of both."""
+    base = chunks.select(content_type(F.col(category)).alias("type"), F.col(category).alias("category"), F.octet_length(text).alias("b"), F.length(text).alias("c"), tokens.alias("t"))
+    return base.rollup("type", "category").agg(F.count("*").alias("n"), F.sum("b").alias("bytes"), F.sum("c").alias("chars"), F.sum("t").alias("tokens"))
