@@ -193,7 +193,7 @@ class Model:
         classes = k - 1
         own = self.counts[:classes]
         self.rest_total = self.total - int(own.sum())
-        self.rest_distinct = self.distinct - len(own)
+        self.rest_distinct = max(0, self.distinct - len(own))
         self.base = np.log10((self.counts + SMOOTH) / (self.total + SMOOTH * (self.distinct + 1)))
         self.rest = np.log10((self.counts + SMOOTH) / (self.rest_total + SMOOTH * (self.rest_distinct + 1)))
 
