@@ -4,6 +4,7 @@ import glob
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
 from sieveline.plans import catalogue
@@ -21,7 +22,7 @@ def con():
 
 
 def rows(df, columns):
-    return sorted(tuple("" if v is None or v != v else str(v) for v in r) for r in df[columns].astype(object).itertuples(index=False, name=None))
+    return sorted(tuple("" if pd.isna(v) is True else str(v) for v in r) for r in df[columns].astype(object).itertuples(index=False, name=None))
 
 
 @pytest.mark.parametrize("name", sorted(catalogue.ORACLE_SQL))
