@@ -11,7 +11,13 @@ TOOLS = ("read_file", "search_content", "run_command", "raw_output", "list_jobs"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table; texts in fewer partitions than there are cores (one small file) are dealt out first, as
+    patterns over them cost far more than moving them. Large inputs have more partitions and stay put."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    if name in ("documents", "conversations", "pages") and df._jdf.queryExecution().toRdd().getNumPartitions() < cores:
+        return df.repartition(cores)
+    return df
 
 
 def sql_list(items: tuple[str, ...]) -> str:
