@@ -54,3 +54,15 @@ def corpus_stats(chunks: DataFrame, category: str, text: str, tokens: Column) ->
     """Counts, bytes, characters and tokens by category and content type, with totals of both."""
     base = chunks.select(content_type(F.col(category)).alias("type"), F.col(category).alias("category"), F.octet_length(text).alias("b"), F.length(text).alias("c"), tokens.alias("t"))
     return base.rollup("type", "category").agg(F.count("*").alias("n"), F.sum("b").alias("bytes"), F.sum("c").alias("chars"), F.sum("t").alias("tokens"))
+
+
+def summary_text(totals: DataFrame) -> DataFrame:
+    """The summary as six lines of text."""
+    saved = estimated_tokens(F.col("raw_chars")) - estimated_tokens(F.col("filtered_chars"))
+    lines = (
+        ("tool output raw: ", shown_count(F.col("raw_chars")), " chars"), ("tool output filtered: ", shown_count(F.col("filtered_chars")), " chars"),
+        ("~saved: ", shown_count(saved), " tokens"), ("average savings: ", F.coalesce(F.col("mean_savings_pct"), F.lit(0)).cast("string"), "%"),
+        ("dedupes: ", F.col("deduped").cast("string"), ""), ("fallbacks: ", F.col("fallbacks").cast("string"), ""),
+    )
+    text = F.concat_ws("\n", *[F.concat(F.lit(a), c, F.lit(b)) for a, c, b in lines])
+    return totals.withColumn("text", F.when(F.col("total") == 0, "No filter activity recorded.").otherwise(text))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..config import LEVELS, limits
 from ..functions import classify, text as T
 from ..functions import lines as L
-from ..operators import facts, filters, structured, telemetry, windows
+from ..operators import budget, facts, filters, structured, telemetry, windows
 from ..sources import corpora as C
 from ..sources import sessions
 from . import pipeline
@@ -415,3 +415,25 @@ def json_nested(spark, sf_dir):
     """Nested JSON beyond every limit: recursive truncation."""
     p = C.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("key"), F.to_json(F.struct(F.array(*[F.struct(F.col("p_name").alias("n"), F.array(*[F.col("p_size")] * 9).alias("s")) for _ in range(8)]).alias("parts"), F.repeat("p_name", F.lit(9)).alias("long"))).alias("text"))
     return structured.apply(p, F.lit("json"), F.col("text"), limits("balanced", {})).select("key", "output", "truncated")
+
+
+@query("""SELECT p_partkey AS key, 'import a' || chr(10) || ' [... 4 more import lines …]' || chr(10) || 'x = ' || p_size || chr(10) || '# c' || chr(10) || ' [... 5 more comment lines …]' || chr(10) || 'end' AS content, TRUE AS healed FROM part""")
+def shrink_source(spark, sf_dir):
+    t = F.concat(F.lit("import a\nimport bbbbbbbbbbbb\nimport cccccccccc\nimport d\nfrom e import f\nx = "), F.col("p_size"), F.lit("\n# c" + "\n# ddddddddddd" * 5 + "\nend"))
+    m = C.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("key"), F.lit("tool").alias("role"), F.lit("read_file").alias("name"), t.alias("content"))
+    return budget.shrink_messages(m, max_chars=100).select("key", "content", "healed")
+
+
+@query("""SELECT conv_id, turn, CASE WHEN role = 'assistant' AND length(text) > 120 AND length(text) // 4 > 120 THEN substr(text, 1, CAST(floor(65 * length(text) / (length(text) // 4)) AS BIGINT)) || E'\\n\\n[…truncated ~' || (length(text) // 4 - 72) || E' tokens — raise budget or call the tool with a narrower scope…]\\n\\n' || right(text, CAST(floor(7 * length(text) / (length(text) // 4)) AS BIGINT)) ELSE text END AS content
+ FROM conversations WHERE len(regexp_extract_all(text, '[{}()\\[\\];=<>:,\"''/\\\\_|&*+#@$%^~`]')) <= length(text) * 0.08""")
+def shrink_tokens(spark, sf_dir):
+    c = C.table(spark, sf_dir, "conversations").where(F.regexp_count("text", F.lit(r"[{}()\[\];=<>:,\"'/\\_|&*+#@$%^~`]")) <= F.length("text") * 0.08)
+    m = c.select("conv_id", "turn", F.when(F.col("role") == "assistant", "tool").otherwise(F.col("role")).alias("role"), F.lit("search").alias("name"), F.col("text").alias("content"))
+    return budget.shrink_messages(m, max_tokens=120).select("conv_id", "turn", "content")
+
+
+@query("""SELECT 'tool output raw: ' || format('{:.1f}', sum(length(text)) / 1e6) || 'M chars' AS first, count(*) AS total FROM documents HAVING sum(length(text)) >= 1000000""")
+def telemetry_text(spark, sf_dir):
+    d = C.table(spark, sf_dir, "documents").select(F.length("text").alias("raw_chars"), F.length("text").alias("filtered_chars"), F.lit("generic").alias("kind"), F.lit(False).alias("fallback_used"))
+    out = telemetry.summary_text(telemetry.summary(telemetry.rows(d, "kind", "raw_chars", "filtered_chars")))
+    return out.where("raw_chars >= 1000000").select(F.split("text", "\n")[0].alias("first"), "total")
