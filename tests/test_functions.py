@@ -155,3 +155,14 @@ def test_sections_and_sampling(spark):
     out = {r.i: r.section for r in windows.sections(df, "p", "i", "role", 3).collect()}
     assert [out[k] for k in range(8)] == ["prefix"] * 2 + ["middle"] * 3 + ["tail"] * 3
     assert windows.even_sample(df, ["p"], "i", 3).count() == 3 and windows.newest(df, ["p"], "i", 2).count() == 2
+
+
+def test_source_truncation():
+    from sieveline.operators.budget import shortened_source
+
+    text = "\n".join(["import a"] * 6 + ["# c"] * 2 + ["def f():", "    x = 1"])
+    assert shortened_source(text, 78) == "import a\n [... 5 more import lines …]\n# c\n# c\ndef f():\n    x = 1"
+    many = "\n".join(f"def f{k}():\n    return {'x' * 90}" for k in range(40))
+    out = shortened_source(many, 400)
+    assert out.startswith("def f0():") and "declarations & body lines omitted" in out and len(out) <= 400
+    assert shortened_source("x\n" * 500, 100) is None
