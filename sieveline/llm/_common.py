@@ -39,6 +39,16 @@ class Scratch:
         at = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
         at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
+    def drop_all_but(self, *names: str) -> None:
+        """Removes all tables that no later step reads, and the shuffle files behind them."""
+        jvm = self.spark.sparkContext._jvm
+        root = jvm.org.apache.hadoop.fs.Path(self.path)
+        fs = root.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        for status in fs.listStatus(root):
+            if status.getPath().getName() not in names:
+                fs.delete(status.getPath(), True)
+        self.release_shuffles()
+
     def release_shuffles(self) -> None:
         """Lets Spark's cleaner remove the shuffle files of finished jobs before the next job writes its own."""
         import gc

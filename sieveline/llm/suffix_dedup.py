@@ -12,8 +12,9 @@ input. Equal strings meet as follows.
    sorted by external induced sorting (`suffix_sort`), and the windows whose suffix shares `length`
    bytes with a neighbour are reported.
 4. A least hash with more than `HOT` different segments is split before that: its segments are cut
-   again under least hashes of longer strings, copies collapse again, and so on. At strings of
-   `length - 1` bytes no more than 512 different pieces can share a hash, which bounds every group.
+   again under least hashes of longer strings, copies collapse again, and so on. The last strings have
+   `length - 1` bytes: pieces that share one differ by a byte before and a byte behind it, so that no
+   group can hold more than 2 * 256 + 256 * 256 different ones, whatever the corpus.
 
 Null texts count as empty. Copies of a text are judged as separate documents, as are repeated rows.
 Texts shorter than `length` keep all bytes. An empty table gives an empty result; other columns are
@@ -248,6 +249,7 @@ def repeated_ranges(docs: DataFrame, scratch: Scratch, length: int = LENGTH) ->
     scratch.drop("segments")
     scratch.release_shuffles()
     once = scratch.keep(kept.groupBy("m", "many", "s1", "s2").agg(F.count("*").alias("w"), F.max("n").alias("n"), F.min(F.struct("doc_id", "t1", "t2", "start")).alias("at")), "once")
+    scratch.release_shuffles()
     # where every segment stands for several places there is nothing left to find
     lone = once.where("many and w = 1").select("m").distinct()
     wanted = once.where("many").join(lone, "m", "left_semi").select("m", "s1", "s2", "w", "n", "at.*")
@@ -258,12 +260,15 @@ def repeated_ranges(docs: DataFrame, scratch: Scratch, length: int = LENGTH) ->
     read = texts.join(wanted, (F.col("u1") == F.col("t1")) & (F.col("u2") == F.col("t2")) & (texts.d == wanted.d)).select("text", F.explode("own").alias("o"))
     pieces = read.select("o.m", "o.s1", "o.s2", "o.w", F.expr(f"substring(text, cast(o.start + 1 as int), cast(o.n + {length - 1} as int))").alias("data"))  # a repeated row gives its segments again
     pieces = scratch.keep(pieces, "pieces")
+    scratch.release_shuffles()
     found = _repeating(pieces, scratch, length, 1)
     whole = once.where("w >= 2").select("s1", "s2", F.array(F.array(F.lit(0).cast("long"), F.col("n"))).alias("runs"))
     verdict = whole.unionByName(found.join(whole.select("s1", "s2"), ["s1", "s2"], "left_anti"))
     places = kept.select("t1", "t2", "start", "s1", "s2").distinct()
     ranges = places.join(verdict, ["s1", "s2"]).select("t1", "t2", F.transform("runs", lambda r: F.array(r[0] + F.col("start"), r[1] + F.col("start") + length - 1)).alias("ranges"))
-    return ranges.groupBy("t1", "t2").agg(F.flatten(F.collect_list("ranges")).alias("ranges"))
+    out = scratch.keep(ranges.groupBy("t1", "t2").agg(F.flatten(F.collect_list("ranges")).alias("ranges")), "ranges")
+    scratch.drop_all_but("ranges")
+    return out
 
 
 def _merged(ranges: list | None) -> list[list[int]]:
@@ -302,9 +307,8 @@ def suffix_array_dedup(spark: SparkSession, docs: DataFrame, length: int = LENGT
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every document."""
     scratch = Scratch(spark)
     rows = _named(docs)
-    ranges = scratch.keep(repeated_ranges(rows, scratch, length), "ranges")
+    ranges = repeated_ranges(rows, scratch, length)
     joined = _with_ranges(rows, ranges).select("doc_id", "text", "ranges")
-    scratch.release_shuffles()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -323,7 +327,7 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, length: int = LENGTH) -
     """The documents with their texts cut, all columns kept. A cut within a character drops its other
     bytes too; null texts stay null; n_chars, where there is one, is counted anew."""
     scratch, names = Scratch(spark), docs.columns
-    ranges = scratch.keep(repeated_ranges(_named(docs), scratch, length), "ranges")
+    ranges = repeated_ranges(_named(docs), scratch, length)
     # the documents as one struct, so that none of their columns can clash
     tagged = docs.select(F.struct(*names).alias("doc"), F.xxhash64(text_bytes()).alias("t1"), F.conv(F.substring(F.md5(text_bytes()), 1, 15), 16, 10).cast("long").alias("t2"))
     joined = _with_ranges(tagged, ranges).select("doc.*", F.col("ranges").alias("__ranges"))
