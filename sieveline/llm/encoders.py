@@ -18,7 +18,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Distinct pieces, and pre-tokens of pieces, that a worker remembers; beyond it they are forgotten. Affects speed only.
-REMEMBERED, WORDS = 600_000, 150_000
+REMEMBERED, WORDS = 400_000, 120_000
 #: Bytes of text encoded together.
 TOGETHER = 5_000_000
 
@@ -149,6 +149,7 @@ class Encoder:
         texts = texts.cast(pa.large_string())
         for a, b in by_size(texts, pc.binary_length(texts).to_pylist(), TOGETHER):
             yield from self._some(texts[a:b])
+            pa.default_memory_pool().release_unused()  # workers live on, for other stages too
 
 
 _LOADED: dict[tuple[str, bool], Encoder] = {}

@@ -32,7 +32,7 @@ BITS, RADIUS, SHINGLE, SEED = 64, 4, 4, 42
 #: Rounds in which variants are dealt, and variants a bucket holds on average.
 ROUNDS, BUCKET = 8, 1 << 18
 #: Fingerprints whose variants are formed together.
-CHUNK = 2048
+CHUNK = 1024
 
 
 def fingerprint(text: bytes) -> int:

@@ -32,7 +32,7 @@ WINDOW, STRIDE, STATE, INPUT = 32, 24, 8, 12
 WORDS, WORD_DOCS, TRIGRAMS, BEGINNINGS = 20_000, 4, 4_096, 1 << 16
 THRESHOLD = 0.7
 #: Distinct words whose inputs a worker remembers; affects speed only.
-REMEMBERED = 400_000
+REMEMBERED = 150_000
 
 _LETTERS = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or 48 <= c <= 57 or c >= 128 else 32 for c in range(256))
 Parameters = dict[str, np.ndarray]
