@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from ._common import Scratch
 
-CHUNK = 8_192
+CHUNK = 32_768
 _SPACE = "▁"
 #: A token that crosses or ends at a boundary: characters before it, characters from it on. The start of a text or word has no token.
 State = tuple[str, str]
@@ -217,11 +217,12 @@ def lattice(path: str) -> Lattice:
     return _LOADED[path]
 
 
-_FIRST = "row long, doc_id long, n_chars long, chunk int, n_chunks int, piece string, first int, end int, ids binary, text_crc long"
+_FIRST = "row long, doc_id long, n_chars long, chunk int, n_chunks int, piece string, first int, end int, ids binary, text_crc long, n_tokens long, ids_crc32 long, round_trip boolean"
 
 
-def encode_pieces(docs: DataFrame, scratch: Scratch, path: str, chunk: int = CHUNK) -> DataFrame:
-    """row, doc_id, n_chars, n_chunks, ids (binary, little-endian uint32), text_crc of every document."""
+def encode_pieces(docs: DataFrame, scratch: Scratch, path: str, chunk: int = CHUNK, digest: bool = False) -> DataFrame:
+    """row, doc_id, n_chars, n_chunks, ids (binary, little-endian uint32), text_crc of every document.
+    `digest`: what fits one chunk leaves its figures (n_tokens, ids_crc32, round_trip) instead of ids."""
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = lattice(path)
@@ -232,7 +233,10 @@ def encode_pieces(docs: DataFrame, scratch: Scratch, path: str, chunk: int = CHU
                 own = {"row": row, "doc_id": doc, "n_chars": len(text), "text_crc": zlib.crc32(text.encode())}
                 plain = m.library.normalize(text) if len(text) > chunk else ""
                 if len(plain) <= chunk or "\0" in text:
-                    out.append(own | {"chunk": 0, "n_chunks": 1, "ids": np.asarray(m.library.encode(text), "<u4").tobytes()})
+                    got = m.library.encode(text)
+                    data = np.asarray(got, "<u4").tobytes()
+                    kept = {"n_tokens": len(got), "ids_crc32": zlib.crc32(data), "round_trip": m.library.decode(got) == text} if digest else {"ids": data}
+                    out.append(own | {"chunk": 0, "n_chunks": 1} | kept)
                     continue
                 starts = range(0, len(plain), chunk)
                 for k, a in enumerate(starts):
@@ -241,7 +245,7 @@ def encode_pieces(docs: DataFrame, scratch: Scratch, path: str, chunk: int = CHU
             yield pa.RecordBatch.from_pylist(out, schema=_schema)
 
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    _schema = pa.schema([(n, {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "binary": pa.binary()}[t]) for n, t in (x.split() for x in _FIRST.split(", "))])
+    _schema = pa.schema([(n, {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "binary": pa.binary(), "boolean": pa.bool_()}[t]) for n, t in (x.split() for x in _FIRST.split(", "))])
     begun = scratch.keep(rows.mapInArrow(first, _FIRST), "begun")
 
     def transfers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -275,7 +279,7 @@ def encode_pieces(docs: DataFrame, scratch: Scratch, path: str, chunk: int = CHU
     ready = parts.select("row", "chunk", "piece", "first", "end").join(fixed, ["row", "chunk"])
     traced = ready.select("row", "chunk", "piece", "first", "end", "states").mapInArrow(trace, "row long, chunk int, ids binary, plain string")
     whole = traced.groupBy("row").applyInPandas(join, "row long, ids binary")
-    columns = ["row", "doc_id", "n_chars", "n_chunks", "ids", "text_crc"]
+    columns = ["row", "doc_id", "n_chars", "n_chunks", "ids", "text_crc", "n_tokens", "ids_crc32", "round_trip"]
     giants = parts.where("chunk = 0").drop("ids").join(whole, "row").select(*columns)
     return begun.where("n_chunks = 1").select(*columns).unionByName(giants)
 
@@ -294,5 +298,7 @@ def piece_round_trip(spark: SparkSession, docs: DataFrame, path: str, chunk: int
             same = [zlib.crc32(decode_ids(path, x).encode()) == c for x, c in zip(ids, b.column("text_crc").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("n_chars"), b.column("n_chunks"), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([zlib.crc32(x) for x in ids], pa.int64()), pa.array(same, pa.bool_())], names=["doc_id", "n_chars", "n_chunks", "n_tokens", "ids_crc32", "round_trip"])
 
-    coded = encode_pieces(docs, Scratch(spark), path, chunk)
-    return coded.mapInArrow(run, "doc_id long, n_chars long, n_chunks int, n_tokens long, ids_crc32 long, round_trip boolean")
+    coded = encode_pieces(docs, Scratch(spark), path, chunk, digest=True)
+    done = coded.where("ids IS NULL").select("doc_id", "n_chars", "n_chunks", "n_tokens", "ids_crc32", "round_trip")
+    giants = coded.where("ids IS NOT NULL").select("doc_id", "n_chars", "n_chunks", "ids", "text_crc")
+    return done.unionByName(giants.mapInArrow(run, "doc_id long, n_chars long, n_chunks int, n_tokens long, ids_crc32 long, round_trip boolean"))
