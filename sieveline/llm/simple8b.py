@@ -22,13 +22,15 @@ def _selectors(bits: np.ndarray) -> np.ndarray:
     """For every position the first (densest) selector whose word could begin there."""
     n = len(bits)
     best = np.full(n, 15, np.int8)
+    upto = np.cumsum(np.bincount(bits, minlength=62))
     for s in range(14, -1, -1):
         k, w = COUNTS[s], WIDTHS[s]
-        if n < k:
+        if upto[w] < k:
             continue
-        bad = np.concatenate([[0], np.cumsum(bits > w)])
-        fits = bad[k:] == bad[:-k] if k < len(bad) else np.zeros(0, bool)
-        best[: len(fits)][fits] = s
+        bad = np.concatenate([[-1], np.flatnonzero(bits > w), [n]])
+        gap = np.flatnonzero(np.diff(bad) > k)  # stretches in which a whole word fits
+        first, many = bad[gap] + 1, bad[gap + 1] - bad[gap] - k
+        best[np.repeat(first - np.cumsum(many) + many, many) + np.arange(many.sum())] = s
     return best
 
 
@@ -38,9 +40,10 @@ def encode_block(values: np.ndarray) -> bytes:
     high = np.flatnonzero(values >> np.uint64(60))
     escapes = np.stack([high.astype(np.uint64), values[high] >> np.uint64(60)], 1) if len(high) else np.zeros((0, 2), np.uint64)
     low = values & _LOW60
-    bits = np.zeros(len(low), np.int8)
-    for w in sorted(set(WIDTHS)):  # the least width of the format that holds the value
-        bits[(low >> np.uint64(w)) > 0] = w + 1
+    if len(low) and low.max() < 1 << 52:
+        bits = np.frexp(low.astype(np.float64))[1].astype(np.int8)  # exact below 2**53
+    else:
+        bits = np.array([int(x).bit_length() for x in low], np.int8)
     best = _selectors(bits)
     steps = np.asarray(COUNTS, np.int64)[best].tolist()
     starts, at, n = [], 0, len(low)
