@@ -174,6 +174,24 @@ def test_near_vectors(spark, vectors, monkeypatch):
     assert len({got[300 + k].component_id for k in range(30)}) == 1 and pivots.near_vectors(spark, df.limit(0)).count() == 0
 
 
+def test_near_vectors_hot_group(spark, monkeypatch):
+    """A third of the rows near copies of one vector, and more widths than 64."""
+    monkeypatch.setattr(pivots, "TILE", 700)
+    monkeypatch.setattr(pivots, "LEAST_PIVOTS", 512)
+    r = np.random.default_rng(8)
+    x = r.normal(size=(3000, 64))
+    x[:1000] = x[0] / np.linalg.norm(x[0]) + 0.28 * x[:1000] / np.linalg.norm(x[:1000], axis=1, keepdims=True)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    links = (x @ x.T >= 0.9).sum(axis=1) - 1
+    rows = [(k, v.tolist()) for k, v in enumerate(x)]
+    rows += [(10_000 + 2 * w + k, [1.0] * w + [0.01 * k]) for w in range(70, 150) for k in range(2)]
+    got = {q.vec_id: q for q in pivots.near_vectors(spark, spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert len(got) == len(rows) and links[:1000].sum() > 100_000
+    assert all(got[k].n_links <= links[k] for k in range(3000))
+    assert sum(got[k].n_links for k in range(1000)) >= 0.97 * links[:1000].sum()
+    assert all(got[k].n_links == 1 and got[k].component_id == k // 2 * 2 for k in range(10_140, 10_300))
+
+
 def test_packing(spark, docs, texts, none):
     from tokenizers import Tokenizer
 
