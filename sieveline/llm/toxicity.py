@@ -3,8 +3,9 @@
 Every word enters as the sum of two inputs: a word vector (words seen in at least `WORD_DOCS` training
 documents; others share the unknown vector) and the mean of its character vectors (hashed trigrams and
 word beginnings). A window of `WINDOW` words is read in both directions, attention pools the states, and
-a logistic layer gives the window's logit. All windows of a text are scored, each beginning `STRIDE`
-words after the one before and so overlapping it; the text's logit is the largest, calibrated to a probability. Trained in numpy with Adam on a bounded sample
+a logistic layer gives the window's logit. Windows begin every `STRIDE` words, so that any passage of up to
+`WINDOW - STRIDE + 1` words lies whole in one; the text's logit is the largest, calibrated to a probability.
+Where that is below the threshold but not below `NEAR`, windows beginning at every word are scored. Trained in numpy with Adam on a bounded sample
 of labelled documents: first on the windows with the most telling words, then, in further rounds, on
 the windows that the network itself finds most toxic (for either label).
 
@@ -28,9 +29,11 @@ from .labelled import labelled_sample
 
 #: Bounds of the fitting sample.
 TOXIC, CLEAN = 2_000, 4_000
-WINDOW, STRIDE, STATE, INPUT = 32, 24, 8, 12
+WINDOW, STRIDE, STATE, INPUT = 32, 8, 8, 12
 WORDS, WORD_DOCS, TRIGRAMS, BEGINNINGS = 20_000, 4, 4_096, 1 << 16
-THRESHOLD = 0.7
+THRESHOLD, NEAR = 0.7, 0.1
+#: Windows formed together, and windows the network reads together; affect memory and speed only.
+FORMED, READ = 1 << 15, 512
 #: Distinct words whose inputs a worker remembers; affects speed only.
 REMEMBERED = 150_000
 
@@ -161,32 +164,66 @@ class Model:
             self._rows += len(new)
         return np.fromiter(map(seen.__getitem__, words), np.int64, len(words))
 
-    def raw(self, texts: list[bytes]) -> np.ndarray:
-        """Largest window logit of each text."""
+    def raw(self, texts: list[bytes], stride: int = STRIDE) -> np.ndarray:
+        """Largest logit of each text's windows that begin every `stride` words."""
         if self._gates is None or len(self._seen) > REMEMBERED:
             self._seen, self._gates, self._rows = {}, np.zeros((4096, 6 * STATE), np.float32), 1
-        rows, of = window_rows([self.index(words_of(t)) for t in texts])
-        logits = np.concatenate([_logits(self.p, self._gates[rows[a : a + 4096].T], (rows[a : a + 4096].T > 0).astype(np.float32)) for a in range(0, len(rows), 4096)])
-        return np.maximum.reduceat(logits, np.flatnonzero(np.diff(of, prepend=-1)))
+        largest = np.full(len(texts), -np.inf, np.float32)
+        for rows, of in windows([self.index(words_of(t)) for t in texts], stride):
+            np.maximum.at(largest, of, read(self.p, self._gates, rows))
+        return largest
 
     def score(self, texts: list[bytes]) -> np.ndarray:
         if not texts:
             return np.zeros(0)
         if self.constant is not None:
             return np.full(len(texts), self.constant)
-        out = [_sigmoid(self.slope * self.raw(texts[a:b]).astype(np.float64) + self.shift) for a, b in by_size(texts, [len(t) + 100 for t in texts], 500_000)]
-        return np.concatenate(out)
-
-
-def window_rows(indexes: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        out = np.zeros(len(texts))
+        for a, b in by_size(texts, [len(t) + 100 for t in texts], 500_000):
+            f = self.raw(texts[a:b])
+            p = _sigmoid(self.slope * f.astype(np.float64) + self.shift)
+            near = np.flatnonzero((p >= NEAR) & (p < THRESHOLD)).tolist()
+            if near:
+                f[near] = self.raw([texts[a + k] for k in near], 1)
+                p = _sigmoid(self.slope * f.astype(np.float64) + self.shift)
+            out[a:b] = p
+        return out
+
+
+def read(p: Parameters, gates: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Logits of windows given as rows of the gates; row 0 is padding."""
+    parts = [rows[a : a + READ].T for a in range(0, len(rows), READ)]
+    return np.concatenate([_logits(p, gates[x], (x > 0).astype(np.float32)) for x in parts]) if parts else np.zeros(0, np.float32)
+
+
+def windows(indexes: list[np.ndarray], stride: int = STRIDE) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """What window_rows gives, in parts of at most about FORMED windows; a long text is cut so that no window is lost."""
+    pieces, of, n = [], [], 0
+    for k, x in enumerate(indexes):
+        starts = max(1, -(-(len(x) - WINDOW) // stride) + 1)
+        for a in range(0, starts, FORMED):
+            here = min(FORMED, starts - a)
+            if pieces and n + here > FORMED:
+                rows, own = window_rows(pieces, stride)
+                yield rows, np.array(of)[own]
+                pieces, of, n = [], [], 0
+            pieces.append(x[a * stride : (a + here - 1) * stride + WINDOW])
+            of.append(k)
+            n += here
+    if pieces:
+        rows, own = window_rows(pieces, stride)
+        yield rows, np.array(of)[own]
+
+
+def window_rows(indexes: list[np.ndarray], stride: int = STRIDE) -> tuple[np.ndarray, np.ndarray]:
     """All windows of all texts as rows of word indexes padded with 0, and the text of each."""
     n = np.array([len(x) for x in indexes])
-    count = np.maximum(1, -(-(n - WINDOW) // STRIDE) + 1)
+    count = np.maximum(1, -(-(n - WINDOW) // stride) + 1)
     of = np.repeat(np.arange(len(n)), count)
     nth = np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count)
     begin = np.concatenate([[0], np.cumsum(n)])
     flat = np.concatenate([*indexes, np.zeros(WINDOW, np.int32)]).astype(np.int32)
-    at = (begin[of] + nth * STRIDE)[:, None] + np.arange(WINDOW)
+    at = (begin[of] + nth * stride)[:, None] + np.arange(WINDOW)
     return np.where(at < begin[of + 1][:, None], flat[np.minimum(at, len(flat) - 1)], np.int32(0)), of
 
 
@@ -219,14 +256,14 @@ def fit_model(texts: list[bytes], y: np.ndarray, seed: int = 11, rounds: int = 3
     known[top] = np.arange(1, len(top) + 1)
     del number
     flat, begin, count = _character_table(distinct)
-    rows, of = window_rows(docs)
-    value = np.sort(telling[rows], 1)[:, -3:].sum(1)
+    rows, of = (np.concatenate(x) for x in zip(*windows(docs), strict=True))
+    value = np.concatenate([np.sort(telling[rows[a : a + 4096]], 1)[:, -3:].sum(1) for a in range(0, len(rows), 4096)])
     moments: dict[str, list] = {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in p.items()}
     step = 0
     for turn in range(rounds):
         if turn:
             gates = _inputs(p, known, flat, begin, count) @ p["w"] + p["b"]
-            value = np.concatenate([_logits(p, gates[rows[a : a + 4096].T], (rows[a : a + 4096].T > 0).astype(np.float32)) for a in range(0, len(rows), 4096)])
+            value = read(p, gates, rows)
         # the most telling window of each document, and for clean ones two more at random
         order = np.lexsort((-value, of))
         first = order[np.flatnonzero(np.diff(of[order], prepend=-1))]

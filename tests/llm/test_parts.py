@@ -163,5 +163,24 @@ def test_windows_cover_the_text():
         assert set(rows[of == k].ravel().tolist()) - {0} == set(range(1, n + 1))
 
 
+def test_passages_lie_whole_in_a_window(monkeypatch):
+    rows, _ = toxicity.window_rows([np.arange(1, 301)])
+    held = [set(r.tolist()) for r in rows]
+    assert all(any(set(range(k, k + 25)) <= w for w in held) for k in range(1, 277))
+    texts = [np.arange(1, n + 1) for n in (0, 31, 700, 40, 33)]
+    for stride in (1, 8):
+        want = toxicity.window_rows(texts, stride)
+        monkeypatch.setattr(toxicity, "FORMED", 10)
+        parts = list(toxicity.windows(texts, stride))
+        assert len(parts) > 3 and max(len(r) for r, _ in parts) <= 10
+        assert all((np.concatenate([p[k] for p in parts]) == want[k]).all() for k in range(2))
+
+
+def test_texts_near_the_threshold_have_all_windows_read(monkeypatch):
+    model = toxicity.Model({}, {}, 1.0, 0.0)
+    monkeypatch.setattr(toxicity.Model, "raw", lambda self, texts, stride=toxicity.STRIDE: np.array([5.0 if t == b"sure" else -9.0 if t == b"fine" else 0.0 if stride > 1 else 3.0 for t in texts]))
+    assert (model.score([b"sure", b"near", b"fine", b"near"]) >= 0.7).tolist() == [True, True, False, True]
+
+
 def test_pivot_constants():
     assert pivots.SHARED <= pivots.NEAREST
