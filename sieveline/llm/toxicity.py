@@ -1,6 +1,6 @@
 """Toxicity of whole texts: a bidirectional gated recurrent network with attention pooling.
 
-Every word enters as the sum of two inputs: a word vector (words seen in at least `WORD_DOCS` training
+Every word (of a very long one, every overlapping piece) enters as the sum of two inputs: a word vector (words seen in at least `WORD_DOCS` training
 documents; others share the unknown vector) and the mean of its character vectors (hashed trigrams and
 word beginnings). A window of `WINDOW` words is read in both directions, attention pools the states, and
 a logistic layer gives the window's logit. Windows begin every `STRIDE` words, so that any passage of up to
@@ -37,17 +37,39 @@ FORMED, READ = 1 << 15, 512
 #: Distinct words whose inputs a worker remembers; affects speed only.
 REMEMBERED = 150_000
 
+#: Bytes of a word that stays whole, of the pieces of a longer one, and of their overlap.
+LONG, PIECE, OVERLAP = 40, 18, 6
 _LETTERS = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or 48 <= c <= 57 or c >= 128 else 32 for c in range(256))
 Parameters = dict[str, np.ndarray]
 
 
 def words_of(text: bytes) -> list[bytes]:
-    return text.translate(_LETTERS).split()
+    """Runs of letters, digits and bytes from 128; those of over LONG bytes in overlapping pieces, so that
+    scripts without spaces are read whole."""
+    words = text.translate(_LETTERS).split()
+    if max(map(len, words), default=0) <= LONG:
+        return words
+    return [p for w in words for p in (_pieces(w) if len(w) > LONG else (w,))]
+
+
+def _pieces(word: bytes) -> Iterator[bytes]:
+    """Pieces of at most PIECE bytes, each beginning about OVERLAP bytes before the last one's end; UTF-8 characters stay whole."""
+    a = 0
+    while len(word) - a > PIECE:
+        b = _begin(word, a + PIECE)
+        yield word[a:b]
+        a = _begin(word, b - OVERLAP)
+    yield word[a:]
+
+
+def _begin(word: bytes, at: int) -> int:
+    """Where the character that holds this byte begins."""
+    return next((k for k in range(at, at - 4, -1) if word[k] & 0xC0 != 0x80), at)
 
 
 def _characters(word: bytes) -> list[int]:
-    """Rows of a word's trigrams and of its beginnings of 4 to 8 bytes (a very long word: of its first 40 bytes)."""
-    w = b"^" + word[:40] + b"$"
+    """Rows of a word's trigrams and of its beginnings of 4 to 8 bytes."""
+    w = b"^" + word + b"$"
     return [zlib.crc32(w[i : i + 3]) % TRIGRAMS for i in range(max(1, len(w) - 2))] + [TRIGRAMS + zlib.crc32(word[:k]) % BEGINNINGS for k in range(4, min(8, len(word)) + 1)]
 
 

@@ -163,6 +163,25 @@ def test_windows_cover_the_text():
         assert set(rows[of == k].ravel().tolist()) - {0} == set(range(1, n + 1))
 
 
+def test_long_words_are_read_whole():
+    for word in ("".join(map(chr, range(0x4E00, 0x5200))), "".join(map(chr, range(0xE0, 0x100))), "".join(f"x{k}" for k in range(300))):
+        pieces = toxicity.words_of(f"Go {word}. on".encode())
+        assert pieces[0] == b"go" and pieces[-1] == b"on" and max(map(len, pieces)) <= 40
+        whole, at = word.encode(), 0
+        for p in pieces[1:-1]:
+            p.decode()
+            assert (begin := whole.find(p, max(0, at - 10), at + len(p))) >= 0 and (begin <= at - 3 or not at)
+            at = begin + len(p)
+        assert at == len(whole)
+    assert toxicity.words_of(b"a" * 40) == [b"a" * 40] and b"".join(toxicity.words_of(b"\x80" * 41)).count(b"\x80") >= 41
+    r = random.Random(2)
+    clean = "字符天地山水风火木石春秋"
+    say = lambda bad: ("".join(r.choice(clean) for _ in range(60)) + ("坏贼恶" if bad else "") + "".join(r.choice(clean) for _ in range(20))).encode()
+    labels = np.array([k % 2 for k in range(240)])
+    texts = [say(k) for k in labels]
+    assert ((toxicity.fit_model(texts, labels).score(texts) >= 0.7) == labels).mean() > 0.95
+
+
 def test_passages_lie_whole_in_a_window(monkeypatch):
     rows, _ = toxicity.window_rows([np.arange(1, 301)])
     held = [set(r.tolist()) for r in rows]
