@@ -53,15 +53,16 @@ def fingerprint(text: bytes) -> int:
     return int.from_bytes(np.packbits(2 * ones > len(hashes)).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, fp (the fingerprint as a signed long)."""
+def fingerprints(docs: DataFrame, carried: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, fp (the fingerprint as a signed long), and the carried columns (longs)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fp = np.array([fingerprint(t) for t in b.column("text").to_pylist()], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fp)], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fp), *(b.column(c) for c in carried)], names=["doc_id", "fp", *carried])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("text")).mapInArrow(run, "doc_id long, fp long")
+    ddl = ", ".join(f"{c} long" for c in ("doc_id", "fp", *carried))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("text"), *carried).mapInArrow(run, ddl)
 
 
 def ball() -> np.ndarray:
@@ -152,12 +153,17 @@ def near_links(distinct: DataFrame, scratch: Scratch) -> DataFrame:
     return out
 
 
+def _roots(prints: DataFrame, scratch: Scratch) -> DataFrame:
+    """fp, rep (its least doc_id), root (one fingerprint of its component) of the different fingerprints."""
+    distinct = scratch.keep(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")), "distinct")
+    found = components(near_links(distinct, scratch), scratch)
+    return distinct.join(found, distinct.fp == found.node, "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
+
+
 def near_components(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """doc_id, fp, component_id of every row."""
     prints = scratch.keep(fingerprints(docs), "fingerprints")
-    distinct = scratch.keep(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")), "distinct")
-    found = components(near_links(distinct, scratch), scratch)
-    rooted = distinct.join(found, distinct.fp == found.node, "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
+    rooted = _roots(prints, scratch)
     ids = rooted.join(rooted.groupBy("root").agg(F.min("rep").alias("component_id")), "root").select("fp", "component_id")
     return prints.join(ids, "fp").select("doc_id", "fp", "component_id")
 
@@ -169,8 +175,14 @@ def simhash_near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
 
 
 def keep_one(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """The document with the smallest id of each near-duplicate group, with its columns. Of rows that
-    repeat that id one stays; rows without an id stay only where their whole group has none."""
+    """One document of each near-duplicate group, with its columns: that with the smallest id; one without
+    an id only where the whole group has none. Of a group's rows with that id one stays, the same each run
+    as far as their texts differ. Groups never lose a document to another group's equal id."""
     scratch = Scratch(spark)
-    found = near_components(docs, scratch).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__kept")).distinct()
-    return docs.join(found, docs.doc_id.cast("long").eqNullSafe(found["__kept"]), "left_semi").dropDuplicates(["doc_id"])
+    # a row's key: 128 bits of id and text, so rows of one key are copies and in one group
+    key = [F.col("doc_id").cast("long"), F.col("doc_id").isNull(), F.coalesce("text", F.lit(""))]
+    keyed = docs.withColumns({f"__k{k}": F.xxhash64(F.lit(k), *key) for k in (1, 2)})
+    prints = scratch.keep(fingerprints(keyed, ("__k1", "__k2")), "fingerprints")
+    heads = prints.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "__k1", "__k2")).alias("head"))
+    kept = heads.join(_roots(prints, scratch), "fp").groupBy("root").agg(F.min("head").alias("head")).select("head.__k1", "head.__k2")
+    return keyed.join(kept, ["__k1", "__k2"], "left_semi").dropDuplicates(["__k1", "__k2"]).select(*docs.columns)

@@ -132,6 +132,17 @@ def test_simhash(spark, docs, texts, none):
     assert simhash.simhash_near_duplicates(spark, none).count() == 0
 
 
+def test_keep_one_keeps_one_of_each_group(spark):
+    """Rows without an id, and one id on different texts."""
+    r = random.Random(6)
+    say = lambda: " ".join(str(r.random()) for _ in range(60))
+    alone, one, two, three = [say() for _ in range(5)], say(), say(), say()
+    rows = [(None, t) for t in alone] + [(None, alone[0]), (None, one), (3, one), (3, one), (2, one), (7, two), (7, three), (None, three), (9, None), (None, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = sorted(((-1 if q.doc_id is None else q.doc_id), q.text or "") for q in simhash.keep_one(spark, df).collect())
+    assert got == sorted([(-1, t) for t in alone] + [(2, one), (7, two), (7, three), (9, "")])
+
+
 @pytest.fixture(scope="module")
 def vectors(spark):
     rng = np.random.default_rng(0)
