@@ -23,7 +23,7 @@ REMEMBERED, WORDS = 400_000, 120_000
 TOGETHER = 5_000_000
 
 _SPACES = r"[\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
-_ODD = r"[\x00\x01\x{1c}-\x{1f}\x{85}]|<\|"
+_ODD = r"[\x00\x01\x{1c}-\x{1f}\x{85}]"
 _RUN = r"[!-&(-/:-@\[-`{-~]+"  # of ASCII marks but the apostrophe
 _UNUSUAL = r"'|[^\x00-\x7f\p{L}]"
 #: Byte-level models show a byte as itself where it prints, else as the next free character from 256.
@@ -31,11 +31,17 @@ _PLAIN = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _SHOWN = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in set(_PLAIN))}
 
 
+def _quoted(text: str) -> str:
+    """A pattern for the text itself."""
+    return "".join(c if c.isalnum() or ord(c) > 127 else f"\\x{{{ord(c):x}}}" for c in text)
+
+
 class Encoder:
     """ids of whole texts; `spaced`: a space belongs to the word after it (byte-level BPE), else white
-    space is dropped (word BPE). `special_as_text`: special tokens' strings in a text are ordinary text."""
+    space is dropped (word BPE). Special tokens' strings in a text become their ids, as the library has it;
+    with `special_as_text` they are ordinary text."""
 
-    def __init__(self, path: str, special_as_text: bool = True):
+    def __init__(self, path: str, special_as_text: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -50,6 +56,9 @@ class Encoder:
         self.space = probe[0][0] if self.spaced else ""
         if self.normalize and self.normalize.normalize_str("Ab") != "ab":
             raise ValueError("no known rule for this normalizer")
+        # texts in which a string of the added tokens may stand, in either case
+        added = "|".join(_quoted(t.content) for t in self.tokenizer.get_added_tokens_decoder().values() if t.content)
+        self.odd = (f" (?:{_SPACES}|\\z)|{_ODD}" if self.spaced else _ODD) + (f"|(?i:{added})" if added else "")
         self._clear()
 
     def _clear(self) -> None:
@@ -122,7 +131,7 @@ class Encoder:
         if len(self.index) > REMEMBERED:
             self._clear()
         out: list[np.ndarray] = [np.zeros(0, np.int32)] * len(texts)
-        odd = pc.match_substring_regex(texts, pattern=f" (?:{_SPACES}|\\z)|{_ODD}" if self.spaced else _ODD).to_numpy(zero_copy_only=False).astype(bool)
+        odd = pc.match_substring_regex(texts, pattern=self.odd).to_numpy(zero_copy_only=False).astype(bool)
         for k in np.flatnonzero(odd).tolist():
             out[k] = np.asarray(self.tokenizer.encode(texts[k].as_py(), add_special_tokens=False).ids, np.int32)
         kept = np.flatnonzero(~odd & (pc.binary_length(texts).to_numpy(zero_copy_only=False) > 0))
@@ -155,7 +164,7 @@ class Encoder:
 _LOADED: dict[tuple[str, bool], Encoder] = {}
 
 
-def encoder(path: str, special_as_text: bool = True) -> Encoder:
+def encoder(path: str, special_as_text: bool = False) -> Encoder:
     """One encoder a worker process and file."""
     if (path, special_as_text) not in _LOADED:
         _LOADED[path, special_as_text] = Encoder(path, special_as_text)

@@ -36,7 +36,7 @@ MOST_STEPS = 20_000
 _PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
 
 
-def pieces(docs: DataFrame, path: str, end_id: int, capacity: int, special_as_text: bool = True) -> DataFrame:
+def pieces(docs: DataFrame, path: str, end_id: int, capacity: int, special_as_text: bool = False) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 of every piece."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -61,7 +61,7 @@ def _to_blocks(path: str, end_id: int, special_as_text: bool) -> Callable:
     return run
 
 
-def write_tokens(docs: DataFrame, scratch: Scratch, path: str, end_id: int, name: str = "tokens", special_as_text: bool = True) -> DataFrame:
+def write_tokens(docs: DataFrame, scratch: Scratch, path: str, end_id: int, name: str = "tokens", special_as_text: bool = False) -> DataFrame:
     """Writes the block files; returns them as a table of blocks."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id")

@@ -13,7 +13,7 @@ from sieveline.llm import encoders, packing, piece_scan, pivots, quality, simhas
 from sieveline.llm.simple8b import decode_block, encode_block
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
-ODD = ["", " ", "a  b", "a \n b", "x\n y", "\n\n a", "a\tb c", "a<|endoftext|>b", "é́ e ́ x", "ß İ ΑΣ", "don't 'S we'll", "123 4567 ..", "a\x1cb", "end ", "日本語 テスト", "a\x01b", "a,b; c", "x…! y", "Ⅳ ½ x²"]
+ODD = ["", " ", "a  b", "a \n b", "x\n y", "\n\n a", "a\tb c", "a<|endoftext|>b", "hello <|endoftext|> world", "<|startoftext|>A b<|EndOfText|> c", "x <| y |> z", "é́ e ́ x", "ß İ ΑΣ", "don't 'S we'll", "123 4567 ..", "a\x1cb", "end ", "日本語 テスト", "a\x01b", "a,b; c", "x…! y", "Ⅳ ½ x²"]
 
 
 @settings(max_examples=60, deadline=None)
@@ -37,9 +37,10 @@ def test_encoder_equals_library(file):
     texts = ODD + ["".join(rng.choice("abcde éß.,!'\n 12-") for _ in range(200)) for _ in range(60)]
     path = public_tokenizers.path(file)
     library = Tokenizer.from_file(path)
-    library.encode_special_tokens = True
-    got = list(encoders.Encoder(path).encode(pa.array(texts)))
-    assert [g.tolist() for g in got] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+    for as_text in (False, True):
+        library.encode_special_tokens = as_text
+        got = list(encoders.Encoder(path, as_text).encode(pa.array(texts)))
+        assert [g.tolist() for g in got] == [library.encode(t, add_special_tokens=False).ids for t in texts]
 
 
 def brute_suffixes(t):
