@@ -3,9 +3,9 @@
 Documents are encoded, longer ones cut into pieces of `capacity` ids, and only (piece, length) rows are
 shuffled. Pieces are dealt by a hash to shards of about `SHARD` pieces; a shard is packed best-fit in
 decreasing order, and a local search then exchanges pieces between underfull bins (one for one, two for
-one, or moves), each step increasing the sum of squared fills, until bins empty. The emptiest bins of
-many shards meet in further rounds, which leaves a bounded number of underfull bins however many shards
-there are. A hash of the piece decides the shard, so no source or group of copies makes one large.
+one, or moves), each step increasing the sum of squared fills, until bins empty. Of every shard the
+emptiest underfull bins, up to a sixteenth of its pieces, meet those of 15 others in a further round, and
+so on to one shard. A hash of the piece decides the shard, so no source or group of copies makes one large.
 
 Null texts are empty documents (one piece: the end id). Repeated rows are separate documents. An empty
 table gives an empty result.
@@ -28,10 +28,8 @@ from .encoders import encoder
 
 #: Pieces packed together; also the bound of a packing task's memory.
 SHARD = 20_000
-#: The emptiest bins that a shard hands on, and the shards that meet in a further round.
-HANDED_ON, FAN_IN = 4, 256
-#: Exchanges tried in a shard's local search.
-MOST_STEPS = 20_000
+#: Shards that meet in a further round; each hands on its emptiest bins, this part of a shard's pieces.
+FAN_IN = 16
 
 _PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
 
@@ -70,53 +68,71 @@ def best_fit(lengths: np.ndarray, capacity: int) -> np.ndarray:
     return bins
 
 
-def improve(lengths: np.ndarray, bins: np.ndarray, capacity: int, most: int = MOST_STEPS) -> np.ndarray:
+def _sums(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """For every total from 0 to `capacity`: the largest sum of one or two of the lengths that isn't above
+    it (0 if none), and the first length of that sum (the sum itself for one length)."""
+    distinct, first = np.unique(lengths, return_counts=True)
+    part = np.zeros(capacity + 1, np.int64)
+    for n, many in zip(distinct.tolist(), first.tolist(), strict=True):
+        other = n + (distinct if many > 1 else distinct[distinct != n])
+        part[other[other <= capacity]] = n
+    part[distinct] = distinct
+    return np.maximum.accumulate(np.where(part > 0, np.arange(capacity + 1), 0)), part
+
+
+def improve(lengths: np.ndarray, bins: np.ndarray, capacity: int) -> np.ndarray:
     """Local search over underfull bins. The emptiest bin gives: a piece moves to a bin with room, is
     exchanged for a shorter piece of a fuller bin, or two pieces for one; the exchange that leaves its
-    target fullest is taken. Every exchange fills a fuller bin, so squared fills grow and the search ends."""
+    target fullest is taken, of all there are. Every exchange fills a fuller bin, so squared fills grow and
+    the search ends when no exchange of the emptiest bins is left."""
     bins = bins.copy()
     fill = np.bincount(bins, weights=lengths, minlength=int(bins.max()) + 1 if len(bins) else 0).astype(np.int64)
-    settled = fill >= capacity  # full bins, and givers that no exchange can help
-    for _ in range(most):
-        if settled.all():
-            break
-        giver = int(np.argmin(np.where(settled | (fill == 0), capacity + 1, fill)))
-        if fill[giver] in (0, capacity) or settled[giver]:
-            break
+    settled = (fill >= capacity) | (fill == 0)  # full bins, and givers that no exchange can help
+
+    def exchange(out: np.ndarray, back: np.ndarray, giver: int, taker: int) -> None:
+        bins[out], bins[back] = taker, giver
+        moved = int(lengths[out].sum() - lengths[back].sum())
+        fill[giver] -= moved
+        fill[taker] += moved
+        settled[taker] |= fill[taker] >= capacity
+        settled[giver] |= fill[giver] == 0
+
+    none = np.zeros(0, np.int64)
+    while not settled.all():
+        giver = int(np.argmin(np.where(settled, capacity + 1, fill)))
+        gap = np.where((fill >= fill[giver]) & (fill > 0), capacity - fill, 0)  # of the bins that may take
+        gap[giver] = 0
         mine = np.flatnonzero(bins == giver)
-        takers = np.flatnonzero((fill < capacity) & (fill >= fill[giver]) & (fill > 0))
-        takers = takers[takers != giver]
-        if not len(takers):
-            break
-        gap = capacity - fill
-        theirs = np.flatnonzero(np.isin(bins, takers))
-        best: tuple[int, tuple] = (0, ())
         own = lengths[mine]
-        for i, n in zip(mine.tolist(), own.tolist(), strict=True):  # move
-            fits = takers[gap[takers] >= n]
-            if len(fits):
-                b = int(fits[np.argmin(gap[fits])])
-                best = max(best, (n * (capacity + 1) - int(gap[b]), ((i,), (), b)))
-        if not best[1]:
-            two = [(i, j) for a, i in enumerate(mine.tolist()[:60]) for j in mine.tolist()[a + 1 : 60]]
-            for group in [(i,) for i in mine.tolist()] + two:
-                gain = int(lengths[list(group)].sum()) - lengths[theirs]
-                ok = np.flatnonzero((gain > 0) & (gain <= gap[bins[theirs]]))
-                if len(ok):
-                    j = ok[np.argmax(gain[ok])]
-                    best = max(best, (int(gain[j]), (group, (int(theirs[j]),), int(bins[theirs[j]]))))
-        if not best[1]:
-            settled[giver] = True
+        # a move that leaves its target fullest, of the longest piece that has one
+        fits = own[own <= gap.max()]
+        if len(fits):
+            n = int(fits.max())
+            exchange(mine[own == n][:1], none, giver, int(np.argmin(np.where(gap >= n, gap, capacity + 1))))
             continue
-        out, back, b = best[1]
-        moved = int(lengths[list(out)].sum()) - int(lengths[list(back)].sum())
-        bins[list(out)], bins[list(back)] = b, giver
-        fill[b] += moved
-        fill[giver] -= moved
-        settled[b] = fill[b] >= capacity
+        theirs = np.flatnonzero(gap[bins] > 0)
+        if len(theirs):
+            most, part = _sums(own, capacity)
+            target = np.minimum(lengths[theirs] + gap[bins[theirs]], capacity)
+            gain = most[target] - lengths[theirs]
+            best = int(np.argmax(gain))
+            if gain[best] > 0:
+                total = int(most[target[best]])
+                one = mine[own == part[total]][:1]
+                two = mine[(own == total - part[total]) & (mine != one[0])][:1] if part[total] != total else none
+                exchange(np.concatenate([one, two]), theirs[best : best + 1], giver, int(bins[theirs[best]]))
+                continue
+        settled[giver] = True
     return np.unique(bins, return_inverse=True)[1].astype(np.int64) if len(bins) else bins
 
 
+def handed_on(fill: np.ndarray, pieces: np.ndarray, capacity: int, share: int) -> np.ndarray:
+    """The emptiest underfull bins, as many as hold at most `share` pieces together (one at least)."""
+    order = np.argsort(fill, kind="stable")
+    order = order[fill[order] < capacity]
+    return order[: max(1, int(np.searchsorted(np.cumsum(pieces[order]), share, side="right")))]
+
+
 def pack(table: DataFrame, scratch: Scratch, capacity: int) -> DataFrame:
     """Adds sequence_id and offset to a table with doc_id, piece, length."""
     total = table.count()
@@ -133,11 +149,11 @@ def pack(table: DataFrame, scratch: Scratch, capacity: int) -> DataFrame:
         before = np.cumsum(lengths) - lengths
         first = np.searchsorted(bins, np.arange(bins[-1] + 1))
         fill = np.bincount(bins, weights=lengths).astype(np.int64)
-        handed = np.argsort(fill, kind="stable")[:HANDED_ON]
+        handed = handed_on(fill, np.bincount(bins), capacity, SHARD // FAN_IN)
         out = pdf[names].copy()
         out["sequence_id"] = (pdf["shard"].to_numpy(np.int64) << 32) + bins
         out["offset"] = before - before[first[bins]]
-        out["handed_on"] = np.isin(bins, handed) & (fill[bins] < capacity)
+        out["handed_on"] = np.isin(bins, handed)
         return out
 
     full = table.where(F.col("length") >= capacity)

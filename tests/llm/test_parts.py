@@ -119,6 +119,36 @@ def test_packing_fits_and_is_tight():
     assert len(set(worst.tolist())) == 2 and np.bincount(better, weights=[6, 5, 5, 4, 4, 3, 3]).max() <= 10
 
 
+def test_two_for_one_looks_at_all_pairs():
+    """The only helpful pair lies behind the giver's first 60 pieces."""
+    lengths = np.array([37] * 30 + [31] * 32 + [41, 43] + [2500, 1503, 80, 9])
+    bins = np.array([0] * 64 + [1, 1, 1, 1])
+    before = np.bincount(bins, weights=lengths)
+    got = packing.improve(lengths, bins, 4096)
+    after = np.bincount(got, weights=lengths)
+    assert len(after) == 2 and after.sum() == before.sum() and max(after) == 4096
+    most, part = packing._sums(np.array([3, 3, 5, 9]), 12)
+    assert most.tolist() == [0, 0, 0, 3, 3, 5, 6, 6, 8, 9, 9, 9, 12] and part[6] == 3 and part[9] == 9
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(1, 20), min_size=1, max_size=60), st.integers(0, 99))
+def test_local_search_ends_and_keeps_every_piece(lengths, seed):
+    lengths = np.array(lengths)
+    start = packing.best_fit(lengths, 20)
+    loose = np.random.default_rng(seed).permutation(len(lengths))  # a piece a bin
+    for bins in (start, loose):
+        got = packing.improve(lengths, bins, 20)
+        fill, was = np.bincount(got, weights=lengths), np.bincount(bins, weights=lengths)
+        assert fill.max() <= 20 and fill.sum() == lengths.sum() and len(fill) <= len(np.unique(bins)) and (fill**2).sum() >= (was**2).sum()
+
+
+def test_handed_on_is_bounded():
+    fill, pieces = np.array([10, 3, 7, 3, 9]), np.array([4, 5, 1, 2, 3])
+    assert packing.handed_on(fill, pieces, 10, 8).tolist() == [1, 3, 2] and packing.handed_on(fill, pieces, 10, 0).tolist() == [1]
+    assert not len(packing.handed_on(np.array([10]), np.array([1]), 10, 5))
+
+
 def test_quality_learns_shape():
     rng = random.Random(0)
     good = [" ".join(rng.choice(["the", "of", "stone", "river", "Under."]) for _ in range(80)).encode() for _ in range(400)]
