@@ -5,7 +5,9 @@ candidates: one product of the codes gives approximate inner products, and the n
 of the coding errors bound each one's error. A candidate survives a tile if its upper bound reaches the
 tile's k-th largest lower bound; the tiles' survivors are thinned again by the k-th largest lower bound
 over all tiles. Survivors are recomputed in double precision from the original vectors, summed from left
-to right, and the k best kept, ties to the smaller id. Nothing is lost: recall is 1.
+to right; every task keeps a query's k best of its own in a heap, and the heaps of a query are merged,
+ties to the smaller id. Nothing is lost: recall is 1, whatever the vectors' width (products of codes are
+summed in single precision only where all sums are exact there).
 
 Equal vectors collapse first to one that carries its k + 1 smallest ids (no more can be in an answer),
 so a vector that a third of all rows share costs one candidate. Vectors that are null, zero, empty or
@@ -15,6 +17,8 @@ of an id count once each as candidates, and not for the query of that id. No que
 
 from __future__ import annotations
 
+import heapq
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -27,6 +31,8 @@ NEAREST = 20
 #: Rows of a tile's two sides.
 QUERY_TILE, CANDIDATE_TILE = 16_384, 8_192
 _SALTS = 64
+#: Entries of all heaps that a task holds; beyond it they are handed on.
+HELD = 1 << 18
 
 
 def _code(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -60,7 +66,8 @@ def _tile(k: int):
             return schema.empty_table()
 
         def side(t: pa.Table):
-            codes = np.frombuffer(b"".join(t.column("codes").to_pylist()), np.int8).reshape(len(t), -1).astype(np.float32)
+            codes = np.frombuffer(b"".join(t.column("codes").to_pylist()), np.int8).reshape(len(t), -1)
+            codes = codes.astype(np.float32 if 127 * 127 * codes.shape[1] <= 1 << 24 else np.float64)  # sums of products are exact
             return t.column("id").to_numpy(), codes, *(t.column(c).to_numpy() for c in ("scale", "norm", "error"))
 
         q_id, q, q_scale, q_norm, q_error = side(left)
@@ -68,7 +75,7 @@ def _tile(k: int):
         out = []
         for a in range(0, len(q), 256):
             s = slice(a, a + 256)
-            near = (q[s] @ c.T).astype(np.float64) * q_scale[s, None] * c_scale  # codes' products are exact in float32
+            near = (q[s] @ c.T).astype(np.float64) * q_scale[s, None] * c_scale
             bound = q_norm[s, None] * c_error + q_error[s, None] * (c_norm + c_error)
             bound += 1e-12 * (1 + np.abs(near))
             lower = near - bound
@@ -80,6 +87,46 @@ def _tile(k: int):
     return run
 
 
+_HEAP = "query long, query_id long, vec_id long, score double"
+
+
+def _heaps(k: int):
+    """The k best of each query among a task's rows."""
+
+    def run(batches):
+        held: dict[tuple[int, int], list[tuple[float, int]]] = {}
+        for b in batches:
+            for q, i, v, s in zip(*(b.column(c).to_pylist() for c in ("query", "query_id", "vec_id", "score")), strict=True):
+                heap = held.setdefault((q, i), [])
+                if len(heap) < k:
+                    heapq.heappush(heap, (s, -v))
+                elif (s, -v) > heap[0]:
+                    heapq.heapreplace(heap, (s, -v))
+            if sum(map(len, held.values())) > HELD:
+                yield _rows(held)
+                held = {}
+        yield _rows(held)
+
+    return run
+
+
+def _rows(held: dict[tuple[int, int], list[tuple[float, int]]]) -> pa.RecordBatch:
+    rows = [(q, i, -v, s) for (q, i), heap in held.items() for s, v in heap]
+    columns = list(zip(*rows, strict=True)) or [()] * 4
+    return pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns[:3]), pa.array(columns[3], pa.float64())], names=["query", "query_id", "vec_id", "score"])
+
+
+def _merged(k: int):
+    """A query's k best of all its heaps, with their ranks."""
+
+    def run(t: pa.Table) -> pa.Table:
+        best = heapq.nsmallest(k, zip((-x for x in t.column("score").to_pylist()), t.column("vec_id").to_pylist(), strict=True))
+        ids = pa.array([t.column("query_id")[0].as_py()] * len(best), pa.int64())
+        return pa.table({"query_id": ids, "rank": pa.array(range(1, len(best) + 1), pa.int32()), "vec_id": pa.array([v for _, v in best], pa.int64()), "score": pa.array([-s for s, _ in best], pa.float64())})
+
+    return run
+
+
 def nearest(spark: SparkSession, table: DataFrame, is_query: Column, k: int = NEAREST) -> DataFrame:
     """query_id, rank, vec_id, score for queries (a condition on vec_id) against all rows."""
     scratch = Scratch(spark)
@@ -107,5 +154,5 @@ def nearest(spark: SparkSession, table: DataFrame, is_query: Column, k: int = NE
     dot = F.aggregate(F.zip_with("a", "b", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
     scored = pairs.join(queries.select(F.col("id").alias("query"), F.col("vec_id").alias("query_id"), F.col("v").alias("a")), "query").join(distinct.select(F.col("id").alias("candidate"), "h1", "h2", F.col("v").alias("b")), "candidate")
     scored = scored.select("query", "query_id", "h1", "h2", dot.alias("score")).join(ids, ["h1", "h2"]).where("vec_id <> query_id")
-    order = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    heaps = scored.select("query", "query_id", "vec_id", "score").mapInArrow(_heaps(k), _HEAP)
+    return heaps.groupBy("query").applyInArrow(_merged(k), "query_id long, rank int, vec_id long, score double")

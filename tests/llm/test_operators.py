@@ -170,6 +170,23 @@ def test_nearest(spark, vectors, monkeypatch):
     assert not got and nearest.nearest(spark, df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def test_nearest_of_wide_vectors(spark, monkeypatch):
+    """Codes of 4,096 dimensions sum beyond what single precision holds exactly."""
+    monkeypatch.setattr(nearest, "CANDIDATE_TILE", 40)
+    monkeypatch.setattr(nearest, "HELD", 10)
+    rng = np.random.default_rng(3)
+    base = rng.integers(100, 128, 4096).astype(float)
+    x = np.stack([base + (rng.random(4096) < 0.001) * rng.standard_normal(4096) for _ in range(90)])
+    x[7] = x[11]
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = nearest.nearest(spark, df, F.col("vec_id") % 20 == 0, 5).collect()
+    want = []
+    for q in range(0, 90, 20):
+        scores = sorted((-float(np.add.accumulate(x[q] * v)[-1]), k) for k, v in enumerate(x) if k != q)[:5]
+        want += [(q, n + 1, k, -s) for n, (s, k) in enumerate(scores)]
+    assert sorted(tuple(r) for r in got) == want
+
+
 def test_near_vectors(spark, vectors, monkeypatch):
     monkeypatch.setattr(pivots, "TILE", 40)
     rows, df = vectors
