@@ -5,6 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -57,6 +59,30 @@ class Scratch:
         self.spark.sparkContext._jvm.System.gc()
 
 
+#: Models averaged in one task.
+TOGETHER = 64
+
+
+def _average(pdf: pd.DataFrame) -> pd.DataFrame:
+    total = pdf["seen"].sum()
+    mean = sum(np.frombuffer(n, "<f8") * (s / total) for n, s in zip(pdf["net"], pdf["seen"], strict=True))
+    return pd.DataFrame({"part": [pdf["part"].iloc[0] // TOGETHER], "net": [mean.tobytes()], "seen": [total]})
+
+
+def average(nets: DataFrame, scratch: Scratch) -> np.ndarray | None:
+    """Mean of tasks' parameters (part, net as doubles, seen), weighed by rows seen, some of them a task in
+    as many rounds as needed; None where no task saw a row."""
+    nets = nets.where("seen > 0")
+    last = nets.agg(F.max("part")).first()[0]
+    if last is None:
+        return None
+    tasks, level = last + 1, 0
+    while tasks > 1:
+        nets = scratch.keep(nets.groupBy(F.floor(F.col("part") / TOGETHER)).applyInPandas(_average, nets.schema), f"nets{level}")
+        tasks, level = -(-tasks // TOGETHER), level + 1
+    return np.frombuffer(nets.first().net, "<f8")
+
+
 def text_bytes(column: str = "text") -> Column:
     """UTF-8 bytes of a text; null is empty."""
     return F.coalesce(F.col(column), F.lit("")).cast("binary")

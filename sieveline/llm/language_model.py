@@ -21,18 +21,17 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import Scratch, fold
+from ._common import Scratch, average, fold
 
 CLASSES, WIDTH, HEAD = 1_023, 24, 1 << 18
 NOISE, BATCH, RATE = 64, 4_096, 0.02
-#: Documents of the start sample, and models averaged in one task.
-START_DOCS, TOGETHER = 4_000, 64
+#: Documents of the start sample.
+START_DOCS = 4_000
 SMOOTH = 0.1
 
 
@@ -166,12 +165,6 @@ def _train(head: pa.Array, end: int, share: np.ndarray, net: Net):
     return run
 
 
-def _average(pdf: pd.DataFrame) -> pd.DataFrame:
-    total = pdf["seen"].sum()
-    mean = sum(np.frombuffer(n, "<f8") * (s / total if total else 1 / len(pdf)) for n, s in zip(pdf["net"], pdf["seen"], strict=True))
-    return pd.DataFrame({"part": [pdf["part"].iloc[0] // TOGETHER], "net": [mean.tobytes()], "seen": [total]})
-
-
 @dataclass
 class Model:
     head: pa.Array
@@ -242,12 +235,8 @@ def fit(docs: DataFrame, train: Column, scratch: Scratch) -> tuple[Model, DataFr
     spark, schema = docs.sparkSession, "part long, net binary, seen double"
     shared = spark.sparkContext.broadcast((head, end, share, trainer.net))  # of bounded size
     nets = scratch.keep(text.select("text").mapInArrow(lambda b: _train(*shared.value)(b), schema), "nets")
-    tasks, level = nets.agg(F.max("part")).first()[0] + 1, 0
-    while tasks > 1:
-        nets = scratch.keep(nets.groupBy(F.floor(F.col("part") / TOGETHER)).applyInPandas(_average, schema), f"nets{level}")
-        tasks, level = -(-tasks // TOGETHER), level + 1
-    final = nets.first()
-    return Model(head, end, c, totals.n or 0, totals.v, trainer.net.unpacked(final.net) if final.seen else trainer.net), counts
+    final = average(nets, scratch)
+    return Model(head, end, c, totals.n or 0, totals.v, trainer.net if final is None else trainer.net.unpacked(final.tobytes())), counts
 
 
 def language_model_scores(spark: SparkSession, docs: DataFrame) -> DataFrame:

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._common import by_size, fold, text_bytes
-from .labelled import labelled_sample
+from .labelled import in_one_task, labelled_sample
 
 #: Bounds of the fitting sample.
 TOXIC, CLEAN = 2_000, 4_000
@@ -263,7 +263,7 @@ def _telling(docs: list[np.ndarray], y: np.ndarray, n: int) -> tuple[np.ndarray,
     return top, odds
 
 
-def fit_model(texts: list[bytes], y: np.ndarray, seed: int = 11, rounds: int = 3, epochs: int = 3, rate: float = 0.02) -> Model:
+def fit_model(texts: list[bytes], y: np.ndarray, weight: np.ndarray | None = None, seed: int = 11, rounds: int = 3, epochs: int = 3, rate: float = 0.02) -> Model:
     rng = np.random.default_rng(seed)
     number: dict[bytes, int] = {b"": 0}  # 0 is padding
     docs = [np.array([number.setdefault(w, len(number)) for w in words_of(t)], np.int32) for t in texts]
@@ -314,7 +314,7 @@ def fit_model(texts: list[bytes], y: np.ndarray, seed: int = 11, rounds: int = 3
     from .quality import calibrate
 
     f = np.concatenate([model.raw(texts[a:b]) for a, b in by_size(texts, [len(t) + 100 for t in texts], 500_000)]).astype(np.float64)
-    model.slope, model.shift = calibrate(f, y.astype(float))
+    model.slope, model.shift = calibrate(f, y.astype(float), weight)
     model._seen, model._gates = {}, None
     return model
 
@@ -326,33 +326,38 @@ def _inputs(p: Parameters, known: np.ndarray, chars: np.ndarray, begin: np.ndarr
     return p["words"][known] + np.add.reduceat(p["characters"][chars], begin, axis=0) / count[:, None].astype(np.float32)
 
 
-def fit(docs: DataFrame, labels: DataFrame, train: Column) -> Model:
-    rows = labelled_sample(docs, labels, "toxic", train, {0: CLEAN, 1: TOXIC}).select("label", F.col("text").cast("binary").alias("text")).toArrow()
-    y = rows.column("label").to_numpy().astype(np.int64)
+def _fit_rows(rows: pa.Table) -> Model:
+    y, weight = (rows.column(c).to_numpy() for c in ("label", "weight"))
     if len(set(y.tolist())) < 2:
         return Model({}, {}, constant=float(y.mean()) if len(y) else 0.5)
-    return fit_model(rows.column("text").to_pylist(), y)
+    return fit_model(rows.column("text").to_pylist(), y.astype(np.int64), weight)
+
+
+def fit(docs: DataFrame, labels: DataFrame, train: Column) -> Model:
+    """The model of a bounded sample of the labelled training rows, fitted in one task."""
+    return in_one_task(labelled_sample(docs, labels, "toxic", train, {0: CLEAN, 1: TOXIC}), _fit_rows)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """All columns of docs, and __score."""
-    held, names = docs.sparkSession.sparkContext.broadcast(model), docs.columns  # a model of bounded size
+    """doc (all columns of docs as a struct) and score."""
+    held = docs.sparkSession.sparkContext.broadcast(model)  # a model of bounded size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = held.value
         for b in batches:
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(m.score(b.column("__text").to_pylist()), pa.float64())], names=[*names, "__score"])
+            yield pa.RecordBatch.from_arrays([b.column("doc"), pa.array(m.score(b.column("text").to_pylist()), pa.float64())], names=["doc", "score"])
 
-    return docs.withColumn("__text", text_bytes()).mapInArrow(run, docs.withColumn("__score", F.lit(0.0)).schema)
+    rows = docs.select(F.struct("*").alias("doc"), text_bytes().alias("text"))
+    return rows.mapInArrow(run, rows.select("doc", F.lit(0.0).alias("score")).schema)
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, held_out: Column | None = None) -> DataFrame:
     """doc_id, held_out, score, predicted of every document; labels of held-out ids are never read."""
     held = fold("doc_id", 3) == 1 if held_out is None else held_out
-    scored = score(docs.select("doc_id", "text"), fit(docs, labels, ~held))
-    return scored.select("doc_id", F.coalesce(held, F.lit(False)).alias("held_out"), F.col("__score").alias("score"), (F.col("__score") >= THRESHOLD).cast("int").alias("predicted"))
+    scored = score(docs.select("doc_id", "text"), fit(docs, labels, ~held)).select("doc.doc_id", "score")
+    return scored.select("doc_id", F.coalesce(held, F.lit(False)).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
 def keep_clean(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that the network does not reject, with their columns."""
-    return score(docs, fit(docs, labels, ~(fold("doc_id", 3) == 1))).where(F.col("__score") < THRESHOLD).drop("__score")
+    return score(docs, fit(docs, labels, ~(fold("doc_id", 3) == 1))).where(F.col("score") < THRESHOLD).select("doc.*")

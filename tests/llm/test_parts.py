@@ -154,8 +154,12 @@ def test_quality_learns_shape():
     good = [" ".join(rng.choice(["the", "of", "stone", "river", "Under."]) for _ in range(80)).encode() for _ in range(400)]
     bad = [" ".join(rng.choice(["the%%%", "of&&&", "| x", "aa aa"]) for _ in range(80)).encode() for _ in range(120)]
     x = np.stack([quality.features(t) for t in good[:200] + good[200:] + bad])
-    mean, scale, w, b = quality.fit_pu(x[:200], x, 0.77)
-    s = quality.Scorer(mean, scale, w, b, 1, 0, 0.77)
+    mean, scale = x.mean(0), x.std(0) + 1e-3
+    z = (x - mean) / scale
+    w = quality.fit_pu(z[:200], z, 0.77)
+    got = quality.estimated_prior(quality.histogram(z[:200] @ w[:-1] + w[-1]), quality.histogram(z @ w[:-1] + w[-1]))
+    assert abs(got - 400 / 520) < 0.06
+    s = quality.Scorer(mean, scale, w[:-1], w[-1], 1, 0, 0.77)
     y = np.r_[np.ones(400), np.zeros(120)]
     s.slope, s.shift = quality.calibrate(s.raw(x), y)
     assert ((s.score(x) >= 0.7) == y).mean() > 0.98 and quality.features(b"").shape == (quality.FEATURES,)
