@@ -77,3 +77,25 @@ def boosted(cfg: dict) -> dict:
 def enabled(env: dict[str, str] | None = None) -> bool:
     env = dict(os.environ) if env is None else env
     return env.get("SIEVELINE_FILTERS", "").strip().lower() not in ("off", "false", "0")
+
+
+def workspace_root(env: dict[str, str] | None = None, start: str | None = None) -> str:
+    """The folder of SIEVELINE_WORKSPACE_ROOT if there is one, else the next folder upwards, of twenty, that
+    holds `.git`, else the start (the working folder). Read on the driver, once."""
+    given = (dict(os.environ) if env is None else env).get("SIEVELINE_WORKSPACE_ROOT", "")
+    if given and os.path.isdir(given):
+        return given
+    here = start = os.path.abspath(start or os.getcwd())
+    for _ in range(20):
+        if os.path.isdir(os.path.join(here, ".git")):
+            return here
+        here = os.path.dirname(here)
+    return start
+
+
+def project_roots(workspace: str) -> list[str]:
+    """Folders two levels below the workspace's `projects`, or the workspace itself if there are none."""
+    inner = os.path.join(workspace, "projects")
+    folders = lambda at: [e.path for e in os.scandir(at) if e.is_dir()] if os.path.isdir(at) else []
+    found = sorted(p for group in folders(inner) for p in folders(group))
+    return [p.replace("\\", "/") for p in found or [workspace]]

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: Package runners before a program, and flags that ask for detail.
 _RUNNERS = r"^(?:npx|pnpm|yarn\s+run|yarn|npm\s+run|npm|bun|deno)\s+"
+_VERBOSE = r"(?:^|\s)(?:--verbose|-verbose|-v{2,}|--debug|--full|--detailed|--show-all|--no-summary)\b"
 #: Programs by category.
 LISTERS = ("ls", "dir", "tree", "find")
 SEARCHERS = ("grep", "rg", "findstr", "ag", "ack")
@@ -15,7 +17,6 @@ LINTERS = ("eslint", "ruff", "mypy", "clippy", "pylint", "flake8", "rubocop", "s
 CHECKERS = ("tsc", "tsc-watch", "pyright", "mypy")
 SHELL_TOOLS = ("run_command", "run_background", "job_output", "stop_job")
 TOOLS = {"read_file": "read_file", "edit_file": "edit_file", "search_content": "search", "wait_for_job": "logs", "list_jobs": "logs", "remember": "generic", "forget": "generic", "recall_memory": "generic", "web_search": "generic", "web_fetch": "generic"}
-_VERBOSE = r"(?:^|\s)(?:--verbose|-verbose|-v{2,}|--debug|--full|--detailed|--show-all|--no-summary)\b"
 
 
 def is_verbose(command: Column) -> Column:

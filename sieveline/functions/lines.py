@@ -37,9 +37,22 @@ def after(lines: Column, n: Column) -> Column:
     return F.slice(lines, n + 1, F.greatest(F.lit(0), F.size(lines) - n))
 
 
-def last_of(lines: Column, n: int) -> Column:
+def last_of(lines: Column, n: Column | int) -> Column:
     """The last n lines (none for 0)."""
-    return F.slice(lines, F.greatest(F.lit(1), F.size(lines) - F.lit(n) + 1), F.lit(n)) if n else F.slice(lines, F.lit(1), F.lit(0))
+    n = F.lit(n) if isinstance(n, int) else n
+    return F.slice(lines, F.greatest(F.lit(1), F.size(lines) - n + 1), F.greatest(F.lit(0), n))
+
+
+def stripped(line: Column) -> Column:
+    return F.regexp_replace(line, r"(?U)\A\s+|\s+\z", "")
+
+
+def islands(items: Column, differ: Callable[[Column, Column], Column]) -> Column:
+    """Runs of neighbours that don't differ, as arrays in order. Linear in the items, which must be a column
+    or bound by `let`."""
+    places = F.when(F.size(items) > 0, F.sequence(F.lit(0), F.size(items) - 1)).otherwise(F.array().cast("array<int>"))
+    starts = F.filter(places, lambda i: F.when(i == 0, True).otherwise(differ(F.get(items, i - 1), F.get(items, i))))
+    return let(starts, lambda s: F.transform(s, lambda a, k: F.slice(items, a + 1, F.coalesce(F.get(s, k + 1), F.size(items)) - a)))
 
 
 def is_blank(line: Column) -> Column:
@@ -56,24 +69,13 @@ def collapse_runs(lines: Column, most: int) -> Column:
     column or bound by `let`."""
     if most <= 0:
         return lines
-    beyond = lambda x, i: (i >= most) & F.forall(F.slice(lines, F.greatest(F.lit(1), i - most + 1), F.lit(most)), lambda y: y == x)
-    nothing = F.array().cast("array<string>")
-
-    def thinned(flags: Column) -> Column:
-        def item(x: Column, i: Column) -> Column:
-            rest = lambda: F.slice(flags, i + 1, F.size(flags))
-            n = F.array_position(rest(), False)
-            note = F.concat(F.lit("[... "), F.when(n == 0, F.size(rest())).otherwise(n - 1).cast("string"), F.lit(" repeated lines omitted ...]"))
-            starts = (i == 0) | ~F.coalesce(F.get(flags, i - 1), F.lit(False))
-            return F.when(~F.get(flags, i), F.array(x)).when(starts, F.array(note)).otherwise(nothing)
-
-        return F.flatten(F.transform(lines, item))
-
-    return let(F.transform(lines, beyond), thinned)
+    note = lambda r: F.concat(F.lit("[... "), (F.size(r) - most).cast("string"), F.lit(" repeated lines omitted ...]"))
+    thinned = lambda r: F.when(F.size(r) > most, F.concat(F.slice(r, 1, most), F.array(note(r)))).otherwise(r)
+    return F.flatten(F.transform(islands(lines, lambda x, y: x != y), thinned))
 
 
-def window(lines: Column, head: int, tail: int, noun: str = "lines") -> Column:
+def window(lines: Column, head: Column | int, tail: Column | int, noun: str = "lines") -> Column:
     """First and last lines with a note between, if there are more than both."""
-    n = F.size(lines)
-    note = F.concat(F.lit("[... "), (n - (head + tail)).cast("string"), F.lit(f" {noun} omitted ...]"))
-    return F.when(n > head + tail, F.concat(first_of(lines, head), F.array(F.lit(""), note, F.lit("")), last_of(lines, tail))).otherwise(lines)
+    n, both = F.size(lines), F.lit(head) + F.lit(tail)
+    note = F.concat(F.lit("[... "), (n - both).cast("string"), F.lit(f" {noun} omitted ...]"))
+    return F.when(n > both, F.concat(first_of(lines, head), F.array(F.lit(""), note, F.lit("")), last_of(lines, tail))).otherwise(lines)

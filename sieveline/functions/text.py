@@ -56,15 +56,13 @@ def _replace_all(text: Column, *steps: tuple[str, str]) -> Column:
     return reduce(lambda c, s: F.regexp_replace(c, s[0], s[1]), steps, text)
 
 
+#: Forms of titles (possessive, so that long ones don't exhaust the stack), control sequences, other escapes.
+ESCAPES = (r"\x1b\][^\x07]*+\x07|\x1b\](?s:.)*?\x1b\\", r"\x1b\[[0-?]*[ -/]*[@-~]", r"\x1b\([B0UK]|\x1b[>#=]|\x1b\\\\", r"\x9b[0-9;]*[A-Za-z]")
+
+
 def strip_ansi(text: Column) -> Column:
-    """Titles (possessive, so that long ones don't exhaust the stack), control sequences, other escapes."""
-    return _replace_all(
-        text,
-        (r"\x1b\][^\x07]*+\x07|\x1b\](?s:.)*?\x1b\\", ""),
-        (r"\x1b\[[0-?]*[ -/]*[@-~]", ""),
-        (r"\x1b\([B0UK]|\x1b[>#=]|\x1b\\\\", ""),
-        (r"\x9b[0-9;]*[A-Za-z]", ""),
-    )
+    """The text without escapes; one without their first characters needs no pattern."""
+    return F.when(text.contains("\x1b") | text.contains("\x9b"), _replace_all(text, *((e, "") for e in ESCAPES))).otherwise(text)
 
 
 #: Names of tags around a model's inner reasoning.
@@ -74,30 +72,39 @@ _NESTING = 10
 
 
 def strip_thinking(text: Column) -> Column:
-    """Innermost closed blocks first, as often as blocks may nest; then what is left open or cut off."""
+    """Innermost closed blocks first, as often as blocks may nest; then what is left open or cut off. Texts
+    without a sign of a tag go through no tag's pattern, and texts without long gaps through none for gaps."""
     inner = rf"(?is)<{_NAME}>(?:(?!<{_NAME}>).)*?</{_NAME}>"
     out = text
     for _ in range(_NESTING):
         out = F.regexp_replace(out, inner, "")
-    out = F.when(text.rlike(rf"(?i)</?{_NAME}"), _replace_all(out, (rf"(?is)<{_NAME}>.*", ""), (rf"(?is)</{_NAME}(?:\s[^<>]*)?(?=>|\z)", ""))).otherwise(text)
-    out = F.regexp_replace(out, r"\n{3,}", "\n\n")
-    bare = _replace_all(out, (r"(?U)\A\s+", ""), (r"(?U)\s+\z", ""))
-    return F.when(bare == "", out).otherwise(bare)
+    out = _replace_all(out, (rf"(?is)<{_NAME}>.*", ""), (rf"(?is)</{_NAME}(?:\s[^<>]*)?(?=>|\z)", ""))
+    out = F.when(text.contains("<") & text.rlike(rf"(?i)</?{_NAME}"), out).otherwise(text)
+
+    def trimmed(x: Column) -> Column:
+        thin = F.when(x.contains("\n\n\n"), F.regexp_replace(x, r"\n{3,}", "\n\n")).otherwise(x)
+        bare = F.regexp_replace(thin, r"(?U)\A\s+|\s+\z", "")
+        return F.when(x.rlike(r"(?U)\A\s|\s\z"), F.when(bare == "", thin).otherwise(bare)).otherwise(thin)
+
+    return F.transform(F.array(out), trimmed)[0]
+
+
+#: Times, process ids, durations and sizes, in the order in which they are replaced.
+_ISO = r"\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}(?:\.\d+)?(?:Z|[+-]\d{2}:?\d{2})?"
+NOISE = (
+    (rf"(?U)\[{_ISO}\]", "[TIMESTAMP]"),
+    (r"(?U)\d{2}/[A-Z][a-z]{2}/\d{4}:\d{2}:\d{2}:\d{2}\s+[+-]\d{4}", "[TIMESTAMP]"),
+    (rf"(?U){_ISO}", "[TIMESTAMP]"),
+    (r"(?iU)\bPID\s*[:=]?\s*\d{1,7}\b", "[PID]"),
+    (r"(?U)\b\d+(?:\.\d+)?\s*ms\b", "[X]ms"),
+    (r"(?U)\b\d+(?:\.\d+)?\s*s\b", "[X]s"),
+    (r"(?iU)\b\d+(?:\.\d+)?\s*(?:KB|MB|GB|TB)\b", "[X]SIZE"),
+)
 
 
 def normalize_noise(text: Column) -> Column:
     """Times, process ids, durations and sizes become fixed words."""
-    iso = r"\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}(?:\.\d+)?(?:Z|[+-]\d{2}:?\d{2})?"
-    return _replace_all(
-        text,
-        (rf"(?U)\[{iso}\]", "[TIMESTAMP]"),
-        (r"(?U)\d{2}/[A-Z][a-z]{2}/\d{4}:\d{2}:\d{2}:\d{2}\s+[+-]\d{4}", "[TIMESTAMP]"),
-        (rf"(?U){iso}", "[TIMESTAMP]"),
-        (r"(?iU)\bPID\s*[:=]?\s*\d{1,7}\b", "[PID]"),
-        (r"(?U)\b\d+(?:\.\d+)?\s*ms\b", "[X]ms"),
-        (r"(?U)\b\d+(?:\.\d+)?\s*s\b", "[X]s"),
-        (r"(?iU)\b\d+(?:\.\d+)?\s*(?:KB|MB|GB|TB)\b", "[X]SIZE"),
-    )
+    return _replace_all(text, *NOISE)
 
 
 _SCANNED = 64_000
@@ -125,11 +132,15 @@ def estimated_tokens(chars: Column) -> Column:
     return F.bround(chars / 4).cast("long")
 
 
+#: Brackets, operators and separators.
+MARKS = r"[{}()\[\];=<>:,\"'/\\_|&*+#@$%^~`]"
+
+
 def count_tokens(text: Column) -> Column:
     """Prose: a quarter of the characters, rounded down. Code (over 8 % of brackets, operators and
     separators): one token per 3.2 characters, rounded up."""
     n = F.length(text)
-    marks = F.regexp_count(text, F.lit(r"[{}()\[\];=<>:,\"'/\\_|&*+#@$%^~`]"))
+    marks = F.regexp_count(text, F.lit(MARKS))
     return F.when(marks > n * 0.08, F.ceil(n / 3.2)).otherwise(F.floor(n / 4)).cast("long")
 
 
@@ -143,21 +154,37 @@ def truncate_chars(text: Column, budget: Column | int) -> Column:
 
 
 def truncate_tokens(text: Column, budget: int) -> Column:
-    """Begin and end within a token budget. Token counts follow from lengths here (see count_tokens), so
-    the longest fitting edges have a closed form."""
+    """Begin and end within a token budget. Token counts follow from lengths here (see count_tokens), so the
+    longest fitting edges have a closed form; what is missing is estimated from the edges' own counts."""
     inner = max(0, budget - 48)
     tail = min(256, inner // 10)
     n, tokens = F.length(text), count_tokens(text)
     per = n / F.greatest(tokens, F.lit(1))
-    first, last = F.floor(F.lit(inner - tail) * per).cast("int"), F.floor(F.lit(tail) * per).cast("int")
-    dropped = F.greatest(tokens - F.lit(inner), F.lit(0)).cast("string")
-    note = F.concat(F.lit("\n\n[…truncated ~"), dropped, F.lit(" tokens — raise budget or call the tool with a narrower scope…]\n\n"))
-    return F.when(tokens <= budget, text).otherwise(F.concat(F.substring(text, F.lit(1), first), note, F.when(last > 0, F.right(text, last)).otherwise("")))
+    sizes = F.struct(F.floor(F.lit(inner - tail) * per).cast("int").alias("h"), F.floor(F.lit(tail) * per).cast("int").alias("t"))
+
+    def shown(e: Column) -> Column:
+        kept, chars = count_tokens(e["head"]) + count_tokens(e["tail"]), F.length(e["head"]) + F.length(e["tail"])
+        whole = F.floor(n * F.when(chars > 0, kept / chars).otherwise(0.25))
+        dropped = F.concat(F.greatest(F.lit(0), whole - kept).cast("string"), F.lit(" tokens ("), (n - chars).cast("string"), F.lit(" chars)"))
+        note = F.concat(F.lit("\n\n[…truncated ~"), dropped, F.lit(" — raise budget or call the tool with a narrower scope…]\n\n"))
+        return F.concat(e["head"], note, e["tail"])
+
+    edges = lambda s: F.struct(F.substring(text, F.lit(1), s["h"]).alias("head"), F.when(s["t"] > 0, F.right(text, s["t"])).otherwise("").alias("tail"))
+    cut = F.transform(F.transform(F.array(sizes), edges), shown)[0]
+    return F.when(tokens <= budget, text).otherwise(cut)
 
 
 def human_size(size: Column) -> Column:
-    k = 1024
-    return F.when(size < k, size.cast("string")).when(size < k**2, F.format_string("%.1fK", size / k)).when(size < k**3, F.format_string("%.1fM", size / k**2)).otherwise(F.format_string("%.1fG", size / k**3))
+    """Bytes as 950, 1.5K, 2.0M, 3.1G; halves of a tenth go to the even one, as fractions of two are exact."""
+
+    def tenths(unit: int) -> Column:
+        whole, rest = F.floor(size * 10 / unit), (size * 10) % unit
+        up = (rest * 2 > unit) | ((rest * 2 == unit) & (whole % 2 == 1))
+        n = F.when(up, whole + 1).otherwise(whole).cast("long")
+        return F.concat(F.floor(n / 10).cast("string"), F.lit("."), (n % 10).cast("string"))
+
+    out, k = F.when(size < 1024, size.cast("string")), 1024
+    return out.when(size < k**2, F.concat(tenths(k), F.lit("K"))).when(size < k**3, F.concat(tenths(k**2), F.lit("M"))).otherwise(F.concat(tenths(k**3), F.lit("G")))
 
 
 def result_meta(text: Column) -> Column:

@@ -6,11 +6,23 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import estimated_tokens, savings_percent
+from .windows import newest
 
 
-def rows(results: DataFrame, kind: str, raw: str, filtered: str) -> DataFrame:
-    """Adds savings and token estimates to results."""
-    return results.select("*", F.col(kind).alias("filter_kind"), estimated_tokens(F.col(raw)).alias("raw_tokens"), estimated_tokens(F.col(filtered)).alias("filtered_tokens"), savings_percent(F.col(raw), F.col(filtered)).alias("savings_pct"))
+#: Rows of telemetry that a session keeps.
+KEPT = 10_000
+
+
+def rows(results: DataFrame, kind: str, raw: str, filtered: str, raw_tokens: Column | None = None, filtered_tokens: Column | None = None) -> DataFrame:
+    """Adds savings and tokens to results: counted ones where both are given, else estimates."""
+    counted = raw_tokens is not None and filtered_tokens is not None
+    tokens = (raw_tokens, filtered_tokens) if counted else (estimated_tokens(F.col(raw)), estimated_tokens(F.col(filtered)))
+    return results.select("*", F.col(kind).alias("filter_kind"), tokens[0].alias("raw_tokens"), tokens[1].alias("filtered_tokens"), savings_percent(F.col(raw), F.col(filtered)).alias("savings_pct"), F.lit(not counted).alias("token_counts_are_estimate"))
+
+
+def retained(telemetry: DataFrame, session: str, order: str, keep: int = KEPT) -> DataFrame:
+    """The newest rows of each session."""
+    return newest(telemetry, [session], order, keep)
 
 
 def summary(telemetry: DataFrame, *keys: str) -> DataFrame:
@@ -22,15 +34,60 @@ def summary(telemetry: DataFrame, *keys: str) -> DataFrame:
         F.count_if(~fallback & (kind != "dedupe")).alias("filtered"),
         F.sum("raw_chars").alias("raw_chars"),
         F.sum("filtered_chars").alias("filtered_chars"),
-        F.bround(F.avg(F.when(F.col("raw_chars") > 0, F.col("savings_pct")))).cast("long").alias("mean_savings_pct"),
+        F.sum("raw_tokens").alias("raw_tokens"),
+        F.sum("filtered_tokens").alias("filtered_tokens"),
+        (F.sum("raw_tokens") - F.sum("filtered_tokens")).alias("saved_tokens"),
+        F.coalesce(F.bround(F.avg(F.when(F.col("raw_chars") > 0, F.col("savings_pct")))), F.lit(0)).cast("long").alias("mean_savings_pct"),
+        F.coalesce(F.bool_or("token_counts_are_estimate"), F.lit(False)).alias("token_counts_are_estimate"),
     )
 
 
 def size_bucket(chars: Column) -> Column:
-    out = F.when(chars < 500, "<500")
-    for limit, name in ((2_000, "<2k"), (10_000, "<10k"), (50_000, "<50k"), (100_000, "<100k"), (500_000, "<500k")):
+    out = F.when(chars < 500, "<500B")
+    for limit, name in ((2_000, "500B-2KB"), (10_000, "2-10KB"), (50_000, "10-50KB"), (100_000, "50-100KB"), (500_000, "100-500KB")):
         out = out.when(chars < limit, name)
-    return out.otherwise(">=500k")
+    return out.otherwise(">500KB")
+
+
+#: For the tools of three sources, the tool and the command that stand for them when filtering.
+DISPATCH = {
+    "claude": {"Read": ("read_file", ""), "Bash": ("run_command", ""), "PowerShell": ("run_command", "powershell"), "Edit": ("edit_file", ""), "Write": ("edit_file", ""), "Grep": ("search_content", "rg"), "Glob": ("generic", ""), "WebSearch": ("web_search", ""), "WebFetch": ("web_fetch", ""), "Agent": ("generic", "")},
+    "codex": {"shell_command": ("run_command", ""), "view_image": ("generic", ""), "read_mcp_resource": ("generic", "")},
+    "opencode": {"read": ("read_file", ""), "bash": ("run_command", ""), "edit": ("edit_file", ""), "write": ("edit_file", ""), "grep": ("search_content", "rg"), "glob": ("generic", "")},
+}
+
+
+def dispatched(source: Column, tool: Column) -> Column:
+    """struct(tool, command) to filter a source's tool by; others stand for themselves."""
+    own = lambda t, c: F.struct(F.lit(t).alias("tool") if isinstance(t, str) else t.alias("tool"), F.lit(c).alias("command"))
+    out = F.when(F.lit(False), own(tool, ""))
+    for name, tools in DISPATCH.items():
+        for t, (stands, command) in tools.items():
+            out = out.when((source == name) & (tool == t), own(stands, command))
+    return out.otherwise(own(tool, ""))
+
+
+def by_tool(results: DataFrame) -> DataFrame:
+    """results(tool, raw_chars, filtered_chars) summed by tool: how many, characters before and after, how many
+    shrank by over one percent, how many others were too small, savings."""
+    saved = F.when(F.col("raw_chars") > 0, 100 * (1 - F.col("filtered_chars") / F.col("raw_chars"))).otherwise(0.0)
+    raw, out = F.sum("raw_chars"), F.sum("filtered_chars")
+    return results.groupBy("tool").agg(F.count("*").alias("n"), raw.alias("raw_chars"), out.alias("filtered_chars"), F.count_if(saved > 1).alias("shrunk"), F.count_if(~(saved > 1) & (F.col("raw_chars") < 500)).alias("small"), F.when(raw > 0, F.round(100.0 * (raw - out) / raw, 1)).otherwise(0.0).alias("savings_pct"))
+
+
+def largest(rows: DataFrame, by: str, most: int, *ties: str) -> DataFrame:
+    """The rows with most of something: a report's first lines."""
+    return rows.orderBy(F.desc(by), *ties).limit(most)
+
+
+def run_times(samples: DataFrame, keys: list[str], ms: str) -> DataFrame:
+    """Median and 95th percentile, between samples by rule of three."""
+    return samples.groupBy(*keys).agg(F.percentile(ms, 0.5).alias("median_ms"), F.percentile(ms, 0.95).alias("p95_ms"))
+
+
+def tool_chars(messages: DataFrame, *keys: str) -> DataFrame:
+    """Characters of the contents of tool messages."""
+    return messages.groupBy(*keys).agg(F.sum(F.when(F.col("role") == "tool", F.coalesce(F.length("content"), F.lit(0))).otherwise(0)).alias("tool_chars"))
 
 
 def shown_count(n: Column) -> Column:
@@ -39,15 +96,20 @@ def shown_count(n: Column) -> Column:
 
 
 #: Content types by what a category's name holds, in order.
-CONTENT_TYPES = (("tool_call_args", "tool call arguments"), ("tool_result", "tool results"), ("mcp_result", "tool results"), ("reasoning", "reasoning"), ("thinking", "reasoning"), ("assistant", "assistant text"), ("user", "user text"), ("session_meta", "session metadata"), ("compacted", "compacted history"))
+CONTENT_TYPES = (
+    (("view_image", "base64"), "base64/image"), (("read_file", "read", "cat", "head"), "source_code"), (("bash", "shell", "command", "run_command"), "cli_output"),
+    (("grep", "search", "rg", "glob"), "search_results"), (("edit", "write", "patch"), "edit_content"), (("log", "tail"), "log_output"), (("json", "api", "http"), "json_api"),
+    (("test",), "test_output"), (("session_meta",), "system_prompt"), (("thinking",), "thinking"), (("assistant", "agent_message"), "model_prose"), (("user",), "user_text"), (("compacted",), "compacted"),
+)
 
 
-def content_type(category: Column) -> Column:
-    low = F.lower(category)
-    out = F.when(low.contains(CONTENT_TYPES[0][0]), CONTENT_TYPES[0][1])
-    for part, name in CONTENT_TYPES[1:]:
-        out = out.when(low.contains(part), name)
-    return out.otherwise("other")
+def content_type(category: Column, sample: Column | None = None) -> Column:
+    """By the category's name; results of other servers whose sample looks like base64 are images."""
+    low, out = F.lower(category), F.when(F.lit(False), "")
+    for parts, name in CONTENT_TYPES:
+        out = out.when(low.rlike("|".join(parts)), name)
+    coded = F.lit(False) if sample is None else F.coalesce((F.length(sample) > 100) & F.substring(sample, 1, 200).contains("="), F.lit(False))
+    return out.when(low.contains("mcp_result"), F.when(coded, "base64/image").otherwise("json_api")).otherwise("other")
 
 
 def corpus_stats(chunks: DataFrame, category: str, text: str, tokens: Column) -> DataFrame:
@@ -56,12 +118,20 @@ def corpus_stats(chunks: DataFrame, category: str, text: str, tokens: Column) ->
     return base.rollup("type", "category").agg(F.count("*").alias("n"), F.sum("b").alias("bytes"), F.sum("c").alias("chars"), F.sum("t").alias("tokens"))
 
 
+def corpus_shares(stats: DataFrame) -> DataFrame:
+    """Adds to rows of corpus_stats their shares of all tokens and bytes, the difference of both (positive: more
+    tokens than bytes tell), and characters and bytes a token. The total is the row without type and category."""
+    whole = stats.where("type is null and category is null").select(F.col("tokens").alias("__t"), F.col("bytes").alias("__b"))
+    share = lambda a, b: F.when(F.col(b) > 0, 100.0 * F.col(a) / F.col(b)).otherwise(0.0)
+    out = stats.where("type is not null").join(F.broadcast(whole))  # one row
+    return out.select(*stats.columns, F.round(share("tokens", "__t"), 1).alias("tokens_pct"), F.round(share("bytes", "__b"), 1).alias("bytes_pct"), F.round(share("tokens", "__t") - share("bytes", "__b"), 1).alias("delta"), F.round(F.when(F.col("tokens") > 0, F.col("chars") / F.col("tokens")).otherwise(0.0), 2).alias("chars_per_token"), F.round(F.when(F.col("tokens") > 0, F.col("bytes") / F.col("tokens")).otherwise(0.0), 2).alias("bytes_per_token"))
+
+
 def summary_text(totals: DataFrame) -> DataFrame:
     """The summary as six lines of text."""
-    saved = estimated_tokens(F.col("raw_chars")) - estimated_tokens(F.col("filtered_chars"))
     lines = (
         ("tool output raw: ", shown_count(F.col("raw_chars")), " chars"), ("tool output filtered: ", shown_count(F.col("filtered_chars")), " chars"),
-        ("~saved: ", shown_count(saved), " tokens"), ("average savings: ", F.coalesce(F.col("mean_savings_pct"), F.lit(0)).cast("string"), "%"),
+        ("", F.concat(F.when(F.col("token_counts_are_estimate"), "~").otherwise(""), F.lit("saved: "), shown_count(F.col("saved_tokens"))), " tokens"), ("average savings: ", F.coalesce(F.col("mean_savings_pct"), F.lit(0)).cast("string"), "%"),
         ("dedupes: ", F.col("deduped").cast("string"), ""), ("fallbacks: ", F.col("fallbacks").cast("string"), ""),
     )
     text = F.concat_ws("\n", *[F.concat(F.lit(a), c, F.lit(b)) for a, c, b in lines])

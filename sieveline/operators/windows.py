@@ -8,39 +8,65 @@ from pyspark.sql import functions as F
 from ..functions.text import count_tokens, truncate_chars
 
 
+#: Sequence numbers of one part of a group when occurrences are counted; bounds what one task sorts.
+PART = 1 << 20
+
+
+def occurrences(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """Adds `occurrence`: the how-maniest row of its keys each is by the whole number `order`, ties in any
+    order. A group is counted by parts of PART numbers, so that a hot one isn't sorted in one task."""
+    cut = rows.withColumn("__part", F.floor(F.col(order) / PART))
+    counts = cut.groupBy(*keys, "__part").agg(F.count("*").alias("__c"))
+    before = F.sum("__c").over(Window.partitionBy(*keys).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))
+    counts = counts.withColumn("__before", F.coalesce(before, F.lit(0))).drop("__c")
+    ranked = cut.withColumn("__rank", F.row_number().over(Window.partitionBy(*keys, "__part").orderBy(order)))
+    out = ranked.join(counts, [*keys, "__part"])
+    return out.withColumn("occurrence", F.col("__rank") + F.col("__before")).drop("__part", "__rank", "__before")
+
+
+def repeats(outputs: DataFrame, session: str, seq: str, key: str, ids: list[str]) -> DataFrame:
+    """(ids, occurrence) of outputs whose key came before in their session; `ids` tell outputs apart. Only
+    keys are shuffled here, not texts."""
+    narrow = outputs.where(F.col(key).isNotNull()).select(F.col(session).alias("__s"), F.col(key).alias("__k"), F.col(seq).alias("__q"), *ids)
+    many = narrow.groupBy("__s", "__k").agg(F.count("*").alias("__n")).where("__n > 1").drop("__n")
+    return occurrences(narrow.join(many, ["__s", "__k"]), ["__s", "__k"], "__q").where("occurrence > 1").select(*ids, "occurrence")
+
+
 def repeated_outputs(outputs: DataFrame, session: str, seq: str, text: str) -> DataFrame:
-    """Adds `occurrence`, and `shown`: a marker for every output of a session that came before. Only the
-    hash is shuffled with the keys; the raw ids number the markers of a session in order."""
-    keyed = outputs.withColumn("__h", F.sha2(text, 256))
-    keyed = keyed.withColumn("occurrence", F.row_number().over(Window.partitionBy(session, "__h").orderBy(seq)))
-    ids = Window.partitionBy(session).orderBy(seq).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    keyed = keyed.withColumn("raw_output_id", F.sum(F.when(F.col("occurrence") > 1, 1).otherwise(0)).over(ids))
+    """Adds `occurrence`, and `shown`: a marker for every output of a session that came before. `seq` numbers
+    a session's outputs. Raw ids number the markers of a session in order. Windows carry hashes and numbers;
+    texts only join once."""
+    found = repeats(outputs.withColumn("__h", F.sha2(text, 256)), session, seq, "__h", [session, seq])
+    found = occurrences(found.withColumnRenamed("occurrence", "__o"), [session], seq).withColumnsRenamed({"occurrence": "raw_output_id", "__o": "occurrence"})
+    out = outputs.join(found, [session, seq], "left")
     marker = F.concat(F.lit("[repeated output, occurrence "), F.col("occurrence").cast("string"), F.lit(", raw_output_id="), F.col("raw_output_id").cast("string"), F.lit("]"))
-    return keyed.withColumn("shown", F.when(F.col("occurrence") > 1, marker).otherwise(F.col(text))).drop("__h")
+    out = out.withColumn("shown", F.when(F.col("occurrence") > 1, marker).otherwise(F.col(text)))
+    return out.withColumn("occurrence", F.coalesce("occurrence", F.lit(1)))
 
 
 def sections(messages: DataFrame, payload: str, idx: str, role: str, keep_tail: int) -> DataFrame:
-    """Adds `section`: the leading system rows are the prefix, the last `keep_tail` other rows the tail
-    (where there are more of them), the rest the middle."""
+    """Adds `section` and `guarded`. The leading system rows are the prefix, the last `keep_tail` other rows
+    the tail, the rest the middle; the tail is guarded where there is a middle. A payload is what one request
+    holds, so its windows are small."""
     other = F.when(F.col(role) == "system", 0).otherwise(1)
     upto = Window.partitionBy(payload).orderBy(idx).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     whole = Window.partitionBy(payload)
     out = messages.withColumn("__in", F.max(other).over(upto))
     out = out.withColumns({"__rank": F.sum("__in").over(upto), "__n": F.sum("__in").over(whole)})
-    section = F.when(F.col("__in") == 0, "prefix").when((F.col("__n") > keep_tail) & (F.col("__rank") > F.col("__n") - keep_tail), "tail").otherwise("middle")
-    return out.withColumn("section", section).drop("__in", "__rank", "__n")
+    section = F.when(F.col("__in") == 0, "prefix").when(F.col("__rank") > F.col("__n") - keep_tail, "tail").otherwise("middle")
+    out = out.withColumn("section", section)
+    return out.withColumn("guarded", (F.col("section") == "tail") & (F.col("__n") > keep_tail)).drop("__in", "__rank", "__n")
 
 
 def keep_newest(messages: DataFrame, payload: str, idx: str, role: str, content: str, keep_tail: int, least: int = 200) -> DataFrame:
-    """Replaces tool contents that a later row repeats, before the last `keep_tail` rows; adds `superseded`."""
-    hashed = F.when((F.col(role) == "tool") & (F.length(content) >= least), F.sha2(content, 256))
-    out = messages.withColumn("__h", hashed)
-    last = F.max(idx).over(Window.partitionBy(payload, "__h"))
-    rank = F.row_number().over(Window.partitionBy(payload).orderBy(F.desc(idx)))
-    out = out.withColumns({"__last": last, "__rank": rank})
-    old = F.col("__h").isNotNull() & (F.col(idx) < F.col("__last")) & (F.col("__rank") > keep_tail)
+    """Replaces tool contents that a later row of the payload repeats, before the guarded tail; adds `superseded`."""
+    out = messages if "guarded" in messages.columns else sections(messages, payload, idx, role, keep_tail)
+    out = out.withColumn("__h", F.when((F.col(role) == "tool") & (F.length(content) >= least), F.sha2(content, 256)))
+    out = out.withColumn("__last", F.max(idx).over(Window.partitionBy(payload, "__h")))
+    old = F.col("__h").isNotNull() & (F.col(idx) < F.col("__last")) & ~F.col("guarded")
     marker = F.concat(F.lit("[superseded by identical re-read below — "), F.format_number(F.length(content), 0), F.lit(" chars omitted]"))
-    return out.withColumn("superseded", F.coalesce(old, F.lit(False))).withColumn(content, F.when(F.col("superseded"), marker).otherwise(F.col(content))).drop("__h", "__last", "__rank")
+    out = out.withColumn("superseded", F.coalesce(old, F.lit(False)))
+    return out.withColumn(content, F.when(F.col("superseded"), marker).otherwise(F.col(content))).select(*messages.columns, "superseded")
 
 
 def shrink_results(messages: DataFrame, role: str, content: str, budget: int) -> DataFrame:
@@ -56,9 +82,9 @@ def message_tokens(content: Column, calls: Column | None = None) -> Column:
     return own + (F.coalesce(count_tokens(calls), F.lit(0)) if calls is not None else F.lit(0))
 
 
-def completed_calls(calls: DataFrame, results: DataFrame, keys: list[str]) -> DataFrame:
-    """Calls that have a result."""
-    return calls.join(results.select(*keys), keys, "left_semi")
+def completed_calls(calls: DataFrame, results: DataFrame, keys: list[str], completed: bool = True) -> DataFrame:
+    """Calls that have a result, or those that have none."""
+    return calls.join(results.select(*keys), keys, "left_semi" if completed else "left_anti")
 
 
 def named_results(results: DataFrame, calls: DataFrame, key: list[str], name: str, order: str) -> DataFrame:
@@ -73,19 +99,53 @@ def newest(rows: DataFrame, keys: list[str], order: str, keep: int) -> DataFrame
 
 
 def even_sample(rows: DataFrame, keys: list[str], order: str, most: int) -> DataFrame:
-    """Every n-th row of each key so that at most `most` stay, spread evenly."""
-    w = Window.partitionBy(*keys)
-    out = rows.withColumns({"__i": F.row_number().over(w.orderBy(order)) - 1, "__n": F.count("*").over(w)})
-    step = F.col("__n") / most
-    slot = F.floor((F.col("__i") + 1) / step - F.lit(1e-9))
-    first = F.floor(slot * step) == F.col("__i")
-    return out.where((F.col("__n") <= most) | (first & (slot < most))).drop("__i", "__n")
+    """Rows of each key at the whole part of every n/most-th place, so that `most` stay, spread evenly; all
+    of a key with fewer. In whole numbers: place i is taken if some k < most has floor(k*n/most) = i."""
+    out = rows.join(rows.groupBy(*keys).agg(F.count("*").alias("__n")), keys)
+    out = occurrences(out, keys, order).withColumn("__i", F.col("occurrence").cast("long") - 1).drop("occurrence")
+    out = out.withColumn("__k", F.expr(f"(__i * {most} + __n - 1) div __n"))  # the least k whose place isn't before i
+    taken = (F.col("__k") < most) & (F.expr(f"(__k * __n) div {most}") == F.col("__i"))
+    return out.where((F.col("__n") <= most) | taken).drop("__i", "__n", "__k")
+
+
+def every_nth(rows: DataFrame, order: str, most: int) -> DataFrame:
+    """Every (n div most)-th row in order, `most` of them at most."""
+    n = rows.count()
+    if n <= most:
+        return rows
+    step = n // most
+    ranked = rows.withColumn("__i", F.row_number().over(Window.orderBy(order)) - 1)
+    return ranked.where((F.col("__i") % step == 0) & (F.col("__i") < step * most)).drop("__i")
+
+
+def snapshots(messages: DataFrame, payload: str, idx: str, role: str, content: str, least: int, last: int | None = None) -> DataFrame:
+    """(payload, idx, chars) of every tool row whose prefix has at least `least` characters; with `last`, of
+    the last so many tool rows of a payload where none has."""
+    upto = Window.partitionBy(payload).orderBy(idx).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    narrow = messages.select(payload, idx, role, F.coalesce(F.length(content), F.lit(0)).alias("__c"))
+    tools = narrow.withColumn("chars", F.sum("__c").over(upto)).where(F.col(role) == "tool").select(payload, idx, "chars")
+    large = tools.where(F.col("chars") >= least)
+    if last is None:
+        return large
+    return large.unionByName(newest(tools.join(large.select(payload), payload, "left_anti"), [payload], idx, last))
 
 
-def snapshots(messages: DataFrame, payload: str, idx: str, role: str, content: str, least: int) -> DataFrame:
-    """(payload, idx, chars) of every tool row whose prefix has at least `least` characters."""
-    upto = Window.partitionBy(payload).orderBy(idx).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return messages.withColumn("chars", F.sum(F.coalesce(F.length(content), F.lit(0))).over(upto)).where((F.col(role) == "tool") & (F.col("chars") >= least)).select(payload, idx, "chars")
+def expanded(messages: DataFrame, chosen: DataFrame, payload: str, idx: str) -> DataFrame:
+    """The messages of each chosen snapshot (payload, idx): all up to its row; adds `snapshot`, its idx."""
+    ends = chosen.select(payload, F.col(idx).alias("snapshot"))
+    return messages.join(ends, payload).where(F.col(idx) <= F.col("snapshot"))
+
+
+#: Characters kept of a stored output, outputs kept of a session.
+STORED_CHARS, STORED = 256_000, 200
+
+
+def stored(outputs: DataFrame, session: str, seq: str, raw: str, keep: int = STORED) -> DataFrame:
+    """The raw store of each session: outputs numbered from 1 in order, the newest kept, texts capped."""
+    ids = Window.partitionBy(session).orderBy(seq)
+    narrow = outputs.select(session, seq).withColumn("raw_id", F.row_number().over(ids))
+    kept = newest(narrow, [session], "raw_id", keep)
+    return outputs.join(kept, [session, seq]).withColumn(raw, F.substring(raw, 1, STORED_CHARS))
 
 
 def stored_view(raw: Column, tail_lines: int, max_chars: int) -> Column:

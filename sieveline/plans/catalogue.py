@@ -2,31 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import LEVELS, limits
 from ..functions import classify, text as T
 from ..functions import lines as L
-from ..operators import budget, facts, filters, structured, telemetry, windows
+from ..operators import budget, filters, structured, telemetry, windows
 from ..sources import corpora as C
-from ..sources import sessions
-from . import pipeline
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
+from . import filter_queries, log_queries, message_queries, pipeline  # noqa: F401 (they register their queries)
+from .registry import ORACLE_SQL, QUERIES, query
 
-    return add
+__all__ = ["ORACLE_SQL", "QUERIES", "entry"]
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,10 +61,10 @@ def noise_norm(spark, sf_dir):
     return C.table(spark, sf_dir, "events").select("event_id", T.normalize_noise(line).alias("line"))
 
 
-@query("""SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN '[Binary output suppressed — 4 NUL bytes, ' || format('{:.1f}', length(trim(substr(text, 1, 10))) * 100.0 / (200 + length(substr(text, 1, 10)))) || '% text content.]' END AS message FROM documents WHERE NOT contains(substr(text, 1, 10), chr(10))""")
+@query("""SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN '[Binary output suppressed — 4 NUL bytes, ' || format('{:.1f}', length(regexp_replace(substr(text, 1, 10), '^\\s+|\\s+$', '', 'g')) * 100.0 / (200 + length(substr(text, 1, 10)))) || '% text content.]' END AS message FROM documents""")
 def binary_flag(spark, sf_dir):
     t = F.when(F.col("doc_id") % 5 == 0, F.concat(F.repeat(F.lit("\0"), F.lit(200)), F.substring("text", 1, 10))).otherwise(F.col("text"))
-    return C.table(spark, sf_dir, "documents").where(~F.substring("text", 1, 10).contains("\n")).select("doc_id", T.binary_message(t).alias("message"))
+    return C.table(spark, sf_dir, "documents").select("doc_id", T.binary_message(t).alias("message"))
 
 
 @query("""SELECT doc_id, substr(text, 1, 2000) || chr(10) || '[... Output truncated: ' || format('{:,}', length(text)) || ' chars (limit: 5,000). Showing first 2,000 and last 1,000 chars. Use targeted queries or narrower tool scope to see the full output. ...]' || chr(10) || right(text, 1000) AS preview FROM documents WHERE length(text) > 5000""")
@@ -102,7 +89,7 @@ _BASE = "string_split_regex(regexp_replace(command, '^(?:npx|pnpm|yarn\\s+run|ya
  FROM (SELECT command, {_BASE} AS base FROM ({_EVENTS}))) GROUP BY ALL""")
 def classify_commands(spark, sf_dir):
     c = C.table(spark, sf_dir, "events").select(C.picked(C.COMMANDS, "event_id").alias("command"))
-    return c.select("command", classify.command_category(F.col("command")).alias("category"), classify.is_verbose(F.col("command")).alias("detailed")).groupBy("command", "category", "detailed").agg(F.count("*").alias("n"))
+    return c.groupBy("command").agg(F.count("*").alias("n")).select("command", classify.command_category(F.col("command")).alias("category"), classify.is_verbose(F.col("command")).alias("detailed"), "n")
 
 
 @query(f"""SELECT tool, CASE tool WHEN 'raw_output' THEN 'passthrough' WHEN 'run_command' THEN 'shell' WHEN 'read_file' THEN 'read_file' WHEN 'edit_file' THEN 'edit_file' WHEN 'search_content' THEN 'search' WHEN 'list_jobs' THEN 'logs' WHEN 'mcp__db' THEN 'json' ELSE 'generic' END AS category, count(*) AS n FROM ({_EVENTS}) GROUP BY ALL""")
@@ -141,58 +128,58 @@ def dup_run_collapse(spark, sf_dir):
     return C.table(spark, sf_dir, "documents").select("doc_id", L.let(L.split_lines(F.col("text")), lambda x: L.joined(L.collapse_runs(x, 2))).alias("thinned"))
 
 
-_COMMITS = "SELECT o_custkey % 7 AS key, string_agg(substr(md5(CAST(o_orderkey AS VARCHAR)), 1, 9) || ' order ' || o_orderkey, chr(10) ORDER BY o_orderkey) AS text FROM orders GROUP BY 1"
+_COMMITS = "SELECT o_orderkey // 500 AS key, string_agg(substr(md5(CAST(o_orderkey AS VARCHAR)), 1, 9) || ' order ' || o_orderkey, chr(10) ORDER BY o_orderkey) AS text FROM orders GROUP BY 1"
 
 
 @query(f"""SELECT key, array_to_string(CASE WHEN len(l) > 40 THEN list_concat(list_concat(l[1:25], ['', '[... ' || (len(l) - 40) || ' commits omitted ...]', '']), l[-15:]) ELSE l END, chr(10)) AS output, len(l) > 40 AS truncated FROM (SELECT key, string_split(text, chr(10)) AS l FROM ({_COMMITS}))""")
 def git_log_window(spark, sf_dir):
-    o = C.table(spark, sf_dir, "orders").withColumn("k", F.col("o_custkey") % 7)
+    o = C.table(spark, sf_dir, "orders").withColumn("k", F.expr("o_orderkey div 500"))
     t = C.lines_of(o, "k", "o_orderkey", F.concat(F.substring(F.md5(F.col("o_orderkey").cast("string")), 1, 9), F.lit(" order "), F.col("o_orderkey")))
     return t.select("key", filters.git_log(F.col("text"), 25, 15).alias("r")).select("key", "r.*")
 
 
-@query("""WITH s AS (SELECT p_size % 5 AS key, p_partkey AS o, CASE p_partkey % 3 WHEN 0 THEN 'MM' WHEN 1 THEN 'AM' ELSE '??' END AS st, p_brand || '/' AS dir, 'f' || p_partkey || '.py' AS name FROM part),
+@query("""WITH s AS (SELECT p_partkey // 100 AS key, p_partkey AS o, CASE p_partkey % 3 WHEN 0 THEN 'MM' WHEN 1 THEN 'AM' ELSE '??' END AS st, p_brand || '/' AS dir, 'f' || p_partkey || '.py' AS name FROM part),
  g AS (SELECT key, st, dir, min(o) AS first, list(name ORDER BY o) AS names FROM s GROUP BY ALL)
 SELECT key, string_agg(st || ' ' || dir || array_to_string(names[1:10], ', ') || CASE WHEN len(names) > 10 THEN ', +' || (len(names) - 10) || ' more' ELSE '' END, chr(10) ORDER BY first) AS output, TRUE AS truncated FROM g GROUP BY key""")
 def git_status_group(spark, sf_dir):
-    p = C.table(spark, sf_dir, "part").withColumn("k", F.col("p_size") % 5)
+    p = C.table(spark, sf_dir, "part").withColumn("k", F.expr("p_partkey div 100"))
     status = F.when(F.col("p_partkey") % 3 == 0, "MM").when(F.col("p_partkey") % 3 == 1, "AM").otherwise("??")
     t = C.lines_of(p, "k", "p_partkey", F.concat(status, F.lit(" "), F.col("p_brand"), F.lit("/f"), F.col("p_partkey"), F.lit(".py")))
     return t.select("key", filters.git_status(F.col("text"), 50, 30, 10).alias("r")).select("key", "r.*")
 
 
-@query("""WITH l AS (SELECT l_orderkey % 5 AS key, l_orderkey, l_linenumber, l_partkey, l_quantity, CASE WHEN l_linenumber % 2 = 0 THEN '+' ELSE '-' END || 'q' || CAST(l_quantity AS INT) AS line FROM lineitem WHERE l_orderkey <= 2000),
+@query("""WITH l AS (SELECT l_orderkey // 100 AS key, l_orderkey, l_linenumber, l_partkey, l_quantity, CASE WHEN l_linenumber % 2 = 0 THEN '+' ELSE '-' END || 'q' || CAST(l_quantity AS INT) AS line FROM lineitem),
  s AS (SELECT key, l_orderkey, list(line ORDER BY l_linenumber, l_partkey, l_quantity) AS b FROM l GROUP BY ALL),
  c AS (SELECT key, l_orderkey, 'diff --git a/f' || l_orderkey || ' b/f' || l_orderkey AS h, b, ['--- a/f' || l_orderkey, '+++ b/f' || l_orderkey] AS hh FROM s),
  d AS (SELECT key, l_orderkey, CASE WHEN len(b) + 3 <= 5 OR len(b) <= 3 THEN list_concat(list_concat([h], hh), b) ELSE list_concat(list_concat(list_concat([h], hh), [b[1], b[-1]]), ['', '[... ' || (len(b) - 2) || ' lines omitted in this file ...]', '']) END AS lines FROM c)
 SELECT key, string_agg(array_to_string(lines, chr(10)), chr(10) ORDER BY l_orderkey) AS output, TRUE AS truncated FROM d GROUP BY key""")
 def git_diff_sections(spark, sf_dir):
-    li = C.table(spark, sf_dir, "lineitem").where("l_orderkey <= 2000")
+    li = C.table(spark, sf_dir, "lineitem")
     li = li.withColumn("o", F.struct("l_linenumber", "l_partkey", "l_quantity"))
     body = C.lines_of(li, "l_orderkey", "o", F.concat(F.when(F.col("l_linenumber") % 2 == 0, "+").otherwise("-"), F.lit("q"), F.col("l_quantity").cast("int")))
     file = F.concat(F.lit("f"), F.col("key"))
-    body = body.select((F.col("key") % 5).alias("k"), "key", F.concat(F.lit("diff --git a/"), file, F.lit(" b/"), file, F.lit("\n--- a/"), file, F.lit("\n+++ b/"), file, F.lit("\n"), F.col("text")).alias("t"))
+    body = body.select(F.expr("key div 100").alias("k"), "key", F.concat(F.lit("diff --git a/"), file, F.lit(" b/"), file, F.lit("\n--- a/"), file, F.lit("\n+++ b/"), file, F.lit("\n"), F.col("text")).alias("t"))
     texts = C.lines_of(body, "k", "key", F.col("t"))
-    return structured.apply(texts, F.lit("git-diff"), F.col("text"), limits("high", {})).select("key", "output", "truncated")
+    return texts.select("key", filters.git_diff(F.col("text"), 5, 5).alias("r")).select("key", "r.*")
 
 
-@query("""WITH m AS (SELECT l_suppkey % 6 AS key, 'src/o' || l_orderkey || '.py' AS path, l_orderkey AS o, l_linenumber AS n, l_partkey AS p FROM lineitem WHERE l_orderkey <= 3000),
+@query("""WITH m AS (SELECT l_orderkey // 60 AS key, 'src/o' || l_orderkey || '.py' AS path, l_orderkey AS o, l_linenumber AS n, l_partkey AS p FROM lineitem),
  a AS (SELECT *, row_number() OVER (PARTITION BY key, path ORDER BY n, p) AS rn, count(*) OVER (PARTITION BY key, path) AS k, dense_rank() OVER (PARTITION BY key ORDER BY o) AS f FROM m),
  g AS (SELECT key, f, path, max(k) AS k, list('  ' || n || ': part ' || p ORDER BY n, p) FILTER (rn <= 3) AS ls FROM a WHERE f <= 8 GROUP BY ALL),
  t AS (SELECT key, array_to_string(list_concat(list_concat([path], ls), CASE WHEN k > 3 THEN ['  [... ' || (k - 3) || ' more matches in ' || path || ' ...]'] ELSE [] END), chr(10)) AS part, f FROM g),
  x AS (SELECT key, max(f) - 8 AS files, count(*) FILTER (f > 8) AS ms FROM a GROUP BY key)
 SELECT t.key, string_agg(part, chr(10) || chr(10) ORDER BY f) || CASE WHEN any_value(files) > 0 THEN chr(10) || chr(10) || '[... ' || any_value(files) || ' more files with ' || any_value(ms) || ' matches omitted ...]' ELSE '' END AS output, TRUE AS truncated FROM t JOIN x USING (key) GROUP BY t.key""")
 def search_cap(spark, sf_dir):
-    li = C.table(spark, sf_dir, "lineitem").where("l_orderkey <= 3000").withColumns({"k": F.col("l_suppkey") % 6, "o": F.struct("l_orderkey", "l_linenumber", "l_partkey")})
+    li = C.table(spark, sf_dir, "lineitem").withColumns({"k": F.expr("l_orderkey div 60"), "o": F.struct("l_orderkey", "l_linenumber", "l_partkey")})
     t = C.lines_of(li, "k", "o", F.concat(F.lit("src/o"), F.col("l_orderkey"), F.lit(".py:"), F.col("l_linenumber"), F.lit(":part "), F.col("l_partkey")))
-    return structured.apply(t, F.lit("search"), F.col("text"), limits("high", {})).select("key", "output", "truncated")
+    return t.select("key", filters.search(F.col("text"), 3, 8, 10, 15).alias("r")).select("key", "r.*")
 
 
-@query("""WITH l AS (SELECT user_id % 9 AS key, list(CASE WHEN event_type IN ('error', 'purchase') AND event_id % 50 = 0 THEN 'error in ' || event_id ELSE 'ok ' || event_type || ' ' || event_id END ORDER BY event_id) AS l FROM events GROUP BY 1),
- w AS (SELECT key, l, l[1:15] AS h, l[-30:] AS t, list_filter(l[16:-31], lambda x: regexp_matches(x, '\\berror\\b')) AS imp FROM l)
-SELECT key, array_to_string(list_concat(list_concat(list_concat(list_concat(list_concat(h, ['', '[... ' || (len(l) - 45) || ' lines omitted ...]']), CASE WHEN len(imp) > 0 THEN ['', 'Important lines from omitted output:'] ELSE [] END), imp), ['']), t), chr(10)) AS output, TRUE AS truncated FROM w""")
+@query("""WITH l AS (SELECT event_id // 700 AS key, list(CASE WHEN event_type IN ('error', 'purchase') AND event_id % 50 = 0 THEN 'error in ' || event_id ELSE 'ok ' || event_type || ' ' || event_id END ORDER BY event_id) AS l FROM events GROUP BY 1),
+ w AS (SELECT key, l, l[1:15] AS h, l[-30:] AS t, len(l) > 45 AS long, list_filter(l[16:-31], lambda x: regexp_matches(x, '\\berror\\b')) AS imp FROM l)
+SELECT key, CASE WHEN NOT long THEN array_to_string(l, chr(10)) ELSE array_to_string(list_concat(list_concat(list_concat(list_concat(list_concat(h, ['', '[... ' || (len(l) - 45) || ' lines omitted ...]']), CASE WHEN len(imp) > 0 THEN ['', 'Important lines from omitted output:'] ELSE [] END), imp), ['']), t), chr(10)) END AS output, long AS truncated FROM w""")
 def logs_important(spark, sf_dir):
-    e = C.table(spark, sf_dir, "events").withColumn("k", F.col("user_id") % 9)
+    e = C.table(spark, sf_dir, "events").withColumn("k", F.expr("event_id div 700"))
     line = F.when(F.col("event_type").isin("error", "purchase") & (F.col("event_id") % 50 == 0), F.concat(F.lit("error in "), F.col("event_id"))).otherwise(F.concat(F.lit("ok "), F.col("event_type"), F.lit(" "), F.col("event_id")))
     return C.lines_of(e, "k", "event_id", line).select("key", filters.logs(F.col("text"), 15, 30, 3).alias("r")).select("key", "r.*")
 
@@ -200,13 +187,14 @@ def logs_important(spark, sf_dir):
 _SIZE = "CASE WHEN s < 1024 THEN CAST(s AS VARCHAR) WHEN s < 1048576 THEN format('{:.1f}K', s / 1024.0) ELSE format('{:.1f}M', s / 1048576.0) END"
 
 
-@query(f"""WITH l AS (SELECT p_size % 4 AS key, p_partkey AS o, CAST(p_retailprice * 700 AS BIGINT) AS s, p_partkey % 6 = 0 AS d, p_size + 1 AS n FROM part)
-SELECT key, 'total 64' || chr(10) || string_agg(CASE WHEN d THEN 'd' || o || '/             (dir' || CASE WHEN n > 2 THEN ', ' || (n - 2) || ' entries' ELSE '' END || ')' ELSE 'f' || o || '.txt     ' || {_SIZE} END, chr(10) ORDER BY o) AS output, TRUE AS truncated FROM l GROUP BY key""")
+@query(f"""WITH l AS (SELECT p_partkey // 80 AS key, p_partkey AS o, CAST(p_retailprice * 700 AS BIGINT) AS s, p_partkey % 6 = 0 AS d, p_size + 1 AS n FROM part)
+SELECT key, 'total 64' || chr(10) || string_agg(CASE WHEN d THEN 'd' || o || '/             (dir' || CASE WHEN n > 2 THEN ', ' || (n - 2) || ' entries' ELSE '' END || ')' ELSE 'f' || o || '.txt     ' || {_SIZE} END, chr(10) ORDER BY o) AS output, TRUE AS truncated FROM l GROUP BY key HAVING count(*) >= 3""")
 def ls_abbrev(spark, sf_dir):
-    p = C.table(spark, sf_dir, "part").withColumns({"k": F.col("p_size") % 4, "d": F.col("p_partkey") % 6 == 0})
+    p = C.table(spark, sf_dir, "part").withColumns({"k": F.expr("p_partkey div 80"), "d": F.col("p_partkey") % 6 == 0})
     line = F.concat(F.when(F.col("d"), "drwxr-xr-x").otherwise("-rw-r--r--"), F.lit("  "), F.col("p_size") + 1, F.lit(" me staff  "), (F.col("p_retailprice") * 700).cast("decimal(20,0)").cast("long"), F.lit(" May 26 14:30 "), F.when(F.col("d"), F.concat(F.lit("d"), F.col("p_partkey"))).otherwise(F.concat(F.lit("f"), F.col("p_partkey"), F.lit(".txt"))))
     t = C.lines_of(p, "k", "p_partkey", line).select("key", F.concat(F.lit("total 64\n"), F.col("text")).alias("text"))
-    return structured.apply(t, F.lit("ls-tree"), F.col("text"), limits("balanced", {})).select("key", "output", "truncated")
+    t = t.where(F.size(F.split("text", "\n")) > 3)  # a shorter listing isn't one
+    return t.select("key", filters.listing(F.col("text"), 50, 20, 30).alias("r")).select("key", "r.*")
 
 
 @query("""SELECT s_suppkey, s_name || '|' || s_nationkey || '|' || CAST(floor(s_acctbal) AS INT) || '|' AS line FROM supplier""")
@@ -223,26 +211,26 @@ def build_summary(spark, sf_dir):
     return t.select("key", filters.build(F.concat("text", F.lit("\nBUILD SUCCESSFUL in 12s")), 15, 25).alias("r")).select("key", "r.*")
 
 
-_TABLE = "SELECT user_id % 11 AS key, list(struct_pack(id := event_id, kind := event_type, n := event_id % 4) ORDER BY event_id) AS l FROM events WHERE event_id <= 4000 GROUP BY 1"
+_TABLE = "SELECT event_id // 90 AS key, list(struct_pack(id := event_id, kind := event_type, n := event_id % 4) ORDER BY event_id) AS l FROM events GROUP BY 1"
 
 
 @query(f"""SELECT key, 'id,kind,n' || chr(10) || array_to_string(list_transform(l[1:20], lambda r: r.id || ',' || r.kind || ',' || r.n), chr(10)) || CASE WHEN len(l) > 20 THEN chr(10) || '[... ' || (len(l) - 20) || ' more rows, keys: id, kind, n]' ELSE '' END AS csv FROM ({_TABLE})""")
 def json_csv(spark, sf_dir):
-    e = C.table(spark, sf_dir, "events").where("event_id <= 4000").withColumn("k", F.col("user_id") % 11)
+    e = C.table(spark, sf_dir, "events").withColumn("k", F.expr("event_id div 90"))
     rows = e.groupBy(F.col("k").alias("key")).agg(F.array_sort(F.collect_list(F.struct(F.col("event_id").alias("id"), F.col("event_type").alias("kind"), (F.col("event_id") % 4).alias("n")))).alias("l"))
-    return structured.apply(rows.select("key", F.to_json("l").alias("text")), F.lit("json-csv"), F.col("text"), limits("balanced", {})).select("key", F.col("output").alias("csv"))
+    return structured.apply(rows.select("key", F.to_json("l").alias("text")), "json", F.col("text"), limits("balanced", {})).select("key", F.col("output").alias("csv"))
 
 
 @query("""SELECT c_custkey, 'name: ' || c_name || chr(10) || 'nation: ' || c_nationkey || chr(10) || 'segment: ' || c_mktsegment || chr(10) || 'active: ' || CASE WHEN c_custkey % 2 = 0 THEN 'true' ELSE 'false' END AS kv FROM customer""")
 def json_kv(spark, sf_dir):
     c = C.table(spark, sf_dir, "customer").select("c_custkey", F.to_json(F.struct(F.col("c_name").alias("name"), F.col("c_nationkey").alias("nation"), F.col("c_mktsegment").alias("segment"), (F.col("c_custkey") % 2 == 0).alias("active"))).alias("text"))
-    return structured.apply(c, F.lit("json-kv"), F.col("text"), limits("balanced", {})).select("c_custkey", F.col("output").alias("kv"))
+    return structured.apply(c, "json", F.col("text"), limits("balanced", {})).select("c_custkey", F.col("output").alias("kv"))
 
 
 @query("""SELECT c_custkey, 'id: ' || c_custkey || chr(10) || 'who.name: ' || c_name || chr(10) || 'who.home.nation: ' || c_nationkey AS dotted FROM customer""")
 def json_dotted(spark, sf_dir):
     c = C.table(spark, sf_dir, "customer").select("c_custkey", F.to_json(F.struct(F.col("c_custkey").alias("id"), F.struct(F.col("c_name").alias("name"), F.struct(F.col("c_nationkey").alias("nation")).alias("home")).alias("who"))).alias("text"))
-    return structured.apply(c, F.lit("json-dotted"), F.col("text"), limits("balanced", {})).select("c_custkey", F.col("output").alias("dotted"))
+    return structured.apply(c, "json", F.col("text"), limits("balanced", {})).select("c_custkey", F.col("output").alias("dotted"))
 
 
 @query("""WITH f AS (SELECT p_partkey AS key, p_size, CASE WHEN p_size % 4 = 0 THEN 'import a' || p_partkey || chr(10) || 'import b' || chr(10) || 'from c import d' || chr(10) || 'import e' ELSE 'import a' || p_partkey END AS imports FROM part)
@@ -251,18 +239,18 @@ def read_file_imports(spark, sf_dir):
     p = C.table(spark, sf_dir, "part")
     imports = F.when(F.col("p_size") % 4 == 0, F.concat(F.lit("import a"), F.col("p_partkey"), F.lit("\nimport b\nfrom c import d\nimport e"))).otherwise(F.concat(F.lit("import a"), F.col("p_partkey")))
     t = p.select(F.col("p_partkey").alias("key"), F.concat(imports, F.lit("\n\n\n\nx = "), F.col("p_size"), F.lit("\ny = 2")).alias("text"))
-    return structured.apply(t, F.lit("read_file"), F.col("text"), limits("balanced", {})).select("key", "output")
+    return structured.apply(t, "read_file", F.col("text"), limits("balanced", {})).select("key", "output")
 
 
-@query("""WITH l AS (SELECT s_suppkey % 9 AS key, s_suppkey, CASE WHEN s_suppkey % 4 = 1 THEN '    at com.acme.S' || s_suppkey || '.run(S.java:1)' ELSE '    at org.springframework.S' || s_suppkey || '.run(S.java:1)' END AS line, s_suppkey % 4 = 1 AS app FROM supplier),
- r AS (SELECT *, sum(CASE WHEN app THEN 1 ELSE 0 END) OVER (PARTITION BY key ORDER BY s_suppkey) AS g, count(*) FILTER (app) OVER (PARTITION BY key) AS apps, count(*) OVER (PARTITION BY key) AS n FROM l),
- e AS (SELECT key, min(s_suppkey) AS o, CASE WHEN app THEN any_value(line) ELSE '[... ' || count(*) || ' framework frames (org.springframework) ...]' END AS line FROM r WHERE apps > 0 AND n >= 5 GROUP BY key, g, app)
+@query("""WITH l AS (SELECT s_suppkey // 7 AS key, s_suppkey, CASE WHEN s_suppkey % 4 = 1 THEN '    at com.acme.S' ELSE '    at org.springframework.S' END || s_suppkey || '.run(S.java:1)' AS line, s_suppkey % 4 = 1 AS app FROM supplier),
+ r AS (SELECT *, sum(CASE WHEN app THEN 1 ELSE 0 END) OVER w AS g, count(*) FILTER (app) OVER (PARTITION BY key) AS apps, count(*) OVER (PARTITION BY key) AS n FROM l WINDOW w AS (PARTITION BY key ORDER BY s_suppkey)),
+ e AS (SELECT key, min(s_suppkey) AS o, line FROM r WHERE n < 5 GROUP BY key, line
+  UNION ALL SELECT key, min(s_suppkey), CASE WHEN app THEN any_value(line) ELSE '[... ' || count(*) || ' framework frames (org.springframework) ...]' END FROM r WHERE apps > 0 AND n >= 5 GROUP BY key, g, app)
 SELECT key, 'Exception: x' || chr(10) || string_agg(line, chr(10) ORDER BY o) AS output FROM e GROUP BY key""")
 def stack_frames(spark, sf_dir):
-    s = C.table(spark, sf_dir, "supplier").withColumns({"k": F.col("s_suppkey") % 9, "app": F.col("s_suppkey") % 4 == 1})
-    t = C.lines_of(s, "k", "s_suppkey", F.concat(F.lit("    at "), F.when(F.col("app"), "com.acme.S").otherwise("org.springframework.S"), F.col("s_suppkey"), F.lit(".run(S.java:1)")))
-    t = t.where(F.col("text").contains("com.acme") & (F.size(F.split("text", "\n")) >= 5)).select("key", F.concat(F.lit("Exception: x\n"), F.col("text")).alias("text"))
-    return structured.apply(t, F.lit("stack"), F.col("text"), limits("balanced", {})).select("key", "output")
+    s = C.table(spark, sf_dir, "supplier").withColumn("k", F.expr("s_suppkey div 7"))
+    t = C.lines_of(s, "k", "s_suppkey", F.concat(F.lit("    at "), F.when(F.col("s_suppkey") % 4 == 1, "com.acme.S").otherwise("org.springframework.S"), F.col("s_suppkey"), F.lit(".run(S.java:1)")))
+    return t.select("key", filters.generic(F.concat(F.lit("Exception: x\n"), F.col("text")), 20, 30)["output"].alias("output"))
 
 
 _REPEATS = """SELECT lang, doc_id, text, row_number() OVER (PARTITION BY lang, sha256(text) ORDER BY doc_id) AS occurrence FROM documents"""
@@ -273,11 +261,12 @@ def dedupe_cross_turn(spark, sf_dir):
     return windows.repeated_outputs(C.table(spark, sf_dir, "documents"), "lang", "doc_id", "text").select("doc_id", F.col("occurrence").cast("long").alias("occurrence"), "shown")
 
 
-@query("""WITH d AS (SELECT lang, doc_id, text, max(CASE WHEN length(text) >= 200 THEN doc_id END) OVER (PARTITION BY lang, sha256(text)) AS last, row_number() OVER (PARTITION BY lang ORDER BY doc_id DESC) AS rk FROM documents)
-SELECT doc_id, coalesce(length(text) >= 200 AND doc_id < last AND rk > 10, FALSE) AS superseded, CASE WHEN length(text) >= 200 AND doc_id < last AND rk > 10 THEN '[superseded by identical re-read below — ' || format('{:,}', length(text)) || ' chars omitted]' ELSE text END AS text FROM d""")
+@query("""WITH d AS (SELECT doc_id, text, max(CASE WHEN length(text) >= 200 THEN doc_id END) OVER (PARTITION BY doc_id // 400, sha256(text)) AS last, row_number() OVER (PARTITION BY doc_id // 400 ORDER BY doc_id DESC) AS rk, count(*) OVER (PARTITION BY doc_id // 400) AS n FROM documents),
+ o AS (SELECT *, coalesce(length(text) >= 200 AND doc_id < last AND (rk > 10 OR n <= 10), FALSE) AS superseded FROM d)
+SELECT doc_id, superseded, CASE WHEN superseded THEN '[superseded by identical re-read below — ' || format('{:,}', length(text)) || ' chars omitted]' ELSE text END AS text FROM o""")
 def dedupe_keep_newest(spark, sf_dir):
-    d = C.table(spark, sf_dir, "documents").withColumn("role", F.lit("tool"))
-    return windows.keep_newest(d, "lang", "doc_id", "role", "text", 10).select("doc_id", "superseded", "text")
+    d = C.table(spark, sf_dir, "documents").select(F.expr("doc_id div 400").alias("payload"), "doc_id", F.lit("tool").alias("role"), "text")
+    return windows.keep_newest(d, "payload", "doc_id", "role", "text", 10).select("doc_id", "superseded", "text")
 
 
 @query("""SELECT conv_id, turn, CASE WHEN role = 'assistant' AND length(text) > 200 THEN substr(text, 1, 180) || E'\\n\\n[…truncated ' || (length(text) - 200) || E' chars — raise budget or call the tool with a narrower scope…]\\n\\n' || right(text, 20) ELSE text END AS text FROM conversations""")
@@ -288,7 +277,7 @@ def shrink_chars(spark, sf_dir):
 
 @query("""WITH a AS (SELECT *, max(CASE WHEN role <> 'system' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn) AS i FROM conversations),
  b AS (SELECT *, sum(i) OVER (PARTITION BY conv_id ORDER BY turn) AS rk, sum(i) OVER (PARTITION BY conv_id) AS n FROM a)
-SELECT conv_id, turn, CASE WHEN i = 0 THEN 'prefix' WHEN n > 3 AND rk > n - 3 THEN 'tail' ELSE 'middle' END AS section FROM b""")
+SELECT conv_id, turn, CASE WHEN i = 0 THEN 'prefix' WHEN rk > n - 3 THEN 'tail' ELSE 'middle' END AS section FROM b""")
 def split_sections(spark, sf_dir):
     return windows.sections(C.table(spark, sf_dir, "conversations"), "conv_id", "turn", "role", 3).select("conv_id", "turn", "section")
 
@@ -338,19 +327,20 @@ def progressive_snapshots(spark, sf_dir):
 _SAVED = f"SELECT *, length(text) AS raw_chars, length(output) AS filtered_chars, CASE WHEN length(text) > 0 THEN round_even((length(text) - length(output)) * 100.0 / length(text), 0) ELSE 0 END AS pct FROM ({_HEAD_TAIL}) JOIN documents USING (doc_id)"
 
 
-@query(f"""SELECT source, count(*) AS total, count(*) FILTER (doc_id % 10 = 0) AS fallbacks, count(*) FILTER (doc_id % 10 <> 0 AND doc_id % 3 = 0) AS deduped, count(*) FILTER (doc_id % 10 <> 0 AND doc_id % 3 <> 0) AS filtered, CAST(sum(raw_chars) AS BIGINT) AS raw_chars, CAST(sum(filtered_chars) AS BIGINT) AS filtered_chars, CAST(round_even(avg(pct) FILTER (raw_chars > 0), 0) AS BIGINT) AS mean_savings_pct FROM ({_SAVED}) GROUP BY source""")
+@query(f"""SELECT source, count(*) AS total, count(*) FILTER (doc_id % 10 = 0) AS fallbacks, count(*) FILTER (doc_id % 10 <> 0 AND doc_id % 3 = 0) AS deduped, count(*) FILTER (doc_id % 10 <> 0 AND doc_id % 3 <> 0) AS filtered, CAST(sum(raw_chars) AS BIGINT) AS raw_chars, CAST(sum(filtered_chars) AS BIGINT) AS filtered_chars, CAST(sum(round_even(raw_chars / 4.0, 0)) AS BIGINT) AS raw_tokens, CAST(sum(round_even(filtered_chars / 4.0, 0)) AS BIGINT) AS filtered_tokens,
+ CAST(sum(round_even(raw_chars / 4.0, 0)) - sum(round_even(filtered_chars / 4.0, 0)) AS BIGINT) AS saved_tokens, CAST(round_even(avg(pct) FILTER (raw_chars > 0), 0) AS BIGINT) AS mean_savings_pct, TRUE AS token_counts_are_estimate FROM ({_SAVED}) GROUP BY source""")
 def telemetry_summary(spark, sf_dir):
     d = C.table(spark, sf_dir, "documents").select("source", "doc_id", F.length("text").alias("raw_chars"), F.length(filters.generic(F.col("text"), 5, 5)["output"]).alias("filtered_chars"), F.when(F.col("doc_id") % 3 == 0, "dedupe").otherwise("generic").alias("kind"), (F.col("doc_id") % 10 == 0).alias("fallback_used"))
     return telemetry.summary(telemetry.rows(d, "kind", "raw_chars", "filtered_chars"), "source")
 
 
-@query("""SELECT lang, CASE WHEN length(text) < 500 THEN '<500' WHEN length(text) < 2000 THEN '<2k' WHEN length(text) < 10000 THEN '<10k' WHEN length(text) < 50000 THEN '<50k' ELSE '<100k' END AS bucket, count(*) AS n, CAST(sum(length(text)) AS BIGINT) AS chars FROM documents GROUP BY GROUPING SETS ((1), (2), (1, 2))""")
+@query("""SELECT lang, CASE WHEN length(text) < 500 THEN '<500B' WHEN length(text) < 2000 THEN '500B-2KB' WHEN length(text) < 10000 THEN '2-10KB' WHEN length(text) < 50000 THEN '10-50KB' WHEN length(text) < 100000 THEN '50-100KB' WHEN length(text) < 500000 THEN '100-500KB' ELSE '>500KB' END AS bucket, count(*) AS n, CAST(sum(length(text)) AS BIGINT) AS chars FROM documents GROUP BY GROUPING SETS ((1), (2), (1, 2))""")
 def size_buckets(spark, sf_dir):
     d = C.table(spark, sf_dir, "documents").select("lang", telemetry.size_bucket(F.length("text")).alias("bucket"), F.length("text").alias("c"))
     return d.groupingSets([["lang"], ["bucket"], ["lang", "bucket"]], "lang", "bucket").agg(F.count("*").alias("n"), F.sum("c").alias("chars"))
 
 
-_TYPE = "CASE role WHEN 'assistant' THEN 'assistant text' WHEN 'user' THEN 'user text' ELSE 'other' END"
+_TYPE = "CASE role WHEN 'assistant' THEN 'model_prose' WHEN 'user' THEN 'user_text' ELSE 'other' END"
 
 
 @query(f"""SELECT {_TYPE} AS type, role AS category, count(*) AS n, CAST(sum(strlen(text)) AS BIGINT) AS bytes, CAST(sum(length(text)) AS BIGINT) AS chars, CAST(sum({_COUNT}) AS BIGINT) AS tokens FROM conversations GROUP BY ROLLUP ({_TYPE}, role)""")
@@ -358,19 +348,6 @@ def content_type_rollup(spark, sf_dir):
     return telemetry.corpus_stats(C.table(spark, sf_dir, "conversations"), "role", "text", T.count_tokens(F.col("text")))
 
 
-@query("""SELECT event_id, unnest([(event_id % 40) || ' passed', (event_id % 3) || ' failed', 'FAILED t' || event_id || '::x']) AS content, unnest(['test_count', 'test_count', 'test_failure']) AS fact_type, CAST(0.9 AS DOUBLE) AS confidence FROM events""")
-def facts_test(spark, sf_dir):
-    t = F.concat(F.lit("ran:\n"), F.col("event_id") % 40, F.lit(" passed, "), F.col("event_id") % 3, F.lit(" failed in 2s\nFAILED t"), F.col("event_id"), F.lit("::x - boom"))
-    return C.table(spark, sf_dir, "events").select("event_id", F.explode(facts.facts(F.lit("test"), t)).alias("f")).select("event_id", "f.*")
-
-
-@query("""SELECT substr(md5(CAST(o_orderkey AS VARCHAR)), 1, 9) || ' order ' || o_orderkey AS content, 'commit' AS fact_type, CAST(0.9 AS DOUBLE) AS confidence FROM orders""")
-def facts_git_log(spark, sf_dir):
-    o = C.table(spark, sf_dir, "orders").withColumn("k", F.col("o_custkey") % 7)
-    t = C.lines_of(o, "k", "o_orderkey", F.concat(F.substring(F.md5(F.col("o_orderkey").cast("string")), 1, 9), F.lit(" order "), F.col("o_orderkey")))
-    return t.select(F.explode(facts.facts(F.lit("git-log"), F.col("text"))).alias("f")).select("f.*")
-
-
 @query("""SELECT risk_level, CAST(sum(CASE WHEN len(l) > h + t THEN length(array_to_string(list_concat(list_concat(l[1:h], ['', '[... ' || (len(l) - h - t) || ' lines omitted ...]', '']), l[-t:]), chr(10))) ELSE length(array_to_string(l, chr(10))) END) AS BIGINT) AS chars FROM (SELECT string_split(text, chr(10)) AS l FROM documents) CROSS JOIN (VALUES ('low', 30, 45), ('balanced', 20, 30), ('high', 10, 15)) v(risk_level, h, t) GROUP BY 1""")
 def risk_levels(spark, sf_dir):
     d, out = C.table(spark, sf_dir, "documents"), []
@@ -395,26 +372,15 @@ def paths_norm(spark, sf_dir):
     return C.table(spark, sf_dir, "events").select("event_id", structured.normalize_paths(t, ("/work/app", "C:/proj")).alias("plain"))
 
 
-@query("""SELECT CASE turn % 2 WHEN 0 THEN 'tool_call_args/read' ELSE 'tool_result/read' END AS category, count(*) AS n, CAST(sum(length(text)) AS BIGINT) AS chars FROM conversations WHERE turn < 6 GROUP BY 1""")
-def session_log(spark, sf_dir):
-    c = C.table(spark, sf_dir, "conversations").where("turn < 6")
-    call = F.to_json(F.struct(F.lit("response_item").alias("type"), F.struct(F.when(F.col("turn") % 2 == 0, "function_call").otherwise("function_call_output").alias("type"), F.lit("c").alias("call_id"), F.when(F.col("turn") % 2 == 0, "read").alias("name"), F.when(F.col("turn") % 2 == 0, F.col("text")).alias("arguments"), F.when(F.col("turn") % 2 == 1, F.col("text")).alias("output")).alias("payload")))
-    rows = sessions.items(c.select(F.lit("s").alias("session"), call.alias("line")))
-    return rows.groupBy("category").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"))
-
+_ITEM = """'    {' || chr(10) || '      "n": "' || p_name || '",' || chr(10) || '      "s": [... 9 items]' || chr(10) || '    }'"""
 
-@query()
-def agent_solo(spark, sf_dir):
-    """All four payload strategies over conversations; their savings by payload."""
-    c = C.table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("payload_id"), F.col("turn").alias("idx"), F.when(F.col("role") == "assistant", "tool").otherwise(F.col("role")).alias("role"), F.col("text").alias("content"), F.lit("read_file").alias("name"), F.lit(None).cast("string").alias("arguments"), F.lit(False).alias("completed"))
-    return pipeline.compress_payloads(c, limits("high", {}), keep_tail=2, max_tokens=50)[1]
 
-
-@query()
+@query(f"""SELECT key, output, length(output) < raw AS truncated FROM (SELECT p_partkey AS key, 8 * (length('{{"n":"","s":[]}},') + length(p_name) + 9 * length(CAST(p_size AS VARCHAR)) + 8) - 1 + length('{{"parts":[],"long":""}}') + 9 * length(p_name) AS raw,
+ '{{' || chr(10) || '  "parts": [' || chr(10) || repeat({_ITEM} || ',' || chr(10), 5) || '    ... +3 more items' || chr(10) || '  ],' || chr(10) || '  "long": "' || CASE WHEN 9 * length(p_name) > 80 THEN substr(repeat(p_name, 9), 1, 80) || '"... [' || 9 * length(p_name) || ' chars]' ELSE repeat(p_name, 9) || '"' END || chr(10) || '}}' AS output FROM part)""")
 def json_nested(spark, sf_dir):
     """Nested JSON beyond every limit: recursive truncation."""
     p = C.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("key"), F.to_json(F.struct(F.array(*[F.struct(F.col("p_name").alias("n"), F.array(*[F.col("p_size")] * 9).alias("s")) for _ in range(8)]).alias("parts"), F.repeat("p_name", F.lit(9)).alias("long"))).alias("text"))
-    return structured.apply(p, F.lit("json"), F.col("text"), limits("balanced", {})).select("key", "output", "truncated")
+    return structured.apply(p, "json", F.col("text"), limits("balanced", {})).select("key", "output", "truncated")
 
 
 @query("""SELECT p_partkey AS key, 'import a' || chr(10) || ' [... 4 more import lines …]' || chr(10) || 'x = ' || p_size || chr(10) || '# c' || chr(10) || ' [... 5 more comment lines …]' || chr(10) || 'end' AS content, TRUE AS healed FROM part""")
@@ -424,16 +390,26 @@ def shrink_source(spark, sf_dir):
     return budget.shrink_messages(m, max_chars=100).select("key", "content", "healed")
 
 
-@query("""SELECT conv_id, turn, CASE WHEN role = 'assistant' AND length(text) > 120 AND length(text) // 4 > 120 THEN substr(text, 1, CAST(floor(65 * length(text) / (length(text) // 4)) AS BIGINT)) || E'\\n\\n[…truncated ~' || (length(text) // 4 - 72) || E' tokens — raise budget or call the tool with a narrower scope…]\\n\\n' || right(text, CAST(floor(7 * length(text) / (length(text) // 4)) AS BIGINT)) ELSE text END AS content
- FROM conversations WHERE len(regexp_extract_all(text, '[{}()\\[\\];=<>:,\"''/\\\\_|&*+#@$%^~`]')) <= length(text) * 0.08""")
+def _count(text: str) -> str:
+    return _COUNT.replace("(text", f"({text}")
+
+
+@query(f"""WITH c AS (SELECT conv_id, turn, role, text, length(text) AS n, {_COUNT} AS k FROM conversations), s AS (SELECT *, CAST(floor(65 * (n / k)) AS BIGINT) AS h, CAST(floor(7 * (n / k)) AS BIGINT) AS t FROM c WHERE role = 'assistant' AND n > 120 AND k > 120),
+ e AS (SELECT *, substr(text, 1, h) AS head, right(text, t) AS tail FROM s), f AS (SELECT *, {_count("head")} + {_count("tail")} AS kept, length(head) + length(tail) AS chars FROM e)
+SELECT conv_id, turn, head || E'\n\n[…truncated ~' || greatest(0, CAST(floor(n * (kept / chars)) AS BIGINT) - kept) || ' tokens (' || (n - chars) || E' chars) — raise budget or call the tool with a narrower scope…]\n\n' || tail AS content FROM f
+UNION ALL SELECT conv_id, turn, text FROM c WHERE NOT (role = 'assistant' AND n > 120 AND k > 120)""")
 def shrink_tokens(spark, sf_dir):
-    c = C.table(spark, sf_dir, "conversations").where(F.regexp_count("text", F.lit(r"[{}()\[\];=<>:,\"'/\\_|&*+#@$%^~`]")) <= F.length("text") * 0.08)
+    c = C.table(spark, sf_dir, "conversations")
     m = c.select("conv_id", "turn", F.when(F.col("role") == "assistant", "tool").otherwise(F.col("role")).alias("role"), F.lit("search").alias("name"), F.col("text").alias("content"))
     return budget.shrink_messages(m, max_tokens=120).select("conv_id", "turn", "content")
 
 
-@query("""SELECT 'tool output raw: ' || format('{:.1f}', sum(length(text)) / 1e6) || 'M chars' AS first, count(*) AS total FROM documents HAVING sum(length(text)) >= 1000000""")
+def _shown(n: str) -> str:
+    return f"CASE WHEN {n} >= 1000000 THEN format('{{:.1f}}M', {n} / 1e6) WHEN {n} >= 1000 THEN format('{{:.1f}}k', {n} / 1e3) ELSE CAST({n} AS VARCHAR) END"
+
+
+@query(f"""SELECT lang, 'tool output raw: ' || {_shown('r')} || ' chars' || chr(10) || 'tool output filtered: ' || {_shown('f')} || ' chars' || chr(10) || '~saved: ' || {_shown('s')} || ' tokens' || chr(10) || 'average savings: ' || pct || '%' || chr(10) || 'dedupes: ' || d || chr(10) || 'fallbacks: ' || b AS text
+ FROM (SELECT lang, CAST(sum(raw_chars) AS BIGINT) AS r, CAST(sum(filtered_chars) AS BIGINT) AS f, CAST(sum(round_even(raw_chars / 4.0, 0)) - sum(round_even(filtered_chars / 4.0, 0)) AS BIGINT) AS s, CAST(round_even(avg(pct), 0) AS BIGINT) AS pct, count(*) FILTER (doc_id % 10 <> 0 AND doc_id % 3 = 0) AS d, count(*) FILTER (doc_id % 10 = 0) AS b FROM ({_SAVED}) GROUP BY lang)""")
 def telemetry_text(spark, sf_dir):
-    d = C.table(spark, sf_dir, "documents").select(F.length("text").alias("raw_chars"), F.length("text").alias("filtered_chars"), F.lit("generic").alias("kind"), F.lit(False).alias("fallback_used"))
-    out = telemetry.summary_text(telemetry.summary(telemetry.rows(d, "kind", "raw_chars", "filtered_chars")))
-    return out.where("raw_chars >= 1000000").select(F.split("text", "\n")[0].alias("first"), "total")
+    d = C.table(spark, sf_dir, "documents").select("lang", "doc_id", F.length("text").alias("raw_chars"), F.length(filters.generic(F.col("text"), 5, 5)["output"]).alias("filtered_chars"), F.when(F.col("doc_id") % 3 == 0, "dedupe").otherwise("generic").alias("kind"), (F.col("doc_id") % 10 == 0).alias("fallback_used"))
+    return telemetry.summary_text(telemetry.summary(telemetry.rows(d, "kind", "raw_chars", "filtered_chars"), "lang")).select("lang", "text")
