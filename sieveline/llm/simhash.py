@@ -35,34 +35,42 @@ ROUNDS, BUCKET = 8, 1 << 18
 CHUNK = 1024
 
 
-def fingerprint(text: bytes) -> int:
-    """Majority bits of the XXH64 hashes of a text's shingles; zero without words."""
+def shingle_hashes(text: bytes, shingle: int) -> np.ndarray:
+    """XXH64 hashes of a text's shingles of some words, repeats included; of all its words, if it has fewer."""
     import xxhash
 
     words = text.lower().split()
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     joined = b" ".join(words)
     ends = list(accumulate(len(w) + 1 for w in words))
-    k, digest = min(SHINGLE, len(words)), xxhash.xxh64_intdigest
-    starts = [0, *ends]
-    hashes = np.fromiter((digest(joined[a : b - 1], SEED) for a, b in zip(starts, ends[k - 1 :], strict=False)), np.uint64, len(words) - k + 1)
-    ones = np.zeros(BITS, np.int64)
-    for a in range(0, len(hashes), 100_000):
-        ones += np.unpackbits(hashes[a : a + 100_000].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * ones > len(hashes)).tobytes(), "big")
+    k, digest = min(shingle, len(words)), xxhash.xxh64_intdigest
+    return np.fromiter((digest(joined[a : b - 1], SEED) for a, b in zip([0, *ends], ends[k - 1 :], strict=False)), np.uint64, len(words) - k + 1)
+
+
+def majority(words: np.ndarray) -> bytes:
+    """Bits set in over half of the rows of words, big-endian."""
+    ones = np.zeros(64 * words.shape[1], np.int64)
+    for a in range(0, len(words), 100_000):
+        part = np.ascontiguousarray(words[a : a + 100_000], ">u8")
+        ones += np.unpackbits(part.view(np.uint8), axis=1).sum(0, dtype=np.int64)
+    return np.packbits(2 * ones > len(words)).tobytes()
+
+
+def fingerprint(text: bytes) -> int:
+    """Majority bits of the XXH64 hashes of a text's shingles; zero without words."""
+    return int.from_bytes(majority(shingle_hashes(text, SHINGLE)[:, None]), "big")
 
 
-def fingerprints(docs: DataFrame, carried: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, fp (the fingerprint as a signed long), and the carried columns (longs)."""
+def fingerprints(docs: DataFrame) -> DataFrame:
+    """doc_id, fp (the fingerprint as a signed long)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fp = np.array([fingerprint(t) for t in b.column("text").to_pylist()], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fp), *(b.column(c) for c in carried)], names=["doc_id", "fp", *carried])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fp)], names=["doc_id", "fp"])
 
-    ddl = ", ".join(f"{c} long" for c in ("doc_id", "fp", *carried))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("text"), *carried).mapInArrow(run, ddl)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("text")).mapInArrow(run, "doc_id long, fp long")
 
 
 def ball() -> np.ndarray:
@@ -70,7 +78,7 @@ def ball() -> np.ndarray:
     return np.array([sum(1 << b for b in bits) for n in range(RADIUS // 2 + 1) for bits in combinations(range(BITS), n)], np.uint64)
 
 
-def _mix(v: np.ndarray) -> np.ndarray:
+def mix(v: np.ndarray) -> np.ndarray:
     v = (v ^ (v >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
     return (v ^ (v >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
 
@@ -108,7 +116,7 @@ def _variants(turn: int, buckets: int):
             fps = batch.column("fp").to_numpy().view(np.uint64)
             for a in range(0, len(fps), CHUNK):
                 v = (fps[a : a + CHUNK, None] ^ masks).reshape(-1)
-                h = _mix(v)
+                h = mix(v)
                 own = np.flatnonzero((h & np.uint64(ROUNDS - 1)) == np.uint64(turn))
                 bucket = (h[own] >> np.uint64(64 - bits)).astype(np.uint32) if bits else np.zeros(len(own), np.uint32)
                 order = np.argsort(bucket.astype(np.uint16) if bits <= 16 else bucket, kind="stable")
@@ -148,22 +156,16 @@ def near_links(distinct: DataFrame, scratch: Scratch) -> DataFrame:
     out, spread = None, distinct.select("fp").repartition(max(1, -(-total // (4 * CHUNK))), "fp")
     for turn in range(ROUNDS):
         found = scratch.keep(spread.mapInArrow(_variants(turn, buckets), "bucket long, variants binary, codes binary").groupBy("bucket").applyInPandas(_collide, "a long, b long"), f"links{turn}")
-        scratch.release_shuffles()
         out = found if out is None else out.unionAll(found)
     return out
 
 
-def _roots(prints: DataFrame, scratch: Scratch) -> DataFrame:
-    """fp, rep (its least doc_id), root (one fingerprint of its component) of the different fingerprints."""
-    distinct = scratch.keep(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")), "distinct")
-    found = components(near_links(distinct, scratch), scratch)
-    return distinct.join(found, distinct.fp == found.node, "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
-
-
 def near_components(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """doc_id, fp, component_id of every row."""
     prints = scratch.keep(fingerprints(docs), "fingerprints")
-    rooted = _roots(prints, scratch)
+    distinct = scratch.keep(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")), "distinct")
+    found = components(near_links(distinct, scratch), scratch)
+    rooted = distinct.join(found, distinct.fp == found.node, "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
     ids = rooted.join(rooted.groupBy("root").agg(F.min("rep").alias("component_id")), "root").select("fp", "component_id")
     return prints.join(ids, "fp").select("doc_id", "fp", "component_id")
 
@@ -172,17 +174,3 @@ def simhash_near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id."""
     found = near_components(docs, Scratch(spark))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
-
-
-def keep_one(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """One document of each near-duplicate group, with its columns: that with the smallest id; one without
-    an id only where the whole group has none. Of a group's rows with that id one stays, the same each run
-    as far as their texts differ. Groups never lose a document to another group's equal id."""
-    scratch = Scratch(spark)
-    # a row's key: 128 bits of id and text, so rows of one key are copies and in one group
-    key = [F.col("doc_id").cast("long"), F.col("doc_id").isNull(), F.coalesce("text", F.lit(""))]
-    keyed = docs.withColumns({f"__k{k}": F.xxhash64(F.lit(k), *key) for k in (1, 2)})
-    prints = scratch.keep(fingerprints(keyed, ("__k1", "__k2")), "fingerprints")
-    heads = prints.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "__k1", "__k2")).alias("head"))
-    kept = heads.join(_roots(prints, scratch), "fp").groupBy("root").agg(F.min("head").alias("head")).select("head.__k1", "head.__k2")
-    return keyed.join(kept, ["__k1", "__k2"], "left_semi").dropDuplicates(["__k1", "__k2"]).select(*docs.columns)
