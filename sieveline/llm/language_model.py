@@ -1,22 +1,26 @@
 """Log-bilinear language model scores.
 
 Tokens are ASCII-lower-cased words and one end per text. Token counts over all training rows give a base
-(add-0.1 unigram) score. The neural model predicts a token's class (one of the `CLASSES` most frequent
-tokens, or the rest) from the two tokens before it: their vectors, each under its position's weights, sum
-to a predicted vector whose products with the classes' vectors, plus biases, are the classes' scores. It
-is trained in numpy by noise-contrastive estimation, first on a bounded start sample, then on the whole
-training rows, every task on its own rows from the same start, and averaged by rows seen. Products of the
-averaged matrices give the scores of all contexts in batches and their exact normalisers, so a token's
-log-probability is a sum of looked-up terms. A token of the rest has its class's probability times its
-add-0.1 share of the rest, with one share for all tokens never seen: the model sums to one.
+(add-0.1 unigram) score. The neural model predicts a token's class from the two tokens before it: their
+classes' vectors, each under its position's weights, sum to a predicted vector whose products with the
+classes' vectors, plus biases, are the classes' scores. The `WORDS` most frequent tokens are classes of
+their own; every other token, seen or not, belongs to the class of its ending (a hash of its last three
+characters, `ENDINGS` classes), so that no token is the same to the network as all others. It is trained in
+numpy by noise-contrastive estimation on the whole training rows in `ROUNDS` rounds: every task on its own
+rows from the same start, averaged by rows seen. Of a sum of two scores the exponential is a product, so one
+matrix product gives the exact normalisers of all contexts, and a token's log-probability is a sum of
+looked-up terms. A token without a class of its own has its class's probability times its add-0.1 share of
+the class, with one share for all tokens of the class never seen: the model sums to one.
 
 Counts of the `HEAD` most frequent tokens travel to every task; the texts' other tokens are joined with
 the counts, each once per text. Null and empty texts consist of the end. Repeated rows are scored (and
-counted) each; an empty table gives an empty result; other columns are ignored.
+counted) each; an empty table gives an empty result; other columns are ignored. How the table is dealt to
+tasks changes the network slightly, not the counts or the base score.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -28,10 +32,8 @@ from pyspark.sql import functions as F
 
 from ._common import Scratch, average, fold
 
-CLASSES, WIDTH, HEAD = 1_023, 24, 1 << 18
-NOISE, BATCH, RATE = 64, 4_096, 0.02
-#: Documents of the start sample.
-START_DOCS = 4_000
+WORDS, ENDINGS, WIDTH, HEAD = 1_024, 1_024, 24, 1 << 18
+NOISE, BATCH, RATE, ROUNDS = 64, 4_096, 0.05, 2
 SMOOTH = 0.1
 
 
@@ -58,6 +60,22 @@ def count_tokens(docs: DataFrame) -> DataFrame:
     return rows.groupBy("token").agg(F.sum("c").alias("c")).where("c > 0")
 
 
+def _ending(token: str) -> int:
+    """Class of a token's last three characters; the same as `_ending_of` in Spark."""
+    return zlib.crc32(token[-3:].encode()) % ENDINGS
+
+
+def _ending_of(token: Column) -> Column:
+    return (F.crc32(F.right(token, F.lit(3)).cast("binary")) % ENDINGS).cast("int")
+
+
+def ending_classes(words: pa.Array) -> np.ndarray:
+    """Ending of each word, each different one looked up once."""
+    coded = pc.utf8_slice_codeunits(words, -3).dictionary_encode()
+    own = np.array([_ending(w) for w in coded.dictionary.to_pylist()], np.int64)
+    return own[coded.indices.to_numpy(zero_copy_only=False)] if len(words) else np.zeros(0, np.int64)
+
+
 @dataclass
 class Net:
     """Vectors of context classes (the last is the beginning), weights of the two positions, class vectors and biases."""
@@ -127,116 +145,136 @@ def _add(into: np.ndarray, rows: np.ndarray, values: np.ndarray) -> None:
     into[own[cut]] += np.add.reduceat(values[order], cut, axis=0)
 
 
-def sequences(head: pa.Array, end: int, texts: pa.Array, classes: int) -> tuple[np.ndarray, ...]:
-    """For the texts' tokens with their ends: rank in the head (-1 beyond), text, class, the two classes
-    before; then the words themselves and their places among the tokens. Class 0 is the rest."""
-    words, of, n = tokens(texts)
-    rank = pc.index_in(words, value_set=head).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
-    at = np.arange(len(words)) + of
-    ranks = np.full(len(words) + len(n), end, np.int64)
-    ranks[at] = rank
-    text = np.repeat(np.arange(len(n)), n + 1)
-    own = np.where((ranks >= 0) & (ranks < classes), ranks + 1, 0)
-    begin = classes + 1
-    c1, c2 = np.append(begin, own[:-1])[: len(own)], np.append([begin, begin], own[:-2])[: len(own)]
-    first = np.cumsum(n + 1) - n - 1
-    c1[first], c2[first] = begin, begin
-    second = first[n > 0] + 1
-    c2[second] = begin
-    return ranks, text, own, c1, c2, words, at
-
-
-def _train(head: pa.Array, end: int, share: np.ndarray, net: Net):
+@dataclass
+class Classes:
+    """The head's tokens, most frequent first, the place of the end among them, and each one's class: its own
+    place, or `own` and more by its ending. The class after the last one stands before a text."""
+
+    head: pa.Array
+    end: int
+    own: int
+
+    def __post_init__(self):
+        self.of_head = np.append(np.arange(self.own), self.own + ending_classes(self.head[self.own :]))
+
+    @property
+    def count(self) -> int:
+        return self.own + ENDINGS
+
+    def sequences(self, texts: pa.Array) -> tuple[np.ndarray, ...]:
+        """For the texts' tokens with their ends: place in the head (-1 beyond), text, class, the two classes
+        before; then the words themselves and their places among the tokens."""
+        words, of, n = tokens(texts)
+        rank = pc.index_in(words, value_set=self.head).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+        at = np.arange(len(words)) + of
+        ranks = np.full(len(words) + len(n), self.end, np.int64)
+        ranks[at] = rank
+        text = np.repeat(np.arange(len(n)), n + 1)
+        own = self.of_head[ranks]
+        tail = np.flatnonzero(rank < 0)
+        own[at[tail]] = self.own + ending_classes(words.take(pa.array(tail)))
+        begin = self.count
+        c1, c2 = np.append(begin, own[:-1])[: len(own)], np.append([begin, begin], own[:-2])[: len(own)]
+        first = np.cumsum(n + 1) - n - 1
+        c1[first], c2[first] = begin, begin
+        c2[first[n > 0] + 1] = begin
+        return ranks, text, own, c1, c2, words, at
+
+
+def _train(classes: Classes, share: np.ndarray, net: Net):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part = TaskContext.get().partitionId()
-        trainer, seen = Trainer(net.unpacked(net.packed()), share, part), 0
+        trainer, seen = Trainer(net.unpacked(net.packed()), share, 3), 0
         for b in batches:
             for a in range(0, len(b), 500):
-                _, _, own, c1, c2, _, _ = sequences(head, end, b.column("text")[a : a + 500], len(share) - 1)
+                _, _, own, c1, c2, _, _ = classes.sequences(b.column("text")[a : a + 500])
                 order = trainer.rng.permutation(len(own))
                 for x in range(0, len(own), BATCH):
                     k = order[x : x + BATCH]
                     trainer.step(c1[k], c2[k], own[k])
                 seen += len(own)
-        yield pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([trainer.net.packed()], pa.binary()), pa.array([float(seen)])], names=["part", "net", "seen"])
+        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([trainer.net.packed()], pa.binary()), pa.array([float(seen)])], names=["part", "net", "seen"])
 
     return run
 
 
+def normalisers(net: Net) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Scores of all classes after each near and each far class (biases are with the far ones), and the log
+    normalisers of all pairs of them, by one matrix product."""
+    near, far = (net.context * w @ net.classes.T for w in (net.near, net.far))
+    far = far + net.bias
+    top1, top2 = near.max(1, keepdims=True), far.max(1, keepdims=True)
+    z = np.exp(near - top1) @ np.exp(far - top2).T
+    return near.astype(np.float32), far.astype(np.float32), (np.log(np.maximum(z, 1e-300)) + top1 + top2.T).astype(np.float32)
+
+
 @dataclass
 class Model:
-    head: pa.Array
-    end: int
+    classes: Classes
     counts: np.ndarray  # of the head's tokens
     total: int
     distinct: int
+    rest: np.ndarray  # by ending: counts, and different tokens, without a class of their own
     net: Net
+    _tables: tuple | None = None
 
     def __post_init__(self):
-        k = len(self.net.bias)
-        near, far = self.net.context * self.net.near, self.net.context * self.net.far
-        self.s1, self.s2 = (near @ self.net.classes.T).astype(np.float32), (far @ self.net.classes.T).astype(np.float32)
-        self.bias, self.normal = self.net.bias.astype(np.float32), np.zeros((k + 1, k + 1), np.float32)
-        for c1 in range(k + 1):  # of all contexts, a matrix of them at a time
-            logits = self.s2 + (self.s1[c1] + self.bias)
-            top = logits.max(1)
-            self.normal[c1] = top + np.log(np.exp(logits - top[:, None]).sum(1))
-        classes = k - 1
-        own = self.counts[:classes]
-        self.rest_total = self.total - int(own.sum())
-        self.rest_distinct = max(0, self.distinct - len(own))
         self.base = np.log10((self.counts + SMOOTH) / (self.total + SMOOTH * (self.distinct + 1)))
-        self.rest = np.log10((self.counts + SMOOTH) / (self.rest_total + SMOOTH * (self.rest_distinct + 1)))
+        # what a class's shares are divided by; 0 for tokens of their own class
+        self.whole = np.append(np.zeros(self.classes.own), np.log10(self.rest[:, 0] + SMOOTH * (self.rest[:, 1] + 1)))
+
+    def log_classes(self, own: np.ndarray, c1: np.ndarray, c2: np.ndarray) -> np.ndarray:
+        """log10 probabilities of classes after others."""
+        if self._tables is None:  # made in each worker, not sent
+            self._tables = normalisers(self.net)
+        near, far, normal = self._tables
+        return (near[c1, own] + far[c2, own] - normal[c1, c2]).astype(np.float64) / np.log(10)
 
     def score(self, texts: pa.Array) -> dict[str, np.ndarray | pa.Array]:
-        """Sums of each text over the head's tokens, and its other words with their numbers."""
-        classes, n = len(self.net.bias) - 1, len(texts)
-        ranks, text, own, c1, c2, words, at = sequences(self.head, self.end, texts, classes)
-        log = self.s1[c1, own] + self.s2[c2, own] + self.bias[own] - self.normal[c1, c2]
-        value = log.astype(np.float64) / np.log(10)
+        """Sums of each text over the head's tokens, and its other words with their numbers; of those the
+        score lacks the logarithm of their count and 0.1."""
+        ranks, text, own, c1, c2, words, at = self.classes.sequences(texts)
+        value, n = self.log_classes(own, c1, c2) - self.whole[own], len(texts)
         inside = np.flatnonzero(ranks >= 0)
         base = np.zeros(len(ranks))
         base[inside] = self.base[ranks[inside]]
-        late = inside[ranks[inside] >= classes]
-        value[late] += self.rest[ranks[late]]
+        late = inside[ranks[inside] >= self.classes.own]
+        value[late] += np.log10(self.counts[ranks[late]] + SMOOTH)
         tail = np.flatnonzero(ranks[at] < 0)
         add = lambda v: np.bincount(text, v, n)
-        return {"n_tokens": np.bincount(text, minlength=n), "n_known": np.bincount(text[inside], minlength=n), "base": add(base), "score": add(value), "tail": words.take(pa.array(tail)), "tail_of": text[at[tail]]}
+        return {"n_tokens": np.bincount(text, minlength=n), "n_known": np.bincount(text[inside], self.counts[ranks[inside]] > 0, n).astype(np.int64), "base": add(base), "score": add(value), "tail": words.take(pa.array(tail)), "tail_of": text[at[tail]]}
 
 
 def fit(docs: DataFrame, train: Column, scratch: Scratch) -> tuple[Model, DataFrame]:
     """The model and the table of all training counts."""
-    rows = docs.where(train)
+    rows = docs.where(train).select(F.coalesce("text", F.lit("")).alias("text"))
     counts = scratch.keep(count_tokens(rows), "counts")
     totals = counts.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
     top = counts.orderBy(F.desc("c"), "token").limit(HEAD).toArrow()
-    # without any training text only the end is known, and never seen
-    head, c = (top.column("token").combine_chunks(), top.column("c").to_numpy()) if len(top) else (pa.array([""], pa.string()), np.zeros(1, np.int64))
+    head, c = top.column("token").combine_chunks(), top.column("c").to_numpy()
+    if not len(top):
+        head, c = pa.array([], pa.string()), np.zeros(0, np.int64)
     end = pc.index(head, pa.scalar("", pa.string())).as_py()
-    if end < 0:  # rarer than all of the head
-        head, c, end = pa.concat_arrays([head, pa.array([""], pa.string())]), np.append(c, counts.where("token = ''").first().c), len(head)
-    classes = min(CLASSES, len(head))
-    own = c[:classes].astype(float)
-    share = np.append((totals.n or 0) - own.sum(), own) + 1.0
+    if end < 0:  # rarer than all of the head, or without any training text
+        seen = counts.where("token = ''").first()
+        head, c, end = pa.concat_arrays([head, pa.array([""], pa.string())]), np.append(c, seen.c if seen else 0), len(head)
+    classes = Classes(head, end, min(WORDS, len(head)))
+    by_ending = counts.groupBy(_ending_of(F.col("token")).alias("e")).agg(F.sum("c").alias("c"), F.count("*").alias("v")).collect()  # ENDINGS rows
+    rest = np.zeros((ENDINGS, 2), np.int64)
+    for r in by_ending:
+        rest[r.e] = r.c, r.v
+    for token, k in zip(head[: classes.own].to_pylist(), c[: classes.own].tolist(), strict=True):
+        rest[_ending(token)] -= (k, k > 0)
+    share = np.append(c[: classes.own], rest[:, 0]).astype(float) + 1.0
     share /= share.sum()
-    net = start_net(share)
-    text = rows.select(F.coalesce("text", F.lit("")).alias("text"), "doc_id")
-    n = max(1, text.count())
-    start = text.where(F.pmod(F.xxhash64(F.lit("start"), "doc_id"), F.lit(1 << 30)) < int((1 << 30) * min(1.0, START_DOCS / n))).limit(2 * START_DOCS).select(F.substring("text", 1, 20_000).alias("text")).toArrow().column("text").combine_chunks()
-    trainer = Trainer(net, share, 3)
-    for _ in range(2):
-        for a in range(0, len(start), 500):
-            _, _, own_c, c1, c2, _, _ = sequences(head, end, start[a : a + 500], classes)
-            order = trainer.rng.permutation(len(own_c))
-            for x in range(0, len(own_c), BATCH):
-                trainer.step(c1[order[x : x + BATCH]], c2[order[x : x + BATCH]], own_c[order[x : x + BATCH]])
-    spark, schema = docs.sparkSession, "part long, net binary, seen double"
-    shared = spark.sparkContext.broadcast((head, end, share, trainer.net))  # of bounded size
-    nets = scratch.keep(text.select("text").mapInArrow(lambda b: _train(*shared.value)(b), schema), "nets")
-    final = average(nets, scratch)
-    return Model(head, end, c, totals.n or 0, totals.v, trainer.net if final is None else trainer.net.unpacked(final.tobytes())), counts
+    spark, schema, net = docs.sparkSession, "part long, net binary, seen double", start_net(share)
+    for turn in range(ROUNDS):
+        shared = spark.sparkContext.broadcast((classes, share, net))  # of bounded size
+        nets = scratch.keep(rows.mapInArrow(lambda b, shared=shared: _train(*shared.value)(b), schema), f"round{turn}")
+        mean = average(nets, scratch)
+        net = net if mean is None else net.unpacked(mean.tobytes())
+    return Model(classes, c, totals.n or 0, totals.v, rest, net), counts
 
 
 def language_model_scores(spark: SparkSession, docs: DataFrame) -> DataFrame:
@@ -265,7 +303,6 @@ def language_model_scores(spark: SparkSession, docs: DataFrame) -> DataFrame:
     c = F.coalesce("c", F.lit(0))
     sums = tail.groupBy("row").agg(F.sum(F.col("k") * F.log10(c + F.lit(SMOOTH))).alias("logs"), F.sum("k").alias("k"), F.sum(F.when(c > 0, F.col("k")).otherwise(0)).alias("known"))
     base_log = float(np.log10(model.total + SMOOTH * (model.distinct + 1)))
-    rest_log = float(np.log10(model.rest_total + SMOOTH * (model.rest_distinct + 1)))
     out = first.drop("tail").join(sums, "row", "left")
     logs, k = F.coalesce("logs", F.lit(0.0)), F.coalesce("k", F.lit(0))
-    return out.select("doc_id", held.alias("held_out"), "n_tokens", (F.col("n_known") + F.coalesce("known", F.lit(0))).alias("n_known"), F.lit(model.total).cast("long").alias("train_tokens"), (F.col("base") + logs - k * base_log).alias("base_score"), (F.col("score") + logs - k * rest_log).alias("score"))
+    return out.select("doc_id", held.alias("held_out"), "n_tokens", (F.col("n_known") + F.coalesce("known", F.lit(0))).alias("n_known"), F.lit(model.total).cast("long").alias("train_tokens"), (F.col("base") + logs - k * base_log).alias("base_score"), (F.col("score") + logs).alias("score"))
