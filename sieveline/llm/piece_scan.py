@@ -1,17 +1,19 @@
 """SentencePiece encoding and decoding, with a max-plus parallel scan for giant documents.
 
-A text of up to `CHUNK` normalised characters is encoded by the library at once. A longer one is split
-into chunks at any character. What crosses a boundary is a token: the boundary's states are the tokens
-that begin before it and end at or after it. A chunk's transfer matrix holds, for every state at its
+A text of up to `CHUNK` normalised characters is one chunk, and is encoded by the library at once. A longer
+one is split into chunks at any character. What crosses a boundary is a token: the boundary's states are the
+tokens that begin before it and end at or after it. A chunk's transfer matrix holds, for every state at its
 begin and at its end, the best score of the tokens between them (missing: impossible). Matrices combine
-associatively in a tree by max-plus products; going down the tree again fixes the best state at every
-boundary, and each chunk then traces its own tokens back, independently.
+associatively by max-plus products, `FAN` neighbours a task and Spark round; going down the rounds again
+fixes the best state at every boundary, and each chunk then traces its own tokens back, independently. The
+library takes no part in that.
 
 For unigram models tokens score their log-probabilities. For merge (BPE) models a token sequence is the
 encoding exactly if every two neighbours merge to themselves, so such steps score 0 and others don't
-exist. Where no vocabulary piece spans the begin of a word, words can't interact: the words between a
-chunk's first and last word begin are encoded by the library, and only the cut words by the lattice.
-If a scan finds no path (a model outside these two kinds), the document is encoded by the library whole.
+exist. Where no vocabulary piece spans the begin of a word, words can't interact: the paths of a chunk's
+whole words are those of each word alone, found once per different word by the same lattice, and only the
+cut words depend on the boundary states. If a scan finds no path (a model outside these two kinds), the
+document is encoded by the library whole; so are texts with NUL, which the library ends strings at.
 
 Null texts count as empty; repeated rows are separate documents; an empty table gives an empty result.
 """
@@ -19,6 +21,7 @@ Null texts count as empty; repeated rows are separate documents; an empty table
 from __future__ import annotations
 
 import pickle
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -30,7 +33,9 @@ from pyspark.sql import functions as F
 
 from ._common import Scratch
 
-CHUNK = 32_768
+CHUNK = 8_192
+#: Matrices that one task combines; words, and tokens with what may follow, that a worker remembers (speed only).
+FAN, WORDS, PAIRS = 64, 300_000, 30_000
 _SPACE = "▁"
 #: A token that crosses or ends at a boundary: characters before it, characters from it on. The start of a text or word has no token.
 State = tuple[str, str]
@@ -48,11 +53,13 @@ class Lattice:
             if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i)):
                 self.ids[sp.id_to_piece(i)], self.score[sp.id_to_piece(i)] = i, sp.get_score(i)
         self.longest = max(map(len, self.ids))
+        self.beginnings = {p[:n] for p in self.ids for n in range(2, len(p))}  # a longer token may begin so
         scores = [self.score[p] for p in self.ids if len(p) > 1]
         self.merges = all(s == int(s) for s in scores)  # ranks of merges are whole numbers
         self.words_apart = not any(_SPACE in p[1:] and p.strip(_SPACE) for p in self.ids)
         self.unknown = min(self.score.values()) - 10
-        self._fits: dict[tuple[str, str], bool] = {}
+        self._fits: dict[str, dict[str, float | None]] = {}
+        self._words: dict[str, list[int]] = {}
 
     def raw(self, char: str) -> list[int]:
         """ids of a character that has no piece."""
@@ -72,47 +79,63 @@ class Lattice:
             parts[-at : 2 - at] = [parts[-at] + parts[1 - at]]
         return parts
 
+    def follows(self, before: str) -> dict[str, float | None]:
+        """Scores of tokens after another ('' for the begin), as far as they are known."""
+        known = self._fits.get(before)
+        if known is None:
+            if len(self._fits) > PAIRS:
+                self._fits.clear()
+            known = self._fits[before] = {}
+        return known
+
     def step(self, before: str, token: str) -> float | None:
-        """Score of a token after another ('' for the begin)."""
+        """Score of a token after another; None if it can't follow."""
         if not self.merges:
             return self.score.get(token, self.unknown)
-        key = (before, token)
-        if key not in self._fits:
-            if len(self._fits) > 500_000:
-                self._fits.clear()
-            self._fits[key] = self.merged(before + token) == ([before, token] if before else [token])
-        return 0.0 if self._fits[key] else None
+        return 0.0 if self.merged(before + token) == ([before, token] if before else [token]) else None
 
     def tokens_at(self, text: str, at: int) -> Iterator[str]:
         yield text[at]
+        beginnings = self.beginnings
         for n in range(2, min(self.longest, len(text) - at) + 1):
-            if text[at : at + n] in self.ids:
-                yield text[at : at + n]
-
-    def paths(self, text: str, first: int, end: int, entry: State) -> dict[tuple[int, str], tuple[float, tuple | None]]:
-        """All reachable tokens (their end, themselves) from `entry` at `first` on that begin before `end`,
-        with the best score and the token before. text[first:] begins right at the boundary."""
-        open_: dict[tuple[int, str], tuple[float, tuple | None]] = {}
-        start = first + len(entry[1])
-        open_[start, entry[0] + entry[1]] = (0.0, None)
-        for at in range(start, end):
-            here = [(k, v) for k, v in open_.items() if k[0] == at]
+            part = text[at : at + n]
+            if part in self.ids:
+                yield part
+            if part not in beginnings:
+                return
+
+    def paths(self, text: str, first: int, end: int, entry: State) -> list[dict[str, tuple[float, str]]]:
+        """By place from `first` on, all reachable tokens (from `entry`, beginning before `end`) that end
+        there, with the best score and the token before. text[first:] begins right at the boundary."""
+        open_: list[dict[str, tuple[float, str]]] = [{} for _ in range(end + self.longest + 1 - first)]
+        start = len(entry[1])
+        open_[start][entry[0] + entry[1]] = (0.0, "")
+        for at in range(start, end - first):
+            here = open_[at]
             if not here:
                 continue
-            for token in self.tokens_at(text, at):
-                for k, (score, _) in here:
-                    s = self.step(k[1], token)
-                    if s is not None and score + s > open_.get((at + len(token), token), (-np.inf, None))[0]:
-                        open_[at + len(token), token] = (score + s, k)
+            tokens = list(self.tokens_at(text, first + at))
+            for before, (score, _) in here.items():
+                known = self.follows(before)
+                for token in tokens:
+                    if token in known:
+                        s = known[token]
+                    else:
+                        s = known[token] = self.step(before, token)
+                    if s is not None:
+                        there = open_[at + len(token)]
+                        if token not in there or score + s > there[token][0]:
+                            there[token] = (score + s, before)
         return open_
 
     def exits(self, text: str, first: int, end: int, entry: State) -> dict[State, float]:
         """States at `end` and their scores."""
         out: dict[State, float] = {}
-        for (stop, token), (score, _) in self.paths(text, first, end, entry).items():
-            if stop >= end and stop - len(token) < end:
-                cut = len(token) - (stop - end)
-                out[token[:cut], token[cut:]] = max(score, out.get((token[:cut], token[cut:]), -np.inf))
+        for stop, tokens in enumerate(self.paths(text, first, end, entry)[end - first :], end):
+            for token, (score, _) in tokens.items():
+                if stop - len(token) < end:
+                    cut = len(token) - (stop - end)
+                    out[token[:cut], token[cut:]] = max(score, out.get((token[:cut], token[cut:]), -np.inf))
         return out
 
     def entries(self, text: str, at: int) -> list[State]:
@@ -143,14 +166,29 @@ class Lattice:
         if not cuts:
             return {s: e for s in starts if (e := self.exits(text, first, end, s))}
         out: Matrix = {}
-        tail = self.exits(text, cuts[1], end, FRESH)
+        tail, middle = self.exits(text, cuts[1], end, FRESH), self._between(text, *cuts)
         for s in starts:
             into = self.exits(text, first, cuts[0], s)
             whole = max((v for k, v in into.items() if not k[1]), default=None)
             if whole is not None:
-                out[s] = {k: v + whole for k, v in tail.items()}
+                out[s] = {k: v + whole + middle for k, v in tail.items()}
         return out
 
+    def _between(self, text: str, begin: int, end: int) -> float:
+        """Best score of whole words; only unigram models tell words apart by it."""
+        return 0.0 if self.merges else sum(max(self.exits(w, 0, len(w), FRESH).items(), key=lambda x: (not x[0][1], x[1]))[1] for w in _words(text[begin:end]))
+
+    def word_ids(self, word: str) -> list[int]:
+        """ids of a whole word, by the lattice."""
+        ids = self._words.get(word)
+        if ids is None:
+            if len(self._words) >= WORDS:
+                self._words.clear()
+            reached = self.paths(word, 0, len(word), FRESH)
+            last = reached[len(word)]
+            ids = self._words[word] = self.to_ids(_traced(reached, len(word), max(last, key=lambda t: last[t][0]), 0))
+        return ids
+
     def trace(self, text: str, first: int, end: int, entry: State, leave: State) -> list[int]:
         """ids of the tokens that begin in the chunk, given its boundary states."""
         cuts = self.cuts(text, first, end)
@@ -158,18 +196,27 @@ class Lattice:
             return self.to_ids(self._back(text, first, end, entry, leave))
         into = self.exits(text, first, cuts[0], entry)
         best = max((k for k in into if not k[1]), key=lambda k: into[k])
-        head = self.to_ids(self._back(text, first, cuts[0], entry, best))
-        middle = text[cuts[0] : cuts[1]]
-        inner = self.library.encode(middle[1:].replace(_SPACE, " ")) if middle else []
-        return head + inner + self.to_ids(self._back(text, cuts[1], end, FRESH, leave))
+        ids = self.to_ids(self._back(text, first, cuts[0], entry, best))
+        for word in _words(text[cuts[0] : cuts[1]]):
+            ids += self.word_ids(word)
+        return ids + self.to_ids(self._back(text, cuts[1], end, FRESH, leave))
 
     def _back(self, text: str, first: int, end: int, entry: State, leave: State) -> list[str]:
-        reached = self.paths(text, first, end, entry)
-        key, out = (end + len(leave[1]), leave[0] + leave[1]), []
-        while reached[key][1] is not None:
-            out.append(key[1])
-            key = reached[key][1]
-        return out[::-1]
+        return _traced(self.paths(text, first, end, entry), end - first + len(leave[1]), leave[0] + leave[1], len(entry[1]))
+
+
+def _traced(reached: list[dict[str, tuple[float, str]]], at: int, token: str, start: int) -> list[str]:
+    """Tokens of the best path from `start` to a token that ends at a place."""
+    out = []
+    while at > start:
+        out.append(token)
+        at, token = at - len(token), reached[at][token][1]
+    return out[::-1]
+
+
+def _words(text: str) -> list[str]:
+    """Words, each from its run of spaces on."""
+    return re.findall(f"{_SPACE}+[^{_SPACE}]*", text)
 
 
 def product(a: Matrix, b: Matrix) -> Matrix:
@@ -185,16 +232,30 @@ def product(a: Matrix, b: Matrix) -> Matrix:
     return out
 
 
-def fix_states(matrices: list[Matrix]) -> list[tuple[State, State]] | None:
-    """Begin and end state of every chunk on the best path; None if there is no path."""
+def combined(matrices: list[Matrix]) -> Matrix:
+    """Product of neighbours in order, as a tree."""
+    while len(matrices) > 1:
+        matrices = [product(matrices[i], matrices[i + 1]) if i + 1 < len(matrices) else matrices[i] for i in range(0, len(matrices), 2)]
+    return matrices[0]
+
+
+def best_ends(matrix: Matrix) -> tuple[State, State] | None:
+    """Begin and end state of a whole text's best path; None if there is no path."""
+    ends = {e: v for e, v in matrix.get(FRESH, {}).items() if not e[1]}
+    return (FRESH, max(ends, key=lambda e: ends[e])) if ends else None
+
+
+def fix_states(matrices: list[Matrix], ends: tuple[State, State] | None = None) -> list[tuple[State, State]] | None:
+    """Begin and end state of every chunk on the best path between two states (of a whole text, if they
+    aren't given); None if there is no path."""
     levels = [matrices]
     while len(levels[-1]) > 1:
         now = levels[-1]
         levels.append([product(now[i], now[i + 1]) if i + 1 < len(now) else now[i] for i in range(0, len(now), 2)])
-    ends = {e: v for e, v in levels[-1][0].get(FRESH, {}).items() if not e[1]}
-    if not ends:
+    ends = ends or best_ends(levels[-1][0])
+    if ends is None:
         return None
-    fixed = [(FRESH, max(ends, key=lambda e: ends[e]))]
+    fixed = [ends]
     for level in levels[-2::-1]:
         down = []
         for k, (s, e) in enumerate(fixed):
@@ -217,35 +278,67 @@ def lattice(path: str) -> Lattice:
     return _LOADED[path]
 
 
-_FIRST = "row long, doc_id long, n_chars long, chunk int, n_chunks int, piece string, first int, end int, ids binary, text_crc long, n_tokens long, ids_crc32 long, round_trip boolean"
+_FIRST = "row long, doc_id long, n_chars long, chunk int, n_chunks int, piece string, first int, end int, ids binary, text_crc long"
+_TYPES = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "binary": pa.binary()}
+_FIRST_ARROW = pa.schema([(n, _TYPES[t]) for n, t in (x.split() for x in _FIRST.split(", "))])
+
 
+def _packed(ids: list[int]) -> bytes:
+    return np.asarray(ids, "<u4").tobytes()
 
-def encode_pieces(docs: DataFrame, scratch: Scratch, path: str, chunk: int = CHUNK, digest: bool = False) -> DataFrame:
-    """row, doc_id, n_chars, n_chunks, ids (binary, little-endian uint32), text_crc of every document.
-    `digest`: what fits one chunk leaves its figures (n_tokens, ids_crc32, round_trip) instead of ids."""
+
+def _boundaries(matrices: DataFrame, most: int, scratch: Scratch) -> DataFrame:
+    """(row, chunk, states) of every chunk from (row, chunk, matrix): products of `FAN` neighbours a task,
+    round by round up to one matrix a text, and the states of the boundaries round by round down again.
+    Texts without a path have null states."""
+
+    def up(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("chunk")
+        return pd.DataFrame({"row": pdf["row"].iloc[:1], "chunk": pdf["chunk"].iloc[:1] // FAN, "matrix": [pickle.dumps(combined([pickle.loads(m) for m in pdf["matrix"]]))]})
+
+    def top(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [best_ends(pickle.loads(m)) for m in b.column("matrix").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("row"), b.column("chunk"), pa.array([f and pickle.dumps(f) for f in found], pa.binary())], names=["row", "chunk", "states"])
+
+    def down(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("chunk")
+        ends = pdf["states"].iloc[0]
+        fixed = fix_states([pickle.loads(m) for m in pdf["matrix"]], pickle.loads(ends)) if ends else [None] * len(pdf)
+        return pd.DataFrame({"row": pdf["row"], "chunk": pdf["chunk"], "states": [f and pickle.dumps(f) for f in fixed]})
+
+    schema, levels = "row long, chunk int, matrix binary", [matrices]
+    while most > 1:
+        levels.append(scratch.keep(levels[-1].groupBy("row", F.floor(F.col("chunk") / FAN)).applyInPandas(up, schema), f"level{len(levels)}"))
+        most = -(-most // FAN)
+    fixed = levels[-1].mapInArrow(top, "row long, chunk int, states binary")
+    for level in levels[-2::-1]:
+        own = level.withColumn("above", F.floor(F.col("chunk") / FAN).cast("int"))
+        both = own.join(fixed.withColumnRenamed("chunk", "above"), ["row", "above"])
+        fixed = both.groupBy("row", "above").applyInPandas(down, "row long, chunk int, states binary")
+    return fixed
+
+
+def encode_pieces(docs: DataFrame, scratch: Scratch, path: str, chunk: int = CHUNK) -> DataFrame:
+    """row, doc_id, n_chars, n_chunks, ids (binary, little-endian uint32), text_crc of every document."""
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = lattice(path)
         for b in batches:
-            rows, texts = b.column("row").to_pylist(), b.column("text").to_pylist()
-            ids, out = b.column("doc_id").to_pylist(), []
-            for row, doc, text in zip(rows, ids, texts, strict=True):
+            out = []
+            for row, doc, text in zip(*(b.column(c).to_pylist() for c in ("row", "doc_id", "text")), strict=True):
                 own = {"row": row, "doc_id": doc, "n_chars": len(text), "text_crc": zlib.crc32(text.encode())}
                 plain = m.library.normalize(text) if len(text) > chunk else ""
                 if len(plain) <= chunk or "\0" in text:
-                    got = m.library.encode(text)
-                    data = np.asarray(got, "<u4").tobytes()
-                    kept = {"n_tokens": len(got), "ids_crc32": zlib.crc32(data), "round_trip": m.library.decode(got) == text} if digest else {"ids": data}
-                    out.append(own | {"chunk": 0, "n_chunks": 1} | kept)
+                    out.append(own | {"chunk": 0, "n_chunks": 1, "ids": _packed(m.library.encode(text))})
                     continue
                 starts = range(0, len(plain), chunk)
                 for k, a in enumerate(starts):
                     c, z = min(a + chunk, len(plain)), max(0, a - m.longest)
                     out.append(own | {"chunk": k, "n_chunks": len(starts), "piece": plain[z : c + m.longest], "first": a - z, "end": c - z})
-            yield pa.RecordBatch.from_pylist(out, schema=_schema)
+            yield pa.RecordBatch.from_pylist(out, schema=_FIRST_ARROW)
 
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    _schema = pa.schema([(n, {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "binary": pa.binary(), "boolean": pa.bool_()}[t]) for n, t in (x.split() for x in _FIRST.split(", "))])
     begun = scratch.keep(rows.mapInArrow(first, _FIRST), "begun")
 
     def transfers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -254,34 +347,32 @@ def encode_pieces(docs: DataFrame, scratch: Scratch, path: str, chunk: int = CHU
             made = [pickle.dumps(m.transfer(t, a, e, k == 0)) for t, a, e, k in zip(*(b.column(c).to_pylist() for c in ("piece", "first", "end", "chunk")), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column("row"), b.column("chunk"), pa.array(made, pa.binary())], names=["row", "chunk", "matrix"])
 
-    def fix(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("chunk")
-        fixed = fix_states([pickle.loads(x) for x in pdf["matrix"]])
-        return pd.DataFrame({"row": pdf["row"], "chunk": pdf["chunk"], "states": [pickle.dumps(s) for s in fixed] if fixed else [b""] * len(pdf)})
-
     def trace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = lattice(path)
         for b in batches:
-            got = [np.asarray(m.trace(t, a, e, *pickle.loads(s)), "<u4").tobytes() if s else None for t, a, e, s in zip(*(b.column(c).to_pylist() for c in ("piece", "first", "end", "states")), strict=True)]
+            got = [_packed(m.trace(t, a, e, *pickle.loads(s))) if s else None for t, a, e, s in zip(*(b.column(c).to_pylist() for c in ("piece", "first", "end", "states")), strict=True)]
             plain = [None if g is not None else t[a:e] for g, t, a, e in zip(got, *(b.column(c).to_pylist() for c in ("piece", "first", "end")), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column("row"), b.column("chunk"), pa.array(got, pa.binary()), pa.array(plain, pa.string())], names=["row", "chunk", "ids", "plain"])
 
     def join(pdf: pd.DataFrame) -> pd.DataFrame:
+        """A document's ids, which one row holds as its text did."""
         pdf = pdf.sort_values("chunk")
         if pdf["ids"].isna().any():  # no path: the normalised chunks together, by the library
-            ids = np.asarray(lattice(path).library.encode("".join(pdf["plain"]).replace(_SPACE, " ").removeprefix(" ")), "<u4").tobytes()
+            ids = _packed(lattice(path).library.encode("".join(pdf["plain"]).replace(_SPACE, " ").removeprefix(" ")))
         else:
             ids = b"".join(pdf["ids"])
         return pd.DataFrame({"row": [pdf["row"].iloc[0]], "ids": [ids]})
 
-    parts = begun.where("n_chunks > 1")
-    fixed = parts.select("row", "chunk", "piece", "first", "end").mapInArrow(transfers, "row long, chunk int, matrix binary").groupBy("row").applyInPandas(fix, "row long, chunk int, states binary")
-    ready = parts.select("row", "chunk", "piece", "first", "end").join(fixed, ["row", "chunk"])
-    traced = ready.select("row", "chunk", "piece", "first", "end", "states").mapInArrow(trace, "row long, chunk int, ids binary, plain string")
-    whole = traced.groupBy("row").applyInPandas(join, "row long, ids binary")
-    columns = ["row", "doc_id", "n_chars", "n_chunks", "ids", "text_crc", "n_tokens", "ids_crc32", "round_trip"]
-    giants = parts.where("chunk = 0").drop("ids").join(whole, "row").select(*columns)
-    return begun.where("n_chunks = 1").select(*columns).unionByName(giants)
+    columns = ["row", "doc_id", "n_chars", "n_chunks", "ids", "text_crc"]
+    whole, parts = begun.where("n_chunks = 1").select(*columns), begun.where("n_chunks > 1")
+    most = parts.agg(F.max("n_chunks")).first()[0]
+    if most is None:
+        return whole
+    own = parts.select("row", "chunk", "piece", "first", "end")
+    matrices = scratch.keep(own.mapInArrow(transfers, "row long, chunk int, matrix binary"), "matrices")
+    ready = own.join(_boundaries(matrices, most, scratch), ["row", "chunk"]).select("row", "chunk", "piece", "first", "end", "states")
+    joined = ready.mapInArrow(trace, "row long, chunk int, ids binary, plain string").groupBy("row").applyInPandas(join, "row long, ids binary")
+    return whole.unionByName(parts.where("chunk = 0").drop("ids").join(joined, "row").select(*columns))
 
 
 def decode_ids(path: str, data: bytes) -> str:
@@ -298,7 +389,5 @@ def piece_round_trip(spark: SparkSession, docs: DataFrame, path: str, chunk: int
             same = [zlib.crc32(decode_ids(path, x).encode()) == c for x, c in zip(ids, b.column("text_crc").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("n_chars"), b.column("n_chunks"), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([zlib.crc32(x) for x in ids], pa.int64()), pa.array(same, pa.bool_())], names=["doc_id", "n_chars", "n_chunks", "n_tokens", "ids_crc32", "round_trip"])
 
-    coded = encode_pieces(docs, Scratch(spark), path, chunk, digest=True)
-    done = coded.where("ids IS NULL").select("doc_id", "n_chars", "n_chunks", "n_tokens", "ids_crc32", "round_trip")
-    giants = coded.where("ids IS NOT NULL").select("doc_id", "n_chars", "n_chunks", "ids", "text_crc")
-    return done.unionByName(giants.mapInArrow(run, "doc_id long, n_chars long, n_chunks int, n_tokens long, ids_crc32 long, round_trip boolean"))
+    coded = encode_pieces(docs, Scratch(spark), path, chunk).select("doc_id", "n_chars", "n_chunks", "ids", "text_crc")
+    return coded.mapInArrow(run, "doc_id long, n_chars long, n_chunks int, n_tokens long, ids_crc32 long, round_trip boolean")
