@@ -6,19 +6,23 @@ input. Equal strings meet as follows.
 1. Every window (string of `length` bytes) is put under the least hash of its k-byte strings; equal
    windows have the same least hash. Neighbouring windows with the same one form a segment. Segments
    travel as hashes; those whose least hash occurs once in the corpus have no partner and end here.
-2. Segments with equal bytes collapse to one that counts them: if it stands for two or more, all its
-   windows repeat, and it takes part below only as a partner of others.
-3. Least hashes with different segments (or with one that can repeat within itself) are dealt to shards; a shard's segments are joined to one text,
-   sorted by external induced sorting (`suffix_sort`), and the windows whose suffix shares `length`
-   bytes with a neighbour are reported.
+2. Segments of a least hash that are all equal are copies of each other and end here too: all their
+   windows repeat. Of other least hashes equal segments are read once, and those of two or more places
+   stand in their shard's text twice, as two copies are enough to show that all their windows repeat.
+3. Least hashes are dealt to shards; a shard's segments are joined to one text, sorted by external
+   induced sorting (`suffix_sort`), and the windows whose suffix shares `length` bytes with a neighbour
+   are the repeated ones.
 4. A least hash with more than `HOT` different segments is split before that: its segments are cut
    again under least hashes of longer strings, copies collapse again, and so on. The last strings have
    `length - 1` bytes: pieces that share one differ by a byte before and a byte behind it, so that no
    group can hold more than 2 * 256 + 256 * 256 different ones, whatever the corpus.
 
+Joins whose sides grow with the corpus are merge joins at every size. Documents are known by id and
+content, so copies spread over all tasks, and repeated rows (same id, same text) get the same ranges.
+
 Null texts count as empty. Copies of a text are judged as separate documents, as are repeated rows.
 Texts shorter than `length` keep all bytes. An empty table gives an empty result; other columns are
-ignored here and kept by `remove_repeats`.
+ignored here and kept by `remove_repeats`, whatever their names.
 """
 
 from __future__ import annotations
@@ -37,9 +41,14 @@ from .suffix_sort import repeated_at
 
 LENGTH = 400
 #: Different segments of one least hash beyond which it is split, and bytes that a shard sorts.
-HOT, SHARD_BYTES = 4_096, 1_200_000
-#: Lengths of the hashed strings, from the first cut on, as parts of the window that they leave free.
-_SLACK = (368, 92, 23, 5, 1)
+HOT, SHARD_BYTES = 4_096, 4_000_000
+#: Bytes hashed at the first cut, and those that the strings of further cuts leave free of a window of LENGTH bytes.
+FIRST, _SLACK = 32, (92, 23, 5, 1)
+
+
+def _hashed(length: int, level: int) -> int:
+    """Length of the strings hashed at a cut of windows of any length."""
+    return min(FIRST, (length + 1) // 2) if not level else max(1, length - max(1, _SLACK[level - 1] * length // LENGTH))
 
 
 def _mix(v: np.ndarray) -> np.ndarray:
@@ -107,21 +116,22 @@ def _digest(data: bytes) -> tuple[int, int]:
     return int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)
 
 
-_SEGMENTS = "doc_id long, t1 long, t2 long, start long, n long, m long, r long, s1 long, s2 long"
+_SEGMENTS = "d long, t long, start long, n long, m long, r long, s1 long, s2 long"
 
 
 def segments(docs: DataFrame, length: int) -> DataFrame:
-    """A row per segment of documents (doc_id, t1, t2, text)."""
-    k = max(1, length - _SLACK[0])
+    """A row per segment of documents (d, t, text)."""
+    k = _hashed(length, 0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, t1, t2, texts = (b.column(c).to_pylist() for c in ("doc_id", "t1", "t2", "text"))
+            d, t, texts = (b.column(c).to_pylist() for c in ("d", "t", "text"))
             for x, y in by_size(texts, [len(t) for t in texts], 1_000_000):
                 of, start, n, m, r = cut(texts[x:y], length, k)
                 own = [_digest(texts[x + o][a : a + c + length - 1]) for o, a, c in zip(of.tolist(), start.tolist(), n.tolist(), strict=True)]
                 row = (of + x).tolist()
-                yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in row], pa.int64()), pa.array([t1[i] for i in row], pa.int64()), pa.array([t2[i] for i in row], pa.int64()), pa.array(start), pa.array(n), pa.array(m), pa.array(r), pa.array([s[0] for s in own], pa.int64()), pa.array([s[1] for s in own], pa.int64())], names=["doc_id", "t1", "t2", "start", "n", "m", "r", "s1", "s2"])
+                columns = [[d[i] for i in row], [t[i] for i in row], start, n, m, r, [s[0] for s in own], [s[1] for s in own]]
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["d", "t", "start", "n", "m", "r", "s1", "s2"])
 
     return docs.mapInArrow(run, _SEGMENTS)
 
@@ -138,12 +148,12 @@ _FOUND = "s1 long, s2 long, runs array<array<long>>"
 _FOUND_ARROW = pa.schema([("s1", pa.int64()), ("s2", pa.int64()), ("runs", pa.list_(pa.list_(pa.int64())))])
 
 
-def _sort_shard(length: int):
+def _sort_shard(length: int, memory: int | None = None):
     """Sorts all pieces of a task as shards of some size each; whole groups stay together, as a task's
-    shard ends only between groups."""
+    shard ends only between groups. `memory`: tuples that a sorter's queue holds before it spills."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[int, int, bytes]] = []
+        held: list[tuple[int, int, bytes]] = []  # a second copy follows its first one
         size, group, own = 0, None, set()
 
         def shard() -> pa.RecordBatch:
@@ -155,20 +165,21 @@ def _sort_shard(length: int):
                     text[a : a + n - 1] = np.frombuffer(data, np.uint8)
                     text[a : a + n - 1] += 1  # 0 ends a piece
                 hits: list[np.ndarray] = []
-                repeated_at(text, length, folder, hits.append)
+                repeated_at(text, length, folder, hits.append, memory=memory)
                 del text
             found = np.sort(np.concatenate(hits)) if hits else np.zeros(0, np.int64)
             cuts = np.searchsorted(found, np.append(begin, begin[-1] + sizes[-1]))
-            rows = []
+            rows, last = [], None
             for p, s, a, b in zip(held, begin.tolist(), cuts[:-1], cuts[1:], strict=True):
                 own = found[a:b] - s
                 own = own[own <= len(p[2]) - length]  # behind the last window, prefixes run into the next piece
-                if len(own):
+                if len(own) and p is not last:
                     rows.append({"s1": p[0], "s2": p[1], "runs": _runs(own)})
+                last = p
             return pa.RecordBatch.from_pylist(rows, schema=_FOUND_ARROW)
 
         for b in batches:
-            for m, s1, s2, data in zip(*(b.column(c).to_pylist() for c in ("m", "s1", "s2", "data")), strict=True):
+            for m, s1, s2, w, data in zip(*(b.column(c).to_pylist() for c in ("m", "s1", "s2", "w", "data")), strict=True):
                 if m != group and size > SHARD_BYTES:
                     yield shard()
                     held, size = [], 0
@@ -176,8 +187,8 @@ def _sort_shard(length: int):
                     group, own = m, set()
                 if (s1, s2) not in own:
                     own.add((s1, s2))
-                    held.append((s1, s2, data))
-                    size += len(data)
+                    held += [(s1, s2, data)] * min(w, 2)
+                    size += len(data) * min(w, 2)
         if held:
             yield shard()
 
@@ -198,75 +209,50 @@ def _cut_again(length: int, k: int, salt: int):
     return run
 
 
-#: Whether the segments of a least hash can repeat otherwise than as equal segments.
-_MANY = "min(s1) <> max(s1) or max(r) = 1"
-
-
 def _repeating(pieces: DataFrame, scratch: Scratch, length: int, level: int) -> DataFrame:
-    """(s1, s2, runs): repeated windows of different pieces (m, s1, s2, w, data) that share m."""
+    """(s1, s2, runs): the repeated windows of different pieces (m, s1, s2, w, data) that share m; a piece
+    stands for w places."""
     spark = scratch.spark
     sizes = scratch.keep(pieces.groupBy("m").agg(F.count("*").alias("c")), f"sizes{level}")
-    hot = sizes.where(F.col("c") > HOT).select("m") if level < len(_SLACK) else sizes.where("false").select("m")
+    hot = sizes.where(F.col("c") > HOT).select("m") if level <= len(_SLACK) else sizes.where("false").select("m")
     any_hot = not hot.isEmpty()
     cold = pieces.join(hot, "m", "left_anti") if any_hot else pieces
-    total = cold.agg(F.sum(F.length("data")).alias("n")).first().n or 0
+    total = cold.agg(F.sum(F.length("data") * F.least("w", F.lit(2))).alias("n")).first().n or 0
     tasks = max(1, min(-(-total // (4 * SHARD_BYTES)), 100_000))
-    found = scratch.keep(cold.repartition(tasks, "m").sortWithinPartitions("m").select("m", "s1", "s2", "data").mapInArrow(_sort_shard(length), _FOUND), f"found{level}")
+    found = scratch.keep(cold.repartition(tasks, "m").sortWithinPartitions("m").select("m", "s1", "s2", "w", "data").mapInArrow(_sort_shard(length), _FOUND), f"found{level}")
     if not any_hot:
         return found
-    k = length - max(0, _SLACK[level] * length // LENGTH if length != LENGTH else _SLACK[level])
+    k = _hashed(length, level)
     parts = scratch.keep(pieces.join(hot, "m", "left_semi").select("s1", "s2", "m", "w", "data").mapInArrow(_cut_again(length, k, level), "p1 long, p2 long, start long, n long, r long, m long, s1 long, s2 long, w long, data binary"), f"parts{level}")
-    once = parts.groupBy("m", "s1", "s2").agg(F.sum("w").alias("w"), F.max("n").alias("n"), F.max("r").alias("r"), F.min("data").alias("data"))
-    once = scratch.keep(once, f"once{level}")
-    many = once.groupBy("m").agg(F.expr(_MANY).alias("many"), F.min("w").alias("w")).where("many and w = 1").select("m")
-    below = _repeating(once.join(many, "m", "left_semi").select("m", "s1", "s2", "w", "data"), scratch, length, level + 1)
-    whole = once.where("w >= 2").select("s1", "s2", F.array(F.array(F.lit(0).cast("long"), F.col("n"))).alias("runs"))
-    verdict = whole.unionByName(below.join(whole.select("s1", "s2"), ["s1", "s2"], "left_anti"))
-    back = parts.select("p1", "p2", "start", "s1", "s2").join(verdict, ["s1", "s2"]).select("p1", "p2", F.transform("runs", lambda r: F.array(r[0] + F.col("start"), r[1] + F.col("start"))).alias("runs"))
-    deeper = back.groupBy(F.col("p1").alias("s1"), F.col("p2").alias("s2")).agg(F.flatten(F.collect_list("runs")).alias("runs"))
+    once = scratch.keep(parts.groupBy("m", "s1", "s2").agg(F.sum("w").alias("w"), F.max("r").alias("r"), F.min("data").alias("data")), f"once{level}")
+    again = once.groupBy("m").agg(F.sum("w").alias("c"), F.max("r").alias("r")).where("c >= 2 or r = 1").select("m")
+    below = _repeating(once.join(again, "m", "left_semi").select("m", "s1", "s2", "w", "data"), scratch, length, level + 1)
+    back = parts.select("p1", "p2", "start", "s1", "s2").join(below, ["s1", "s2"])
+    back = back.select("p1", "p2", F.transform("runs", lambda r: F.array(r[0] + F.col("start"), r[1] + F.col("start"))).alias("runs"))
+    deeper = back.groupBy(F.col("p1").alias("s1"), F.col("p2").alias("s2")).agg(F.flatten(F.collect_set("runs")).alias("runs"))
     return found.unionByName(scratch.keep(deeper, f"deeper{level}"))
 
 
-#: Residues of text hashes; a set of them is a filter of bounded size that is broadcast before a join.
-_RESIDUES = 1 << 20
-
-
-def _residue(column: str) -> Column:
-    return F.pmod(F.col(column), F.lit(_RESIDUES)).cast("int")
-
-
-def _residues(keys: DataFrame) -> DataFrame:
-    """At most `_RESIDUES` rows; texts with another residue are surely not among the keys."""
-    return F.broadcast(keys.select(_residue("t1").alias("__residue")).distinct())
-
-
 def repeated_ranges(docs: DataFrame, scratch: Scratch, length: int = LENGTH) -> DataFrame:
-    """(t1, t2, ranges): byte ranges to remove of each text that has any; texts are known by t1, t2.
-    docs: doc_id, t1, t2, text (binary)."""
+    """(d, t, ranges): byte ranges to remove of each document that has any.
+    docs: d, t, text (binary); d and t tell documents apart unless they are copies with one id."""
     segs = scratch.keep(segments(docs.where(F.length("text") >= length), length), "segments")
-    again = segs.groupBy("m").agg(F.count("*").alias("c"), F.expr(_MANY).alias("many")).where("c >= 2 or many").select("m", "many")
-    kept = scratch.keep(segs.join(again, "m"), "repeated")
+    different = "min(s1) <> max(s1) or min(s2) <> max(s2) or max(r) = 1"
+    again = segs.groupBy("m").agg(F.count("*").alias("c"), F.expr(different).alias("many")).where("c >= 2 or many").select("m", "many")
+    kept = scratch.keep(segs.join(again.hint("merge"), "m").select("d", "t", "start", "n", "m", "s1", "s2", "many"), "repeated")
     scratch.drop("segments")
-    scratch.release_shuffles()
-    once = scratch.keep(kept.groupBy("m", "many", "s1", "s2").agg(F.count("*").alias("w"), F.max("n").alias("n"), F.min(F.struct("doc_id", "t1", "t2", "start")).alias("at")), "once")
-    scratch.release_shuffles()
-    # where every segment stands for several places there is nothing left to find
-    lone = once.where("many and w = 1").select("m").distinct()
-    wanted = once.where("many").join(lone, "m", "left_semi").select("m", "s1", "s2", "w", "n", "at.*")
-    # texts by id and content: copies of a text spread, and each wanted segment is read from one of them
-    own = docs.join(_residues(wanted), _residue("t1") == F.col("__residue"), "left_semi")
-    texts = own.select(F.coalesce("doc_id", F.lit(-(1 << 62))).alias("d"), F.col("t1").alias("u1"), F.col("t2").alias("u2"), "text")
-    wanted = wanted.withColumn("d", F.coalesce("doc_id", F.lit(-(1 << 62)))).groupBy("d", "t1", "t2").agg(F.collect_list(F.struct("m", "s1", "s2", "w", "n", "start")).alias("own"))
-    read = texts.join(wanted, (F.col("u1") == F.col("t1")) & (F.col("u2") == F.col("t2")) & (texts.d == wanted.d)).select("text", F.explode("own").alias("o"))
-    pieces = read.select("o.m", "o.s1", "o.s2", "o.w", F.expr(f"substring(text, cast(o.start + 1 as int), cast(o.n + {length - 1} as int))").alias("data"))  # a repeated row gives its segments again
-    pieces = scratch.keep(pieces, "pieces")
-    scratch.release_shuffles()
+    # every different segment is read from one of its places
+    wanted = kept.where("many").groupBy("m", "s1", "s2").agg(F.count("*").alias("w"), F.min(F.struct("d", "t", "start", "n")).alias("at"))
+    wanted = wanted.select("m", "s1", "s2", "w", "at.*").groupBy("d", "t").agg(F.collect_list(F.struct("m", "s1", "s2", "w", "n", "start")).alias("own"))
+    read = docs.where(F.length("text") >= length).join(wanted.hint("merge"), ["d", "t"]).select("text", F.explode("own").alias("o"))
+    data = F.expr(f"substring(text, cast(o.start + 1 as int), cast(o.n + {length - 1} as int))").alias("data")
+    pieces = scratch.keep(read.select("o.m", "o.s1", "o.s2", "o.w", data), "pieces")  # a repeated row gives its segments again
     found = _repeating(pieces, scratch, length, 1)
-    whole = once.where("w >= 2").select("s1", "s2", F.array(F.array(F.lit(0).cast("long"), F.col("n"))).alias("runs"))
-    verdict = whole.unionByName(found.join(whole.select("s1", "s2"), ["s1", "s2"], "left_anti"))
-    places = kept.select("t1", "t2", "start", "s1", "s2").distinct()
-    ranges = places.join(verdict, ["s1", "s2"]).select("t1", "t2", F.transform("runs", lambda r: F.array(r[0] + F.col("start"), r[1] + F.col("start") + length - 1)).alias("ranges"))
-    out = scratch.keep(ranges.groupBy("t1", "t2").agg(F.flatten(F.collect_list("ranges")).alias("ranges")), "ranges")
+    scratch.drop("pieces")
+    ranges = kept.where("many").join(found.hint("merge"), ["s1", "s2"])
+    ranges = ranges.select("d", "t", F.transform("runs", lambda r: F.array(r[0] + F.col("start"), r[1] + F.col("start") + length - 1)).alias("ranges"))
+    copies = kept.where("not many").select("d", "t", F.array(F.array("start", F.col("start") + F.col("n") + length - 1)).alias("ranges"))
+    out = scratch.keep(ranges.unionByName(copies).groupBy("d", "t").agg(F.flatten(F.collect_set("ranges")).alias("ranges")), "ranges")
     scratch.drop_all_but("ranges")
     return out
 
@@ -289,26 +275,16 @@ def _without(text: bytes, spans: list[list[int]]) -> bytes:
     return b"".join([*kept, text[at:]])
 
 
-def _named(docs: DataFrame) -> DataFrame:
-    """doc_id, text as bytes, and two 64-bit hashes that tell texts apart."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("text"))
-    return rows.select("doc_id", F.xxhash64("text").alias("t1"), F.conv(F.substring(F.md5("text"), 1, 15), 16, 10).cast("long").alias("t2"), "text")
-
-
-def _with_ranges(rows: DataFrame, ranges: DataFrame) -> DataFrame:
-    """Adds `ranges`; only texts that may have some are shuffled."""
-    some, here = _residues(ranges), _residue("t1") == F.col("__residue")
-    cut = rows.join(some, here, "left_semi").join(ranges, ["t1", "t2"], "left")
-    whole = rows.join(some, here, "left_anti").withColumn("ranges", F.lit(None).cast(ranges.schema["ranges"].dataType))
-    return cut.unionByName(whole)
+def _keys() -> tuple[Column, Column]:
+    """d and t of a document: its id (a fixed long for none) and a hash of its bytes."""
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 62))).alias("d"), F.xxhash64(text_bytes()).alias("t")
 
 
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every document."""
     scratch = Scratch(spark)
-    rows = _named(docs)
-    ranges = repeated_ranges(rows, scratch, length)
-    joined = _with_ranges(rows, ranges).select("doc_id", "text", "ranges")
+    rows = docs.select(*_keys(), F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("text"))
+    joined = rows.join(repeated_ranges(rows, scratch, length).hint("merge"), ["d", "t"], "left").select("doc_id", "text", "ranges")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -323,22 +299,27 @@ def suffix_array_dedup(spark: SparkSession, docs: DataFrame, length: int = LENGT
     return joined.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
-def remove_repeats(spark: SparkSession, docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """The documents with their texts cut, all columns kept. A cut within a character drops its other
-    bytes too; null texts stay null; n_chars, where there is one, is counted anew."""
+def remove_repeats(spark: SparkSession, docs: DataFrame, length: int = LENGTH, words: int = 0) -> DataFrame:
+    """The documents with their texts cut, all columns kept. Removed runs of fewer than `words` words stay.
+    A cut within a character drops its other bytes too; null texts stay null; n_chars, where there is one,
+    is counted anew."""
     scratch, names = Scratch(spark), docs.columns
-    ranges = repeated_ranges(_named(docs), scratch, length)
+    ranges = repeated_ranges(docs.select(*_keys(), text_bytes().alias("text")), scratch, length)
     # the documents as one struct, so that none of their columns can clash
-    tagged = docs.select(F.struct(*names).alias("doc"), F.xxhash64(text_bytes()).alias("t1"), F.conv(F.substring(F.md5(text_bytes()), 1, 15), 16, 10).cast("long").alias("t2"))
-    joined = _with_ranges(tagged, ranges).select("doc.*", F.col("ranges").alias("__ranges"))
+    joined = docs.select(F.struct("*").alias("doc"), *_keys()).join(ranges.hint("merge"), ["d", "t"], "left").select("doc", "ranges")
     at = names.index("text")
 
+    def shortened(text: str | None, ranges: list | None) -> str | None:
+        if not text or not ranges:
+            return text
+        data = text.encode()
+        return _without(data, [(a, b) for a, b in _merged(ranges) if len(data[a:b].split()) >= words]).decode(errors="ignore")
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = [t if t is None or not r else _without(t.encode(), _merged(r)).decode(errors="ignore") for t, r in zip(b.column("text").to_pylist(), b.column("__ranges").to_pylist(), strict=True)]
-            cols = [b.column(c) for c in names]
-            cols[at] = pa.array(texts, b.column("text").type)
+            cols = b.column("doc").flatten()
+            cols[at] = pa.array(map(shortened, cols[at].to_pylist(), b.column("ranges").to_pylist()), cols[at].type)
             yield pa.RecordBatch.from_arrays(cols, names=names)
 
-    out = joined.select(*names, "__ranges").mapInArrow(run, docs.schema)
+    out = joined.mapInArrow(run, docs.schema)
     return out.withColumn("n_chars", F.length(F.coalesce("text", F.lit(""))).cast(docs.schema["n_chars"].dataType)) if "n_chars" in names else out

@@ -2,7 +2,7 @@
 
 The text lies in a memory-mapped file. The suffixes that begin a rise after a fall (here: seeds) are
 sorted by sorting and naming their substrings and, where names repeat, by recursion on the string of
-names. From the seeds a forward scan induces the falling suffixes and a backward scan the rising ones:
+names; all arrays of the text's length are mapped to files. From the seeds a forward scan induces the falling suffixes and a backward scan the rising ones:
 each scanned suffix hands its left neighbour, as a tuple of position and common-prefix length, to a
 disk-backed priority queue keyed by first symbol; tuples of a key leave in the order they came, which is
 their sorted order. The common prefix of two tuples of a key is one more than the least common prefix
@@ -19,18 +19,21 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 
-#: Tuples handled together, and symbols up to which a (sub)problem is sorted in memory.
-BULK, BASE = 1 << 17, 1 << 19
+#: Tuples handled together, and names up to which a string of names is sorted in memory.
+BULK, BASE = 1 << 17, 1 << 22
+#: Tuples that a queue holds before it spills them.
+MEMORY = 1 << 18
 _FAR = np.iinfo(np.int64).max
 
 
 class DiskQueue:
     """A priority queue of (position, prefix) tuples with few distinct keys, popped key by key."""
 
-    def __init__(self, folder: str, name: str, memory: int):
-        self.path, self.memory, self.held, self.end = os.path.join(folder, name), memory, 0, 0
+    def __init__(self, folder: str, name: str, memory: int, kind: type):
+        self.memory, self.kind, self.held, self.end, self.spills = memory, np.dtype(kind), 0, 0, 0
         self.chunks: dict[int, deque] = {}
-        self.file = open(self.path, "w+b")  # noqa: SIM115
+        self.file = open(os.path.join(folder, name), "w+b")  # noqa: SIM115
+        os.unlink(self.file.name)  # lives as long as it is open
 
     def push(self, key: int, rows: np.ndarray) -> None:
         """Appends tuples (an array of two rows) behind those of the key."""
@@ -44,17 +47,17 @@ class DiskQueue:
             for k, c in enumerate(chunks):
                 if isinstance(c, np.ndarray):
                     self.file.seek(self.end)
-                    self.file.write(np.ascontiguousarray(c, "<i8").tobytes())
+                    self.file.write(np.ascontiguousarray(c, self.kind).tobytes())
                     chunks[k] = (self.end, c.shape[1])
-                    self.end += 16 * c.shape[1]
-        self.held = 0
+                    self.end += 2 * self.kind.itemsize * c.shape[1]
+        self.held, self.spills = 0, self.spills + 1
 
     def _load(self, chunk: np.ndarray | tuple[int, int]) -> np.ndarray:
         if isinstance(chunk, np.ndarray):
             self.held -= chunk.shape[1]
             return chunk
         self.file.seek(chunk[0])
-        return np.frombuffer(self.file.read(16 * chunk[1]), "<i8").reshape(2, -1)
+        return np.frombuffer(self.file.read(2 * self.kind.itemsize * chunk[1]), self.kind).reshape(2, -1).astype(np.int64)
 
     def pop(self, key: int, last: bool = False) -> np.ndarray | None:
         """The key's first tuples (or, with `last`, its last ones), about BULK of them; None if it has none."""
@@ -66,7 +69,6 @@ class DiskQueue:
 
     def close(self) -> None:
         self.file.close()
-        os.unlink(self.path)
 
 
 class _Least:
@@ -138,10 +140,9 @@ def _run(text: np.ndarray, at: int) -> int:
     return n
 
 
-def _rising(text: np.ndarray) -> np.ndarray:
-    """Whether each suffix is less than the next one; the last isn't."""
+def _rising(text: np.ndarray, rises: np.ndarray) -> None:
+    """Sets whether each suffix is less than the next one; the last isn't."""
     n = len(text)
-    rises = np.zeros(n, bool)
     later = False  # of the suffix after the chunk
     for b in range(n, 0, -BULK):
         a = max(0, b - BULK)
@@ -154,14 +155,13 @@ def _rising(text: np.ndarray) -> np.ndarray:
         inside = nxt < len(known)
         rises[a:b] = np.where(inside, step[known[np.minimum(nxt, len(known) - 1)]] > 0, later) if len(known) else later
         later = bool(rises[a])
-    return rises
 
 
 def in_memory(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Suffix array and common prefixes (with the suffix before) of a short string, by prefix doubling."""
     n = len(text)
     rank = np.unique(text, return_inverse=True)[1].astype(np.int64)
-    levels, step, order = [rank], 1, np.argsort(rank)
+    levels, step, order = [rank.astype(np.int32 if n < 1 << 30 else np.int64)], 1, np.argsort(rank)
     while n and rank[order[-1]] < n - 1:
         nxt = np.zeros(n, np.int64)
         nxt[: max(0, n - step)] = rank[step:] + 1
@@ -170,7 +170,7 @@ def in_memory(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         sorted_key = key[order]
         rank = np.empty(n, np.int64)
         rank[order] = np.cumsum(np.append(False, sorted_key[1:] != sorted_key[:-1]))
-        levels.append(rank)
+        levels.append(rank.astype(levels[0].dtype))
         step *= 2
     prefix = np.zeros(n, np.int64)
     if n > 1:
@@ -185,28 +185,63 @@ def in_memory(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, prefix
 
 
-def _array(folder: str, name: str, size: int) -> np.ndarray:
-    """A memory-mapped array of longs."""
-    return np.lib.format.open_memmap(os.path.join(folder, f"{name}.npy"), "w+", np.int64, (size,)) if size else np.zeros(0, np.int64)
+def _array(folder: str, name: str, size: int, kind: type = np.int64) -> np.ndarray:
+    """A memory-mapped array of zeros; its file lives as long as the array."""
+    if not size:
+        return np.zeros(0, kind)
+    at = os.path.join(folder, name)
+    out = np.memmap(at, kind, "w+", shape=(size,))
+    os.unlink(at)
+    return out
+
+
+def _seeds(rises: np.ndarray, folder: str, depth: int, kind: type) -> np.ndarray:
+    """Positions where a rise begins after a fall, ascending."""
+    n = len(rises)
+    parts = [(a, min(n - 1, a + BULK)) for a in range(0, n - 1, BULK)]
+    counts = [int(np.count_nonzero(rises[a + 1 : b + 1] & ~rises[a:b])) for a, b in parts]
+    out, at = _array(folder, f"places{depth}", sum(counts), kind), 0
+    for (a, b), m in zip(parts, counts, strict=True):
+        out[at : at + m] = a + 1 + np.flatnonzero(rises[a + 1 : b + 1] & ~rises[a:b])
+        at += m
+    return out
+
+
+def _by_symbol(text: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The symbols at the places, ascending, and how many places have each."""
+    seen: dict[int, int] = {}
+    for a in range(0, len(places), BULK):
+        for s, m in zip(*(x.tolist() for x in np.unique(text[places[a : a + BULK]], return_counts=True)), strict=True):
+            seen[s] = seen.get(s, 0) + m
+    keys = np.array(sorted(seen), np.int64)
+    return keys, np.array([seen[k] for k in keys.tolist()], np.int64)
+
+
+def _own(text: np.ndarray, seeds: np.ndarray, symbols: list[int]) -> Iterator[np.ndarray]:
+    """For each symbol the numbers of the seeds that begin with it."""
+    if len(symbols) == 1 or len(seeds) > MEMORY and len(symbols) < 512:  # one pass a symbol, nothing held
+        for c in symbols:
+            yield np.concatenate([a + np.flatnonzero(text[seeds[a : a + BULK]] == c) for a in range(0, len(seeds), BULK)])
+    else:
+        first = np.asarray(text[seeds])
+        order = np.argsort(first, kind="stable")
+        yield from np.split(order, np.searchsorted(first[order], symbols[1:]))
 
 
-def _names(text: np.ndarray, rises: np.ndarray, seeds: np.ndarray) -> tuple[np.ndarray, int]:
-    """Names of the seeds' substrings in their order, and how many names there are. A substring runs to
-    the next seed inclusive; symbols count with their kind. Seeds are taken one first symbol at a time."""
-    n, m = len(text), len(seeds)
-    names, made = np.zeros(m, np.int64), 0
-    first = np.asarray(text[seeds])
-    end = np.append(seeds[1:], n - 1)
-    width = max(2, int(first.max()) * 2 + 2 if m else 2, int(np.max(text)) * 2 + 2).bit_length()
+def _names(text: np.ndarray, rises: np.ndarray, seeds: np.ndarray, names: np.ndarray, symbols: list[int]) -> int:
+    """Sets the names of the seeds' substrings in their order; gives how many names there are. A substring
+    runs to the next seed inclusive; symbols count with their kind. Seeds are taken one first symbol at a time."""
+    n, m, made = len(text), len(seeds), 0
+    width = max(2, 2 * int(np.max(text)) + 2).bit_length()
     per = 63 // width
-    for c in np.unique(first).tolist():
-        own = np.flatnonzero(first == c)
+    for own in _own(text, seeds, symbols):
+        start, end = seeds[own].astype(np.int64), np.where(own + 1 < m, seeds[np.minimum(own + 1, m - 1)].astype(np.int64), n - 1)
         group, active, offset = np.zeros(len(own), np.int64), np.arange(len(own)), 0
         while len(active):
             key = np.zeros(len(active), np.int64)
             for k in range(offset, offset + per):
-                p = seeds[own[active]] + k
-                inside = p <= end[own[active]]
+                p = start[active] + k
+                inside = p <= end[active]
                 p = np.minimum(p, n - 1)
                 key = (key << width) | np.where(inside, 2 * text[p].astype(np.int64) + rises[p] + 1, 0)
             order = np.lexsort((key, group[active]))
@@ -219,11 +254,11 @@ def _names(text: np.ndarray, rises: np.ndarray, seeds: np.ndarray) -> tuple[np.n
             many = np.diff(np.append(np.flatnonzero(new), len(g)))[np.cumsum(new) - 1] > 1
             offset += per
             rest = active[order][many]
-            active = rest[seeds[own[rest]] + offset <= end[own[rest]]]
+            active = rest[start[rest] + offset <= end[rest]]
         distinct, names_here = np.unique(group, return_inverse=True)
         names[own] = names_here + made
         made += len(distinct)
-    return names, made
+    return made
 
 
 def _extend(text: np.ndarray, a: np.ndarray, b: np.ndarray, known: np.ndarray) -> np.ndarray:
@@ -238,47 +273,53 @@ def _extend(text: np.ndarray, a: np.ndarray, b: np.ndarray, known: np.ndarray) -
     return run
 
 
-def scan_suffixes(text: np.ndarray, folder: str, memory: int = 1 << 22, base: int = BASE, depth: int = 0) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def scan_suffixes(text: np.ndarray, folder: str, memory: int | None = None, base: int | None = None, depth: int = 0, spilled: list[int] | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """All suffixes from the greatest to the least, in batches: positions, and the common prefix of each
-    with the suffix before it in this order (0 for the first)."""
-    n = len(text)
-    if n <= base or n < 3:
+    with the suffix before it in this order (0 for the first). The text itself is always sorted by
+    induction; a string of names is from `base` names down sorted in memory. `spilled` gathers how often
+    each queue spilled."""
+    n, memory, base = len(text), MEMORY if memory is None else memory, BASE if base is None else base
+    if depth and n <= base or n < 3:
         order, prefix = in_memory(np.asarray(text))
         yield order[::-1], np.append(0, prefix[::-1][:-1])[:n]
         return
-    rises = _rising(text)
-    seeds = np.flatnonzero(rises[1:] & ~rises[:-1]) + 1
-    names, made = _names(text, rises, seeds)
+    rises = _array(folder, f"rises{depth}", n, bool)
+    _rising(text, rises)
+    kind = np.int32 if n < 1 << 30 else np.int64
+    seeds = _seeds(rises, folder, depth, kind)
     m = len(seeds)
-    ordered, shared = _array(folder, f"seeds{depth}", m), _array(folder, f"shared{depth}", m)
+    seed_symbols, seed_counts = _by_symbol(text, seeds)
+    reduced = _array(folder, f"names{depth}", m, kind)
+    made = _names(text, rises, seeds, reduced, seed_symbols.tolist()) if m else 0
+    del rises
+    ordered, shared, matched = (_array(folder, f"{x}{depth}", m, kind) for x in ("seeds", "shared", "matched"))
     if made == m:
-        ordered[names] = seeds
-        if m:
-            matched = np.zeros(m, np.int64)
+        for a in range(0, m, BULK):
+            ordered[reduced[a : a + BULK]] = seeds[a : a + BULK]
     else:
-        reduced = _array(folder, f"names{depth}", m)
-        reduced[:] = names
-        matched, at = np.zeros(m, np.int64), m
-        bounds = np.append(seeds, n)
-        before: int | None = None
-        for pos, prefix in scan_suffixes(reduced, folder, memory, base, depth + 1):
-            at -= len(pos)
-            ordered[at : at + len(pos)] = seeds[pos[::-1]]
-            # the prefix of a suffix with the greater one before it belongs to that greater one
-            own = np.append(pos[0] if before is None else before, pos[:-1])
-            start = at + 1
-            symbols = bounds[np.minimum(own + prefix, m)] - seeds[own]
-            matched[start : min(m, at + len(pos) + 1)] = symbols[::-1][: min(m, at + len(pos) + 1) - start]
-            before = int(pos[-1])
+        at, before = m, None
+        for pos, prefix in scan_suffixes(reduced, folder, memory=memory, base=base, depth=depth + 1, spilled=spilled):
+            for c in range(0, len(pos), BULK):
+                own_pos, own_prefix = pos[c : c + BULK], prefix[c : c + BULK]
+                at -= len(own_pos)
+                ordered[at : at + len(own_pos)] = seeds[own_pos[::-1]]
+                # the prefix of a suffix with the greater one before it belongs to that greater one
+                own = np.append(own_pos[0] if before is None else before, own_pos[:-1])
+                start, upto = at + 1, np.minimum(own + own_prefix, m)
+                far = np.where(upto < m, seeds[np.minimum(upto, m - 1)].astype(np.int64), n) - seeds[own]
+                stop = min(m, at + len(own_pos) + 1)
+                matched[start:stop] = far[::-1][: stop - start]
+                before = int(own_pos[-1])
     if m > 1:
         for a in range(1, m, BULK):
             b = min(m, a + BULK)
-            shared[a:b] = _extend(text, np.asarray(ordered[a:b]), np.asarray(ordered[a - 1 : b - 1]), np.minimum(matched[a:b], n))
+            shared[a:b] = _extend(text, ordered[a:b].astype(np.int64), ordered[a - 1 : b - 1].astype(np.int64), np.minimum(matched[a:b], n).astype(np.int64))
+    del reduced, seeds, matched
     symbols = np.unique(np.concatenate([np.unique(text[a : a + BULK]) for a in range(0, n, BULK)])).tolist()
-    falling = DiskQueue(folder, f"falling{depth}", memory)
-    kept = DiskQueue(folder, f"kept{depth}", memory)
+    falling = DiskQueue(folder, f"falling{depth}", memory, kind)
+    kept = DiskQueue(folder, f"kept{depth}", memory, kind)
     scan = _Scan(falling)
-    first = np.asarray(text[ordered]) if m else np.zeros(0, np.int64)
+    seed_ends = np.append(0, np.cumsum(seed_counts))
     falling.push(int(text[n - 1]), np.array([[n - 1], [0]], np.int64))
     scan.last[int(text[n - 1])] = (-1, 0)  # sent by the end of the text, which shares nothing
     for c in symbols:
@@ -290,15 +331,16 @@ def scan_suffixes(text: np.ndarray, folder: str, memory: int = 1 << 22, base: in
             s = np.asarray(text[np.maximum(left, 0)]).astype(np.int64)
             last = int(pos[-1])
             scan.feed(prefix, left, s, (pos > 0) & (s >= c))
-        lo, hi = np.searchsorted(first, [c, c + 1])
+        lo, hi = seed_ends[np.searchsorted(seed_symbols, [c, c + 1])].tolist()
         for a in range(lo, hi, BULK):
-            pos, prefix = np.asarray(ordered[a : min(hi, a + BULK)]), np.array(shared[a : min(hi, a + BULK)])
+            pos, prefix = (x[a : min(hi, a + BULK)].astype(np.int64) for x in (ordered, shared))
             if a == lo:
                 prefix[0] = min(_run(text, last), _run(text, int(pos[0]))) if last >= 0 else 0
             left = pos - 1
             scan.feed(prefix, left, np.asarray(text[left]).astype(np.int64), np.ones(len(pos), bool))
     falling.close()
-    rising = DiskQueue(folder, f"rising{depth}", memory)
+    del ordered, shared
+    rising = DiskQueue(folder, f"rising{depth}", memory, kind)
     scan = _Scan(rising)
     for c in reversed(symbols):
         last = -1
@@ -319,6 +361,8 @@ def scan_suffixes(text: np.ndarray, folder: str, memory: int = 1 << 22, base: in
             s = np.asarray(text[np.maximum(left, 0)]).astype(np.int64)
             scan.feed(prefix, left, s, (pos > 0) & (s < c))
             yield pos, prefix
+    if spilled is not None:
+        spilled += [falling.spills, kept.spills, rising.spills]
     rising.close()
     kept.close()
 
