@@ -22,6 +22,10 @@ def scratch_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+#: Spark's setting to remove the shuffle files of a query when it ends.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 class Scratch:
     """Tables written to the shared folder to cut lineage; they survive the loss of executors."""
 
@@ -30,9 +34,13 @@ class Scratch:
         self.path = f"{scratch_root(spark)}/sieveline/{uuid.uuid4().hex}"
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
-        """Writes `df` and reads it back with its schema."""
-        at = f"{self.path}/{name}"
-        df.write.mode("overwrite").parquet(at)
+        """Writes `df` and reads it back with its schema. The shuffle files behind it go when it is written."""
+        at, conf, before = f"{self.path}/{name}", self.spark.conf, self.spark.conf.get(_CLEANUP, "false")
+        conf.set(_CLEANUP, "true")
+        try:
+            df.write.mode("overwrite").option("compression", "zstd").parquet(at)
+        finally:
+            conf.set(_CLEANUP, before)
         return self.spark.read.schema(df.schema).parquet(at)
 
     def drop(self, name: str) -> None:
@@ -42,21 +50,13 @@ class Scratch:
         at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
     def drop_all_but(self, *names: str) -> None:
-        """Removes all tables that no later step reads, and the shuffle files behind them."""
+        """Removes all tables that no later step reads."""
         jvm = self.spark.sparkContext._jvm
         root = jvm.org.apache.hadoop.fs.Path(self.path)
         fs = root.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
         for status in fs.listStatus(root):
             if status.getPath().getName() not in names:
                 fs.delete(status.getPath(), True)
-        self.release_shuffles()
-
-    def release_shuffles(self) -> None:
-        """Lets Spark's cleaner remove the shuffle files of finished jobs before the next job writes its own."""
-        import gc
-
-        gc.collect()
-        self.spark.sparkContext._jvm.System.gc()
 
 
 #: Models averaged in one task.

@@ -37,12 +37,13 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, train: Colum
 
 
 def in_one_task(rows: DataFrame, work: Callable[[pa.Table], Any]) -> Any:
-    """What `work` gives for all rows, a bounded sample, done in one task; only the result reaches the driver."""
+    """What `work` gives for all rows, a bounded sample, done in one task in a fixed order; only the result
+    reaches the driver."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [b for b in batches if len(b)]
         if held:
             yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(work(pa.Table.from_batches(held)))], pa.binary())], names=["result"])
 
-    got = rows.repartition(1).mapInArrow(run, "result binary").collect()
+    got = rows.repartition(1).sortWithinPartitions(*rows.columns).mapInArrow(run, "result binary").collect()
     return pickle.loads(got[0].result) if got else work(rows.limit(0).toArrow())

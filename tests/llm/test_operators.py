@@ -6,10 +6,11 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from sieveline.llm import language_model, nearest, packing, piece_scan, pivots, quality, simhash, suffix_dedup, token_files, toxicity
+from sieveline.llm import language_model, nearest, packing, piece_scan, pivots, quality, simhash, suffix_dedup, suffix_sort, token_files, toxicity, wide_simhash
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 DDL = "doc_id long, text string, label string, score double, row string, m long"
@@ -62,10 +63,47 @@ def test_suffix_array_dedup(spark, docs, texts, none, hot, monkeypatch):
     assert any(w[2] for w in want) and suffix_dedup.suffix_array_dedup(spark, none).count() == 0
 
 
-def test_remove_repeats_keeps_columns(spark, docs, texts):
-    out = suffix_dedup.remove_repeats(spark, docs)
-    assert out.columns == docs.columns and out.count() == len(texts)
-    assert {r.doc_id: r.text for r in out.collect()}[0] is None
+def test_suffix_sorter_spills(spark, docs, texts):
+    """In a task of Spark, with queues far smaller than the shard; its windows equal brute force."""
+    data = [t.encode() for _, t in texts if t and len(t.encode()) >= 400]
+    rows = [(7, k, 0, 1, d) for k, d in enumerate(data)]
+
+    def run(batches):
+        import pandas as pd
+
+        spilled, sort = [], suffix_sort.scan_suffixes
+        suffix_sort.scan_suffixes = lambda *a, **how: sort(*a, **(how | {"spilled": spilled}))
+        try:
+            found = [r for b in suffix_dedup._sort_shard(400, memory=500)(batches) for r in b.to_pylist()]
+        finally:
+            suffix_sort.scan_suffixes = sort
+        yield pa.RecordBatch.from_pandas(pd.DataFrame({"s1": [-1, *(r["s1"] for r in found)], "runs": [[[sum(spilled), 0]], *(r["runs"] for r in found)]}), preserve_index=False)
+
+    got = {r.s1: r.runs for r in spark.createDataFrame(rows, "m long, s1 long, s2 long, w long, data binary").repartition(1).mapInArrow(run, "s1 long, runs array<array<long>>").collect()}
+    assert got.pop(-1)[0][0] > 10
+    counts = Counter(t[i : i + 400] for t in data for i in range(len(t) - 399))
+    want = {k: [i for i in range(len(t) - 399) if counts[t[i : i + 400]] > 1] for k, t in enumerate(data)}
+    assert {k: [i for a, b in runs for i in range(a, b)] for k, runs in got.items()} == {k: w for k, w in want.items() if w}
+
+
+@pytest.mark.parametrize("length,words", [(400, 0), (200, 0), (100, 40)])
+def test_remove_repeats(spark, docs, texts, none, length, words):
+    counts = Counter((t or "").encode()[i : i + length] for _, t in texts for i in range(len((t or "").encode()) - length + 1))
+
+    def short(text):
+        if text is None:
+            return None
+        data = text.encode()
+        m = removed(data, counts, length)
+        edge = np.flatnonzero(np.diff(np.concatenate([[0], m.astype(int), [0]])))
+        for a, b in zip(edge[::2], edge[1::2], strict=True):
+            m[a:b] = len(data[a:b].split()) >= words
+        return np.frombuffer(data, np.uint8)[~m].tobytes().decode(errors="ignore")
+
+    out = suffix_dedup.remove_repeats(spark, docs.withColumn("ranges", F.lit(1)).withColumn("d", F.lit("x")), length, words)
+    got = sorted(((r.doc_id, r.text) for r in out.select("doc_id", "text", "ranges", "d").collect()), key=str)
+    assert got == sorted(((k, short(t)) for k, t in texts), key=str) and any(short(t) != t for _, t in texts)
+    assert suffix_dedup.remove_repeats(spark, none, length).count() == 0
 
 
 def test_language_model(spark, docs, texts, none):
@@ -81,16 +119,36 @@ def test_language_model(spark, docs, texts, none):
 
 
 def test_language_model_sums_to_one():
-    import pyarrow as pa
-
-    net = language_model.start_net(np.full(4, 0.25))
-    m = language_model.Model(pa.array(["", "a", "b"]), 0, np.array([3, 5, 4]), 20, 6, net)
-    for c1 in range(5):
-        for c2 in range(5):
-            p = np.exp(m.s1[c1] + m.s2[c2] + m.bias - m.normal[c1, c2])
-            assert p.sum() == pytest.approx(1, abs=1e-5)
-    rest = [2, 3, 3]
-    assert sum((x + 0.1) / (m.rest_total + 0.1 * (m.rest_distinct + 1)) for x in [*rest, 0]) == pytest.approx(1)
+    """Over all classes after any two, and over a class's tokens, one of them never seen."""
+    classes = language_model.Classes(pa.array(["the", "", "house", "mouse", "blouse"]), 1, 2)
+    rest = np.zeros((language_model.ENDINGS, 2), np.int64)
+    for word, c in (("house", 3), ("mouse", 2), ("blouse", 1)):
+        rest[language_model._ending(word)] += (c, 1)
+    net = language_model.start_net(np.full(classes.count, 1 / classes.count))
+    m = language_model.Model(classes, np.array([9, 5, 3, 2, 1]), 20, 5, rest, net)
+    every = np.arange(classes.count)
+    for c1, c2 in ((0, 1), (classes.count, classes.count), (7, classes.count)):
+        p = 10 ** m.log_classes(every, np.full_like(every, c1), np.full_like(every, c2))
+        assert p.sum() == pytest.approx(1, abs=1e-4)
+    own = language_model._ending("house")
+    assert language_model._ending("mouse") == own and sum(10 ** (np.log10(c + 0.1) - m.whole[2 + own]) for c in (3, 2, 1, 0)) == pytest.approx(1)
+
+
+def test_language_model_learns_order(spark):
+    """Held-out texts of a fixed order score better than shuffled ones, for frequent and for rare words."""
+    r = random.Random(9)
+    rare = [f"w{k}ing" for k in range(400)] + [f"v{k}ed" for k in range(400)]
+    say = lambda: " ".join(f"the {r.choice(rare[:400])} was {r.choice(rare[400:])} and" for _ in range(30))
+    texts = [say() for _ in range(600)]
+    mixed = []
+    for t in texts[:60]:
+        words = t.split()
+        r.shuffle(words)
+        mixed.append(" ".join(words))
+    rows = list(enumerate(texts)) + [(1000 + k, t) for k, t in enumerate(mixed)]
+    got = {q.doc_id: q for q in language_model.language_model_scores(spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(2)).collect()}
+    held = [k for k in range(60) if got[k].held_out]
+    assert held and all(got[k].score > got[k].base_score + 5 for k in held) and sum(got[k].score for k in range(60)) > sum(got[1000 + k].score for k in range(60)) + 300
 
 
 def test_token_files(spark, docs, texts, none):
@@ -108,7 +166,9 @@ def test_token_files(spark, docs, texts, none):
     assert token_files.token_output(spark, none, path).count() == 0
 
 
-def test_pieces(spark, docs, texts, none):
+@pytest.mark.parametrize("fan", [2, 64])
+def test_pieces(spark, docs, texts, none, fan, monkeypatch):
+    monkeypatch.setattr(piece_scan, "FAN", fan)
     path = public_tokenizers.path("piece_bpe_32k.model")
     library = piece_scan.lattice(path).library
     got = piece_scan.piece_round_trip(spark, docs, path, chunk=100).collect()
@@ -127,8 +187,6 @@ def test_simhash(spark, docs, texts, none):
         least[up[i]] = min(least.get(up[i], k), k)
     want = sorted((k, "%016x" % fp[i], least[up[i]]) for i, (k, _) in enumerate(texts))
     assert sorted(tuple(r) for r in simhash.simhash_near_duplicates(spark, docs).collect()) == want
-    kept = simhash.keep_one(spark, docs)
-    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == sorted({w[2] for w in want})
     assert simhash.simhash_near_duplicates(spark, none).count() == 0
 
 
@@ -139,10 +197,44 @@ def test_keep_one_keeps_one_of_each_group(spark):
     alone, one, two, three = [say() for _ in range(5)], say(), say(), say()
     rows = [(None, t) for t in alone] + [(None, alone[0]), (None, one), (3, one), (3, one), (2, one), (7, two), (7, three), (None, three), (9, None), (None, "")]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
-    got = sorted(((-1 if q.doc_id is None else q.doc_id), q.text or "") for q in simhash.keep_one(spark, df).collect())
+    got = sorted(((-1 if q.doc_id is None else q.doc_id), q.text or "") for q in wide_simhash.keep_one(spark, df).collect())
     assert got == sorted([(-1, t) for t in alone] + [(2, one), (7, two), (7, three), (9, "")])
 
 
+@pytest.mark.parametrize("bucket", [1 << 18, 50])
+def test_keep_one_by_similarity(spark, texts, none, bucket, monkeypatch):
+    """Against all pairs of fingerprints; near copies of shingle similarity 0.85 and more go, other texts stay."""
+    monkeypatch.setattr(wide_simhash, "BUCKET", bucket)
+    monkeypatch.setattr(wide_simhash, "ROUNDS", 2)
+    r = random.Random(12)
+    say = lambda n: [str(r.randint(0, 10**6)) for _ in range(n)]
+    rows, near = [(k, t) for k, t in texts], 0
+    for k in range(60):
+        words = say(300)
+        rows.append((1000 + 10 * k, " ".join(words)))
+        for c in range(1, 4):
+            other = list(words)
+            for at in r.sample(range(300), 4):  # up to 20 of 296 shingles
+                other[at] = "x" + str(r.randint(0, 10**6))
+            rows.append((1000 + 10 * k + c, " ".join(other)))
+            near += 1
+    df = spark.createDataFrame([(k, t, 1, "k") for k, t in rows], "doc_id long, text string, k1 long, doc string").repartition(3)
+    kept = wide_simhash.keep_one(spark, df)
+    ids = sorted(q.doc_id for q in kept.collect())
+    assert kept.columns == df.columns and len(ids) == len(set(ids))
+    prints = [np.frombuffer(wide_simhash.fingerprint((t or "").encode()), np.uint64) for _, t in rows]
+    up = list(range(len(rows)))
+    for _ in range(6):
+        for i in range(len(rows)):
+            up[i] = min(up[j] for j in range(len(rows)) if np.bitwise_count(prints[i] ^ prints[j]).sum() <= wide_simhash.FURTHEST)
+    least = {}
+    for i, (k, _) in enumerate(rows):
+        least[up[i]] = min(least.get(up[i], k), k)
+    want = set(least.values())
+    assert want <= set(ids) and len(set(ids) - want) <= 0.05 * near
+    assert {1000 + 10 * k for k in range(60)} <= want and wide_simhash.keep_one(spark, none).count() == 0
+
+
 @pytest.fixture(scope="module")
 def vectors(spark):
     rng = np.random.default_rng(0)

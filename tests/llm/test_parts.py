@@ -93,6 +93,57 @@ def test_pieces_equal_library_whatever_the_chunks():
             assert [i for (t, a, e), s in zip(parts, fixed, strict=True) for i in m.trace(t, a, e, *s)] == want
 
 
+def _field(number, data):
+    """A field of a serialized message: an int, a float or bytes."""
+    import struct
+
+    def varint(n):
+        out = b""
+        while True:
+            n, low = n >> 7, n & 127
+            out += bytes([low | (128 if n else 0)])
+            if not n:
+                return out
+
+    if isinstance(data, int):
+        return varint(number << 3) + varint(data)
+    if isinstance(data, float):
+        return varint(number << 3 | 5) + struct.pack("<f", data)
+    return varint(number << 3 | 2) + varint(len(data)) + data
+
+
+def unigram_model(path):
+    """A model of the library's format with hand-given log-probabilities; nothing is trained."""
+    pieces = [("<unk>", 0.0, 2), ("<s>", 0.0, 3), ("</s>", 0.0, 3)]
+    words = {"▁": -3.0, "▁a": -2.5, "▁ab": -2.9, "ab": -3.1, "abc": -3.3, "bc": -3.2, "▁the": -2.0, "th": -3.0, "he": -2.8, "▁▁": -3.5, "cab": -4.0, "▁ca": -3.6, "aaa": -4.2}
+    words |= {c: -6.0 - k / 10 for k, c in enumerate("abctehé")}
+    pieces += [(w, v, 1) for w, v in words.items()]
+    body = b"".join(_field(1, _field(1, w.encode()) + _field(2, v) + _field(3, t)) for w, v, t in pieces)
+    body += _field(2, _field(3, 1)) + _field(3, _field(1, b"identity") + _field(3, 1) + _field(4, 0) + _field(5, 1))
+    path.write_bytes(body)
+    return str(path)
+
+
+def test_unigram_pieces_equal_library(tmp_path):
+    m = piece_scan.lattice(unigram_model(tmp_path / "u.model"))
+    rng = random.Random(8)
+    assert not m.merges and m.words_apart
+    texts = ["".join(rng.choice("abc the  é") for _ in range(300)) for _ in range(6)] + ["abcabcab" * 60, "aaaa" * 70, "the cab " * 40]
+    for text in texts:
+        plain, want = m.library.normalize(text), m.library.encode(text)
+        for size in (23, 64):
+            parts = []
+            for a in range(0, len(plain), size):
+                c, z = min(a + size, len(plain)), max(0, a - m.longest)
+                parts.append((plain[z : c + m.longest], a - z, c - z))
+            matrices = [m.transfer(t, a, e, k == 0) for k, (t, a, e) in enumerate(parts)]
+            fixed = piece_scan.fix_states(matrices)
+            got = [i for (t, a, e), s in zip(parts, fixed, strict=True) for i in m.trace(t, a, e, *s)]
+            score = lambda ids: sum(m.library.get_score(i) for i in ids)
+            assert m.library.decode(got) == m.library.decode(want) and score(got) == pytest.approx(score(want), abs=1e-3)
+            assert got == want or len(got) > 0 and score(got) >= score(want) - 1e-3
+
+
 def test_max_plus_product_is_associative():
     rng = random.Random(5)
     states = [("a", ""), ("b", "c"), ("", "")]
