@@ -11,12 +11,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sieveline.llm import packing, quality, simhash, suffix_dedup, toxicity
+from sieveline.llm import packing, quality, suffix_dedup, toxicity, wide_simhash
 from sieveline.llm._common import Scratch
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+#: A repeated passage: strings of so many bytes repeat, and what goes has so many words at least.
+PASSAGE_BYTES, PASSAGE_WORDS = 200, 40
+
+
 def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/labels.parquet")
 
@@ -30,11 +34,11 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.keep_one(spark, docs)
+    return wide_simhash.keep_one(spark, docs)
 
 
 def repeated_passage_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return suffix_dedup.remove_repeats(spark, docs)
+    return suffix_dedup.remove_repeats(spark, docs, PASSAGE_BYTES, PASSAGE_WORDS)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,7 +55,7 @@ STAGES: list[tuple[str, Stage]] = [
     ("packing", packing_stage),
 ]
 
-#: The classifiers' decisions can't be expressed in SQL; tests hold the stages against brute force.
+#: The classifiers' decisions can't be expressed in SQL; tests hold each stage against brute force or planted cases.
 ORACLE_SQL = None
 
 
