@@ -36,19 +36,33 @@ SECRETS = (
 )
 _SECRET = "(?i)" + "|".join(f"(?:{p})" for p in SECRETS)
 _MARK = "\ue000"
-#: One of these is in every secret, in lower case: a text without any needs no pattern.
-_SIGNS = ("akia", "asia", "agpa", "aida", "aroa", "sk-", "sk_", "rk_live", "pk_live", "github_pat_", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "glpat-", "xox", "hooks.slack", "sg.", "twilio", "npm_", "pypi-", "dckr_pat_", "sentry.io", "eyj", "private", "://", "apikey", "api_key", "secret_key", "auth_token", "authtoken")
+#: Signs in lower case, of which one is in every secret of the forms (by place in SECRETS) beside them.
+_SIGNS = (
+    (("akia", "asia", "agpa", "aida", "aroa"), (0,)), (("sk-",), (1, 2, 3, 4, 7)), (("sk_", "rk_live", "pk_live"), (5, 6, 11)), (("github_pat_", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "glpat-"), (8, 9, 10)),
+    (("xox",), (12,)), (("://",), (13, 19, 22)), (("sg.",), (14,)), (("twilio",), (15,)), (("npm_", "pypi-", "dckr_pat_"), (16, 17, 18)), (("eyj",), (20,)), (("private",), (21,)), (("apikey", "api_key", "secret_key", "auth_token", "authtoken"), (23,)),
+)
 
 
 def redact(text: Column, max_chars: int | None = None) -> tuple[Column, Column]:
-    """Text without secrets, and how many there were. `max_chars`: longer texts are left as they are."""
-    some = F.transform(F.array(F.lower(text)), lambda low: reduce(lambda a, b: a | b, (low.contains(x) for x in _SIGNS)))[0]
-    if max_chars is not None:
-        some = some & (F.length(text) <= max_chars)
-    # one pass: a private character stands for each secret, is counted, and becomes the marker
-    marked = F.transform(F.array(F.regexp_replace(text, _SECRET, _MARK)), lambda x: F.struct(F.replace(x, F.lit(_MARK), F.lit("[REDACTED]")).alias("o"), (F.length(x) - F.length(F.replace(x, F.lit(_MARK), F.lit("")))).alias("n")))[0]
-    twice = F.struct(F.regexp_replace(text, _SECRET, "[REDACTED]").alias("o"), F.regexp_count(text, F.lit(_SECRET)).alias("n"))
-    both = F.when(~some, F.struct(text.alias("o"), F.lit(0).alias("n"))).when(text.contains(_MARK), twice).otherwise(marked)
+    """Text without secrets, and how many there were. `max_chars`: longer texts are left as they are. A text
+    without signs goes through no pattern, one with signs of one group through that group's, others
+    through all of them; forms whose signs a text lacks can't match in it, so the result is the same."""
+    present = F.transform(F.array(F.lower(text)), lambda low: F.array(*[reduce(lambda a, b: a | b, (low.contains(x) for x in signs)) for signs, _ in _SIGNS]))[0]
+
+    def marked(pattern: str) -> Column:
+        # one pass: a private character stands for each secret, is counted, and becomes the marker
+        return F.transform(F.array(F.regexp_replace(text, pattern, _MARK)), lambda x: F.struct(F.replace(x, F.lit(_MARK), F.lit("[REDACTED]")).alias("o"), (F.length(x) - F.length(F.replace(x, F.lit(_MARK), F.lit("")))).alias("n")))[0]
+
+    def clean(flags: Column) -> Column:
+        many, first = F.size(F.filter(flags, lambda x: x)), F.array_position(flags, True)
+        none = many == 0 if max_chars is None else (many == 0) | (F.length(text) > max_chars)
+        twice = F.struct(F.regexp_replace(text, _SECRET, "[REDACTED]").alias("o"), F.regexp_count(text, F.lit(_SECRET)).alias("n"))
+        out = F.when(none, F.struct(text.alias("o"), F.lit(0).alias("n"))).when(text.contains(_MARK), twice)
+        for k, (_, forms) in enumerate(_SIGNS, 1):
+            out = out.when((many == 1) & (first == k), marked("(?i)" + "|".join(f"(?:{SECRETS[f]})" for f in forms)))
+        return out.otherwise(marked(_SECRET))
+
+    both = F.transform(F.array(present), clean)[0]
     return F.when(text.isNotNull(), both["o"]), F.when(text.isNotNull(), both["n"])
 
 

@@ -210,10 +210,11 @@ def compressible_tools(spark, sf_dir):
     return C.table(spark, sf_dir, "events").select(tool.alias("tool")).distinct().withColumn("compressible", pipeline.is_compressible(F.col("tool")))
 
 
-@query("""SELECT lang, 3 * count(*) AS n, median(length(text)) AS median_ms, quantile_cont(length(text), 0.95) AS p95_ms FROM documents GROUP BY lang""")
+@query("""SELECT lang, 3 * count(*) AS n, round(median(length(text)), 3) AS median_ms, round(quantile_cont(length(text), 0.95), 3) AS p95_ms FROM documents GROUP BY lang""")
 def run_times(spark, sf_dir):
     d = C.table(spark, sf_dir, "documents").select("lang", F.length("text").cast("double").alias("ms"))
-    return telemetry.run_times(d, ["lang"], "ms").join(d.groupBy("lang").agg((3 * F.count("*")).alias("n")), "lang")
+    times = telemetry.run_times(d, ["lang"], "ms").select("lang", F.round("median_ms", 3).alias("median_ms"), F.round("p95_ms", 3).alias("p95_ms"))
+    return times.join(d.groupBy("lang").agg((3 * F.count("*")).alias("n")), "lang")
 
 
 @query(f"""SELECT lang, CAST(sum({count_sql('text')}) AS BIGINT) AS raw_tokens, CAST(sum({count_sql('substr(text, 1, 100)')}) AS BIGINT) AS filtered_tokens, FALSE AS token_counts_are_estimate, count(*) AS total FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id DESC) AS r FROM documents) WHERE r <= 100 GROUP BY lang""")
