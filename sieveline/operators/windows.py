@@ -25,11 +25,11 @@ def occurrences(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
 
 
 def repeats(outputs: DataFrame, session: str, seq: str, key: str, ids: list[str]) -> DataFrame:
-    """(ids, occurrence) of outputs whose key came before in their session; `ids` tell outputs apart. Only
-    keys are shuffled here, not texts."""
+    """(ids, occurrence) of outputs whose key came before in their session; `ids` tell outputs apart. Keys
+    and numbers are shuffled, no texts, and what gives the key is evaluated once."""
     narrow = outputs.where(F.col(key).isNotNull()).select(F.col(session).alias("__s"), F.col(key).alias("__k"), F.col(seq).alias("__q"), *ids)
-    many = narrow.groupBy("__s", "__k").agg(F.count("*").alias("__n")).where("__n > 1").drop("__n")
-    return occurrences(narrow.join(many, ["__s", "__k"]), ["__s", "__k"], "__q").where("occurrence > 1").select(*ids, "occurrence")
+    rank = F.row_number().over(Window.partitionBy("__s", "__k").orderBy("__q", *ids))
+    return narrow.withColumn("occurrence", rank).where("occurrence > 1").select(*ids, "occurrence")
 
 
 def repeated_outputs(outputs: DataFrame, session: str, seq: str, text: str) -> DataFrame:

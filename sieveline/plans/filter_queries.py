@@ -32,7 +32,7 @@ def redact_families(spark, sf_dir):
 
 def _outputs(spark, sf_dir):
     """Outputs of many commands and tools, some failed, short, binary, too large or repeated."""
-    e = C.table(spark, sf_dir, "events").select("event_id").withColumns({"k": F.col("event_id") % 8, "n": F.col("event_id").cast("string")})
+    e = C.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("event_id")).withColumns({"k": F.col("event_id") % 8, "n": F.col("event_id").cast("string")})
     lines = lambda what, n: F.concat(F.lit("top"), F.repeat(F.concat(F.lit("\n" + what + " "), F.col("n")), F.lit(n)))
     text = F.when(F.col("k") == 0, F.concat(F.repeat(F.lit("\0"), F.lit(300)), F.lit("ab"))).when(F.col("k") == 1, F.repeat(F.concat(F.lit("w"), F.col("n")), F.lit(2000))).when(F.col("k") == 2, "short").when(F.col("k") == 3, F.lit("the same text again " * 40)).otherwise(lines("a line of", 80))
     command = F.when(F.col("k") == 4, "npx vitest run").when(F.col("k") == 5, "eslint . --debug").when(F.col("k") == 6, "cargo test").otherwise("")
@@ -40,7 +40,7 @@ def _outputs(spark, sf_dir):
     return e.select(F.col("event_id").alias("output_id"), F.expr("event_id div 400").cast("string").alias("session_id"), F.col("event_id").alias("seq"), command.alias("command"), tool.alias("tool"), F.when(F.col("k") == 6, 1).alias("exit_code"), F.lit(False).alias("timed_out"), text.alias("text"))
 
 
-_STAGES = """e AS (SELECT event_id, event_id % 8 AS k, event_id // 400 AS s, CAST(event_id AS VARCHAR) AS n FROM events), r AS (SELECT *, row_number() OVER (PARTITION BY s, k ORDER BY event_id) AS rk FROM e),
+_STAGES = """e AS (SELECT event_id, event_id % 8 AS k, event_id // 400 AS s, CAST(event_id AS VARCHAR) AS n FROM (SELECT c_custkey AS event_id FROM customer)), r AS (SELECT *, row_number() OVER (PARTITION BY s, k ORDER BY event_id) AS rk FROM e),
  t AS (SELECT *, CASE WHEN k = 0 THEN 'binary' WHEN k = 1 THEN 'oversized' WHEN k IN (2, 3) AND rk > 1 THEN 'dedupe' WHEN k = 6 THEN 'error' WHEN k = 2 THEN 'small' ELSE 'filter' END AS stage, 'top' || repeat(chr(10) || 'a line of ' || n, 80) AS l FROM r),
  o AS (SELECT *, CASE k WHEN 4 THEN 'top' || repeat(chr(10) || 'a line of ' || n, 9) || chr(10) || chr(10) || '[... 31 lines omitted ...]' || chr(10) || repeat(chr(10) || 'a line of ' || n, 40) ELSE l END AS out FROM t)"""
 
@@ -53,7 +53,7 @@ def filter_stages(spark, sf_dir):
     return pipeline.filter_outputs(_outputs(spark, sf_dir), cfg, on=True).select("output_id", "stage", "shown")
 
 
-@query("""SELECT event_id AS output_id, 'off' AS stage, event_id % 8 = 2 AS short FROM events""")
+@query("""SELECT c_custkey AS output_id, 'off' AS stage, c_custkey % 8 = 2 AS short FROM customer""")
 def filter_switched_off(spark, sf_dir):
     out = pipeline.filter_outputs(_outputs(spark, sf_dir), limits("balanced", {}), on=False)
     return out.where(F.col("shown") == F.col("text")).select("output_id", "stage", (F.col("shown") == "short").alias("short"))
