@@ -13,10 +13,12 @@ from pyspark.sql import functions as F
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or (only where it is unset,
-    as in tests on one machine) a fresh temporary folder, then kept in the session's settings."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or (only where it is unset and
+    Spark runs on one machine, as in tests) a fresh temporary folder, then kept in the session's settings."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="sieveline-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
