@@ -151,7 +151,10 @@ def _met(distinct: DataFrame, scratch: Scratch, total: int, masks: np.ndarray, r
         found = scratch.keep(dealt.groupBy("bucket").applyInPandas(_collide, "variant long, id long"), f"{name}{turn}")
         out = found if out is None else out.unionAll(found)
     groups = max(1, -(-out.count() // BUCKET))
-    known = out.join(distinct.select("id", "fp").hint("merge"), "id").withColumn("bucket", F.pmod(F.xxhash64("variant"), F.lit(groups)))
+    # a fingerprint joins its variants, at most BANDS * len(masks) of them, once
+    own = out.groupBy("id").agg(F.collect_list("variant").alias("variants"))
+    known = own.join(distinct.select("id", "fp").hint("merge"), "id").select("id", "fp", F.explode("variants").alias("variant"))
+    known = known.withColumn("bucket", F.pmod(F.xxhash64("variant"), F.lit(groups)))
     return scratch.keep(known.groupBy("bucket").applyInPandas(_linked, "a long, b long"), f"{name}_links")
 
 
