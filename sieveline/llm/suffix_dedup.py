@@ -41,7 +41,7 @@ from .suffix_sort import repeated_at
 
 LENGTH = 400
 #: Different segments of one least hash beyond which it is split, and bytes that a shard sorts.
-HOT, SHARD_BYTES = 4_096, 4_000_000
+HOT, SHARD_BYTES = 4_096, 3_000_000
 #: Bytes hashed at the first cut, and those that the strings of further cuts leave free of a window of LENGTH bytes.
 FIRST, _SLACK = 32, (92, 23, 5, 1)
 
