@@ -65,8 +65,9 @@ def bands(prints: np.ndarray) -> np.ndarray:
     return own | np.arange(BANDS, dtype=np.uint64) << np.uint64(BAND)
 
 
-def _dealt(masks: np.ndarray, rounds: int, turn: int, buckets: int):
-    """Variants of a task's fingerprints in a round, dealt to buckets, with id, component, and number of the mask."""
+def _dealt(masks: np.ndarray, rounds: int, turn: int, buckets: int, whole: bool = False):
+    """Variants of a task's fingerprints in a round, dealt to buckets, with id, component, and number of the
+    mask; or with the `whole` fingerprint in the component's place."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -81,7 +82,7 @@ def _dealt(masks: np.ndarray, rounds: int, turn: int, buckets: int):
                 own, bucket = own[order], bucket[order]
                 cuts = np.append(np.flatnonzero(np.diff(bucket, prepend=-1)), len(bucket)).tolist()
                 of = a + own // (BANDS * len(masks))
-                columns = (v[own], ids[of], roots[of], (own % len(masks)).astype(np.uint8))
+                columns = (v[own], ids[of], prints[of] if whole else roots[of], (own % len(masks)).astype(np.uint8))
                 packed = [pa.array([x[i:j].tobytes() for i, j in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary()) for x in columns]
                 yield pa.RecordBatch.from_arrays([pa.array(bucket[cuts[:-1]]), *packed], names=["bucket", "variants", "ids", "roots", "codes"])
 
@@ -89,8 +90,8 @@ def _dealt(masks: np.ndarray, rounds: int, turn: int, buckets: int):
 
 
 def _collide(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Fingerprints of one bucket that share a variant, where they are of different components. Where
-    variants are dealt with masks, those with equal bits in the band have met before."""
+    """Fingerprints of one bucket that share a variant, where they are of different components and bits in
+    the band; those with equal bits have met before."""
     v, ids, roots, codes = (np.frombuffer(b"".join(pdf[c]), t) for c, t in (("variants", np.uint64), ("ids", np.int64), ("roots", np.int64), ("codes", np.uint8)))
     order = np.argsort(v, kind="stable")
     v, ids, roots, codes = v[order], ids[order], roots[order], codes[order]
@@ -98,7 +99,7 @@ def _collide(pdf: pd.DataFrame) -> pd.DataFrame:
     if not len(first):
         return pd.DataFrame({"variant": np.zeros(0, np.int64), "id": ids})
     differ = lambda x: np.minimum.reduceat(x, first) != np.maximum.reduceat(x, first)
-    told = differ(roots) & (differ(codes) if codes.any() else True)
+    told = differ(roots) & differ(codes)
     own = np.repeat(told, np.diff(np.append(first, len(v))))
     return pd.DataFrame({"variant": v[own].view(np.int64), "id": ids[own]})
 
@@ -121,52 +122,65 @@ def _group_links(prints: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def _linked(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Links of the groups (variant) of one bucket, verified on whole fingerprints, as a spanning forest."""
-    pdf = pdf.sort_values(["variant", "id"], ignore_index=True)
-    v, ids = pdf["variant"].to_numpy(), pdf["id"].to_numpy()
-    prints = np.frombuffer(b"".join(pdf["fp"]), np.uint64).reshape(len(pdf), -1)
+def _forest(v: np.ndarray, ids: np.ndarray, prints: np.ndarray) -> pd.DataFrame:
+    """Links of groups (equal v, neighbours), verified on whole fingerprints, as a spanning forest."""
     forest = Forest()
-    new = np.append(True, v[1:] != v[:-1])
-    first, group = np.flatnonzero(new), np.cumsum(new) - 1
-    near = _near(prints, prints[first[group]])
-    for a, b in np.unique(np.stack([ids[first[group]], ids], 1)[near & ~new], axis=0).tolist():
-        forest.link(a, b)
-    # groups of three or more whose first member doesn't reach all
-    ends = np.append(first[1:], len(v))
-    for g in np.unique(group[~near]).tolist():
-        if ends[g] - first[g] > 2:
-            own = slice(first[g], ends[g])
-            for a, b in _group_links(prints[own]):
-                forest.link(*ids[own][[a, b]].tolist())
+    if len(v):
+        new = np.append(True, v[1:] != v[:-1])
+        first, group = np.flatnonzero(new), np.cumsum(new) - 1
+        near = _near(prints, prints[first[group]])
+        for a, b in np.unique(np.stack([ids[first[group]], ids], 1)[near & ~new], axis=0).tolist():
+            forest.link(a, b)
+        # groups of three or more whose first member doesn't reach all
+        ends = np.append(first[1:], len(v))
+        for g in np.unique(group[~near]).tolist():
+            if ends[g] - first[g] > 2:
+                own = slice(first[g], ends[g])
+                for a, b in _group_links(prints[own]):
+                    forest.link(*ids[own][[a, b]].tolist())
     return pd.DataFrame(forest.links(), columns=["a", "b"], dtype="int64")
 
 
-def _met(distinct: DataFrame, scratch: Scratch, total: int, masks: np.ndarray, rounds: int, name: str) -> DataFrame:
-    """(a, b): verified links between fingerprints (id, root, fp) that share a variant."""
-    buckets = max(1, -(-total * BANDS * len(masks) // (BUCKET * rounds)))
-    out, spread = None, distinct.select("id", "root", "fp").repartition(max(1, -(-total // (4 * CHUNK))), "id")
-    for turn in range(rounds):
-        dealt = spread.mapInArrow(_dealt(masks, rounds, turn, buckets), "bucket long, variants binary, ids binary, roots binary, codes binary")
-        found = scratch.keep(dealt.groupBy("bucket").applyInPandas(_collide, "variant long, id long"), f"{name}{turn}")
-        out = found if out is None else out.unionAll(found)
-    groups = max(1, -(-out.count() // BUCKET))
-    # a fingerprint joins its variants, at most BANDS * len(masks) of them, once
-    own = out.groupBy("id").agg(F.collect_list("variant").alias("variants"))
-    known = own.join(distinct.select("id", "fp").hint("merge"), "id").select("id", "fp", F.explode("variants").alias("variant"))
-    known = known.withColumn("bucket", F.pmod(F.xxhash64("variant"), F.lit(groups)))
-    return scratch.keep(known.groupBy("bucket").applyInPandas(_linked, "a long, b long"), f"{name}_links")
+def _linked(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Links of one bucket's rows (variant, id, fp)."""
+    pdf = pdf.sort_values(["variant", "id"], ignore_index=True)
+    return _forest(pdf["variant"].to_numpy(), pdf["id"].to_numpy(), np.frombuffer(b"".join(pdf["fp"]), np.uint64).reshape(len(pdf), -1))
+
+
+def _equal(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Links of one bucket's packed variants with whole fingerprints."""
+    v, ids, prints = (np.frombuffer(b"".join(pdf[c]), t) for c, t in (("variants", np.uint64), ("ids", np.int64), ("roots", np.uint64)))
+    order = np.lexsort((ids, v))
+    same = v[order][1:] == v[order][:-1]
+    met = order[np.append(same, False) | np.append(False, same)]
+    return _forest(v[met], ids[met], prints.reshape(len(v), -1)[met])
+
+
+_PACKED = "bucket long, variants binary, ids binary, roots binary, codes binary"
 
 
 def near_links(distinct: DataFrame, scratch: Scratch) -> DataFrame:
     """(a, b): links between different fingerprints (id, fp) that keep every component whole. Fingerprints
-    with equal bits in a band meet first; variants then only tell of members of different components, so
-    that a large group of near copies doesn't meet again in all its variants."""
-    total = distinct.count()
-    equal = _met(distinct.withColumn("root", F.col("id")), scratch, total, _masks()[:1], 1, "equal")
+    with equal bits in a band meet first, whole; variants then only tell of members of different
+    components, so that a large group of near copies doesn't meet again in all its variants."""
+    total, masks = distinct.count(), _masks()
+    buckets = lambda per, rounds: max(1, -(-total * BANDS * per // (BUCKET * rounds)))
+    spread = lambda df: df.select("id", "root", "fp").repartition(max(1, -(-total // (4 * CHUNK))), "id")
+    dealt = spread(distinct.withColumn("root", F.col("id"))).mapInArrow(_dealt(masks[:1], 1, 0, buckets(1, 1), whole=True), _PACKED)
+    equal = scratch.keep(dealt.groupBy("bucket").applyInPandas(_equal, "a long, b long"), "equal")
     found = components(equal, scratch, "first")
     rooted = scratch.keep(distinct.join(found, distinct.id == found.node, "left").select("id", F.coalesce("root", "id").alias("root"), "fp"), "rooted")
-    return equal.unionAll(_met(rooted, scratch, total, _masks(), ROUNDS, "shared"))
+    out = None
+    for turn in range(ROUNDS):
+        dealt = spread(rooted).mapInArrow(_dealt(masks, ROUNDS, turn, buckets(len(masks), ROUNDS)), _PACKED)
+        shared = scratch.keep(dealt.groupBy("bucket").applyInPandas(_collide, "variant long, id long"), f"shared{turn}")
+        out = shared if out is None else out.unionAll(shared)
+    groups = max(1, -(-out.count() // BUCKET))
+    # a fingerprint joins its variants, at most BANDS * len(masks) of them, once
+    own = out.groupBy("id").agg(F.collect_list("variant").alias("variants"))
+    known = own.join(rooted.select("id", "fp").hint("merge"), "id").select("id", "fp", F.explode("variants").alias("variant"))
+    known = known.withColumn("bucket", F.pmod(F.xxhash64("variant"), F.lit(groups)))
+    return equal.unionAll(scratch.keep(known.groupBy("bucket").applyInPandas(_linked, "a long, b long"), "links"))
 
 
 def keep_one(spark: SparkSession, docs: DataFrame) -> DataFrame:

@@ -343,11 +343,3 @@ def test_classifiers_take_anything(spark, docs, texts, none, module):
     assert score(none, labels).count() == 0 and score(docs, labels.limit(0)).count() == len(texts)
     keep = module.keep_good if module is quality else module.keep_clean
     assert keep(spark, docs, labels).columns == docs.columns
-
-
-def test_pipeline(spark):
-    import corpus_pipeline
-
-    sf = "/root/testdata/sf0.001"
-    out = corpus_pipeline.run(spark, sf).toPandas()
-    assert len(corpus_pipeline.STAGES) == 5 and len(out) and (out.groupby("sequence_id").length.sum() <= 4096).all()
