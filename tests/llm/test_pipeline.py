@@ -38,7 +38,7 @@ def test_near_duplicate_stage(spark, planted):
     kept = corpus_pipeline.near_duplicate_stage(spark, df, SF)
     rows = kept.collect()
     ids = [r.doc_id for r in rows]
-    assert kept.schema == df.schema and set(clean) <= set(ids) and set(with_passage) <= set(ids) and ids.count(None) == 2 and ids.count(5) == 1
+    assert kept.dtypes == df.dtypes and set(clean) <= set(ids) and set(with_passage) <= set(ids) and ids.count(None) == 2 and ids.count(5) == 1
     assert not any(2000 <= (k or 0) < 2020 for k in ids) and ids.count(9000) + ids.count(9001) == 1
     long = [k for k in near if len(near[k].split()) >= 120]  # one word of 120: similarity 0.92 at least
     assert sum(k in ids for k in long) <= 0.1 * len(long)
@@ -46,15 +46,17 @@ def test_near_duplicate_stage(spark, planted):
 
 def test_repeated_passage_stage(spark, planted):
     clean, passages, with_passage, _, df = planted
-    docs = df.where(F.col("doc_id").isNull() | ~F.col("doc_id").between(2000, 4000)).where("doc_id <> 5 or n_chars > 0")
+    docs = df.where(F.col("doc_id").isNull() | ~F.col("doc_id").between(2000, 4000)).dropDuplicates(["doc_id", "text"])
     out = corpus_pipeline.repeated_passage_stage(spark, docs, SF)
     got = {r.doc_id: r for r in out.collect() if r.doc_id is not None}
-    assert out.schema == docs.schema and out.count() == docs.count()
+    assert out.dtypes == docs.dtypes and out.count() == docs.count()
     assert all(got[k].text == t for k, t in clean.items()) and got[9000].text is None and got[9001].text == ""
     for k, text in with_passage.items():
         passage = passages[(k - 1000) // 10]
         a, b = text.split(passage)
-        assert passage not in got[k].text and got[k].text in (a + b, a[:-1] + b, a + b[1:], a[:-1] + b[1:]) and got[k].n_chars == len(got[k].text)
+        # the bytes around a passage may agree by chance in two texts
+        cut = {a[: len(a) - x] + b[y:] for x in range(4) for y in range(4)}
+        assert passage not in got[k].text and got[k].text in cut and got[k].n_chars == len(got[k].text)
 
 
 @pytest.mark.parametrize("stage,score,held", [(corpus_pipeline.quality_stage, quality.quality_scores, ("doc_id", 4, 2)), (corpus_pipeline.toxicity_stage, toxicity.toxicity_scores, ("doc_id", 3, 1))])
@@ -63,7 +65,7 @@ def test_classifying_stages_keep_what_the_operator_accepts(spark, stage, score,
     kept = stage(spark, docs, SF)
     accepted = 1 if score is quality.quality_scores else 0
     want = {r.doc_id for r in score(docs, labels, fold(held[0], held[1]) == held[2]).where(F.col("predicted") == accepted).collect()}
-    assert kept.schema == docs.schema and {r.doc_id for r in kept.collect()} == want and len(want) > 50
+    assert kept.dtypes == docs.dtypes and {r.doc_id for r in kept.collect()} == want and len(want) > 50
 
 
 def test_packing_stage(spark, planted):
