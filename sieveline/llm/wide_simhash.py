@@ -95,15 +95,31 @@ def _collide(pdf: pd.DataFrame) -> pd.DataFrame:
     v, ids, roots, codes = (np.frombuffer(b"".join(pdf[c]), t) for c, t in (("variants", np.uint64), ("ids", np.int64), ("roots", np.int64), ("codes", np.uint8)))
     order = np.argsort(v, kind="stable")
     v, ids, roots, codes = v[order], ids[order], roots[order], codes[order]
-    first = np.flatnonzero(np.append(True, v[1:] != v[:-1])) if len(v) else np.zeros(0, np.int64)
-    if not len(first):
+    own = _told_once(v, codes)
+    v, ids, roots = v[own], ids[own], roots[own]
+    if not len(v):
         return pd.DataFrame({"variant": np.zeros(0, np.int64), "id": ids})
-    differ = lambda x: np.minimum.reduceat(x, first) != np.maximum.reduceat(x, first)
-    told = differ(roots) & differ(codes)
-    own = np.repeat(told, np.diff(np.append(first, len(v))))
+    first = np.flatnonzero(np.append(True, v[1:] != v[:-1]))
+    differ = np.minimum.reduceat(roots, first) != np.maximum.reduceat(roots, first)
+    own = np.repeat(differ, np.diff(np.append(first, len(v))))
     return pd.DataFrame({"variant": v[own].view(np.int64), "id": ids[own]})
 
 
+def _told_once(v: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    """Which members of the groups (equal v, neighbours; mask 0 is empty, mask k flips bit k - 1) to give, so
+    that bands at distance 1 and 2 meet. Two such bands share two variants, which differ in the higher
+    of the bits flipped from either: of them the one without that bit is told."""
+    if not len(v):
+        return np.zeros(0, bool)
+    first = np.flatnonzero(np.append(True, v[1:] != v[:-1]))
+    size = np.diff(np.append(first, len(v)))
+    codes = codes.astype(np.int64)
+    clear = (codes > 0) & ((v >> np.maximum(codes - 1, 0).astype(np.uint64)) & np.uint64(1) == 0)
+    higher = clear & (codes > np.repeat(np.minimum.reduceat(codes, first), size))  # has a lower partner
+    most = np.repeat(np.maximum.reduceat(np.where(higher, codes, -1), first), size)
+    return higher | (codes < most)
+
+
 def _near(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count(a ^ b).sum(-1) <= FURTHEST
 

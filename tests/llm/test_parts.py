@@ -9,7 +9,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from sieveline.llm import encoders, packing, piece_scan, pivots, quality, simhash, suffix_dedup, suffix_sort, toxicity
+from sieveline.llm import encoders, packing, piece_scan, pivots, quality, simhash, suffix_dedup, suffix_sort, toxicity, wide_simhash
 from sieveline.llm.simple8b import decode_block, encode_block
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
@@ -159,6 +159,26 @@ def test_ball_covers_the_radius():
     assert all((0b1111 ^ m) in masks for m in (0b11, 0b101, 0b1001))
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_bands_within_the_radius_meet_once(seed):
+    """Every two different bands at distance 1 or 2 are told together in one variant, no others."""
+    rng = np.random.default_rng(seed)
+    base = rng.integers(0, 1 << 32, 6, dtype=np.uint64)
+    values = np.unique(np.concatenate([base, *(base ^ np.uint64(1 << int(rng.integers(32))) for _ in range(6)), *(base ^ np.uint64(1 << int(rng.integers(32))) ^ np.uint64(1 << int(rng.integers(32))) for _ in range(6))]))
+    masks = wide_simhash._masks()
+    v, ids, codes = (values[:, None] ^ masks).reshape(-1), np.repeat(np.arange(len(values)), len(masks)), np.tile(np.arange(len(masks)), len(values)).astype(np.uint8)
+    order = np.argsort(v, kind="stable")
+    v, ids, codes = v[order], ids[order], codes[order]
+    told = wide_simhash._told_once(v, codes)
+    met = {}
+    for x, i in zip(v[told].tolist(), ids[told].tolist()):
+        met.setdefault(x, []).append(i)
+    pairs = {(a, b) for g in met.values() for a in g for b in g if a < b}
+    want = {(a, b) for a in range(len(values)) for b in range(a + 1, len(values)) if 0 < int(values[a] ^ values[b]).bit_count() <= 2}
+    assert want and want <= pairs and all(int(values[a] ^ values[b]).bit_count() <= 2 for a, b in pairs)
+    assert sum(map(len, met.values())) <= 0.75 * sum(np.count_nonzero(v == x) for x in set(v[np.append(v[1:] == v[:-1], False)].tolist()))
+
+
 def test_packing_fits_and_is_tight():
     rng = np.random.default_rng(0)
     lengths = rng.integers(1, 4096, 3000)
