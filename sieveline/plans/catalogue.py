@@ -214,7 +214,9 @@ def build_summary(spark, sf_dir):
 _TABLE = "SELECT event_id // 90 AS key, list(struct_pack(id := event_id, kind := event_type, n := event_id % 4) ORDER BY event_id) AS l FROM events GROUP BY 1"
 
 
-@query(f"""SELECT key, 'id,kind,n' || chr(10) || array_to_string(list_transform(l[1:20], lambda r: r.id || ',' || r.kind || ',' || r.n), chr(10)) || CASE WHEN len(l) > 20 THEN chr(10) || '[... ' || (len(l) - 20) || ' more rows, keys: id, kind, n]' ELSE '' END AS csv FROM ({_TABLE})""")
+@query(f"""WITH t AS ({_TABLE}), c AS (SELECT key, 'id,kind,n' || chr(10) || array_to_string(list_transform(l[1:20], lambda r: r.id || ',' || r.kind || ',' || r.n), chr(10)) || CASE WHEN len(l) > 20 THEN chr(10) || '[... ' || (len(l) - 20) || ' more rows, keys: id, kind, n]' ELSE '' END AS csv,
+  '[' || chr(10) || array_to_string(list_transform(l[1:5], lambda r: '  {{' || chr(10) || '    "id": ' || r.id || ',' || chr(10) || '    "kind": "' || r.kind || '",' || chr(10) || '    "n": ' || r.n || chr(10) || '  }}'), ',' || chr(10)) || CASE WHEN len(l) > 5 THEN ',' || chr(10) || '  ... +' || (len(l) - 5) || ' more items' ELSE '' END || chr(10) || ']' AS cut, len(l) AS n FROM t)
+SELECT key, CASE WHEN n >= 3 AND length(csv) <= length(cut) THEN csv ELSE cut END AS csv FROM c""")
 def json_csv(spark, sf_dir):
     e = C.table(spark, sf_dir, "events").withColumn("k", F.expr("event_id div 90"))
     rows = e.groupBy(F.col("k").alias("key")).agg(F.array_sort(F.collect_list(F.struct(F.col("event_id").alias("id"), F.col("event_type").alias("kind"), (F.col("event_id") % 4).alias("n")))).alias("l"))
