@@ -110,9 +110,9 @@ class Trainer:
     """Noise-contrastive steps by Adagrad; the noise is drawn by the classes' shares, common to a batch."""
 
     def __init__(self, net: Net, share: np.ndarray, seed: int):
-        self.net, self.share, self.rng = net, share, np.random.default_rng(seed)
-        self.seen = [np.full_like(p, 1e-2) for p in net.parts()]
-        self.log_noise = np.log(NOISE * share)
+        self.net, self.share, self.rng = Net(*(p.astype(np.float32) for p in net.parts())), share, np.random.default_rng(seed)
+        self.seen = [np.full_like(p, 1e-2) for p in self.net.parts()]
+        self.log_noise = np.log(NOISE * share).astype(np.float32)
 
     def step(self, c1: np.ndarray, c2: np.ndarray, target: np.ndarray) -> None:
         n, w = self.net, len(target)
@@ -121,8 +121,8 @@ class Trainer:
         guess = r1 * n.near + r2 * n.far
         own = (guess * n.classes[target]).sum(1) + n.bias[target] - self.log_noise[target]
         other = guess @ n.classes[noise].T + n.bias[noise] - self.log_noise[noise]
-        g_own = (1 / (1 + np.exp(-np.clip(own, -30, 30))) - 1) / w
-        g_other = 1 / (1 + np.exp(-np.clip(other, -30, 30))) / w
+        g_own = (1 / (1 + np.exp(-np.clip(own, -30, 30))) - 1) / np.float32(w)
+        g_other = 1 / (1 + np.exp(-np.clip(other, -30, 30))) / np.float32(w)
         g_guess = g_own[:, None] * n.classes[target] + g_other @ n.classes[noise]
         grads = [np.zeros_like(p) for p in n.parts()]
         _add(grads[0], c1, g_guess * n.near)
@@ -130,11 +130,11 @@ class Trainer:
         grads[1], grads[2] = (g_guess * r1).sum(0), (g_guess * r2).sum(0)
         _add(grads[3], target, g_own[:, None] * guess)
         _add(grads[3], noise, g_other.T @ guess)
-        grads[4] = np.bincount(target, g_own, len(self.share)) + np.bincount(noise, g_other.sum(0), len(self.share))
+        grads[4] = (np.bincount(target, g_own, len(self.share)) + np.bincount(noise, g_other.sum(0), len(self.share))).astype(np.float32)
         for p, s, g in zip(n.parts(), self.seen, grads, strict=True):
-            g = g * np.sqrt(w)
+            g *= np.float32(np.sqrt(w))
             s += g * g
-            p -= RATE * g / np.sqrt(s)
+            p -= np.float32(RATE) * g / np.sqrt(s)
 
 
 def _add(into: np.ndarray, rows: np.ndarray, values: np.ndarray) -> None:
@@ -202,11 +202,14 @@ def _train(classes: Classes, share: np.ndarray, net: Net):
 def normalisers(net: Net) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Scores of all classes after each near and each far class (biases are with the far ones), and the log
     normalisers of all pairs of them, by one matrix product."""
-    near, far = (net.context * w @ net.classes.T for w in (net.near, net.far))
-    far = far + net.bias
+    near, far = ((net.context * w @ net.classes.T).astype(np.float32) for w in (net.near, net.far))
+    far += net.bias.astype(np.float32)
     top1, top2 = near.max(1, keepdims=True), far.max(1, keepdims=True)
-    z = np.exp(near - top1) @ np.exp(far - top2).T
-    return near.astype(np.float32), far.astype(np.float32), (np.log(np.maximum(z, 1e-300)) + top1 + top2.T).astype(np.float32)
+    right, normal = np.exp((far - top2).astype(np.float64)).T, np.empty((len(near), len(far)), np.float32)
+    for a in range(0, len(near), 256):  # bounded temporaries in double precision
+        z = np.exp((near[a : a + 256] - top1[a : a + 256]).astype(np.float64)) @ right
+        normal[a : a + 256] = np.log(np.maximum(z, 1e-300)) + top1[a : a + 256] + top2.T
+    return near, far, normal
 
 
 @dataclass
