@@ -28,14 +28,17 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import Scratch
+from ._common import Scratch, by_size
 
 CHUNK = 8_192
 #: Matrices that one task combines; words, and tokens with what may follow, that a worker remembers (speed only).
-FAN, WORDS, PAIRS = 64, 300_000, 30_000
+FAN, WORDS, PAIRS = 64, 200_000, 20_000
+#: Bytes of texts or ids handled together.
+TOGETHER = 2_000_000
 _SPACE = "▁"
 #: A token that crosses or ends at a boundary: characters before it, characters from it on. The start of a text or word has no token.
 State = tuple[str, str]
@@ -283,6 +286,13 @@ _TYPES = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "binary"
 _FIRST_ARROW = pa.schema([(n, _TYPES[t]) for n, t in (x.split() for x in _FIRST.split(", "))])
 
 
+def _small(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[pa.RecordBatch]:
+    """The batches in slices of about `TOGETHER` bytes of a column, as Python objects take far more than Arrow's."""
+    for b in batches:
+        for x, y in by_size(range(len(b)), pc.binary_length(b.column(column)).fill_null(0).to_pylist(), TOGETHER):
+            yield b.slice(x, y - x)
+
+
 def _packed(ids: list[int]) -> bytes:
     return np.asarray(ids, "<u4").tobytes()
 
@@ -324,7 +334,7 @@ def encode_pieces(docs: DataFrame, scratch: Scratch, path: str, chunk: int = CHU
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = lattice(path)
-        for b in batches:
+        for b in _small(batches):
             out = []
             for row, doc, text in zip(*(b.column(c).to_pylist() for c in ("row", "doc_id", "text")), strict=True):
                 own = {"row": row, "doc_id": doc, "n_chars": len(text), "text_crc": zlib.crc32(text.encode())}
@@ -343,13 +353,13 @@ def encode_pieces(docs: DataFrame, scratch: Scratch, path: str, chunk: int = CHU
 
     def transfers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = lattice(path)
-        for b in batches:
+        for b in _small(batches, "piece"):
             made = [pickle.dumps(m.transfer(t, a, e, k == 0)) for t, a, e, k in zip(*(b.column(c).to_pylist() for c in ("piece", "first", "end", "chunk")), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column("row"), b.column("chunk"), pa.array(made, pa.binary())], names=["row", "chunk", "matrix"])
 
     def trace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = lattice(path)
-        for b in batches:
+        for b in _small(batches, "piece"):
             got = [_packed(m.trace(t, a, e, *pickle.loads(s))) if s else None for t, a, e, s in zip(*(b.column(c).to_pylist() for c in ("piece", "first", "end", "states")), strict=True)]
             plain = [None if g is not None else t[a:e] for g, t, a, e in zip(got, *(b.column(c).to_pylist() for c in ("piece", "first", "end")), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column("row"), b.column("chunk"), pa.array(got, pa.binary()), pa.array(plain, pa.string())], names=["row", "chunk", "ids", "plain"])
@@ -384,7 +394,7 @@ def piece_round_trip(spark: SparkSession, docs: DataFrame, path: str, chunk: int
     """doc_id, n_chars, n_chunks, n_tokens, ids_crc32, round_trip (decoding gives the text back)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in _small(batches, "ids"):
             ids = b.column("ids").to_pylist()
             same = [zlib.crc32(decode_ids(path, x).encode()) == c for x, c in zip(ids, b.column("text_crc").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("n_chars"), b.column("n_chunks"), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([zlib.crc32(x) for x in ids], pa.int64()), pa.array(same, pa.bool_())], names=["doc_id", "n_chars", "n_chunks", "n_tokens", "ids_crc32", "round_trip"])
