@@ -183,20 +183,23 @@ def near_links(distinct: DataFrame, scratch: Scratch) -> DataFrame:
     buckets = lambda per, rounds: max(1, -(-total * BANDS * per // (BUCKET * rounds)))
     spread = lambda df: df.select("id", "root", "fp").repartition(max(1, -(-total // (4 * CHUNK))), "id")
     dealt = spread(distinct.withColumn("root", F.col("id"))).mapInArrow(_dealt(masks[:1], 1, 0, buckets(1, 1), whole=True), _PACKED)
-    equal = scratch.keep(dealt.groupBy("bucket").applyInPandas(_equal, "a long, b long"), "equal")
-    found = components(equal, scratch, "first")
-    rooted = scratch.keep(distinct.join(found, distinct.id == found.node, "left").select("id", F.coalesce("root", "id").alias("root"), "fp"), "rooted")
-    out = None
-    for turn in range(ROUNDS):
-        dealt = spread(rooted).mapInArrow(_dealt(masks, ROUNDS, turn, buckets(len(masks), ROUNDS)), _PACKED)
-        shared = scratch.keep(dealt.groupBy("bucket").applyInPandas(_collide, "variant long, id long"), f"shared{turn}")
-        out = shared if out is None else out.unionAll(shared)
-    groups = max(1, -(-out.count() // BUCKET))
-    # a fingerprint joins its variants, at most BANDS * len(masks) of them, once
-    own = out.groupBy("id").agg(F.collect_list("variant").alias("variants"))
-    known = own.join(rooted.select("id", "fp").hint("merge"), "id").select("id", "fp", F.explode("variants").alias("variant"))
-    known = known.withColumn("bucket", F.pmod(F.xxhash64("variant"), F.lit(groups)))
-    return equal.unionAll(scratch.keep(known.groupBy("bucket").applyInPandas(_linked, "a long, b long"), "links"))
+    links = scratch.keep(dealt.groupBy("bucket").applyInPandas(_equal, "a long, b long"), "equal")
+    # the first round's links spare the others what they'd tell of the same components
+    for turns in ((0,), tuple(range(1, ROUNDS))):
+        found, out = components(links, scratch, f"before{turns[0]}"), None
+        rooted = distinct.join(found, distinct.id == found.node, "left").select("id", F.coalesce("root", "id").alias("root"), "fp")
+        rooted = scratch.keep(rooted, f"rooted{turns[0]}")
+        for turn in turns:
+            dealt = spread(rooted).mapInArrow(_dealt(masks, ROUNDS, turn, buckets(len(masks), ROUNDS)), _PACKED)
+            shared = scratch.keep(dealt.groupBy("bucket").applyInPandas(_collide, "variant long, id long"), f"shared{turn}")
+            out = shared if out is None else out.unionAll(shared)
+        groups = max(1, -(-out.count() // BUCKET))
+        # a fingerprint joins its variants, at most BANDS * len(masks) of them, once
+        own = out.groupBy("id").agg(F.collect_list("variant").alias("variants"))
+        known = own.join(rooted.select("id", "fp").hint("merge"), "id").select("id", "fp", F.explode("variants").alias("variant"))
+        known = known.withColumn("bucket", F.pmod(F.xxhash64("variant"), F.lit(groups)))
+        links = links.unionAll(scratch.keep(known.groupBy("bucket").applyInPandas(_linked, "a long, b long"), f"links{turns[0]}"))
+    return links
 
 
 def keep_one(spark: SparkSession, docs: DataFrame) -> DataFrame:
