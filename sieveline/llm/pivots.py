@@ -14,7 +14,7 @@ neither. Repeated rows of an id count as vectors, rows without an id are left ou
 
 Recall depends on pivots per vector: measured against brute force at cosine 0.9 it is above 0.97 for 128
 to 2048 pivots of 64-dimensional vectors, also where a third of them are near copies of one, and rises
-with the cosine. Widths of few vectors, and vectors that give few pivots, are compared pair by pair.
+with the cosine. Tables and widths of any size go the same way; `TILE` tells only how the work is dealt.
 """
 
 from __future__ import annotations
@@ -22,10 +22,10 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._common import Scratch
+from ._common import Scratch, by_size
 from .components import components
 from .vectors import matrix, valid
 
@@ -35,8 +35,6 @@ NEAREST, SHARED, TILE = 8, 2, 4_096
 LEAST_PIVOTS, MOST_PIVOTS = 128, 2_048
 #: Pivots lie no closer than this cosine. They are sought among so many times their number, and so many bytes.
 APART, POOL, POOL_BYTES = 0.7, 4, 1 << 25
-#: Components that a width compared pair by pair has at most.
-WHOLE = TILE * 1_024
 
 
 def _units(x: np.ndarray) -> np.ndarray:
@@ -60,20 +58,30 @@ def spread(unit: np.ndarray, wanted: int) -> np.ndarray:
     return kept[:wanted]
 
 
-def _described(pivots: np.ndarray, nearest: int):
-    """Adds each vector's nearest pivots (short array) and its unit vector (binary)."""
+def _chosen(wanted: dict[int, int], least: int):
+    """Pivots of one width from its sample, smallest hash first; only the first, if there are fewer than `least`."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        w = int(pdf["w"].iloc[0])
+        found = spread(_units(np.stack(pdf.sort_values("n")["v"].to_numpy())), wanted[w])
+        if len(found) < least:
+            found = found[:1]
+        return pd.DataFrame({"w": w, "pivots": [found.tobytes()]})
+
+    return run
+
+
+def _described(pivots: dict[int, np.ndarray], nearest: int):
+    """Adds each vector's width, nearest pivots (short array) and its unit vector (binary)."""
 
     def run(batches):
         for b in batches:
             sizes = b.column("v").value_lengths().to_numpy()
-            own = np.flatnonzero(sizes == pivots.shape[1])
-            part = b.take(pa.array(own))
-            x = matrix(part.column("v"))
-            if not len(x):
-                continue
-            unit = _units(x)
-            order = np.argsort(-np.round(unit @ pivots.T, 12), axis=1, kind="stable")[:, :nearest].astype(np.int32)
-            yield pa.RecordBatch.from_arrays([part.column("id"), part.column("weight"), pa.array(list(order), pa.list_(pa.int32())), pa.array([u.tobytes() for u in unit], pa.binary())], names=["id", "weight", "near", "unit"])
+            for w in np.unique(sizes).tolist():
+                part = b.take(pa.array(np.flatnonzero(sizes == w)))
+                unit = _units(matrix(part.column("v")))
+                order = np.argsort(-np.round(unit @ pivots[w].T, 12), axis=1, kind="stable")[:, :nearest].astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), w, np.int32)), part.column("id"), part.column("weight"), pa.array(list(order), pa.list_(pa.int32())), pa.array([u.tobytes() for u in unit], pa.binary())], names=["w", "id", "weight", "near", "unit"])
 
     return run
 
@@ -81,9 +89,12 @@ def _described(pivots: np.ndarray, nearest: int):
 _TILE_OUT = "id long, links long, root long"
 
 
-def _tile(shared: int, cosine: float, width: int):
+def _tile(shared: int, cosine: float, pivots: dict[int, int]):
+    """Links of a tile, given the number of pivots of each width."""
+
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pivot, a, b = key[0], key[1], key[2]
+        width, pivot, a, b = pivots[key[0]], *key[1:]
+        enough = min(shared, width)
         ids, weight, part = pdf["id"].to_numpy(), pdf["weight"].to_numpy(np.int64), pdf["part"].to_numpy()
         unit = np.frombuffer(b"".join(pdf["unit"]), np.float64).reshape(len(pdf), -1)
         near = np.stack(pdf["near"].to_numpy())
@@ -93,7 +104,7 @@ def _tile(shared: int, cosine: float, width: int):
         masks = []
         for s in range(0, len(pdf), 512):
             rows = slice(s, s + 512)
-            ok = (flags[rows] @ flags.T >= shared) & (unit[rows] @ unit.T >= cosine)
+            ok = (flags[rows] @ flags.T >= enough) & (unit[rows] @ unit.T >= cosine)
             ok[np.arange(len(ok)), np.arange(s, s + len(ok))] = False
             if pivot and ok.any():
                 ok &= flags[rows, :pivot] @ flags[:, :pivot].T == 0
@@ -118,17 +129,6 @@ def _tile(shared: int, cosine: float, width: int):
     return run
 
 
-def _whole(cosine: float):
-    """All pairs of the vectors of a width."""
-    tile = _tile(1, cosine, 1)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        unit = [u.tobytes() for u in _units(np.stack(pdf["v"].to_numpy()))]
-        return tile((0, 0, 0), pd.DataFrame({"id": pdf["id"], "weight": pdf["weight"], "part": 0, "near": [np.zeros(1, np.int32)] * len(pdf), "unit": unit}))
-
-    return run
-
-
 def near_vectors(spark: SparkSession, table: DataFrame, cosine: float = COSINE) -> DataFrame:
     """vec_id, n_links, component_id, kept of every row."""
     scratch = Scratch(spark)
@@ -136,34 +136,27 @@ def near_vectors(spark: SparkSession, table: DataFrame, cosine: float = COSINE)
     heads = rows.groupBy("h1", "h2").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("weight"))
     distinct = scratch.keep(rows.join(heads, ["h1", "h2", "vec_id"]).select("h1", "h2", "weight", "v").dropDuplicates(["h1", "h2"]).withColumn("id", F.monotonically_increasing_id()), "distinct")
     named = None
-    widths = {r.w: r.c for r in distinct.groupBy(F.size("v").alias("w")).agg(F.count("*").alias("c")).collect()}  # a number a width
-    large = sorted(w for w, c in widths.items() if c > TILE or c * w > WHOLE)
-    if len(large) < len(widths):
-        few = distinct.withColumn("w", F.size("v")).where(~F.col("w").isin(large)).select("w", "id", "weight", "v")
-        named = scratch.keep(few.groupBy("w").applyInPandas(_whole(cosine), _TILE_OUT), "found")
-    for w in large:
-        own, count = distinct.where(F.size("v") == w), widths[w]
-        if count < 2:
-            continue
-        wanted = min(count, max(LEAST_PIVOTS, min(MOST_PIVOTS, count // 100)))
-        pool = max(wanted, min(POOL * wanted, POOL_BYTES // (8 * w)))
-        pivots = spread(_units(matrix(own.orderBy(F.xxhash64(F.lit(5), "h1"), "h1", "h2").limit(pool).select("v").toArrow().column("v"))), wanted)
-        if len(pivots) < 2 * NEAREST:  # all vectors would share most of them
-            pivots = pivots[:1]
-        wanted = len(pivots)
-        described = scratch.keep(own.select("id", "weight", "v").mapInArrow(_described(pivots, min(NEAREST, wanted)), "id long, weight long, near array<int>, unit binary"), f"described{w}")
+    widths = {r.w: r.c for r in distinct.groupBy(F.size("v").alias("w")).agg(F.count("*").alias("c")).where("c > 1").collect()}  # a number a width
+    wanted = {w: min(c, max(LEAST_PIVOTS, min(MOST_PIVOTS, c // 100))) for w, c in sorted(widths.items())}
+    pool = {w: max(k, min(POOL * k, POOL_BYTES // (8 * w))) for w, k in wanted.items()}
+    for k, (x, y) in enumerate(by_size(list(pool), [8 * w * n for w, n in pool.items()], POOL_BYTES)):
+        some = list(pool)[x:y]  # widths whose pivots are held together
+        own = distinct.withColumn("w", F.size("v")).where(F.col("w").isin(some))
+        first = own.withColumn("n", F.row_number().over(Window.partitionBy("w").orderBy(F.xxhash64(F.lit(5), "h1"), "h1", "h2"))).where(F.col("n") <= max(pool[w] for w in some))
+        first = first.where(F.col("n") <= F.element_at(F.create_map(*[F.lit(v) for w in some for v in (w, pool[w])]), F.col("w")))
+        # any two vectors share SHARED of fewer pivots than so many: one list has the same pairs
+        chosen = first.select("w", "n", "v").groupBy("w").applyInPandas(_chosen({w: wanted[w] for w in some}, 2 * NEAREST - SHARED + 1), "w int, pivots binary").collect()
+        pivots = {r.w: np.frombuffer(r.pivots).reshape(-1, r.w) for r in chosen}
+        described = scratch.keep(own.select("id", "weight", "v").mapInArrow(_described(pivots, NEAREST), "w int, id long, weight long, near array<int>, unit binary"), f"described{k}")
         lists = described.withColumn("pivot", F.explode("near"))
-        sizes = {r.pivot: r.c for r in lists.groupBy("pivot").agg(F.count("*").alias("c")).collect()}  # a number a pivot
-        split = {p: -(-c // TILE) for p, c in sizes.items() if c > TILE}
-        parts = F.lit(1)
-        if split:
-            parts = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in split.items() for x in kv]), F.col("pivot")), F.lit(1))
-        lists = lists.withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+        sizes = lists.groupBy("w", "pivot").agg(F.count("*").alias("c"))  # a number a pivot
+        parts = F.broadcast(sizes.select("w", "pivot", F.ceil(F.col("c") / TILE).alias("parts")).where("parts > 1"))
+        lists = lists.join(parts, ["w", "pivot"], "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+        lists = lists.withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
         lists = lists.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts").cast("int") - 1)))
         lists = lists.withColumns({"a": F.least("part", "other"), "b": F.greatest("part", "other")})
-        shared = min(SHARED, wanted)
-        found = lists.select("pivot", "a", "b", "id", "weight", "part", "near", "unit").groupBy("pivot", "a", "b").applyInPandas(_tile(shared, cosine, wanted), _TILE_OUT)
-        found = scratch.keep(found, f"found{w}")
+        found = lists.select("w", "pivot", "a", "b", "id", "weight", "part", "near", "unit").groupBy("w", "pivot", "a", "b").applyInPandas(_tile(SHARED, cosine, {w: len(p) for w, p in pivots.items()}), _TILE_OUT)
+        found = scratch.keep(found, f"found{k}")
         named = found if named is None else named.unionAll(found)
     if named is None:
         named = spark.createDataFrame([], _TILE_OUT)

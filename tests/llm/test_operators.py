@@ -294,6 +294,20 @@ def test_near_vectors(spark, vectors, monkeypatch):
     assert len({got[300 + k].component_id for k in range(30)}) == 1 and pivots.near_vectors(spark, df.limit(0)).count() == 0
 
 
+def test_near_vectors_whatever_the_tiles(spark, monkeypatch):
+    """A table that fits one tile goes the way of larger ones: the same links, found by (here too few) shared pivots."""
+    r = np.random.default_rng(12)
+    x = r.normal(size=(300, 16))
+    rows = [(k, v.tolist()) for k, v in enumerate(np.concatenate([x, x + 0.4 * r.normal(size=x.shape)]))]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    monkeypatch.setattr(pivots, "NEAREST", 2)
+    got = []
+    for tile in (4096, 16):
+        monkeypatch.setattr(pivots, "TILE", tile)
+        got.append(sorted(tuple(q) for q in pivots.near_vectors(spark, df).collect()))
+    assert got[0] == got[1] and sum(n for _, n, _, _ in got[0]) > 100
+
+
 def test_near_vectors_hot_group(spark, monkeypatch):
     """A third of the rows near copies of one vector, and more widths than 64."""
     monkeypatch.setattr(pivots, "TILE", 700)
