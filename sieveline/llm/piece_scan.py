@@ -281,9 +281,13 @@ def lattice(path: str) -> Lattice:
     return _LOADED[path]
 
 
-_FIRST = "row long, doc_id long, n_chars long, chunk int, n_chunks int, piece string, first int, end int, ids binary, text_crc long"
+_OUT = "row long, doc_id long, n_chars long, n_chunks int, ids binary, text_crc long"
+_CHUNKS = "row long, doc_id long, n_chars long, n_chunks int, text_crc long, chunk int, piece string, first int, end int"
 _TYPES = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "binary": pa.binary()}
-_FIRST_ARROW = pa.schema([(n, _TYPES[t]) for n, t in (x.split() for x in _FIRST.split(", "))])
+
+
+def _arrow(ddl: str) -> pa.Schema:
+    return pa.schema([(n, _TYPES[t]) for n, t in (x.split() for x in ddl.split(", "))])
 
 
 def _small(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[pa.RecordBatch]:
@@ -297,6 +301,17 @@ def _packed(ids: list[int]) -> bytes:
     return np.asarray(ids, "<u4").tobytes()
 
 
+def _narrow(ids: list[int]) -> bytes:
+    """ids on their way to their document: a byte that tells their width, then as few bytes as hold the largest."""
+    x = np.asarray(ids, "<u4")
+    return b"\2" + x.astype("<u2").tobytes() if not len(x) or x.max() < 1 << 16 else b"\4" + x.tobytes()
+
+
+def _wide(data: bytes) -> bytes:
+    """Little-endian uint32 ids of `_narrow`."""
+    return np.frombuffer(data, f"<u{data[0]}", offset=1).astype("<u4").tobytes()
+
+
 def _boundaries(matrices: DataFrame, most: int, scratch: Scratch) -> DataFrame:
     """(row, chunk, states) of every chunk from (row, chunk, matrix): products of `FAN` neighbours a task,
     round by round up to one matrix a text, and the states of the boundaries round by round down again.
@@ -332,24 +347,30 @@ def _boundaries(matrices: DataFrame, most: int, scratch: Scratch) -> DataFrame:
 def encode_pieces(docs: DataFrame, scratch: Scratch, path: str, chunk: int = CHUNK) -> DataFrame:
     """row, doc_id, n_chars, n_chunks, ids (binary, little-endian uint32), text_crc of every document."""
 
-    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = lattice(path)
+    def read(batches: Iterator[pa.RecordBatch], long: bool) -> Iterator[pa.RecordBatch]:
+        """Texts of one chunk with their ids; or the chunks of the long ones."""
+        m, schema = lattice(path), _arrow(_CHUNKS if long else _OUT)
         for b in _small(batches):
             out = []
             for row, doc, text in zip(*(b.column(c).to_pylist() for c in ("row", "doc_id", "text")), strict=True):
+                plain = m.library.normalize(text) if len(text) > chunk and "\0" not in text else ""
+                if (len(plain) > chunk) != long:
+                    continue
                 own = {"row": row, "doc_id": doc, "n_chars": len(text), "text_crc": zlib.crc32(text.encode())}
-                plain = m.library.normalize(text) if len(text) > chunk else ""
-                if len(plain) <= chunk or "\0" in text:
-                    out.append(own | {"chunk": 0, "n_chunks": 1, "ids": _packed(m.library.encode(text))})
+                if not long:
+                    out.append(own | {"n_chunks": 1, "ids": _packed(m.library.encode(text))})
                     continue
                 starts = range(0, len(plain), chunk)
                 for k, a in enumerate(starts):
                     c, z = min(a + chunk, len(plain)), max(0, a - m.longest)
-                    out.append(own | {"chunk": k, "n_chunks": len(starts), "piece": plain[z : c + m.longest], "first": a - z, "end": c - z})
-            yield pa.RecordBatch.from_pylist(out, schema=_FIRST_ARROW)
+                    out.append(own | {"n_chunks": len(starts), "chunk": k, "piece": plain[z : c + m.longest], "first": a - z, "end": c - z})
+            if out:
+                yield pa.RecordBatch.from_pylist(out, schema=schema)
 
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    begun = scratch.keep(rows.mapInArrow(first, _FIRST), "begun")
+    # ids of one-chunk texts go on as they are made; only long texts' chunks are written
+    whole = rows.mapInArrow(lambda b: read(b, False), _OUT)
+    parts = scratch.keep(rows.where(F.length("text") > chunk).mapInArrow(lambda b: read(b, True), _CHUNKS), "chunks")
 
     def transfers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = lattice(path)
@@ -360,9 +381,9 @@ def encode_pieces(docs: DataFrame, scratch: Scratch, path: str, chunk: int = CHU
     def trace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = lattice(path)
         for b in _small(batches, "piece"):
-            got = [_packed(m.trace(t, a, e, *pickle.loads(s))) if s else None for t, a, e, s in zip(*(b.column(c).to_pylist() for c in ("piece", "first", "end", "states")), strict=True)]
+            got = [_narrow(m.trace(t, a, e, *pickle.loads(s))) if s else None for t, a, e, s in zip(*(b.column(c).to_pylist() for c in ("piece", "first", "end", "states")), strict=True)]
             plain = [None if g is not None else t[a:e] for g, t, a, e in zip(got, *(b.column(c).to_pylist() for c in ("piece", "first", "end")), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column("row"), b.column("chunk"), pa.array(got, pa.binary()), pa.array(plain, pa.string())], names=["row", "chunk", "ids", "plain"])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), pa.array(got, pa.binary()), pa.array(plain, pa.string())], names=[*kept, "ids", "plain"])
 
     def join(pdf: pd.DataFrame) -> pd.DataFrame:
         """A document's ids, which one row holds as its text did."""
@@ -370,19 +391,18 @@ def encode_pieces(docs: DataFrame, scratch: Scratch, path: str, chunk: int = CHU
         if pdf["ids"].isna().any():  # no path: the normalised chunks together, by the library
             ids = _packed(lattice(path).library.encode("".join(pdf["plain"]).replace(_SPACE, " ").removeprefix(" ")))
         else:
-            ids = b"".join(pdf["ids"])
-        return pd.DataFrame({"row": [pdf["row"].iloc[0]], "ids": [ids]})
+            ids = b"".join(map(_wide, pdf["ids"]))
+        own = pdf.iloc[0]
+        return pd.DataFrame([(own["row"], own["doc_id"], own["n_chars"], own["n_chunks"], ids, own["text_crc"])], columns=_arrow(_OUT).names)
 
-    columns = ["row", "doc_id", "n_chars", "n_chunks", "ids", "text_crc"]
-    whole, parts = begun.where("n_chunks = 1").select(*columns), begun.where("n_chunks > 1")
+    kept = ["row", "doc_id", "n_chars", "n_chunks", "text_crc", "chunk"]
     most = parts.agg(F.max("n_chunks")).first()[0]
     if most is None:
         return whole
-    own = parts.select("row", "chunk", "piece", "first", "end")
-    matrices = scratch.keep(own.mapInArrow(transfers, "row long, chunk int, matrix binary"), "matrices")
-    ready = own.join(_boundaries(matrices, most, scratch), ["row", "chunk"]).select("row", "chunk", "piece", "first", "end", "states")
-    joined = ready.mapInArrow(trace, "row long, chunk int, ids binary, plain string").groupBy("row").applyInPandas(join, "row long, ids binary")
-    return whole.unionByName(parts.where("chunk = 0").drop("ids").join(joined, "row").select(*columns))
+    matrices = scratch.keep(parts.select("row", "chunk", "piece", "first", "end").mapInArrow(transfers, "row long, chunk int, matrix binary"), "matrices")
+    ready = parts.join(_boundaries(matrices, most, scratch), ["row", "chunk"]).select(*kept, "piece", "first", "end", "states")
+    traced = ready.mapInArrow(trace, "row long, doc_id long, n_chars long, n_chunks int, text_crc long, chunk int, ids binary, plain string")
+    return whole.unionByName(traced.groupBy("row").applyInPandas(join, _OUT))
 
 
 def decode_ids(path: str, data: bytes) -> str:

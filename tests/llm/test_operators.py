@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sieveline.llm import language_model, nearest, packing, piece_scan, pivots, quality, simhash, suffix_dedup, suffix_sort, token_files, toxicity, wide_simhash
+from sieveline.llm._common import Scratch
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 DDL = "doc_id long, text string, label string, score double, row string, m long"
@@ -176,6 +177,17 @@ def test_pieces(spark, docs, texts, none, fan, monkeypatch):
     assert max(r.n_chunks for r in got) > 50 and piece_scan.piece_round_trip(spark, none, path).count() == 0
 
 
+def test_pieces_write_only_long_texts(spark, tmp_path):
+    """The scratch tables grow with the texts of several chunks, not with ids of the others."""
+    r = random.Random(3)
+    rows = [(k, " ".join("".join(r.choice("abcdefghij") for _ in range(6)) for _ in range(40)), None, None, None, None) for k in range(400)]
+    scratch = Scratch(spark)
+    scratch.path = f"file://{tmp_path}/s"
+    got = piece_scan.encode_pieces(spark.createDataFrame([*rows, (400, "abc " * 300, None, None, None, None)], DDL), scratch, public_tokenizers.path("piece_bpe_32k.model"), chunk=400)
+    assert got.count() == 401
+    assert sum(f.stat().st_size for f in tmp_path.rglob("*.parquet")) < 50_000
+
+
 def test_simhash(spark, docs, texts, none):
     fp = {i: simhash.fingerprint((t or "").encode()) for i, (_, t) in enumerate(texts)}
     up = {i: i for i in fp}

@@ -93,6 +93,11 @@ def test_pieces_equal_library_whatever_the_chunks():
             assert [i for (t, a, e), s in zip(parts, fixed, strict=True) for i in m.trace(t, a, e, *s)] == want
 
 
+@pytest.mark.parametrize("ids", [[], [0, 65_535], [7, 65_536, (1 << 32) - 1]])
+def test_ids_travel_narrow(ids):
+    assert piece_scan._wide(piece_scan._narrow(ids)) == np.asarray(ids, "<u4").tobytes()
+
+
 def _field(number, data):
     """A field of a serialized message: an int, a float or bytes."""
     import struct
