@@ -5,10 +5,10 @@ similarity (shared part of all their different shingles) s, bits differ with a c
 acos(2s / (1 + s)) / pi; two texts are near duplicates if no more bits differ than that share for
 `SIMILARITY` and one standard deviation. 64 bits can't tell 0.8 from 0.6, and no ball around that many
 differing bits can be listed. So candidates meet in bands: `BANDS` fixed selections of `BAND` bits. In
-each, as in `simhash`, every fingerprint emits all variants within half of `RADIUS`, variants are shuffled
-with its id, and fingerprints that collide lie within `RADIUS` of each other there. Those that do, and only
-they, then meet with their whole fingerprints, and every link is verified on all bits. The empty mask goes
-first: what it links needs no other variant.
+each, as in `simhash`, every fingerprint emits all variants within half of `RADIUS`, and fingerprints that
+collide lie within `RADIUS` of each other there. Variants travel packed, with the whole fingerprint and its
+component, so every link is verified on all bits where it is found, and colliding variants never become
+rows. The empty mask goes first: what it links needs no other variant.
 At similarity 0.8 some band lies within the radius with a chance of about 0.9, at 0.85 of 0.98.
 
 A bucket returns a spanning forest of its links, never pairs. Equal fingerprints collapse to one first.
@@ -65,15 +65,15 @@ def bands(prints: np.ndarray) -> np.ndarray:
     return own | np.arange(BANDS, dtype=np.uint64) << np.uint64(BAND)
 
 
-def _dealt(masks: np.ndarray, rounds: int, turn: int, buckets: int, whole: bool = False):
-    """Variants of a task's fingerprints in a round, dealt to buckets, with id, component, and number of the
-    mask; or with the `whole` fingerprint in the component's place."""
+def _dealt(masks: np.ndarray, rounds: int, turn: int, buckets: int):
+    """Variants of a task's fingerprints in a round, dealt to buckets, with component, fingerprint and
+    number of the mask."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, roots = (batch.column(c).to_numpy() for c in ("id", "root"))
-            prints = np.frombuffer(b"".join(batch.column("fp").to_pylist()), np.uint8).reshape(len(ids), -1)
-            for a in range(0, len(ids), CHUNK):
+            roots = batch.column("root").to_numpy()
+            prints = np.frombuffer(b"".join(batch.column("fp").to_pylist()), np.uint8).reshape(len(roots), -1)
+            for a in range(0, len(roots), CHUNK):
                 v = (bands(prints[a : a + CHUNK])[:, :, None] ^ masks).reshape(-1)
                 h = mix(v)
                 own = np.flatnonzero(h % np.uint64(rounds) == np.uint64(turn))
@@ -82,27 +82,32 @@ def _dealt(masks: np.ndarray, rounds: int, turn: int, buckets: int, whole: bool
                 own, bucket = own[order], bucket[order]
                 cuts = np.append(np.flatnonzero(np.diff(bucket, prepend=-1)), len(bucket)).tolist()
                 of = a + own // (BANDS * len(masks))
-                columns = (v[own], ids[of], prints[of] if whole else roots[of], (own % len(masks)).astype(np.uint8))
+                columns = (v[own], roots[of], prints[of], (own % len(masks)).astype(np.uint8))
                 packed = [pa.array([x[i:j].tobytes() for i, j in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary()) for x in columns]
-                yield pa.RecordBatch.from_arrays([pa.array(bucket[cuts[:-1]]), *packed], names=["bucket", "variants", "ids", "roots", "codes"])
+                yield pa.RecordBatch.from_arrays([pa.array(bucket[cuts[:-1]]), *packed], names=["bucket", "variants", "roots", "prints", "codes"])
 
     return run
 
 
+def _unpacked(pdf: pd.DataFrame) -> tuple[np.ndarray, ...]:
+    """Variants, components, fingerprints (rows of longs) and masks of a bucket, by variant."""
+    v, roots, prints, codes = (np.frombuffer(b"".join(pdf[c]), t) for c, t in (("variants", np.uint64), ("roots", np.int64), ("prints", np.uint64), ("codes", np.uint8)))
+    order = np.lexsort((roots, v))
+    return v[order], roots[order], prints.reshape(len(v), -1)[order], codes[order]
+
+
 def _collide(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Fingerprints of one bucket that share a variant, where they are of different components and bits in
-    the band; those with equal bits have met before."""
-    v, ids, roots, codes = (np.frombuffer(b"".join(pdf[c]), t) for c, t in (("variants", np.uint64), ("ids", np.int64), ("roots", np.int64), ("codes", np.uint8)))
-    order = np.argsort(v, kind="stable")
-    v, ids, roots, codes = v[order], ids[order], roots[order], codes[order]
-    own = _told_once(v, codes)
-    v, ids, roots = v[own], ids[own], roots[own]
-    if not len(v):
-        return pd.DataFrame({"variant": np.zeros(0, np.int64), "id": ids})
-    first = np.flatnonzero(np.append(True, v[1:] != v[:-1]))
-    differ = np.minimum.reduceat(roots, first) != np.maximum.reduceat(roots, first)
-    own = np.repeat(differ, np.diff(np.append(first, len(v))))
-    return pd.DataFrame({"variant": v[own].view(np.int64), "id": ids[own]})
+    """Links of one bucket's fingerprints that share a variant, where they are of different components and
+    bits in the band; those with equal bits have met before."""
+    v, roots, prints, codes = _unpacked(pdf)
+    told = _told_once(v, codes)
+    v, roots, prints = v[told], roots[told], prints[told]
+    if len(v):
+        first = np.flatnonzero(np.append(True, v[1:] != v[:-1]))
+        differ = np.minimum.reduceat(roots, first) != np.maximum.reduceat(roots, first)
+        own = np.repeat(differ, np.diff(np.append(first, len(v))))
+        v, roots, prints = v[own], roots[own], prints[own]
+    return _forest(v, roots, prints)
 
 
 def _told_once(v: np.ndarray, codes: np.ndarray) -> np.ndarray:
@@ -157,48 +162,35 @@ def _forest(v: np.ndarray, ids: np.ndarray, prints: np.ndarray) -> pd.DataFrame:
     return pd.DataFrame(forest.links(), columns=["a", "b"], dtype="int64")
 
 
-def _linked(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Links of one bucket's rows (variant, id, fp)."""
-    pdf = pdf.sort_values(["variant", "id"], ignore_index=True)
-    return _forest(pdf["variant"].to_numpy(), pdf["id"].to_numpy(), np.frombuffer(b"".join(pdf["fp"]), np.uint64).reshape(len(pdf), -1))
-
-
 def _equal(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Links of one bucket's packed variants with whole fingerprints."""
-    v, ids, prints = (np.frombuffer(b"".join(pdf[c]), t) for c, t in (("variants", np.uint64), ("ids", np.int64), ("roots", np.uint64)))
-    order = np.lexsort((ids, v))
-    same = v[order][1:] == v[order][:-1]
-    met = order[np.append(same, False) | np.append(False, same)]
-    return _forest(v[met], ids[met], prints.reshape(len(v), -1)[met])
+    """Links of one bucket's fingerprints with equal bits in a band."""
+    v, roots, prints, _ = _unpacked(pdf)
+    same = v[1:] == v[:-1]
+    met = np.append(same, False) | np.append(False, same)
+    return _forest(v[met], roots[met], prints[met])
 
 
-_PACKED = "bucket long, variants binary, ids binary, roots binary, codes binary"
+_PACKED = "bucket long, variants binary, roots binary, prints binary, codes binary"
 
 
 def near_links(distinct: DataFrame, scratch: Scratch) -> DataFrame:
     """(a, b): links between different fingerprints (id, fp) that keep every component whole. Fingerprints
-    with equal bits in a band meet first, whole; variants then only tell of members of different
-    components, so that a large group of near copies doesn't meet again in all its variants."""
+    with equal bits in a band meet first; variants then only link members of different components, so that
+    a large group of near copies isn't compared again in all its variants. A link between components found
+    before stands between their roots."""
     total, masks = distinct.count(), _masks()
     buckets = lambda per, rounds: max(1, -(-total * BANDS * per // (BUCKET * rounds)))
-    spread = lambda df: df.select("id", "root", "fp").repartition(max(1, -(-total // (4 * CHUNK))), "id")
-    dealt = spread(distinct.withColumn("root", F.col("id"))).mapInArrow(_dealt(masks[:1], 1, 0, buckets(1, 1), whole=True), _PACKED)
+    spread = lambda df: df.select("root", "fp").repartition(max(1, -(-total // (4 * CHUNK))), "fp")
+    dealt = spread(distinct.withColumn("root", F.col("id"))).mapInArrow(_dealt(masks[:1], 1, 0, buckets(1, 1)), _PACKED)
     links = scratch.keep(dealt.groupBy("bucket").applyInPandas(_equal, "a long, b long"), "equal")
     # the first round's links spare the others what they'd tell of the same components
     for turns in ((0,), tuple(range(1, ROUNDS))):
-        found, out = components(links, scratch, f"before{turns[0]}"), None
-        rooted = distinct.join(found, distinct.id == found.node, "left").select("id", F.coalesce("root", "id").alias("root"), "fp")
+        found = components(links, scratch, f"before{turns[0]}")
+        rooted = distinct.join(found, distinct.id == found.node, "left").select(F.coalesce("root", "id").alias("root"), "fp")
         rooted = scratch.keep(rooted, f"rooted{turns[0]}")
         for turn in turns:
             dealt = spread(rooted).mapInArrow(_dealt(masks, ROUNDS, turn, buckets(len(masks), ROUNDS)), _PACKED)
-            shared = scratch.keep(dealt.groupBy("bucket").applyInPandas(_collide, "variant long, id long"), f"shared{turn}")
-            out = shared if out is None else out.unionAll(shared)
-        groups = max(1, -(-out.count() // BUCKET))
-        # a fingerprint joins its variants, at most BANDS * len(masks) of them, once
-        own = out.groupBy("id").agg(F.collect_list("variant").alias("variants"))
-        known = own.join(rooted.select("id", "fp").hint("merge"), "id").select("id", "fp", F.explode("variants").alias("variant"))
-        known = known.withColumn("bucket", F.pmod(F.xxhash64("variant"), F.lit(groups)))
-        links = links.unionAll(scratch.keep(known.groupBy("bucket").applyInPandas(_linked, "a long, b long"), f"links{turns[0]}"))
+            links = links.unionAll(scratch.keep(dealt.groupBy("bucket").applyInPandas(_collide, "a long, b long"), f"links{turn}"))
     return links
 
 

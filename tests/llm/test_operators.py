@@ -213,6 +213,23 @@ def test_keep_one_keeps_one_of_each_group(spark):
     assert got == sorted([(-1, t) for t in alone] + [(2, one), (7, two), (7, three), (9, "")])
 
 
+def test_bands_that_collide_without_links_make_no_rows(spark, tmp_path, monkeypatch):
+    """Many fingerprints whose first bands differ by one bit, all others at random: they meet, and none is near."""
+    monkeypatch.setattr(wide_simhash, "ROUNDS", 2)
+    r = np.random.default_rng(5)
+    bits = r.integers(0, 2, (60, wide_simhash.BITS), dtype=np.uint8)
+    band = wide_simhash._selected()[0]
+    bits[:, band] = bits[0, band]
+    bits[np.arange(60), band[np.arange(60) % 30]] ^= 1
+    rows = [(k, bytearray(np.packbits(b).tobytes())) for k, b in enumerate(bits)]
+    scratch = Scratch(spark)
+    scratch.path = f"file://{tmp_path}/s"
+    links = wide_simhash.near_links(spark.createDataFrame(rows, "id long, fp binary"), scratch)
+    assert links.count() == 0
+    made = {p.name: spark.read.parquet(str(p)).count() for p in (tmp_path / "s").iterdir() if not p.name.startswith("rooted")}
+    assert len(made) >= 3 and not any(made.values())
+
+
 @pytest.mark.parametrize("bucket", [1 << 18, 50])
 def test_keep_one_by_similarity(spark, texts, none, bucket, monkeypatch):
     """Against all pairs of fingerprints; near copies of shingle similarity 0.85 and more go, other texts stay."""
