@@ -117,13 +117,16 @@ class Trainer:
     def step(self, c1: np.ndarray, c2: np.ndarray, target: np.ndarray) -> None:
         n, w = self.net, len(target)
         noise = self.rng.choice(len(self.share), NOISE, p=self.share)
-        r1, r2 = n.context[c1], n.context[c2]
+        r1, r2, aim, drawn = n.context.take(c1, 0), n.context.take(c2, 0), n.classes.take(target, 0), n.classes.take(noise, 0)
         guess = r1 * n.near + r2 * n.far
-        own = (guess * n.classes[target]).sum(1) + n.bias[target] - self.log_noise[target]
-        other = guess @ n.classes[noise].T + n.bias[noise] - self.log_noise[noise]
-        g_own = (1 / (1 + np.exp(-np.clip(own, -30, 30))) - 1) / np.float32(w)
-        g_other = 1 / (1 + np.exp(-np.clip(other, -30, 30))) / np.float32(w)
-        g_guess = g_own[:, None] * n.classes[target] + g_other @ n.classes[noise]
+        own = (guess * aim).sum(1) + n.bias[target] - self.log_noise[target]
+        other = guess @ drawn.T
+        other += n.bias[noise]
+        other -= self.log_noise[noise]
+        g_own = (_logistic(own) - 1) / np.float32(w)
+        g_other = _logistic(other)
+        g_other /= np.float32(w)
+        g_guess = g_own[:, None] * aim + g_other @ drawn
         grads = [np.zeros_like(p) for p in n.parts()]
         _add(grads[0], c1, g_guess * n.near)
         _add(grads[0], c2, g_guess * n.far)
@@ -137,12 +140,22 @@ class Trainer:
             p -= np.float32(RATE) * g / np.sqrt(s)
 
 
+def _logistic(x: np.ndarray) -> np.ndarray:
+    """Of each value, in its place: no large temporaries."""
+    np.maximum(x, -30, out=x)
+    np.minimum(x, 30, out=x)
+    np.negative(x, out=x)
+    np.exp(x, out=x)
+    x += 1
+    return np.divide(1, x, out=x)
+
+
 def _add(into: np.ndarray, rows: np.ndarray, values: np.ndarray) -> None:
     """Adds each value to its row."""
-    order = np.argsort(rows, kind="stable")
+    order = np.argsort(rows.astype(np.uint16) if len(into) <= 1 << 16 else rows, kind="stable")  # short keys are sorted by digits
     own = rows[order]
     cut = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
-    into[own[cut]] += np.add.reduceat(values[order], cut, axis=0)
+    into[own[cut]] += np.add.reduceat(values.take(order, 0), cut, axis=0)
 
 
 @dataclass

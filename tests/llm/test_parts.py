@@ -9,7 +9,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from sieveline.llm import encoders, packing, piece_scan, pivots, quality, simhash, suffix_dedup, suffix_sort, toxicity, wide_simhash
+from sieveline.llm import encoders, language_model, packing, piece_scan, pivots, quality, simhash, suffix_dedup, suffix_sort, toxicity, wide_simhash
 from sieveline.llm.simple8b import decode_block, encode_block
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
@@ -158,6 +158,22 @@ def test_max_plus_product_is_associative():
     assert all(one[s][e] == pytest.approx(two[s][e]) for s in one for e in one[s]) and one.keys() == two.keys()
 
 
+def test_logistic_in_place():
+    x = np.array([-100, -30, -1, 0, 2.5, 30, 1e30], np.float32)
+    want = 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+    assert language_model._logistic(x) is x and (x == want).all()
+
+
+@pytest.mark.parametrize("rows", [5, 70_000])
+def test_values_are_added_to_their_rows(rows):
+    rng = np.random.default_rng(rows)
+    at, values, into = rng.integers(0, rows, 400), rng.integers(0, 9, (400, 3)).astype(np.float32), np.ones((rows, 3), np.float32)
+    want = into.copy()
+    np.add.at(want, at, values)
+    language_model._add(into, at, values)
+    assert (into == want).all()
+
+
 def test_ball_covers_the_radius():
     masks = set(simhash.ball().tolist())
     assert len(masks) == 1 + 64 + 64 * 63 // 2
