@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import gc
 import os
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from itertools import chain
 
 import numpy as np
@@ -72,16 +72,16 @@ class Encoder:
         if ids is None:
             if len(self.words) >= WORDS:
                 self.words.clear()
-            ids = self.words[word] = tuple(t.id for t in self.model.tokenize(word))
+            ids = self.words[word] = tuple([t.id for t in self.model.tokenize(word)])
         return ids
 
-    def _piece(self, piece: str) -> tuple[int, ...]:
+    def _piece(self, piece: str) -> Sequence[int]:
         if self.normalize and not piece.isascii():
             piece = self.normalize.normalize_str(piece)
         lead = self.space if self.spaced and piece[:1] == " " else ""
         base = piece[1:] if lead else piece
-        if base.isalpha():  # one pre-token by any of these rules
-            return self._word(lead + (base if base.isascii() else base.encode().decode("latin-1").translate(_SHOWN)))
+        if base.isalpha():  # one pre-token by any of these rules, remembered as a piece
+            return [t.id for t in self.model.tokenize(lead + (base if base.isascii() else base.encode().decode("latin-1").translate(_SHOWN)))]
         return tuple(i for word, _ in self.cut(piece) for i in self._word(word))
 
     def _learn(self, new: list[str]) -> None:

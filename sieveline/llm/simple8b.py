@@ -15,6 +15,8 @@ import numpy as np
 #: Fixed values of the format: values held by a word and bits of each, by selector.
 COUNTS = (240, 120, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1)
 WIDTHS = (0, 0, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60)
+#: Stretches that are filled one by one rather than together (speed only).
+FEW = 256
 _LOW60 = np.uint64((1 << 60) - 1)
 
 
@@ -30,6 +32,10 @@ def _selectors(bits: np.ndarray) -> np.ndarray:
         bad = np.concatenate([[-1], np.flatnonzero(bits > w), [n]])
         gap = np.flatnonzero(np.diff(bad) > k)  # stretches in which a whole word fits
         first, many = bad[gap] + 1, bad[gap + 1] - bad[gap] - k
+        if len(gap) <= FEW:
+            for a, m in zip(first.tolist(), many.tolist(), strict=True):
+                best[a : a + m] = s
+            continue
         best[np.repeat(first - np.cumsum(many) + many, many) + np.arange(many.sum())] = s
     return best
 
@@ -40,7 +46,9 @@ def encode_block(values: np.ndarray) -> bytes:
     high = np.flatnonzero(values >> np.uint64(60))
     escapes = np.stack([high.astype(np.uint64), values[high] >> np.uint64(60)], 1) if len(high) else np.zeros((0, 2), np.uint64)
     low = values & _LOW60
-    if len(low) and low.max() < 1 << 52:
+    if len(low) and low.max() < 1 << 24:
+        bits = np.frexp(low.astype(np.float32))[1].astype(np.int8)  # exact up to 2**24
+    elif len(low) and low.max() < 1 << 52:
         bits = np.frexp(low.astype(np.float64))[1].astype(np.int8)  # exact below 2**53
     else:
         bits = np.array([int(x).bit_length() for x in low], np.int8)

@@ -9,7 +9,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from sieveline.llm import encoders, language_model, packing, piece_scan, pivots, quality, simhash, suffix_dedup, suffix_sort, toxicity, wide_simhash
+from sieveline.llm import encoders, language_model, packing, piece_scan, pivots, quality, simhash, simple8b, suffix_dedup, suffix_sort, toxicity, wide_simhash
 from sieveline.llm.simple8b import decode_block, encode_block
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
@@ -23,6 +23,17 @@ def test_simple8b_round_trip(values):
     assert (decode_block(encode_block(v)) == v).all()
 
 
+@pytest.mark.parametrize("top", [1 << 14, 1 << 17, 1 << 24, 1 << 40])
+def test_simple8b_blocks_are_the_same_however_stretches_are_filled(top, monkeypatch):
+    rng = np.random.default_rng(top)
+    values = np.where(rng.random(5000) < 0.9, rng.integers(0, 1 << 14, 5000), rng.integers(0, top, 5000)).astype(np.uint64)
+    got = []
+    for few in (0, 10**6):
+        monkeypatch.setattr(simple8b, "FEW", few)
+        got.append(encode_block(values))
+    assert got[0] == got[1] and (decode_block(got[0]) == values).all()
+
+
 def test_simple8b_packs_densely():
     assert len(encode_block(np.zeros(2400, np.uint64))) == 16 + 80 and len(encode_block(np.full(60, 1, np.uint64))) == 16 + 8
     with pytest.raises(ValueError):
