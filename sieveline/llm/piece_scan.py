@@ -11,8 +11,8 @@ library takes no part in that.
 For unigram models tokens score their log-probabilities. For merge (BPE) models a token sequence is the
 encoding exactly if every two neighbours merge to themselves, so such steps score 0 and others don't
 exist. Where no vocabulary piece spans the begin of a word, words can't interact: the paths of a chunk's
-whole words are those of each word alone, found once per different word by the same lattice, and only the
-cut words depend on the boundary states. If a scan finds no path (a model outside these two kinds), the
+whole words are those of each word alone, found once per different word by the same lattice (by merge models,
+which let one path through a word, depth first), and only the cut words depend on the boundary states. If a scan finds no path (a model outside these two kinds), the
 document is encoded by the library whole; so are texts with NUL, which the library ends strings at.
 
 Null texts count as empty; repeated rows are separate documents; an empty table gives an empty result.
@@ -22,11 +22,12 @@ from __future__ import annotations
 
 import pickle
 import re
+import struct
 import zlib
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
@@ -36,7 +37,7 @@ from ._common import Scratch, by_size
 
 CHUNK = 8_192
 #: Matrices that one task combines; words, and tokens with what may follow, that a worker remembers (speed only).
-FAN, WORDS, PAIRS = 64, 200_000, 20_000
+FAN, WORDS, PAIRS = 64, 300_000, 20_000
 #: Bytes of texts or ids handled together.
 TOGETHER = 2_000_000
 _SPACE = "▁"
@@ -56,13 +57,15 @@ class Lattice:
             if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i)):
                 self.ids[sp.id_to_piece(i)], self.score[sp.id_to_piece(i)] = i, sp.get_score(i)
         self.longest = max(map(len, self.ids))
-        self.beginnings = {p[:n] for p in self.ids for n in range(2, len(p))}  # a longer token may begin so
+        self.kinds = dict.fromkeys((p for p in self.ids if len(p) > 1), 1)  # of strings: 1 a token, 2 a longer token may begin so, 3 both
+        for p in {p[:n] for p in self.ids for n in range(2, len(p))}:
+            self.kinds[p] = self.kinds.get(p, 0) + 2
         scores = [self.score[p] for p in self.ids if len(p) > 1]
         self.merges = all(s == int(s) for s in scores)  # ranks of merges are whole numbers
         self.words_apart = not any(_SPACE in p[1:] and p.strip(_SPACE) for p in self.ids)
         self.unknown = min(self.score.values()) - 10
         self._fits: dict[str, dict[str, float | None]] = {}
-        self._words: dict[str, list[int]] = {}
+        self._words: dict[str, bytes] = {}
 
     def raw(self, char: str) -> list[int]:
         """ids of a character that has no piece."""
@@ -70,7 +73,11 @@ class Lattice:
         return got if all(self.library.is_byte(i) for i in got) else [self.library.unk_id()]
 
     def to_ids(self, tokens: list[str]) -> list[int]:
-        return [i for t in tokens for i in ([self.ids[t]] if t in self.ids else self.raw(t))]
+        ids = self.ids
+        try:
+            return [ids[t] for t in tokens]
+        except KeyError:  # a character without a piece
+            return [i for t in tokens for i in ([ids[t]] if t in ids else self.raw(t))]
 
     def merged(self, text: str) -> list[str]:
         """Merges of a short text, best score first, then leftmost."""
@@ -97,15 +104,18 @@ class Lattice:
             return self.score.get(token, self.unknown)
         return 0.0 if self.merged(before + token) == ([before, token] if before else [token]) else None
 
-    def tokens_at(self, text: str, at: int) -> Iterator[str]:
-        yield text[at]
-        beginnings = self.beginnings
-        for n in range(2, min(self.longest, len(text) - at) + 1):
-            part = text[at : at + n]
-            if part in self.ids:
-                yield part
-            if part not in beginnings:
-                return
+    def tokens_at(self, text: str, at: int) -> list[str]:
+        """Tokens that may begin at a place, shorter ones first."""
+        found, kinds, n = [text[at]], self.kinds, at + 2
+        while n <= len(text):
+            part = text[at:n]
+            kind = kinds.get(part, 0)
+            if kind & 1:
+                found.append(part)
+            if kind < 2:
+                break
+            n += 1
+        return found
 
     def paths(self, text: str, first: int, end: int, entry: State) -> list[dict[str, tuple[float, str]]]:
         """By place from `first` on, all reachable tokens (from `entry`, beginning before `end`) that end
@@ -117,7 +127,7 @@ class Lattice:
             here = open_[at]
             if not here:
                 continue
-            tokens = list(self.tokens_at(text, first + at))
+            tokens = self.tokens_at(text, first + at)
             for before, (score, _) in here.items():
                 known = self.follows(before)
                 for token in tokens:
@@ -181,28 +191,71 @@ class Lattice:
         """Best score of whole words; only unigram models tell words apart by it."""
         return 0.0 if self.merges else sum(max(self.exits(w, 0, len(w), FRESH).items(), key=lambda x: (not x[0][1], x[1]))[1] for w in _words(text[begin:end]))
 
-    def word_ids(self, word: str) -> list[int]:
-        """ids of a whole word, by the lattice."""
+    def word_ids(self, word: str) -> bytes:
+        """ids of a whole word (little-endian uint32), by the lattice."""
         ids = self._words.get(word)
         if ids is None:
             if len(self._words) >= WORDS:
                 self._words.clear()
-            reached = self.paths(word, 0, len(word), FRESH)
-            last = reached[len(word)]
-            ids = self._words[word] = self.to_ids(_traced(reached, len(word), max(last, key=lambda t: last[t][0]), 0))
+            got = self.to_ids(self._only(word) if self.merges else self._best(word))
+            ids = self._words[word] = struct.pack(f"<{len(got)}I", *got)
         return ids
 
+    def _best(self, word: str) -> list[str]:
+        """Tokens of a whole word's best path."""
+        reached = self.paths(word, 0, len(word), FRESH)
+        last = reached[len(word)]
+        return _traced(reached, len(word), max(last, key=lambda t: last[t][0]), 0)
+
+    def _only(self, word: str) -> list[str]:
+        """Tokens of a whole word's path by a merge model, where every path through the word is its encoding:
+        from each state the lattice goes on by the longest token first, and by others where that ends nowhere."""
+        tokens, at, end, before = [], 0, len(word), ""
+        open_ = [self.tokens_at(word, 0)] if word else []
+        dead: set[tuple[int, str]] = set()
+        while at < end:
+            known, todo = self._fits.get(before), open_[-1]
+            if known is None:
+                known = self.follows(before)
+            while todo:
+                token = todo.pop()
+                if token in known:
+                    s = known[token]
+                else:
+                    s = known[token] = self.step(before, token)
+                if s is not None and not (dead and (at, token) in dead):
+                    tokens.append(token)
+                    before, at = token, at + len(token)
+                    if at < end:
+                        open_.append(self.tokens_at(word, at))
+                    break
+            else:
+                open_.pop()
+                if not tokens:
+                    raise ValueError("no path through a word")
+                at -= len(before)
+                dead.add((at, before))
+                tokens.pop()
+                before = tokens[-1] if tokens else ""
+        return tokens
+
     def trace(self, text: str, first: int, end: int, entry: State, leave: State) -> list[int]:
         """ids of the tokens that begin in the chunk, given its boundary states."""
+        return self.packed(text, first, end, entry, leave).tolist()
+
+    def packed(self, text: str, first: int, end: int, entry: State, leave: State) -> np.ndarray:
+        """The same ids as uint32."""
         cuts = self.cuts(text, first, end)
         if not cuts:
-            return self.to_ids(self._back(text, first, end, entry, leave))
+            return np.asarray(self.to_ids(self._back(text, first, end, entry, leave)), "<u4")
         into = self.exits(text, first, cuts[0], entry)
         best = max((k for k in into if not k[1]), key=lambda k: into[k])
-        ids = self.to_ids(self._back(text, first, cuts[0], entry, best))
+        parts = [_packed(self.to_ids(self._back(text, first, cuts[0], entry, best)))]
+        known = self._words
         for word in _words(text[cuts[0] : cuts[1]]):
-            ids += self.word_ids(word)
-        return ids + self.to_ids(self._back(text, cuts[1], end, FRESH, leave))
+            parts.append(known.get(word) or self.word_ids(word))
+        parts.append(_packed(self.to_ids(self._back(text, cuts[1], end, FRESH, leave))))
+        return np.frombuffer(b"".join(parts), "<u4")
 
     def _back(self, text: str, first: int, end: int, entry: State, leave: State) -> list[str]:
         return _traced(self.paths(text, first, end, entry), end - first + len(leave[1]), leave[0] + leave[1], len(entry[1]))
@@ -297,11 +350,36 @@ def _small(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[
             yield b.slice(x, y - x)
 
 
+def _groups(batches: Iterator[pa.RecordBatch], keys: int, column: str) -> Iterator[list[tuple]]:
+    """Neighbouring rows that are equal in the first so many columns, read by slices of a column's bytes."""
+    rows = (r for b in _small(batches, column) for r in zip(*(c.to_pylist() for c in b.columns), strict=True))
+    for _, group in groupby(rows, key=lambda r: r[:keys]):
+        yield list(group)
+
+
+def _tables(rows: Iterator[tuple], ddl: str) -> Iterator[pa.RecordBatch]:
+    """Rows as batches of about `TOGETHER` bytes."""
+    schema, held, size = _arrow(ddl), [], 0
+    for r in rows:
+        held.append(r)
+        size += sum(100 if v is None or isinstance(v, int) else len(v) for v in r)
+        if size >= TOGETHER:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), schema, strict=True)], schema=schema)
+            held, size = [], 0
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), schema, strict=True)], schema=schema)
+
+
+def _by(df: DataFrame, *keys: str) -> DataFrame:
+    """Chunks dealt by some columns, which go first, and in order."""
+    return df.select(*keys, *(c for c in df.columns if c not in keys)).repartition(*keys).sortWithinPartitions(*keys, "chunk")
+
+
 def _packed(ids: list[int]) -> bytes:
     return np.asarray(ids, "<u4").tobytes()
 
 
-def _narrow(ids: list[int]) -> bytes:
+def _narrow(ids: list[int] | np.ndarray) -> bytes:
     """ids on their way to their document: a byte that tells their width, then as few bytes as hold the largest."""
     x = np.asarray(ids, "<u4")
     return b"\2" + x.astype("<u2").tobytes() if not len(x) or x.max() < 1 << 16 else b"\4" + x.tobytes()
@@ -317,30 +395,34 @@ def _boundaries(matrices: DataFrame, most: int, scratch: Scratch) -> DataFrame:
     round by round up to one matrix a text, and the states of the boundaries round by round down again.
     Texts without a path have null states."""
 
-    def up(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("chunk")
-        return pd.DataFrame({"row": pdf["row"].iloc[:1], "chunk": pdf["chunk"].iloc[:1] // FAN, "matrix": [pickle.dumps(combined([pickle.loads(m) for m in pdf["matrix"]]))]})
+    def up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        groups = _groups(batches, 2, "matrix")
+        return _tables(((g[0][0], g[0][1], pickle.dumps(combined([pickle.loads(r[3]) for r in g]))) for g in groups), schema)
 
     def top(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found = [best_ends(pickle.loads(m)) for m in b.column("matrix").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("row"), b.column("chunk"), pa.array([f and pickle.dumps(f) for f in found], pa.binary())], names=["row", "chunk", "states"])
 
-    def down(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("chunk")
-        ends = pdf["states"].iloc[0]
-        fixed = fix_states([pickle.loads(m) for m in pdf["matrix"]], pickle.loads(ends)) if ends else [None] * len(pdf)
-        return pd.DataFrame({"row": pdf["row"], "chunk": pdf["chunk"], "states": [f and pickle.dumps(f) for f in fixed]})
+    def down(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows() -> Iterator[tuple]:
+            for g in _groups(batches, 2, "matrix"):
+                ends = g[0][4]
+                fixed = fix_states([pickle.loads(r[3]) for r in g], pickle.loads(ends)) if ends else [None] * len(g)
+                yield from ((r[0], r[2], f and pickle.dumps(f)) for r, f in zip(g, fixed, strict=True))
 
-    schema, levels = "row long, chunk int, matrix binary", [matrices]
+        return _tables(rows(), states)
+
+    above = F.floor(F.col("chunk") / FAN).cast("int").alias("above")
+    schema, states, levels = "row long, chunk int, matrix binary", "row long, chunk int, states binary", [matrices]
     while most > 1:
-        levels.append(scratch.keep(levels[-1].groupBy("row", F.floor(F.col("chunk") / FAN)).applyInPandas(up, schema), f"level{len(levels)}"))
+        own = _by(levels[-1].select("row", above, "chunk", "matrix"), "row", "above")
+        levels.append(scratch.keep(own.mapInArrow(up, schema), f"level{len(levels)}"))
         most = -(-most // FAN)
-    fixed = levels[-1].mapInArrow(top, "row long, chunk int, states binary")
+    fixed = levels[-1].mapInArrow(top, states)
     for level in levels[-2::-1]:
-        own = level.withColumn("above", F.floor(F.col("chunk") / FAN).cast("int"))
-        both = own.join(fixed.withColumnRenamed("chunk", "above"), ["row", "above"])
-        fixed = both.groupBy("row", "above").applyInPandas(down, "row long, chunk int, states binary")
+        both = level.select("row", above, "chunk", "matrix").join(fixed.withColumnRenamed("chunk", "above"), ["row", "above"])
+        fixed = _by(both, "row", "above").mapInArrow(down, states)
     return fixed
 
 
@@ -358,7 +440,7 @@ def encode_pieces(docs: DataFrame, scratch: Scratch, path: str, chunk: int = CHU
                     continue
                 own = {"row": row, "doc_id": doc, "n_chars": len(text), "text_crc": zlib.crc32(text.encode())}
                 if not long:
-                    out.append(own | {"n_chunks": 1, "ids": _packed(m.library.encode(text))})
+                    out.append(own | {"n_chunks": 1, "ids": m.library.EncodeAsNumpy(text).astype("<u4").tobytes()})
                     continue
                 starts = range(0, len(plain), chunk)
                 for k, a in enumerate(starts):
@@ -381,19 +463,23 @@ def encode_pieces(docs: DataFrame, scratch: Scratch, path: str, chunk: int = CHU
     def trace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = lattice(path)
         for b in _small(batches, "piece"):
-            got = [_narrow(m.trace(t, a, e, *pickle.loads(s))) if s else None for t, a, e, s in zip(*(b.column(c).to_pylist() for c in ("piece", "first", "end", "states")), strict=True)]
+            got = [_narrow(m.packed(t, a, e, *pickle.loads(s))) if s else None for t, a, e, s in zip(*(b.column(c).to_pylist() for c in ("piece", "first", "end", "states")), strict=True)]
             plain = [None if g is not None else t[a:e] for g, t, a, e in zip(got, *(b.column(c).to_pylist() for c in ("piece", "first", "end")), strict=True)]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), pa.array(got, pa.binary()), pa.array(plain, pa.string())], names=[*kept, "ids", "plain"])
 
-    def join(pdf: pd.DataFrame) -> pd.DataFrame:
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A document's ids, which one row holds as its text did."""
-        pdf = pdf.sort_values("chunk")
-        if pdf["ids"].isna().any():  # no path: the normalised chunks together, by the library
-            ids = _packed(lattice(path).library.encode("".join(pdf["plain"]).replace(_SPACE, " ").removeprefix(" ")))
-        else:
-            ids = b"".join(map(_wide, pdf["ids"]))
-        own = pdf.iloc[0]
-        return pd.DataFrame([(own["row"], own["doc_id"], own["n_chars"], own["n_chunks"], ids, own["text_crc"])], columns=_arrow(_OUT).names)
+
+        def rows() -> Iterator[tuple]:
+            for g in _groups(batches, 1, "ids"):
+                parts = [r[6] for r in g]
+                if None in parts:  # no path: the normalised chunks together, by the library
+                    ids = _packed(lattice(path).library.encode("".join(r[7] for r in g).replace(_SPACE, " ").removeprefix(" ")))
+                else:
+                    ids = b"".join(map(_wide, parts))
+                yield *g[0][:4], ids, g[0][4]
+
+        return _tables(rows(), _OUT)
 
     kept = ["row", "doc_id", "n_chars", "n_chunks", "text_crc", "chunk"]
     most = parts.agg(F.max("n_chunks")).first()[0]
@@ -402,12 +488,12 @@ def encode_pieces(docs: DataFrame, scratch: Scratch, path: str, chunk: int = CHU
     matrices = scratch.keep(parts.select("row", "chunk", "piece", "first", "end").mapInArrow(transfers, "row long, chunk int, matrix binary"), "matrices")
     ready = parts.join(_boundaries(matrices, most, scratch), ["row", "chunk"]).select(*kept, "piece", "first", "end", "states")
     traced = ready.mapInArrow(trace, "row long, doc_id long, n_chars long, n_chunks int, text_crc long, chunk int, ids binary, plain string")
-    return whole.unionByName(traced.groupBy("row").applyInPandas(join, _OUT))
+    return whole.unionByName(_by(traced, "row").mapInArrow(join, _OUT))
 
 
 def decode_ids(path: str, data: bytes) -> str:
     """The text of little-endian uint32 ids."""
-    return lattice(path).library.decode(np.frombuffer(data, "<u4").astype(int).tolist())
+    return lattice(path).library.decode(np.frombuffer(data, "<u4").astype(np.int32))
 
 
 def piece_round_trip(spark: SparkSession, docs: DataFrame, path: str, chunk: int = CHUNK) -> DataFrame:

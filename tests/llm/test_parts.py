@@ -104,6 +104,23 @@ def test_pieces_equal_library_whatever_the_chunks():
             assert [i for (t, a, e), s in zip(parts, fixed, strict=True) for i in m.trace(t, a, e, *s)] == want
 
 
+def test_whole_words_enter_few_states(monkeypatch):
+    """A merge model's whole words go depth first: the path of the whole lattice, without the whole lattice."""
+    m = piece_scan.Lattice(public_tokenizers.path("piece_bpe_32k.model"))
+    rng = random.Random(12)
+    words = ["▁", "▁▁▁x", "▁internationalization", "▁日本語テスト☃", "▁aaaaaaaaaaaaaaaaaaa", "▁-----....1234567"]
+    words += ["▁" + "".join(rng.choice(letters) for _ in range(rng.randint(1, 14))) for letters in ("etaoinshrdlu", "ab", "aeéß日.,-'") for _ in range(150)]
+    entered, tokens_at = [], m.tokens_at
+    monkeypatch.setattr(m, "tokens_at", lambda *a: entered.append(a) or tokens_at(*a))
+    for word in words:
+        entered.clear()
+        got = np.frombuffer(m.word_ids(word), "<u4").tolist()
+        few = len(entered)
+        assert got == m.to_ids(m._best(word)) and (word.startswith("▁▁") or got == m.library.encode(word[1:]) or word == "▁")
+        if len(word) > 18:
+            assert few < len(word) // 2
+
+
 @pytest.mark.parametrize("ids", [[], [0, 65_535], [7, 65_536, (1 << 32) - 1]])
 def test_ids_travel_narrow(ids):
     assert piece_scan._wide(piece_scan._narrow(ids)) == np.asarray(ids, "<u4").tobytes()
