@@ -5,13 +5,15 @@ similarity (shared part of all their different shingles) s, bits differ with a c
 acos(2s / (1 + s)) / pi; two texts are near duplicates if no more bits differ than that share for
 `SIMILARITY` and one standard deviation. 64 bits can't tell 0.8 from 0.6, and no ball around that many
 differing bits can be listed. So candidates meet in bands: `BANDS` fixed selections of `BAND` bits. In
-each, as in `simhash`, every fingerprint emits all variants within half of `RADIUS`, and fingerprints that
-collide lie within `RADIUS` of each other there. Variants travel packed, with the whole fingerprint and its
-component, so every link is verified on all bits where it is found, and colliding variants never become
-rows. The empty mask goes first: what it links needs no other variant.
+each, as in `simhash`, every fingerprint has all variants within half of `RADIUS`, and fingerprints that
+collide lie within `RADIUS` of each other there. Variants don't travel: a cell holds those of a band that
+begin with the same few bits, so a fingerprint reaches its own cell and those with one of these bits flipped,
+whole and with its component, and its variants are formed there. Every link is verified on all bits where
+it is found, and colliding variants never become rows. The empty mask goes first: what it links needs no
+other variant.
 At similarity 0.8 some band lies within the radius with a chance of about 0.9, at 0.85 of 0.98.
 
-A bucket returns a spanning forest of its links, never pairs. Equal fingerprints collapse to one first.
+A cell returns a spanning forest of its links, never pairs; one with many variants forms them by parts. Equal fingerprints collapse to one first.
 Null and word-less texts have fingerprint zero and link with each other. Repeated rows are one group. An
 empty table gives an empty result; all columns are kept, whatever their names.
 """
@@ -37,8 +39,9 @@ BITS, BANDS, BAND, RADIUS = 256, 20, 32, 2
 _P = acos(2 * SIMILARITY / (1 + SIMILARITY)) / pi
 #: Differing bits of near duplicates, at most.
 FURTHEST = int(BITS * _P + sqrt(BITS * _P * (1 - _P)))
-#: Rounds in which variants are dealt, and fingerprints whose variants are formed together.
-ROUNDS, CHUNK = 16, 1024
+#: Rounds in which cells are dealt, fingerprints that are dealt together, first bits that tell cells apart at
+#: least (so that small tables keep all cores busy), and variants formed together. None affects the links.
+ROUNDS, CHUNK, LEAST, PART = 16, 1024, 5, 1 << 17
 
 
 def fingerprint(text: bytes) -> bytes:
@@ -65,49 +68,81 @@ def bands(prints: np.ndarray) -> np.ndarray:
     return own | np.arange(BANDS, dtype=np.uint64) << np.uint64(BAND)
 
 
-def _dealt(masks: np.ndarray, rounds: int, turn: int, buckets: int):
-    """Variants of a task's fingerprints in a round, dealt to buckets, with component, fingerprint and
-    number of the mask."""
+def _band(prints: np.ndarray, band: int) -> np.ndarray:
+    """The bits of one band of fingerprints, given as rows of longs."""
+    chosen, rows = _selected()[band], prints.view(np.uint8)
+    parts = [np.packbits(np.unpackbits(rows[a : a + 16 * CHUNK], axis=1)[:, chosen], axis=1) for a in range(0, len(rows), 16 * CHUNK)]
+    return np.ascontiguousarray(np.concatenate(parts)).view(">u4").reshape(-1).astype(np.uint64)
+
+
+def _dealt(first: int, flips: int, rounds: int, turn: int):
+    """A task's fingerprints and their components, dealt to the cells of a round that they reach: cells are
+    told apart by a band's first bits, of which one in `flips` is flipped."""
+    masks = np.array([0, *(1 << k for k in range(flips))], np.uint64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             roots = batch.column("root").to_numpy()
             prints = np.frombuffer(b"".join(batch.column("fp").to_pylist()), np.uint8).reshape(len(roots), -1)
             for a in range(0, len(roots), CHUNK):
-                v = (bands(prints[a : a + CHUNK])[:, :, None] ^ masks).reshape(-1)
-                h = mix(v)
-                own = np.flatnonzero(h % np.uint64(rounds) == np.uint64(turn))
-                bucket = ((h[own] >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
-                order = np.argsort(bucket, kind="stable")
-                own, bucket = own[order], bucket[order]
-                cuts = np.append(np.flatnonzero(np.diff(bucket, prepend=-1)), len(bucket)).tolist()
-                of = a + own // (BANDS * len(masks))
-                columns = (v[own], roots[of], prints[of], (own % len(masks)).astype(np.uint8))
-                packed = [pa.array([x[i:j].tobytes() for i, j in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary()) for x in columns]
-                yield pa.RecordBatch.from_arrays([pa.array(bucket[cuts[:-1]]), *packed], names=["bucket", "variants", "roots", "prints", "codes"])
+                cells = ((bands(prints[a : a + CHUNK]) >> np.uint64(BAND - first))[:, :, None] ^ masks).reshape(-1)
+                own = np.flatnonzero((mix(cells) >> np.uint64(32)) % np.uint64(rounds) == np.uint64(turn))
+                if not len(own):
+                    continue
+                own = own[np.argsort(cells[own], kind="stable")]
+                cell, of = cells[own].astype(np.int64), a + own // (BANDS * len(masks))
+                cuts = np.append(np.flatnonzero(np.diff(cell, prepend=-1)), len(cell)).tolist()
+                packed = [pa.array([x[i:j].tobytes() for i, j in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary()) for x in (roots[of], prints[of])]
+                yield pa.RecordBatch.from_arrays([pa.array(cell[cuts[:-1]]), *packed], names=["cell", "roots", "prints"])
 
     return run
 
 
-def _unpacked(pdf: pd.DataFrame) -> tuple[np.ndarray, ...]:
-    """Variants, components, fingerprints (rows of longs) and masks of a bucket, by variant."""
-    v, roots, prints, codes = (np.frombuffer(b"".join(pdf[c]), t) for c, t in (("variants", np.uint64), ("roots", np.int64), ("prints", np.uint64), ("codes", np.uint8)))
-    order = np.lexsort((roots, v))
-    return v[order], roots[order], prints.reshape(len(v), -1)[order], codes[order]
+def _unpacked(pdf: pd.DataFrame, first: int) -> tuple:
+    """First bits of a cell; bits in its band, components and fingerprints (rows of longs) that reach it."""
+    cell = int(pdf["cell"].iloc[0])
+    roots = np.frombuffer(b"".join(pdf["roots"]), np.int64)
+    prints = np.frombuffer(b"".join(pdf["prints"]), np.uint64).reshape(len(roots), -1)
+    return np.uint64(cell & ((1 << first) - 1)), _band(prints, cell >> first), roots, prints
+
+
+def _variants(own: np.ndarray, begin: np.uint64, first: int) -> tuple[np.ndarray, ...]:
+    """Variants of bands that begin with some first bits: they, whose they are, and their masks' numbers."""
+    rest = BAND - first
+    flip = (own >> np.uint64(rest)) ^ begin
+    inside, beside = np.flatnonzero(flip == 0), np.flatnonzero(np.bitwise_count(flip) == 1)
+    masks = _masks()[: 1 + rest]  # mask k flips bit k - 1
+    v = np.concatenate([(own[inside, None] ^ masks).reshape(-1), own[beside] ^ flip[beside] << np.uint64(rest)])
+    codes = np.concatenate([np.tile(np.arange(len(masks)), len(inside)), np.bitwise_count(flip[beside] - np.uint64(1)) + rest + 1])
+    return v, np.concatenate([np.repeat(inside, len(masks)), beside]), codes.astype(np.uint8)
+
+
+def _collide(first: int):
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        """Links of one cell's fingerprints that share a variant, where they are of different components and
+        bits in the band; those with equal bits have met before."""
+        forest, todo = Forest(), [(first, *_unpacked(pdf, first))]
+        while todo:
+            bits, begin, own, roots, prints = todo.pop()
+            if not len(own) or roots.min() == roots.max():
+                continue
+            if bits < BAND and np.count_nonzero(own >> np.uint64(BAND - bits) == begin) * (BAND - bits) + len(own) > PART:
+                for longer in (begin << np.uint64(1), begin << np.uint64(1) | np.uint64(1)):
+                    some = np.bitwise_count((own >> np.uint64(BAND - bits - 1)) ^ longer) <= 1
+                    todo.append((bits + 1, longer, own[some], roots[some], prints[some]))
+                continue
+            v, at, codes = _variants(own, begin, bits)
+            order = np.lexsort((roots[at], v))
+            told = _told_once(v[order], codes[order])
+            v, at = v[order][told], at[order][told]
+            if len(v):
+                new = np.flatnonzero(np.append(True, v[1:] != v[:-1]))
+                differ = np.minimum.reduceat(roots[at], new) != np.maximum.reduceat(roots[at], new)
+                differ = np.repeat(differ, np.diff(np.append(new, len(v))))
+                _link(forest, v[differ], roots[at[differ]], prints[at[differ]])
+        return pd.DataFrame(forest.links(), columns=["a", "b"], dtype="int64")
 
-
-def _collide(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Links of one bucket's fingerprints that share a variant, where they are of different components and
-    bits in the band; those with equal bits have met before."""
-    v, roots, prints, codes = _unpacked(pdf)
-    told = _told_once(v, codes)
-    v, roots, prints = v[told], roots[told], prints[told]
-    if len(v):
-        first = np.flatnonzero(np.append(True, v[1:] != v[:-1]))
-        differ = np.minimum.reduceat(roots, first) != np.maximum.reduceat(roots, first)
-        own = np.repeat(differ, np.diff(np.append(first, len(v))))
-        v, roots, prints = v[own], roots[own], prints[own]
-    return _forest(v, roots, prints)
+    return run
 
 
 def _told_once(v: np.ndarray, codes: np.ndarray) -> np.ndarray:
@@ -143,9 +178,8 @@ def _group_links(prints: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def _forest(v: np.ndarray, ids: np.ndarray, prints: np.ndarray) -> pd.DataFrame:
-    """Links of groups (equal v, neighbours), verified on whole fingerprints, as a spanning forest."""
-    forest = Forest()
+def _link(forest: Forest, v: np.ndarray, ids: np.ndarray, prints: np.ndarray) -> None:
+    """Adds the links of groups (equal v, neighbours), verified on whole fingerprints, to a spanning forest."""
     if len(v):
         new = np.append(True, v[1:] != v[:-1])
         first, group = np.flatnonzero(new), np.cumsum(new) - 1
@@ -159,18 +193,24 @@ def _forest(v: np.ndarray, ids: np.ndarray, prints: np.ndarray) -> pd.DataFrame:
                 own = slice(first[g], ends[g])
                 for a, b in _group_links(prints[own]):
                     forest.link(*ids[own][[a, b]].tolist())
-    return pd.DataFrame(forest.links(), columns=["a", "b"], dtype="int64")
 
 
-def _equal(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Links of one bucket's fingerprints with equal bits in a band."""
-    v, roots, prints, _ = _unpacked(pdf)
-    same = v[1:] == v[:-1]
-    met = np.append(same, False) | np.append(False, same)
-    return _forest(v[met], roots[met], prints[met])
+def _equal(first: int):
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        """Links of one cell's fingerprints with equal bits in the band."""
+        _, v, roots, prints = _unpacked(pdf, first)
+        order = np.lexsort((roots, v))
+        v = v[order]
+        same = v[1:] == v[:-1]
+        met = np.append(same, False) | np.append(False, same)
+        forest = Forest()
+        _link(forest, v[met], roots[order][met], prints[order][met])
+        return pd.DataFrame(forest.links(), columns=["a", "b"], dtype="int64")
+
+    return run
 
 
-_PACKED = "bucket long, variants binary, roots binary, prints binary, codes binary"
+_PACKED = "cell long, roots binary, prints binary"
 
 
 def near_links(distinct: DataFrame, scratch: Scratch) -> DataFrame:
@@ -178,19 +218,20 @@ def near_links(distinct: DataFrame, scratch: Scratch) -> DataFrame:
     with equal bits in a band meet first; variants then only link members of different components, so that
     a large group of near copies isn't compared again in all its variants. A link between components found
     before stands between their roots."""
-    total, masks = distinct.count(), _masks()
-    buckets = lambda per, rounds: max(1, -(-total * BANDS * per // (BUCKET * rounds)))
+    total, first = distinct.count(), LEAST
+    while first < BAND and BUCKET << first < total * len(_masks()):
+        first += 1
     spread = lambda df: df.select("root", "fp").repartition(max(1, -(-total // (4 * CHUNK))), "fp")
-    dealt = spread(distinct.withColumn("root", F.col("id"))).mapInArrow(_dealt(masks[:1], 1, 0, buckets(1, 1)), _PACKED)
-    links = scratch.keep(dealt.groupBy("bucket").applyInPandas(_equal, "a long, b long"), "equal")
+    dealt = spread(distinct.withColumn("root", F.col("id"))).mapInArrow(_dealt(first, 0, 1, 0), _PACKED)
+    links = scratch.keep(dealt.groupBy("cell").applyInPandas(_equal(first), "a long, b long"), "equal")
     # the first round's links spare the others what they'd tell of the same components
     for turns in ((0,), tuple(range(1, ROUNDS))):
         found = components(links, scratch, f"before{turns[0]}")
         rooted = distinct.join(found, distinct.id == found.node, "left").select(F.coalesce("root", "id").alias("root"), "fp")
         rooted = scratch.keep(rooted, f"rooted{turns[0]}")
         for turn in turns:
-            dealt = spread(rooted).mapInArrow(_dealt(masks, ROUNDS, turn, buckets(len(masks), ROUNDS)), _PACKED)
-            links = links.unionAll(scratch.keep(dealt.groupBy("bucket").applyInPandas(_collide, "a long, b long"), f"links{turn}"))
+            dealt = spread(rooted).mapInArrow(_dealt(first, first, ROUNDS, turn), _PACKED)
+            links = links.unionAll(scratch.keep(dealt.groupBy("cell").applyInPandas(_collide(first), "a long, b long"), f"links{turn}"))
     return links
 
 

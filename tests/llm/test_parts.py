@@ -228,6 +228,52 @@ def test_bands_within_the_radius_meet_once(seed):
     assert sum(map(len, met.values())) <= 0.75 * sum(np.count_nonzero(v == x) for x in set(v[np.append(v[1:] == v[:-1], False)].tolist()))
 
 
+@pytest.mark.parametrize("first", [1, 5, 32])
+def test_every_variant_lies_in_one_cell(first):
+    """The cells that bands reach hold each of their variants once, with its mask."""
+    rng = np.random.default_rng(first)
+    own = rng.integers(0, 1 << 32, 40, dtype=np.uint64)
+    begins = np.unique((own >> np.uint64(32 - first))[:, None] ^ np.array([0, *(1 << k for k in range(first))], np.uint64))
+    got = [x for b in begins for x in zip(*(c.tolist() for c in wide_simhash._variants(own, b, first)), strict=True)]
+    masks = wide_simhash._masks()
+    assert sorted(got) == sorted((int(x ^ m), i, k) for i, x in enumerate(own) for k, m in enumerate(masks))
+
+
+@pytest.mark.parametrize("count", [300, 3_000])
+def test_bytes_of_a_fingerprint_stay_whatever_the_table(count):
+    """What a fingerprint sends to its cells: itself and its component once a cell, not once a variant."""
+    rng = np.random.default_rng(3)
+    fps = [x.tobytes() for x in rng.integers(0, 256, (count, wide_simhash.BITS // 8), dtype=np.uint8)]
+    batch = pa.RecordBatch.from_pydict({"root": np.arange(count), "fp": fps})
+    sent = [b for turn in range(4) for b in wide_simhash._dealt(5, 5, 4, turn)([batch])]
+    assert sum(len(x) for b in sent for c in ("roots", "prints") for x in b.column(c).to_pylist()) == count * wide_simhash.BANDS * 6 * (8 + wide_simhash.BITS // 8)
+
+
+@pytest.mark.parametrize("part", [1 << 20, 30])
+def test_cells_by_parts_give_the_same_components(part, monkeypatch):
+    """Near fingerprints that all begin alike, formed at once or by parts, against all pairs in the band."""
+    monkeypatch.setattr(wide_simhash, "PART", part)
+    rng = np.random.default_rng(9)
+    bits = np.repeat(rng.integers(0, 2, (1, wide_simhash.BITS), dtype=np.uint8), 80, axis=0)
+    bits[np.arange(80)[:, None], rng.integers(0, wide_simhash.BITS, (80, 12))] ^= 1
+    prints = np.packbits(bits, axis=1)
+    first, links = 5, []
+    batch = pa.RecordBatch.from_pydict({"root": np.arange(80), "fp": [x.tobytes() for x in prints]})
+    for b in wide_simhash._dealt(first, first, 1, 0)([batch]):
+        for _, cell in b.to_pandas().groupby("cell"):
+            links += wide_simhash._collide(first)(cell).to_numpy().tolist()
+    bands, longs = wide_simhash.bands(prints), prints.view(np.uint64)
+    pairs = [(a, b) for a in range(80) for b in range(a) if wide_simhash._near(longs[a], longs[b]) and (np.isin(np.bitwise_count(bands[a] ^ bands[b]), (1, 2))).any()]
+
+    def roots(links):
+        forest = wide_simhash.Forest()
+        for a, b in links:
+            forest.link(a, b)
+        return [forest.find(k) for k in range(80)]
+
+    assert pairs and roots(links) == roots(pairs)
+
+
 def test_packing_fits_and_is_tight():
     rng = np.random.default_rng(0)
     lengths = rng.integers(1, 4096, 3000)
