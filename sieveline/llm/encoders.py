@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import gc
 import os
+from codecs import charmap_decode
 from collections.abc import Iterator, Sequence
 from itertools import chain
 
@@ -29,6 +30,7 @@ _UNUSUAL = r"'|[^\x00-\x7f\p{L}]"
 #: Byte-level models show a byte as itself where it prints, else as the next free character from 256.
 _PLAIN = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _SHOWN = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in set(_PLAIN))}
+_TABLE = "".join(chr(_SHOWN.get(b, b)) for b in range(256))
 
 
 def _quoted(text: str) -> str:
@@ -81,14 +83,18 @@ class Encoder:
         lead = self.space if self.spaced and piece[:1] == " " else ""
         base = piece[1:] if lead else piece
         if base.isalpha():  # one pre-token by any of these rules, remembered as a piece
-            return [t.id for t in self.model.tokenize(lead + (base if base.isascii() else base.encode().decode("latin-1").translate(_SHOWN)))]
+            return [t.id for t in self.model.tokenize(lead + (base if base.isascii() else charmap_decode(base.encode(), "strict", _TABLE)[0]))]
         return tuple(i for word, _ in self.cut(piece) for i in self._word(word))
 
     def _learn(self, new: list[str]) -> None:
         """Encodes pieces for the first time."""
         collecting = gc.isenabled()
         gc.disable()  # many small objects, none in cycles
-        got = [self._piece(p) for p in new]
+        tokenize, other = self.model.tokenize, self._piece
+        if self.spaced and not self.normalize:  # most pieces are one word, written byte by byte with its space
+            got = [[t.id for t in tokenize(charmap_decode(p.encode(), "strict", _TABLE)[0])] if (p[1:] if p[:1] == " " else p).isalpha() else other(p) for p in new]
+        else:
+            got = [other(p) for p in new]
         if collecting:
             gc.enable()
         counts = np.fromiter(map(len, got), np.int64, len(got))

@@ -54,6 +54,19 @@ def test_encoder_equals_library(file):
         assert [g.tolist() for g in got] == [library.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def test_words_are_written_at_once(monkeypatch):
+    """A byte-level model's single words go to it in one step, whatever their letters, with the library's ids."""
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    encoder, other = encoders.Encoder(path), []
+    piece = encoder._piece
+    monkeypatch.setattr(encoder, "_piece", lambda p: other.append(p) or piece(p))
+    text = "Grüße aus Köln naïve слово 日本語テスト word x 12 don't, end"
+    assert [g.tolist() for g in encoder.encode(pa.array([text]))] == [Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids]
+    assert other and not any(p.strip().isalpha() for p in other)
+
+
 def brute_suffixes(t):
     order = sorted(range(len(t)), key=lambda i: t[i:].tolist())
     prefix = [0]
