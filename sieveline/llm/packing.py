@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import Scratch
+from ._common import Scratch, release
 from .encoders import encoder
 
 #: Pieces packed together; also the bound of a packing task's memory.
@@ -46,6 +46,8 @@ def pieces(docs: DataFrame, path: str, end_id: int, capacity: int, special_as_te
                 rows += [(doc, k, s, min(capacity, len(got) - s), zlib.crc32(got[s : s + capacity])) for k, s in enumerate(range(0, len(got), capacity))]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _PIECES, strict=True)], schema=_PIECES)
+        batch = rows = got = None  # noqa: F841
+        release()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     return rows.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import by_size, fold, text_bytes
+from ._common import by_size, fold, release, text_bytes
 from .labelled import in_one_task, labelled_sample
 
 #: Bounds of the fitting sample.
@@ -346,6 +346,8 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         m = held.value
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column("doc"), pa.array(m.score(b.column("text").to_pylist()), pa.float64())], names=["doc", "score"])
+        b = None
+        release()
 
     rows = docs.select(F.struct("*").alias("doc"), text_bytes().alias("text"))
     return rows.mapInArrow(run, rows.select("doc", F.lit(0.0).alias("score")).schema)

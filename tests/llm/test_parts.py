@@ -287,6 +287,21 @@ def test_cells_by_parts_give_the_same_components(part, monkeypatch):
     assert pairs and roots(links) == roots(pairs)
 
 
+def test_finished_tasks_give_memory_back():
+    """Freed arrays below the size that the system takes back at once, behind one that stays."""
+    from sieveline.llm._common import release
+
+    held = lambda: int(next(x for x in open("/proc/self/status") if x.startswith("VmRSS")).split()[1])
+    many, kept = [], []
+    for _ in range(1_000):
+        many.append(np.ones(100_000, np.uint8))
+        kept.append(np.ones(2_000, np.uint8))
+    many.clear()
+    before = held()
+    release()
+    assert before - held() > 50_000 and len(kept) == 1_000
+
+
 def test_packing_fits_and_is_tight():
     rng = np.random.default_rng(0)
     lengths = rng.integers(1, 4096, 3000)
