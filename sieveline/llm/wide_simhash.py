@@ -39,9 +39,9 @@ BITS, BANDS, BAND, RADIUS = 256, 20, 32, 2
 _P = acos(2 * SIMILARITY / (1 + SIMILARITY)) / pi
 #: Differing bits of near duplicates, at most.
 FURTHEST = int(BITS * _P + sqrt(BITS * _P * (1 - _P)))
-#: Rounds in which cells are dealt, fingerprints that are dealt together, first bits that tell cells apart at
-#: least (so that small tables keep all cores busy), and variants formed together. None affects the links.
-ROUNDS, CHUNK, LEAST, PART = 16, 1024, 5, 1 << 17
+#: Rounds in which cells are dealt, fingerprints that are dealt together in small tables and at most, first bits that
+#: tell cells apart at least (so that small tables keep all cores busy), and variants formed together. None affects the links.
+ROUNDS, CHUNK, MOST, LEAST, PART = 16, 1024, 1 << 16, 5, 1 << 17
 
 
 def fingerprint(text: bytes) -> bytes:
@@ -75,25 +75,50 @@ def _band(prints: np.ndarray, band: int) -> np.ndarray:
     return np.ascontiguousarray(np.concatenate(parts)).view(">u4").reshape(-1).astype(np.uint64)
 
 
+def _together(first: int) -> int:
+    """Fingerprints dealt together: as many more as there are more cells, so that a row holds about as many in tables
+    of any size."""
+    return min(CHUNK << max(0, first - LEAST), MOST)
+
+
+def _spread(df: DataFrame, total: int, first: int) -> DataFrame:
+    """Fingerprints in tasks of about four packs, dealt in turn: a pack makes a row for every cell it reaches."""
+    return df.select("root", "fp").repartition(max(1, -(-total // (4 * _together(first)))))
+
+
+def _packs(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Components and fingerprints of a task, so many at a time whatever its batches."""
+    roots, prints = np.zeros(0, np.int64), np.zeros((0, BITS // 8), np.uint8)
+    for batch in batches:
+        more = np.frombuffer(b"".join(batch.column("fp").to_pylist()), np.uint8).reshape(-1, BITS // 8)
+        roots, prints = np.concatenate([roots, batch.column("root").to_numpy()]), np.concatenate([prints, more])
+        while len(roots) >= size:
+            yield roots[:size], prints[:size]
+            roots, prints = roots[size:], prints[size:]
+    if len(roots):
+        yield roots, prints
+
+
 def _dealt(first: int, flips: int, rounds: int, turn: int):
     """A task's fingerprints and their components, dealt to the cells of a round that they reach: cells are
     told apart by a band's first bits, of which one in `flips` is flipped."""
-    masks = np.array([0, *(1 << k for k in range(flips))], np.uint64)
+    masks, size = np.array([0, *(1 << k for k in range(flips))], np.uint64), _together(first)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            roots = batch.column("root").to_numpy()
-            prints = np.frombuffer(b"".join(batch.column("fp").to_pylist()), np.uint8).reshape(len(roots), -1)
+        for roots, prints in _packs(batches, size):
+            reached = []
             for a in range(0, len(roots), CHUNK):
                 cells = ((bands(prints[a : a + CHUNK]) >> np.uint64(BAND - first))[:, :, None] ^ masks).reshape(-1)
                 own = np.flatnonzero((mix(cells) >> np.uint64(32)) % np.uint64(rounds) == np.uint64(turn))
-                if not len(own):
-                    continue
-                own = own[np.argsort(cells[own], kind="stable")]
-                cell, of = cells[own].astype(np.int64), a + own // (BANDS * len(masks))
-                cuts = np.append(np.flatnonzero(np.diff(cell, prepend=-1)), len(cell)).tolist()
-                packed = [pa.array([x[i:j].tobytes() for i, j in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary()) for x in (roots[of], prints[of])]
-                yield pa.RecordBatch.from_arrays([pa.array(cell[cuts[:-1]]), *packed], names=["cell", "roots", "prints"])
+                reached.append((cells[own].astype(np.int64), a + own // (BANDS * len(masks))))
+            cell, of = (np.concatenate(x) for x in zip(*reached, strict=True))
+            if not len(cell):
+                continue
+            order = np.argsort(cell, kind="stable")
+            cell, of = cell[order], of[order]
+            cuts = np.append(np.flatnonzero(np.diff(cell, prepend=-1)), len(cell)).tolist()
+            packed = [pa.array([x[of[i:j]].tobytes() for i, j in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary()) for x in (roots, prints)]
+            yield pa.RecordBatch.from_arrays([pa.array(cell[cuts[:-1]]), *packed], names=["cell", "roots", "prints"])
 
     return run
 
@@ -221,8 +246,7 @@ def near_links(distinct: DataFrame, scratch: Scratch) -> DataFrame:
     total, first = distinct.count(), LEAST
     while first < BAND and BUCKET << first < total * len(_masks()):
         first += 1
-    spread = lambda df: df.select("root", "fp").repartition(max(1, -(-total // (4 * CHUNK))), "fp")
-    dealt = spread(distinct.withColumn("root", F.col("id"))).mapInArrow(_dealt(first, 0, 1, 0), _PACKED)
+    dealt = _spread(distinct.withColumn("root", F.col("id")), total, first).mapInArrow(_dealt(first, 0, 1, 0), _PACKED)
     links = scratch.keep(dealt.groupBy("cell").applyInPandas(_equal(first), "a long, b long"), "equal")
     # the first round's links spare the others what they'd tell of the same components
     for turns in ((0,), tuple(range(1, ROUNDS))):
@@ -230,7 +254,7 @@ def near_links(distinct: DataFrame, scratch: Scratch) -> DataFrame:
         rooted = distinct.join(found, distinct.id == found.node, "left").select(F.coalesce("root", "id").alias("root"), "fp")
         rooted = scratch.keep(rooted, f"rooted{turns[0]}")
         for turn in turns:
-            dealt = spread(rooted).mapInArrow(_dealt(first, first, ROUNDS, turn), _PACKED)
+            dealt = _spread(rooted, total, first).mapInArrow(_dealt(first, first, ROUNDS, turn), _PACKED)
             links = links.unionAll(scratch.keep(dealt.groupBy("cell").applyInPandas(_collide(first), "a long, b long"), f"links{turn}"))
     return links
 

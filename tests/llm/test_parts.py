@@ -262,6 +262,27 @@ def test_bytes_of_a_fingerprint_stay_whatever_the_table(count):
     assert sum(len(x) for b in sent for c in ("roots", "prints") for x in b.column(c).to_pylist()) == count * wide_simhash.BANDS * 6 * (8 + wide_simhash.BITS // 8)
 
 
+@pytest.mark.parametrize("first", [5, 8])
+def test_rows_of_a_fingerprint_stay_whatever_the_cells_and_batches(first):
+    """More cells take more fingerprints together, so a table with more cells has no more rows a fingerprint."""
+    count = 2 * wide_simhash.CHUNK << (first - wide_simhash.LEAST)
+    prints = np.random.default_rng(4).integers(0, 256, (count, wide_simhash.BITS // 8), dtype=np.uint8)
+    batches = [pa.RecordBatch.from_pydict({"root": np.arange(a, min(a + 700, count)), "fp": [x.tobytes() for x in prints[a : a + 700]]}) for a in range(0, count, 700)]
+    sent = [b for turn in range(4) for b in wide_simhash._dealt(first, first, 4, turn)(iter(batches))]
+    assert sum(b.num_rows for b in sent) <= 2 * wide_simhash.BANDS << first
+    got = np.concatenate([np.frombuffer(x, np.int64) for b in sent for x in b.column("roots").to_pylist()])
+    assert (np.bincount(got, minlength=count) == wide_simhash.BANDS * (1 + first)).all()
+    assert all(p == prints[np.frombuffer(r, np.int64)].tobytes() for b in sent for r, p in zip(b.column("roots").to_pylist(), b.column("prints").to_pylist(), strict=True))
+
+
+def test_fingerprints_are_dealt_evenly_to_tasks(spark):
+    """As many tasks as the table asks for, with as many fingerprints each, also where many are alike."""
+    total = 12 * wide_simhash.CHUNK
+    df = spark.range(total).repartition(7).selectExpr("id as root", "cast('x' as binary) as fp")
+    sizes = [len(x) for x in wide_simhash._spread(df, total, wide_simhash.LEAST).select("root").rdd.glom().collect()]
+    assert len(sizes) == 3 and sum(sizes) == total and max(sizes) - min(sizes) <= 7
+
+
 @pytest.mark.parametrize("part", [1 << 20, 30])
 def test_cells_by_parts_give_the_same_components(part, monkeypatch):
     """Near fingerprints that all begin alike, formed at once or by parts, against all pairs in the band."""
