@@ -26,9 +26,12 @@ def occurrences(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
 
 def repeats(outputs: DataFrame, session: str, seq: str, key: str, ids: list[str]) -> DataFrame:
     """(ids, occurrence) of outputs whose key came before in their session; `ids` tell outputs apart. Keys
-    and numbers are shuffled, no texts, and what gives the key is evaluated once."""
-    narrow = outputs.where(F.col(key).isNotNull()).select(F.col(session).alias("__s"), F.col(key).alias("__k"), F.col(seq).alias("__q"), *ids)
-    rank = F.row_number().over(Window.partitionBy("__s", "__k").orderBy("__q", *ids))
+    and numbers are shuffled, no texts, and what gives the key is evaluated once: no filter asks for it, as
+    that would be evaluated below, with all that gives the key written out in it. An output without a key
+    stands alone under its ids instead."""
+    own = F.coalesce(F.col(key), F.concat(F.lit("no key "), F.concat_ws(" ", *[F.col(i).cast("string") for i in ids])))
+    narrow = outputs.select(F.col(session).alias("__s"), own.alias("__k"), F.col(seq).alias("__q"), *ids)
+    rank = F.when(~F.col("__k").startswith("no key "), F.row_number().over(Window.partitionBy("__s", "__k").orderBy("__q", *ids)))
     return narrow.withColumn("occurrence", rank).where("occurrence > 1").select(*ids, "occurrence")
 
 

@@ -105,8 +105,9 @@ def filter_outputs(outputs: DataFrame, cfg: dict, roots: tuple[str, ...] = (), w
     else:
         narrow = df.where("__key is not null").select("session_id", F.col("seq").cast("long").alias("seq"), F.col("output_id").cast("long").alias("output_id"), F.col("__key").alias("text"))
         again = narrow.groupBy("session_id").applyInPandas(lambda pdf: count_repeats(pdf, {}, kept, ["output_id"])[["output_id", "occurrence"]], "output_id long, occurrence long").where("occurrence > 1")
-    df = df.join(again, "output_id", "left").withColumn("occurrence", F.coalesce(F.col("occurrence").cast("int"), F.lit(1)))
-    return _staged(df, cfg).select(*outputs.columns, *_ADDED)
+    # texts join as they came, once, and are cleaned behind the join
+    joined = outputs.join(again, "output_id", "left").withColumn("occurrence", F.coalesce(F.col("occurrence").cast("int"), F.lit(1)))
+    return _staged(_cleaned(joined, cfg, roots, workspace, redact_max_chars), cfg).select(*outputs.columns, *_ADDED)
 
 
 #: Tools whose results tell something and may be filtered; files' contents stay whole.

@@ -10,14 +10,24 @@ COMMANDS = ("git status", "git diff HEAD~1", "git log --oneline", "git show abc"
 TOOLS = ("read_file", "search_content", "run_command", "raw_output", "list_jobs", "mcp__db", "web_fetch", "unknown", "edit_file")
 
 
+#: Tasks a core that rows are dealt to.
+TASKS = 3
+#: Rows of these tables become texts, each by patterns that cost far more than moving the row's columns: these
+#: are dealt out by their key. lineitem is only grouped into texts, which moves it anyway.
+DEALT = {"documents": None, "conversations": None, "pages": None, "customer": "c_custkey", "supplier": "s_suppkey", "part": "p_partkey", "orders": "o_orderkey", "events": "event_id"}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table; texts in fewer partitions than there are cores (one small file) are dealt out first, as
-    patterns over them cost far more than moving them. Large inputs have more partitions and stay put."""
+    """A table, dealt out where its rows may lie in fewer tasks than there are cores. Texts have that many files
+    or splits, or not. Keys and figures are small: millions of rows lie in one row group, which one task reads
+    however many splits the file has, so splits tell nothing until there are several a core."""
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    if name in ("documents", "conversations", "pages") and df._jdf.queryExecution().toRdd().getNumPartitions() < cores:
-        return df.repartition(cores)
-    return df
+    if name not in DEALT:
+        return df
+    cores, key, parts = spark.sparkContext.defaultParallelism, DEALT[name], df._jdf.queryExecution().toRdd().getNumPartitions()
+    if key is None:
+        return df.repartition(cores) if parts < cores else df
+    return df.repartition(TASKS * cores, key) if parts < TASKS * cores else df
 
 
 def sql_list(items: tuple[str, ...]) -> str:

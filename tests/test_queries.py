@@ -10,9 +10,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from sieveline.config import limits
-from sieveline.operators import telemetry
+from sieveline.operators import telemetry, windows
 from sieveline.plans import catalogue, pipeline
-from sieveline.sources import sessions, sinks
+from sieveline.sources import corpora, sessions, sinks
 from sieveline.streaming import dedupe
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
@@ -141,3 +141,20 @@ def test_arguments_survive_anything(spark):
 def test_content_types(spark):
     df = spark.createDataFrame([("tool_result/view_image", ""), ("tool_result/Bash", ""), ("mcp_result/x", "A=" * 60), ("mcp_result/x", "plain"), ("odd", "")], "c string, s string")
     assert [r[0] for r in df.select(telemetry.content_type(F.col("c"), F.col("s"))).collect()] == ["base64/image", "cli_output", "base64/image", "json_api", "other"]
+
+
+@pytest.mark.parametrize("name", ["part", "customer", "events"])
+def test_rows_of_one_row_group_are_dealt(spark, name):
+    tasks = corpora.table(spark, SF, name).groupBy(F.spark_partition_id()).count().collect()
+    assert len(tasks) >= spark.sparkContext.defaultParallelism
+
+
+def test_no_filter_asks_for_a_key(spark):
+    """A filter on what a text gives would be evaluated below, written out as often as the text is used."""
+    plan = catalogue.QUERIES["filter_stages"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert not [x for x in plan.split("\n") if "Filter " in x[:80] and "c_custkey" in x]
+
+
+def test_outputs_without_key_are_no_repeats(spark):
+    df = spark.createDataFrame([("s", 1, None), ("s", 1, None), ("s", 2, "a"), ("s", 3, "a")], "s string, q long, k string")
+    assert [(r.q, r.occurrence) for r in windows.repeats(df, "s", "q", "k", ["q"]).collect()] == [(3, 2)]
