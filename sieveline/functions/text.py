@@ -46,24 +46,32 @@ _SIGNS = (
 def redact(text: Column, max_chars: int | None = None) -> tuple[Column, Column]:
     """Text without secrets, and how many there were. `max_chars`: longer texts are left as they are. A text
     without signs goes through no pattern, one with signs of one group through that group's, others
-    through all of them; forms whose signs a text lacks can't match in it, so the result is the same."""
-    present = F.transform(F.array(F.lower(text)), lambda low: F.array(*[reduce(lambda a, b: a | b, (low.contains(x) for x in signs)) for signs, _ in _SIGNS]))[0]
-
-    def marked(pattern: str) -> Column:
-        # one pass: a private character stands for each secret, is counted, and becomes the marker
-        return F.transform(F.array(F.regexp_replace(text, pattern, _MARK)), lambda x: F.struct(F.replace(x, F.lit(_MARK), F.lit("[REDACTED]")).alias("o"), (F.length(x) - F.length(F.replace(x, F.lit(_MARK), F.lit("")))).alias("n")))[0]
-
-    def clean(flags: Column) -> Column:
-        many, first = F.size(F.filter(flags, lambda x: x)), F.array_position(flags, True)
-        none = many == 0 if max_chars is None else (many == 0) | (F.length(text) > max_chars)
-        twice = F.struct(F.regexp_replace(text, _SECRET, "[REDACTED]").alias("o"), F.regexp_count(text, F.lit(_SECRET)).alias("n"))
-        out = F.when(none, F.struct(text.alias("o"), F.lit(0).alias("n"))).when(text.contains(_MARK), twice)
+    through all of them; forms whose signs a text lacks can't match in it, so the result is the same. Both
+    columns are fields of one expression without a condition around it, so that it is evaluated once for both."""
+    several = len(_SIGNS) + 1
+
+    def group(t: Column) -> Column:
+        """0 for a text without signs, the place of the only group with one, or a number beyond all groups."""
+        present = F.transform(F.array(F.lower(t)), lambda low: F.array(*[reduce(lambda a, b: a | b, (low.contains(x) for x in signs)) for signs, _ in _SIGNS]))[0]
+        found = F.transform(F.array(present), lambda flags: F.when(F.size(F.filter(flags, lambda x: x)) > 1, F.lit(several)).otherwise(F.array_position(flags, True).cast("int")))[0]
+        return found if max_chars is None else F.when(F.length(t) > max_chars, 0).otherwise(found)
+
+    def clean(row: Column) -> Column:
+        t, own = row["t"], row["group"]
+
+        def marked(pattern: str) -> Column:
+            # one pass: a private character stands for each secret, is counted, and becomes the marker
+            return F.transform(F.array(F.regexp_replace(t, pattern, _MARK)), lambda x: F.struct(F.replace(x, F.lit(_MARK), F.lit("[REDACTED]")).alias("o"), (F.length(x) - F.length(F.replace(x, F.lit(_MARK), F.lit("")))).alias("n")))[0]
+
+        twice = F.struct(F.regexp_replace(t, _SECRET, "[REDACTED]").alias("o"), F.regexp_count(t, F.lit(_SECRET)).alias("n"))
+        out = F.when(t.isNull(), F.lit(None)).when(own == 0, F.struct(t.alias("o"), F.lit(0).alias("n"))).when(t.contains(_MARK), twice)
         for k, (_, forms) in enumerate(_SIGNS, 1):
-            out = out.when((many == 1) & (first == k), marked("(?i)" + "|".join(f"(?:{SECRETS[f]})" for f in forms)))
+            out = out.when(own == k, marked("(?i)" + "|".join(f"(?:{SECRETS[f]})" for f in forms)))
         return out.otherwise(marked(_SECRET))
 
-    both = F.transform(F.array(present), clean)[0]
-    return F.when(text.isNotNull(), both["o"]), F.when(text.isNotNull(), both["n"])
+    bound = F.transform(F.array(text), lambda t: F.struct(t.alias("t"), group(t).alias("group")))
+    both = F.transform(bound, clean)[0]
+    return both["o"], both["n"]
 
 
 def _replace_all(text: Column, *steps: tuple[str, str]) -> Column:

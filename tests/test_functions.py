@@ -232,3 +232,13 @@ def test_roots(tmp_path):
     deep = tmp_path / "ws" / "projects" / "org"
     assert config.workspace_root({}, str(deep)) == str(tmp_path / "ws") and config.workspace_root({"SIEVELINE_WORKSPACE_ROOT": str(deep)}, "/") == str(deep)
     assert config.project_roots(str(tmp_path / "ws")) == [str(deep / "app")] and config.project_roots(str(deep)) == [str(deep)]
+
+
+def test_redact_is_evaluated_once(spark):
+    """Text and count are fields of one expression, without a condition that keeps it from being shared."""
+    df = spark.createDataFrame([("x AKIA" + "A" * 16,), (None,), ("plain",)], "t string")
+    out, n = T.redact(F.col("t"))
+    both = df.select(out.alias("o"), n.alias("n"))
+    assert [tuple(r) for r in both.collect()] == [("x [REDACTED]", 1), (None, None), ("plain", 0)]
+    fields = both._jdf.queryExecution().analyzed().toString().split("\n")[0]
+    assert not fields.removeprefix("Project [").startswith("CASE WHEN")
