@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 HEADER, SHORT_HEADER = r"^(?:\$ |\[exit|\[killed|\[job)", r"^(?:\$ |\[exit|\[killed)"
@@ -15,6 +15,14 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), use)[0]
 
 
+def exploded(df: DataFrame, array: Column | str, *names: str) -> DataFrame:
+    """A row for every element of an array, with its place if there are two names. Rows without elements go
+    after the explosion: the plain one asks for a size first, and that filter is evaluated below, with all that
+    gives the array written out in it."""
+    made = (F.posexplode_outer if len(names) > 1 else F.explode_outer)(array)
+    return df.select("*", made.alias(*names)).where(F.col(names[0]).isNotNull())
+
+
 def split_lines(text: Column) -> Column:
     return F.split(text, "\n", -1)
 

@@ -113,4 +113,4 @@ def extracted(calls: DataFrame, extractors: tuple[Extractor, ...] = EXTRACTORS)
 
 def fact_rows(calls: DataFrame) -> DataFrame:
     """(tool_call_id, source_tool, content, fact_type, confidence), a row per fact."""
-    return calls.select("tool_call_id", "source_tool", F.explode("facts").alias("f")).select("tool_call_id", "source_tool", "f.*")
+    return L.exploded(calls.select("tool_call_id", "source_tool", "facts"), "facts", "f").select("tool_call_id", "source_tool", "f.*")

@@ -170,3 +170,9 @@ def test_savings_by_tool_of_odd_texts(spark, tmp_path):
     columns = sorted(got.columns)
     clean = lambda r: [tuple("" if x in ("<NA>", "nan") else x.removesuffix(".0") for x in t) for t in r]
     assert clean(rows(got, columns)) == clean(rows(want, columns))
+
+
+def test_facts_are_found_once(spark):
+    """The explosion asks for no size of what is found, as that would find it a second time."""
+    plan = catalogue.QUERIES["facts_errors"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert not [x for x in plan.split("\n") if "Filter " in x[:80] and "size(" in x]
