@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import lines as L
 from ..operators.windows import named_results
 
 _ITEM = "type string, payload struct<type:string,call_id:string,name:string,arguments:string,output:string,content:string,result:string,summary:string,base_instructions:string,dynamic_tools:string,data:string,user_instructions:string>"
@@ -78,7 +79,7 @@ def _message_blocks(lines: DataFrame) -> DataFrame:
     entry = F.from_json("line", "type string, message struct<role:string,content:string>")
     parsed = lines.select("session", "pos", entry.alias("m"), F.get_json_object("line", "$.message").alias("whole"))
     parsed = parsed.select("session", "pos", F.col("m.type").alias("kind"), F.coalesce("m.message.role", "m.type").alias("role"), "whole", F.when(F.col("m.type") == "system", F.array("whole")).otherwise(_as_blocks(F.col("m.message.content"))).alias("blocks"))
-    rows = parsed.select("session", "pos", "kind", "role", F.posexplode("blocks").alias("place", "block"))
+    rows = L.exploded(parsed.select("session", "pos", "kind", "role", "blocks"), "blocks", "place", "block").drop("blocks")
     block = F.when(F.col("block").startswith("{"), F.from_json("block", _BLOCK))
     return rows.withColumn("b", F.when(F.col("kind") != "system", block)).withColumn("plain", F.when(F.col("b.type").isNull(), F.col("block"))).drop("block")
 
@@ -101,7 +102,7 @@ def blocks(lines: DataFrame) -> DataFrame:
         .when((kind == "assistant") & (b["type"] == "tool_use"), F.array(_row(_named("tool_call_args", F.col("name")), some)))
         .when((kind == "user") & (b["type"] == "tool_result"), F.transform(_texts(b["content"]), lambda t: _row(_named("tool_result", F.col("name")), t)))
     )
-    return rows.select("session", "pos", "name", F.explode(found).alias("r")).where("r.text <> ''").select("session", "pos", "r.category", "name", "r.text")
+    return L.exploded(rows.select("session", "pos", "name", found.alias("rows")), "rows", "r").where("r.text <> ''").select("session", "pos", "r.category", "name", "r.text")
 
 
 def tool_results(rows: DataFrame) -> DataFrame:
@@ -119,7 +120,7 @@ def conversation(lines: DataFrame) -> DataFrame:
     in_order = lambda c: F.transform(F.array_sort(F.collect_list(F.when(c.isNotNull(), F.struct("place", c.alias("v"))))), lambda x: x["v"])
     spoken = rows.groupBy("session", "pos", "role").agg(in_order(text).alias("texts"), in_order(call).alias("tool_calls"))
     spoken = spoken.where((F.size("texts") > 0) | (F.size("tool_calls") > 0)).select("session", "pos", F.lit(-1).alias("place"), "role", F.when(F.size("texts") > 0, F.array_join("texts", "\n")).alias("content"), F.when(F.size("tool_calls") > 0, F.col("tool_calls")).alias("tool_calls"), F.lit(None).cast("string").alias("tool_call_id"), F.lit(None).cast("string").alias("name"))
-    calls = spoken.select("session", "pos", F.explode("tool_calls").alias("c")).select("session", F.col("c.id").alias("tool_call_id"), "pos", F.col("c.function.name").alias("name"))
+    calls = L.exploded(spoken.select("session", "pos", "tool_calls"), "tool_calls", "c").select("session", F.col("c.id").alias("tool_call_id"), "pos", F.col("c.function.name").alias("name"))
     none = F.lit(None).cast(spoken.schema["tool_calls"].dataType)
     results = rows.where("role = 'user' and b.type = 'tool_result'").select("session", "pos", "place", F.lit("tool").alias("role"), F.array_join(_texts(F.coalesce("b.content", F.lit(""))), "\n").alias("content"), none.alias("tool_calls"), F.coalesce("b.tool_use_id", F.lit("")).alias("tool_call_id"), F.lit(None).cast("string").alias("name"))
     return _numbered(spoken.unionByName(named_results(results, calls, ["session", "tool_call_id"], "name", "pos")), "session", "pos", "place")

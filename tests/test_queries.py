@@ -176,3 +176,10 @@ def test_facts_are_found_once(spark):
     """The explosion asks for no size of what is found, as that would find it a second time."""
     plan = catalogue.QUERIES["facts_errors"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert not [x for x in plan.split("\n") if "Filter " in x[:80] and "size(" in x]
+
+
+def test_filters_on_what_rows_give_stay_behind_the_dealing(spark):
+    """Below it one task may read all rows, and would evaluate them."""
+    plan = catalogue.QUERIES["session_conversation"](spark, SF)._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    below = [plan[k + 1] for k, x in enumerate(plan) if "RepartitionByExpression" in x]
+    assert below and not [x for x in below if "from_json" in x or "get_json_object" in x]
